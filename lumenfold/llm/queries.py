@@ -1,11 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import op6_minhash
+from . import op2_quality, op5_secrets, op6_minhash, op10_packing
 
 QUERIES = {
+    "op2_quality": op2_quality.op2_quality,
+    "op5_secrets": op5_secrets.op5_secrets,
     "op6_near_duplicates": op6_minhash.op6_near_duplicates,
+    "op10_packing": op10_packing.op10_packing,
 }
 
 SQL = {
+    "op2_quality": op2_quality.SQL,
     "op6_near_duplicates": op6_minhash.SQL,
 }
