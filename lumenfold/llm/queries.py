@@ -1,15 +1,18 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import op2_quality, op5_secrets, op6_minhash, op10_packing
+from . import op1_suffix, op2_quality, op5_secrets, op6_minhash, op9_trees, op10_packing
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix.op1_suffix_dedup,
     "op2_quality": op2_quality.op2_quality,
     "op5_secrets": op5_secrets.op5_secrets,
     "op6_near_duplicates": op6_minhash.op6_near_duplicates,
+    "op9_substrings": op9_trees.op9_substrings,
     "op10_packing": op10_packing.op10_packing,
 }
 
 SQL = {
     "op2_quality": op2_quality.SQL,
     "op6_near_duplicates": op6_minhash.SQL,
+    "op9_substrings": op9_trees.SQL,
 }
