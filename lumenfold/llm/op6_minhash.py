@@ -4,20 +4,23 @@
     circulant MinHash signature (minhash.py): two permutations give all coordinates.
 2.  Equal sets are one representative from there on, so a group of copies of any size
     costs a partial aggregation.
-3.  Bands of the signature are bucket keys.  A bucket is read in blocks of at most
-    `block` rows (with its least member as a hub in each); within a block, one byte of
-    each coordinate estimates similarity.  Members join the first leader they resemble:
-    a row for each member instead of all pairs.  Pairs of different clusters that could
-    still be linked are kept as well.
-4.  Pairs are confirmed on their full sets, and components are found.
-5.  Where a leader's member was not confirmed, all its bucket's pairs across components
-    are confirmed too, so no link inside a bucket is lost.
+3.  Bands of the signature are bucket keys.  A bucket is read in blocks of at most about
+    `block` rows, any two of its rows in one of them, with its least member in each.  One
+    byte of each coordinate estimates similarity.  The member nearest the block's consensus
+    leads first; members join the first leader they resemble, which gives a row for each
+    member instead of all pairs.  Members that might be linked across leaders fall into one
+    *neighbourhood*, again by a row for each.
+4.  Leaders and members are confirmed on their full sets, and components are found.
+5.  A neighbourhood of several components (few are) is compared in full: each set is sent
+    there once, or once for each pair of blocks of a large one, and a set's intersections
+    with all sets of a block are counted at once.  Only links come out, so no link inside
+    a bucket is lost and no list of pairs is made.
 
 With 40 bands of 5 rows a pair at similarity 0.75 meets no bucket with probability 2e-5,
 at 0.8 with 1e-7; an estimate 0.2 below the threshold is more than six deviations off.
 
-Nulls and empty texts have empty sets and are linked with nothing; a null id stays null
-and is a class of its own; repeated ids keep their rows, and share a class.  An empty
+Nulls and empty texts have empty sets and are linked with nothing.  Repeated ids keep their
+rows, each classed by its own text.  A row with a null id has a null component.  An empty
 table gives an empty result.
 """
 
@@ -33,7 +36,7 @@ from . import text as tx
 
 BANDS, ROWS = 40, 5
 PERCENT = 75
-#: How far below the threshold an estimate still leads to a full comparison.
+#: How far below the threshold an estimate still makes two members neighbours.
 MARGIN = 0.20
 BLOCK = 2000
 
@@ -73,191 +76,223 @@ def _resemblance(sketch: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -
     return np.where(100 * low >= PERCENT * high, (same - 1 / 256) / (1 - 1 / 256), -1)
 
 
-def block_pairs(ids, size, sketch, label, hub: int) -> list[tuple[int, int]]:
-    """Pairs of a block to confirm.  label None: leaders with members, and pairs of
-    different clusters; otherwise all likely pairs of different labels."""
-    n = len(ids)
-    likely = PERCENT / 100 - MARGIN
-    order = np.lexsort((ids, ids != hub))
-    pairs: list[tuple[int, int]] = []
-    if label is None:
-        label = np.full(n, -1)
-        close = likely + 0.15
-        for i in order:
-            if label[i] < 0:
-                label[i] = i
-                rest = np.flatnonzero(label < 0)
-                got = rest[_resemblance(sketch, size, i, rest) >= close] if len(rest) else rest
+def block_pairs(ids, size, sketch, hub: int) -> tuple[list, list]:
+    """(leader, member) pairs to confirm, and pairs that join neighbourhoods, of one block."""
+    n, likely = len(ids), PERCENT / 100 - MARGIN
+    if n == 2:
+        close = _resemblance(sketch, size, 0, np.array([1]))[0] >= likely
+        return ([(ids[0], ids[1])] if close else []), []
+    usual = np.array([np.bincount(c).argmax() for c in sketch.T], np.uint8)
+    order = np.lexsort((ids, -(sketch == usual).sum(axis=1), ids != hub))
+    lead, near = [], []
+    label = np.full(n, -1)
+    for i in order:
+        if label[i] < 0:
+            label[i] = i
+            rest = np.flatnonzero(label < 0)
+            if len(rest):
+                got = rest[_resemblance(sketch, size, i, rest) >= likely + 0.1]
                 label[got] = i
-                pairs += [(ids[i], ids[j]) for j in got]
-    if len(np.unique(label)) > 1:
-        by_size = np.argsort(size, kind="stable")
-        sizes = size[by_size]
-        for k, i in enumerate(by_size):
-            to = np.searchsorted(sizes, sizes[k] * 100 // PERCENT, "right")
-            js = by_size[k + 1 : to]
-            js = js[label[js] != label[i]]
-            if len(js):
-                pairs += [(ids[i], ids[j]) for j in js[_resemblance(sketch, size, i, js) >= likely]]
-    return pairs
-
-
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Bucket members dealt out so that any two of a bucket meet in a block: `cell` names it."""
+                lead += [(ids[i], ids[j]) for j in got]
+    for i in range(n):
+        js = np.flatnonzero(label != label[i])
+        if not len(js):
+            break
+        met = js[_resemblance(sketch, size, i, js) >= likely]
+        if len(met):
+            for other in np.unique(label[met]):
+                near.append((ids[i], ids[met[label[met] == other][0]]))
+                label[label == other] = label[i]
+    return lead, near
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows(key, members, hub, node, ...) dealt out so that any two of a key meet in a cell."""
     chunks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), chunks - 1),
-        lambda o: F.least(own, o).cast("long") * 1000003 + F.greatest(own, o),
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    pair = lambda a, b: a.cast("long") * 1000003 + b
+    others = F.sequence(F.lit(0), chunks - 1)
+    meets = F.transform(others, lambda o: pair(F.least(own, o), F.greatest(own, o)))
+    everywhere = F.flatten(F.transform(others, lambda a: F.transform(F.sequence(a, chunks - 1), lambda b: pair(a, b))))
+    cells = (
+        F.when(F.col("members") <= block, F.array(F.lit(0).cast("long")))
+        .when(F.col("node") == F.col("hub"), everywhere)
+        .otherwise(meets)
     )
-    everywhere = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), chunks - 1),
-            lambda a: F.transform(F.sequence(a, chunks - 1), lambda b: a.cast("long") * 1000003 + b),
-        )
-    )
-    return members.withColumn(
-        "cell",
-        F.explode(
-            F.when(F.col("members") <= block, F.array(F.lit(0).cast("long")))
-            .when(F.col("doc_id") == F.col("hub"), everywhere)
-            .otherwise(meets)
-        ),
-    )
-
+    return rows.withColumn("cell", F.explode(cells)).repartition("key", "cell").sortWithinPartitions("key", "cell")
 
-def _pairs(members: DataFrame, labelled: bool, block: int) -> DataFrame:
-    """(a, b) with a < b, of members(key, hub, members, doc_id, n_shingles, sketch[, label])."""
-    columns = ["key", "cell", "hub", "doc_id", "n_shingles", "sketch"] + ["label"] * labelled
-    dealt = _blocks(members, block).select(*columns).repartition("key", "cell").sortWithinPartitions("key", "cell")
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups():
-            held_key = None
-            for batch in batches:
-                key, cell = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-                cut = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-                edges = [0, *cut.tolist(), batch.num_rows]
-                for lo, hi in zip(edges, edges[1:]):
-                    if hi == lo:
-                        continue
-                    k = (key[lo], cell[lo])
-                    if held_key is not None and k != held_key:
-                        yield pa.Table.from_batches(held)
-                        held.clear()
-                    held_key = k
-                    held.append(batch.slice(lo, hi - lo))
-            if held:
+def _groups(batches):
+    """Tables of the rows of one key and cell, from batches sorted by them."""
+    held, held_key = [], None
+    for batch in batches:
+        key, cell = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi == lo:
+                continue
+            if held and (key[lo], cell[lo]) != held_key:
                 yield pa.Table.from_batches(held)
+                held = []
+            held_key = (key[lo], cell[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
-        found: set[tuple[int, int]] = set()
+
+def _pairs(members: DataFrame, block: int) -> DataFrame:
+    """(a, b, confirm) with a < b, of members(key, hub, members, node, n_shingles, sketch)."""
+
+    def run(batches):
+        found: dict[tuple[int, int], bool] = {}
 
         def flush():
-            p = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+            p = np.array(list(found), dtype=np.int64).reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(list(found.values()), pa.bool_())], ["a", "b", "confirm"])
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+            return out
 
-        for group in groups():
+        for group in _groups(batches):
             if group.num_rows < 2:
                 continue
-            ids = group.column("doc_id").to_numpy()
-            if not labelled and len(ids) == 2:
-                found.add((int(ids.min()), int(ids.max())))
-            else:
-                sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-                label = group.column("label").to_numpy() if labelled else None
-                for a, b in block_pairs(ids, group.column("n_shingles").to_numpy(), sketch, label, int(group.column("hub")[0].as_py())):
+            ids = group.column("node").to_numpy()
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            lead, near = block_pairs(ids, group.column("n_shingles").to_numpy(), sketch, int(group.column("hub")[0].as_py()))
+            for confirm, pairs in ((False, near), (True, lead)):
+                for a, b in pairs:
                     if a != b:
-                        found.add((int(min(a, b)), int(max(a, b))))
+                        key = (int(min(a, b)), int(max(a, b)))
+                        found[key] = found.get(key, False) or confirm
             if len(found) > 50_000:
                 yield flush()
         yield flush()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = _dealt(members, block).select("key", "cell", "hub", "node", "n_shingles", "sketch")
+    return dealt.mapInArrow(run, "a long, b long, confirm boolean").groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, members): the sets of wanted(node, doc_id, fp1, fp2), from the texts."""
+
     def cut(batches):
         for batch in common.slices(batches):
             sets, at = minhash.shingle_sets(*tx.utf8(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.lists(sets.view(np.int64), at)], ["doc_id", "members"])
+            prints = minhash.fingerprints(sets, at).view(np.int64)
+            own = (prints[:, 0] == batch.column("fp1").to_numpy()) & (prints[:, 1] == batch.column("fp2").to_numpy())
+            out = pa.RecordBatch.from_arrays([batch.column("node"), common.lists(sets.view(np.int64), at)], ["node", "members"])
+            yield out.filter(pa.array(own))  # an id may have several texts
 
-    return docs.mapInArrow(cut, "doc_id long, members array<long>")
+    found = docs.join(wanted.hint("merge"), "doc_id").select("node", "text", "fp1", "fp2").mapInArrow(cut, "node long, members array<long>")
+    return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets meet the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
+    """Those of pairs(a, b) whose full sets meet the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
 
     def compare(batches):
         for batch in batches:
             keep = []
-            sides = []
-            for name in ("left", "right"):
-                column = batch.column(name)
-                at = column.offsets.to_numpy()
-                sides.append((column.values.to_numpy(), at))
+            sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("left"), batch.column("right"))]
             for i in range(batch.num_rows):
                 x, y = (v[at[i] : at[i + 1]] for v, at in sides)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= PERCENT * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"]
-            )
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return met.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+
+
+def set_links(ids, label, values, at) -> list[tuple[int, int]]:
+    """Links that join different labels, of sets values[at[i]:at[i + 1]]: all of them but
+    those between labels that earlier ones have joined."""
+    vocabulary, codes = np.unique(values, return_inverse=True)
+    size, label = np.diff(at), label.copy()
+    names, counts = np.unique(label, return_counts=True)
+    rest = np.flatnonzero(label != names[counts.argmax()])
+    mark = np.zeros(len(vocabulary) + 1, bool)
+    links = []
+    for i in rest:
+        mark[codes[at[i] : at[i + 1]]] = True
+        shared = np.add.reduceat(mark[codes], at[:-1], dtype=np.int64)
+        mark[codes[at[i] : at[i + 1]]] = False
+        met = np.flatnonzero((100 * shared >= PERCENT * (size + size[i] - shared)) & (label != label[i]))
+        for j in met:
+            if label[j] != label[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _compared(neighbours: DataFrame, block: int) -> DataFrame:
+    """(a, b): links across components of neighbours(key, members, hub, node, component, members_of)."""
 
-
-def near_duplicates(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK
-) -> DataFrame:
+    def run(batches):
+        for group in _groups(batches):
+            label = group.column("component").to_numpy()
+            if (label != label[0]).any():
+                sets = group.column("shingles").combine_chunks()
+                at = sets.offsets.to_numpy()
+                values = sets.values.to_numpy()[at[0] : at[-1]]
+                links = set_links(group.column("node").to_numpy(), label, values, at - at[0])
+                if links:
+                    p = np.array(links, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+    dealt = _dealt(neighbours, block).select("key", "cell", "node", "component", "shingles")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable), for each row of docs(doc_id, text)."""
     docs = common.named(docs, doc_id="doc_id", text="text")
     signed = common.written(signatures(docs, bands, rows, shingle))
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = common.written(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    first = some.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = first.select("doc_id", "n_shingles", "sketch", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = common.written(keyed.select("key", "doc_id").join(buckets, "key"))
-    sketches = first.select("doc_id", "n_shingles", "sketch")
-    full = members.join(sketches, "doc_id")
-    likely = common.written(_pairs(full, False, block))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = common.written(_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
-    links = common.written(_confirmed(likely, sets))
-    nodes = wanted.select(F.col("doc_id").alias("id"))
-    found = common.components(nodes, links)
-
-    # clusters of an estimate that the full sets broke: all their pairs across components
-    broken = (
-        likely.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
-        .join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-        .where("ca <> cb")
-        .select(F.explode(F.array("a", "b")).alias("doc_id"))
-        .distinct()
+    first = (
+        signed.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("fp1", "fp2", "n_shingles")
+        .agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("of"), F.min("doc_id").alias("doc_id"))
     )
-    keys = members.join(broken, "doc_id").groupBy("key").agg(F.count("*").alias("n")).select("key")
-    labels = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    again = members.join(keys, "key", "left_semi").join(labels, "doc_id").join(sketches, "doc_id")
-    more = common.written(_pairs(again, True, block).join(likely, ["a", "b"], "left_anti"))
+    first = common.written(
+        first.select(F.monotonically_increasing_id().alias("node"), "doc_id", "fp1", "fp2", "n_shingles", "of.bands", "of.sketch")
+    )
+    keyed = first.select("node", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    sketches = first.select("node", "n_shingles", "sketch")
+    likely = common.written(_pairs(keyed.join(buckets.hint("merge"), "key").join(sketches.hint("merge"), "node"), block))
+    near = common.written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = first.join(near.select(F.col("id").alias("node")), "node", "left_semi").select("node", "doc_id", "fp1", "fp2")
+    sets = common.written(_sets(docs, wanted, shingle))
+    links = common.written(_confirmed(likely.where("confirm").select("a", "b"), sets))
+    found = common.components(near, links)
+
+    around = common.components(near, likely.select("a", "b"))
+    open_ = (
+        around.withColumnRenamed("component", "key")
+        .join(found, "id")
+        .groupBy("key")
+        .agg(F.count("*").alias("members"), F.min("component").alias("hub"), F.max("component").alias("high"))
+        .where("hub <> high")
+    )
+    neighbours = (
+        around.select(F.col("id").alias("node"), F.col("component").alias("key"))
+        .join(open_.select("key", "members", "hub"), "key")
+        .join(found.select(F.col("id").alias("node"), "component"), "node")
+        .join(sets.select("node", F.col("members").alias("shingles")).hint("merge"), "node")
+    )
+    more = common.written(_compared(neighbours, block))
     if not more.isEmpty():
-        links = links.union(_confirmed(more, sets))
-        found = common.components(nodes, common.written(links))
+        found = common.components(near, links.union(more))
 
-    classes = reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("class")
-    )
+    named = first.select("node", "doc_id", "fp1", "fp2", "n_shingles").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("class"))
+    classes = named.join(least, "component").select("fp1", "fp2", "n_shingles", "class")
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
