@@ -1,10 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import op1_suffix, op2_quality, op5_secrets, op6_minhash, op9_trees, op10_packing
+from . import op1_suffix, op2_quality, op3_bpe, op5_secrets, op6_minhash, op9_trees, op10_packing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix.op1_suffix_dedup,
     "op2_quality": op2_quality.op2_quality,
+    "op3_bpe": op3_bpe.op3_bpe,
     "op5_secrets": op5_secrets.op5_secrets,
     "op6_near_duplicates": op6_minhash.op6_near_duplicates,
     "op9_substrings": op9_trees.op9_substrings,
