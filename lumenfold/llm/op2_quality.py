@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects documents by one feature.  On a bounded sample of whole documents
-(`sample_rows`, documented and for the order only) each rule's cost in nanoseconds a byte
-and its share of rejections are measured on the executors; the rules then run by falling
+(`sample_rows` of at most `sample_chars` characters, for the order only) each rule's time
+and its rejections are measured; the rules then run by falling
 rejections per cost, and a rule computes its feature only for documents that no earlier
 rule rejected.  The verdict is the conjunction of all rules, so it doesn't depend on the
 order or the sample.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import text as tx
 
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 50_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -161,29 +161,18 @@ RULES = (
 )
 
 
-def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[Rule]:
     """The rules by falling rejections per cost, as measured on a sample of whole documents."""
-    names = [r.name for r in rules]
-
-    def measure(batches):
-        cost, size = [0] * len(rules), 0
-        rejected, rows = [0] * len(rules), 0
-        for batch in common.slices(batches):
-            t = Texts(*tx.utf8(batch.column("text")))
-            size += len(t.data) + 1
-            rows += batch.num_rows
-            for i, rule in enumerate(rules):
-                began = time.perf_counter_ns()
-                rejected[i] += int(rule.bad(t).sum())
-                cost[i] += time.perf_counter_ns() - began
-        if rows:
-            yield pa.RecordBatch.from_pydict(
-                {"name": names, "cost": [c / size for c in cost], "rejected": [(r + 0.5) / (rows + 1) for r in rejected]}
-            )
-
-    sampled = docs.select("text").limit(sample_rows).mapInArrow(measure, "name string, cost double, rejected double")
-    gain = {r["name"]: r["gain"] for r in sampled.groupBy("name").agg((F.avg("rejected") / F.avg("cost")).alias("gain")).collect()}
-    return sorted(rules, key=lambda r: -gain.get(r.name, 0.0))
+    sample = docs.where(F.length("text") <= sample_chars).select("text").limit(sample_rows).toArrow()
+    if not sample.num_rows:
+        return list(rules)
+    t = Texts(*tx.utf8(sample.column("text")))
+    gain = {}
+    for rule in rules:
+        began = time.perf_counter_ns()
+        rejected = int(rule.bad(t).sum())
+        gain[rule.name] = (rejected + 0.5) / (time.perf_counter_ns() - began)
+    return sorted(rules, key=lambda r: -gain[r.name])
 
 
 _RESULT = (
@@ -191,6 +180,36 @@ _RESULT = (
 )
 
 
+def verdict(t: Texts, ordered: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(repeated words, base rule failed, kept) of each document, the rules run in this order."""
+    repeats = repeated_words(t)
+    failed = (t.n_words < 10) | (100 * repeats > 20 * t.n_words)
+    live = np.flatnonzero(~failed)
+    some = t.only(live)
+    for rule in ordered:
+        if not len(live):
+            break
+        bad = rule.bad(some)
+        if bad.any():
+            live = live[~bad]
+            some = some.only(np.flatnonzero(~bad))
+    kept = np.zeros(len(failed), bool)
+    kept[live] = True
+    return repeats, failed, kept
+
+
+def passing(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that the base rule and all rules keep, with all their columns."""
+    ordered = planned(docs, rules)
+
+    def keep(batches):
+        for batch in common.slices(batches):
+            t = Texts(*tx.utf8(batch.column("text")))
+            yield batch.filter(pa.array(verdict(t, ordered)[2]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The base features, base_failed and kept of each row of docs(doc_id, text)."""
     docs = common.named(docs, doc_id="doc_id", text="text")
@@ -199,19 +218,7 @@ def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Dat
     def judge(batches):
         for batch in common.slices(batches):
             t = Texts(*tx.utf8(batch.column("text")))
-            repeats = repeated_words(t)
-            failed = (t.n_words < 10) | (100 * repeats > 20 * t.n_words)
-            live = np.flatnonzero(~failed)
-            some = t.only(live)
-            for rule in ordered:
-                if not len(live):
-                    break
-                bad = rule.bad(some)
-                if bad.any():
-                    live = live[~bad]
-                    some = some.only(np.flatnonzero(~bad))
-            kept = np.zeros(batch.num_rows, bool)
-            kept[live] = True
+            repeats, failed, kept = verdict(t, ordered)
             columns = [
                 t.n_words,
                 t.code_points(),
