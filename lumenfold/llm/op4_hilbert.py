@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -158,12 +158,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 2,
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
     # copies beyond the least k + 1 ids of a vector cannot be found; ranking starts before the shuffle
     rows = rows.dropDuplicates(["vec_id", "embedding"])
-    rows.createOrReplaceTempView("lumenfold_vectors")
     spark = rows.sparkSession
-    candidates = spark.sql(
-        f"SELECT vec_id, embedding, dim FROM (SELECT *, row_number() OVER (PARTITION BY embedding ORDER BY vec_id) AS copy FROM lumenfold_vectors) WHERE copy <= {k + 1}"
-    )
-    candidates = common.written(candidates)
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    candidates = common.written(rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"))
     indexes = {}
     for dim, total in candidates.groupBy("dim").count().collect():
         n = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
@@ -217,10 +214,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 2,
     queries = rows.where(F.col("vec_id") % every == 0)
     both = candidates.mapInArrow(deal(False), dealt).union(queries.mapInArrow(deal(True), dealt))
     found = both.groupBy("dim", "curve", "block").applyInArrow(visit, "query_id long, vec_id long, score double")
-    found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).createOrReplaceTempView("lumenfold_found")
-    return spark.sql(
-        f"SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM lumenfold_found) WHERE rank <= {k}"
-    )
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:

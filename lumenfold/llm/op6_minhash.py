@@ -40,7 +40,7 @@ PERCENT = 75
 MARGIN = 0.20
 BLOCK = 2000
 
-_SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5) -> DataFrame:
@@ -57,16 +57,17 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(size.astype(np.int64)),
                     pa.array(prints[:, 0]),
                     pa.array(prints[:, 1]),
                     common.lists(keys[size > 0].ravel(), np.concatenate([[0], np.cumsum(width)])),
                     common.blobs((signature & np.uint32(0xFF)).astype(np.uint8)),
                 ],
-                ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
+                ["doc_id", "text_key", "n_shingles", "fp1", "fp2", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, _SIGNED)
 
 
 def _resemblance(sketch: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -248,7 +249,8 @@ def _compared(neighbours: DataFrame, block: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable), for each row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id (the least id reachable), text_key (a hash of the text),
+    for each row of docs(doc_id, text)."""
     docs = common.named(docs, doc_id="doc_id", text="text")
     signed = common.written(signatures(docs, bands, rows, shingle))
     first = (
@@ -291,13 +293,21 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shing
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("class"))
     classes = named.join(least, "component").select("fp1", "fp2", "n_shingles", "class")
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"), "text_key")
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """docs with one row of each class, that of its least id; rows with a null id all stay."""
+    kept = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id", "text_key").distinct()
+    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    one = rows.where("doc_id is not null").join(kept.hint("merge"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return one.unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).drop("text_key")
 
 
 SQL = r"""
