@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import Vec, angle_of_cos, clip, cross, dot, length, matrix_times, minus, mod360, rotation, scaled, unit, vec, wrapped
+from .vectors import Vec, angle_of_cos, clip, cross, dot, length, matrix_times, minus, mod360, scaled, unit, vec, wrapped
 
 
 def observation_direction(azimuth: Column, zenith: Column, azimuth_reference="north_cw", zenith_reference="from_nadir") -> Vec:
@@ -25,24 +25,34 @@ def forward(direction: Vec, opposite: bool = False) -> Vec:
     return tuple(-x for x in direction) if opposite else direction
 
 
-def frame(ahead: Vec, roll: Column | None = None) -> tuple[Vec, Vec, Vec]:
-    """(right, down, ahead) of a camera under a vertical world axis; world-to-camera rows."""
-    f = unit(ahead, (0.0, 0.0, -1.0))
-    level = cross(f, vec(0.0, 0.0, 1.0))
-    spare_x, spare_y = cross(f, vec(1.0, 0.0, 0.0)), cross(f, vec(0.0, 1.0, 0.0))
-    flat = length(level) <= 1e-12
-    picked = tuple(
-        F.when(~flat, a).when(F.abs(f[0]) > 0.95, c).otherwise(b) for a, b, c in zip(level, spare_x, spare_y)
-    )
-    right = unit(picked, (0.0, 0.0, 0.0))
-    down = unit(cross(f, right), (0.0, 0.0, 0.0))
+def with_frame(df: DataFrame, ahead: Vec, roll: Column | None = None) -> DataFrame:
+    """df with r11..r33, the rows right, down and ahead of a camera under a vertical world axis.
+    Each step is a column of its own: expressions that repeat each other would grow without end."""
+
+    def step(d: DataFrame, name: str, v: Vec) -> DataFrame:
+        return d.withColumns({f"_{name}{i}": x for i, x in enumerate(v)})
+
+    def made(name: str) -> Vec:
+        return vec(*[f"_{name}{i}" for i in range(3)])
+
+    def normal(d: DataFrame, name: str, v: Vec, otherwise) -> DataFrame:
+        return step(step(d, f"{name}raw", v), name, unit(made(f"{name}raw"), otherwise))
+
+    d = normal(df, "f", ahead, (0.0, 0.0, -1.0))
+    f = made("f")
+    level, by_x, by_y = (cross(f, vec(*axis)) for axis in ((0.0, 0.0, 1.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)))
+    flat = F.sqrt(f[0] * f[0] + f[1] * f[1]) <= 1e-12
+    picked = tuple(F.when(~flat, a).when(F.abs(f[0]) > 0.95, c).otherwise(b) for a, b, c in zip(level, by_x, by_y))
+    d = normal(d, "r", picked, (0.0, 0.0, 0.0))
+    d = normal(d, "d", cross(f, made("r")), (0.0, 0.0, 0.0))
+    right, down = made("r"), made("d")
     if roll is not None:
-        turn = rotation(f, roll)
-        turned = F.abs(roll) > 1e-9
-        right, down = (
-            tuple(F.when(turned, a).otherwise(b) for a, b in zip(matrix_times(turn, v), v)) for v in (right, down)
-        )
-    return right, down, f
+        # a turn about an axis that both are normal to
+        a = F.radians(F.when(F.abs(roll) > 1e-9, roll).otherwise(F.lit(0.0)))
+        c, s = F.cos(a), F.sin(a)
+        right, down = (tuple(x * c + y * s for x, y in zip(p, q)) for p, q in ((right, down), (down, tuple(-x for x in right))))
+    rows = {f"r{i}{j}": x for i, row in enumerate((right, down, f), 1) for j, x in enumerate(row, 1)}
+    return d.withColumns(rows).select(*df.columns, *rows)
 
 
 def intrinsics(width: int, height: int, fov_h: float, fov_v: float) -> tuple[float, float, float, float]:

@@ -44,8 +44,10 @@ def scored(pairs: DataFrame, window: dict[str, int], policy: str = "prefer") ->
 
 
 def best(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best views of each point, slot 0 first; ties to the lower scene_code."""
-    slot = F.row_number().over(Window.partitionBy("point_id").orderBy(F.desc("coarse_score"), "scene_code"))
+    """The k best views of each point, slot 0 first; scores compare as 4-byte floats, ties go to
+    the lower scene_code."""
+    score = F.col("coarse_score").cast("float")
+    slot = F.row_number().over(Window.partitionBy("point_id").orderBy(score.desc(), "scene_code"))
     return candidates.withColumn("slot", slot - 1).where(F.col("slot") < k)
 
 

@@ -32,7 +32,8 @@ def fit_rows(long: DataFrame, low=1e-6, high=2.0, trim=(0.01, 0.99), min_views=2
 def iterate(rows: DataFrame, effects: DataFrame, valid: DataFrame) -> DataFrame:
     """One step: point effects given scene effects, then scene effects, centred and for valid scenes."""
     have = rows.join(F.broadcast(effects), ["band", "scene_code"])
-    point = (F.sum((F.col("y") - F.col("effect")) * F.col("w")) / F.sum("w")).over(Window.partitionBy("band", "point_id"))
+    per_point = Window.partitionBy("band", "point_id")
+    point = F.sum((F.col("y") - F.col("effect")) * F.col("w")).over(per_point) / F.sum("w").over(per_point)
     scene = (
         have.withColumn("point", point)
         .groupBy("band", "scene_code")

@@ -12,7 +12,8 @@ def depth_clear(views: DataFrame, radius: int = 2, tolerance: float = 0.8) -> Da
     pixel = views.withColumns({"iu": F.rint("u").cast("long"), "iv": F.rint("v").cast("long")})
     shifts = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
     near = pixel.groupBy("scene_code", "iu", "iv").agg(F.min("range_m").alias("near_m"))
-    near = near.withColumn("iu", F.col("iu") + F.explode(shifts)).withColumn("iv", F.col("iv") + F.explode(shifts))
+    near = near.withColumn("du", F.explode(shifts)).withColumn("dv", F.explode(shifts))
+    near = near.withColumns({"iu": F.col("iu") + F.col("du"), "iv": F.col("iv") + F.col("dv")})
     near = near.groupBy("scene_code", "iu", "iv").agg(F.min("near_m").alias("near_m"))
     return pixel.join(near, ["scene_code", "iu", "iv"]).withColumn("zbuffer_clear", F.col("range_m") <= F.col("near_m") + tolerance).drop("iu", "iv")
 
