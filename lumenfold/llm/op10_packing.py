@@ -19,7 +19,9 @@ repeated ids included (a null id stays null); an empty table gives an empty resu
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -33,21 +35,73 @@ from . import text as tx
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 300_000
+WORDS_KEPT = 2_200_000
 #: Longer words are encoded each time they occur.
 WORD_BYTES = 64
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _held: dict = {}
+#: Signs that make one match of the tokenizer's pattern at the end of a word.
+_SIGNS = b'.,!?;:#*$%&|()-"'
 
 
-def _encoder(path: str):
-    """(tokenizer, ids of words as bytes) of this worker."""
-    if path not in _held:
+class _Words:
+    """A tokenizer and the ids of the words that this worker has met, as bytes."""
+
+    #: Lower-case ASCII and Latin-1 letters in UTF-8: one match of the tokenizer's pattern.
+    plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _held[path] = (Tokenizer.from_file(path), {})
+        self.full = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.bare = None
+        # the same merges without the steps that change nothing in plain words; a run of
+        # words is encoded at once and cut behind the pieces that end a word
+        shape = json.loads(self.full.to_str())
+        suffix = shape["model"].get("end_of_word_suffix")
+        if shape["model"]["type"] == "BPE" and suffix:
+            ends = np.zeros(max(shape["model"]["vocab"].values()) + 1, bool)
+            ends[[i for w, i in shape["model"]["vocab"].items() if w.endswith(suffix)]] = True
+            shape |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.bare, self.ends = Tokenizer.from_str(json.dumps(shape)), ends
+            # bytes that aren't printable stand for themselves from 256 on, as in the full tokenizer
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            rest = [i for i in range(256) if i not in printable]
+            self.stand = {b: 256 + n for n, b in enumerate(rest) if b != 32}
+            probe = ["aber", "thening", "über", "école", "niño", "straße", "x"]
+            got = self._plain([p.encode() for p in probe])
+            if got != [np.array(self.full.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in probe]:
+                self.bare = None
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        runs = [b" ".join(words[i : i + 512]).decode("latin-1").translate(self.stand) for i in range(0, len(words), 512)]
+        out: list[bytes] = []
+        for at in range(0, len(runs), 64):
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(runs[at : at + 64], add_special_tokens=False)])
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+        return out
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        plain = [bool(self.bare and self.plain(w)) for w in words]
+        easy = iter(self._plain([w for w, p in zip(words, plain) if p]) if any(plain) else ())
+        hard = [w for w, p in zip(words, plain) if not p]
+        full: list[bytes] = []
+        for at in range(0, len(hard), 4096):
+            some = [w.decode() for w in hard[at : at + 4096]]
+            full += [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast(some, add_special_tokens=False)]
+        other = iter(full)
+        return [next(easy) if p else next(other) for p in plain]
+
+
+def _encoder(path: str) -> _Words:
+    """This worker's words."""
+    if path not in _held:
+        _held[path] = _Words(path)
     return _held[path]
 
 
@@ -56,20 +110,48 @@ def encode(text: bytes, path: str) -> bytes:
     return _encode_all([text], path)[0]
 
 
+def _learn(words: list[bytes], encoder: _Words, known: dict[bytes, bytes]) -> None:
+    """Puts the ids of these words into known.  A word that ends in signs after a plain letter
+    or a digit has the ids of what stands before them, in lower case, and theirs."""
+    made, ask = [], set()
+    for w in words:
+        core = w.rstrip(_SIGNS)
+        low = core.lower()
+        good = core[-1:].isalnum() and b"<" not in core  # special tokens are read as they stand
+        if not core.isascii() and not encoder.plain(low):
+            other = low.decode().lower().encode()
+            low = other if encoder.plain(other) else low
+        if good or encoder.plain(low):
+            tail = w[len(core) :]
+            ask.add(low)
+            if tail or low != w:
+                made.append((w, low, tail))
+                ask.add(tail)
+        else:
+            ask.add(w)
+    ask.discard(b"")
+    fresh = [w for w in ask if w not in known]
+    known.update(zip(fresh, encoder.ids(fresh)))
+    for w, low, tail in made:
+        known[w] = known[low] + known[tail] if tail else known[low]
+
+
 def _encode_all(texts: list[bytes], path: str) -> list[bytes]:
-    tokenizer, known = _encoder(path)
+    encoder = _encoder(path)
+    known = encoder.known
     split = [t.split() for t in texts]
-    new = {w for ws in split for w in ws if w not in known}
-    if len(known) + len(new) > WORDS_KEPT:
+    seen: set[bytes] = set()
+    for ws in split:
+        seen.update(ws)
+    new = [w for w in seen if w not in known]
+    if len(known) + 2 * len(new) > WORDS_KEPT:
         known.clear()
-        new = {w for ws in split for w in ws}
-    fresh = list(new)
-    once: dict[bytes, bytes] = {}
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at : at + 4096]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            (known if len(w) <= WORD_BYTES else once)[w] = np.array(e.ids, "<u4").tobytes()
-    if once:
+        new = list(seen)
+    short = [w for w in new if len(w) <= WORD_BYTES]
+    _learn(short, encoder, known)
+    if len(short) < len(new):
+        once: dict[bytes, bytes] = {}
+        _learn([w for w in new if len(w) > WORD_BYTES], encoder, once)
         return [b"".join([once[w] if w in once else known[w] for w in ws]) for ws in split]
     return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
