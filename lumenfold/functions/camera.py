@@ -171,3 +171,8 @@ def image_plane(camera: Vec, rows, depth: Column, fov_h=35.0, fov_v=35.0) -> lis
         tuple(c + a * depth + r * half_w * sx + d * half_h * sy for c, a, r, d in zip(camera, ahead, right, down))
         for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1))
     ]
+
+
+def near_image(u: Column, v: Column, margin: float = 100.0, width: int = 1886, height: int = 1886) -> Column:
+    """Whether a projected place lies in the image or within the margin around it."""
+    return F.coalesce(u.between(-margin, width - 1 + margin) & v.between(-margin, height - 1 + margin), F.lit(False))

@@ -58,3 +58,8 @@ def counters(pairs: DataFrame, kept: DataFrame, window: dict[str, int], policy:
     n = n.withColumn("eligible", F.col("in_window" if policy == "strict" else "inside"))
     k = kept.groupBy("scene_code").agg(F.count("*").alias("kept"))
     return n.join(k, "scene_code", "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("long")))
+
+
+def detected(kept: DataFrame, evaluated: int) -> DataFrame:
+    """point_id of the points with a view among the first `evaluated` slots."""
+    return kept.where(F.col("slot") < evaluated).select("point_id").distinct()

@@ -123,3 +123,13 @@ def band_metadata(df: DataFrame, width: int) -> DataFrame:
     if out.where(~F.col("band_index").between(0, width - 1)).limit(1).count():
         raise ValueError(f"a band index is outside 0..{width - 1}")
     return out.orderBy("band_index")
+
+
+def gain_table(df: DataFrame, bands: list[int] | None = None) -> DataFrame:
+    """scene_id, band and gain of a table of gains: finite ones above 1e-12, of these bands."""
+    lacking = {"scene_id", "band_number", "gain"} - set(df.columns)
+    if lacking:
+        raise ValueError(f"columns {sorted(lacking)} are missing")
+    out = df.select("scene_id", F.col("band_number").try_cast("int").alias("band"), F.col("gain").try_cast("double").alias("gain"))
+    out = out.where(F.col("gain").isNotNull() & ~F.isnan("gain") & (F.col("gain") > 1e-12) & (F.col("gain") < float("inf")))
+    return out.where(F.col("band").isin(bands)) if bands else out
