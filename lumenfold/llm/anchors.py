@@ -70,7 +70,7 @@ def find(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int) -> Ancho
         at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         chosen.append(at + lo)
         hashes.append(g[at])
-    if not chosen:
+    if not sum(map(len, chosen)):
         z = np.zeros(0, np.int64)
         return Anchors(z, z.view(np.uint64), z.view(np.uint64), z, z, z, z, z)
     at, h = np.concatenate(chosen), np.concatenate(hashes)

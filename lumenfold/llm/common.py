@@ -72,10 +72,24 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df, after bounding the Arrow batches of its session by bytes: a batch of long texts takes
+    several times its size on both sides of the worker's pipe."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    present = df.sparkSession.conf.get(key, "64m")
+    try:
+        size = int(present.rstrip("b"))
+    except ValueError:
+        size = most + 1
+    if size > most or size <= 0:
+        df.sparkSession.conf.set(key, f"{most}b")
+    return df
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names, so that no further
     column of the input can clash: named(df, doc_id="id", text="body")."""
-    by = {name.lower(): name for name in df.columns}
+    by = {name.lower(): name for name in narrow(df).columns}
     return df.select(*[F.col(f"`{by.get(old.lower(), old)}`").alias(new) for new, old in columns.items()])
 
 

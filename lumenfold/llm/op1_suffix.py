@@ -155,7 +155,7 @@ def _cells(window: int, k: int):
                         }
                     )
 
-            for batch in common.slices(batches):
+            for batch in repeats.unpacked(batches):
                 data, where, p = repeats.picked(batch, repeats.byte_symbols)
                 raw = data.tobytes()
                 right = [raw[a : a + m] for a, m in zip(where.tolist(), p["right"].tolist())]
@@ -207,7 +207,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
     run_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def digest(batches):
-        for batch in common.slices(batches):
+        for batch in repeats.unpacked(batches):
             data, offsets = tx.utf8(batch.column("text"))
             gone = repeats.covered(batch, offsets)
             digests, removed, runs = [], [], []
@@ -235,7 +235,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>"
-    return marked.select("row.doc_id", "row.text", "spans").mapInArrow(digest, schema)
+    return marked.mapInArrow(digest, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

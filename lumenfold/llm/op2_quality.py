@@ -207,7 +207,7 @@ def passing(docs: DataFrame, rules=RULES) -> DataFrame:
             t = Texts(*tx.utf8(batch.column("text")))
             yield batch.filter(pa.array(verdict(t, ordered)[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.narrow(docs).mapInArrow(keep, docs.schema)
 
 
 def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -212,7 +212,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, texts.type))
             yield batch
 
-    return docs.mapInArrow(hide, schema)
+    return common.narrow(docs).mapInArrow(hide, schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

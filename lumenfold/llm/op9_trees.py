@@ -78,7 +78,7 @@ def _cells(window: int, k: int):
 
     def cells(texts: DataFrame, n: int) -> DataFrame:
         def gather(batches):
-            for batch in common.slices(batches):
+            for batch in repeats.unpacked(batches):
                 values, where, p = repeats.picked(batch, repeats.word_symbols)
                 codes = (values >> np.uint64(32)).astype(np.uint32) if len(values) else np.zeros(1, np.uint32)
                 cell = p["h"].view(np.uint64) % np.uint64(n)
@@ -130,7 +130,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
     docs = common.named(docs, doc_id="doc_id", text="text")
 
     def digest(batches):
-        for batch in common.slices(batches):
+        for batch in repeats.unpacked(batches):
             data, offsets = tx.utf8(batch.column("text"))
             starts, ends, first = tx.words(data, offsets)
             gone = repeats.covered(batch, first)
@@ -151,8 +151,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    marked = _marked(docs, window, k, settings).select("row.doc_id", "row.text", "spans")
-    return marked.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(docs, window, k, settings).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **settings) -> DataFrame:
@@ -161,8 +160,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **se
     schema = docs.schema
 
     def cut(batches):
-        for batch in common.slices(batches):
-            rows = batch.select([c for c in batch.schema.names if c != "spans"])
+        for batch in repeats.unpacked(batches):
+            rows = batch.select(list(range(batch.num_columns - 1)))
             at = rows.schema.get_field_index("text")
             texts = rows.column(at)
             data, offsets = tx.utf8(texts)
@@ -192,7 +191,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **se
                 rows = rows.set_column(at, rows.schema.field(at), pa.array(values, texts.type))
             yield rows
 
-    return _marked(docs, window, k, settings).select("row.*", "spans").mapInArrow(cut, schema)
+    return _marked(docs, window, k, settings).mapInArrow(cut, schema)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,11 +66,23 @@ def _anchored(keyed: DataFrame, symbols: Symbols, window: int, k: int) -> DataFr
     return keyed.select("k1", "k2", "text").mapInArrow(run, _ANCHOR)
 
 
+def unpacked(batches):
+    """Slices of batches whose column `row` is replaced by its fields; the other columns follow
+    and are known by their place, as a field may have the same name."""
+    for batch in batches:
+        at = batch.schema.get_field_index("row")
+        row = batch.column(at)
+        fields = [f.name for f in row.type]
+        others = [n for n in batch.schema.names if n != "row"]
+        flat = pa.RecordBatch.from_arrays([*row.flatten(), *(batch.column(n) for n in others)], [*fields, *others])
+        yield from common.slices(iter([flat]))
+
+
 def picked(batch: pa.RecordBatch, symbols: Symbols):
     """For a batch (text, picks) with picks an array of PICKED structs:
     (symbols, position of each pick's anchor, arrays of the picks by name)."""
     values, offsets = symbols(*tx.utf8(batch.column("text")))
-    picks = batch.column("picks")
+    picks = batch.column(batch.num_columns - 1)
     at = picks.offsets.to_numpy()
     flat = picks.values.slice(at[0], at[-1] - at[0])
     columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name, _ in PICKED}
@@ -82,7 +94,7 @@ def _windows(texts: DataFrame, symbols: Symbols, window: int) -> DataFrame:
     """(f1, f2, h, s, o, c): two hashes of each window of each pick, o symbols before its anchor."""
 
     def run(batches):
-        for batch in common.slices(batches):
+        for batch in unpacked(batches):
             values, where, p = picked(batch, symbols)
             order = np.argsort(where, kind="stable")
             for lo in range(0, len(order), 20_000):
@@ -111,36 +123,40 @@ def marked(
     window: int,
     k: int,
     cells: Callable[[DataFrame, int], DataFrame],
-    per_cell: int = 20_000,
+    per_cell: int = 4_000,
     largest: int = 50_000,
 ) -> DataFrame:
     """Each row of docs (with a column text) as `row`, and `spans`: an array of
     struct(a, b), symbol positions [a, b) that repeated windows cover (null: none).
 
-    cells(texts, n) gets (text, picks) and gives (h, s, back, ahead): how far windows that
+    cells(texts, n) gets (row, picks) and gives (h, s, back, ahead): how far windows that
     are repeated reach before and after the anchors of this hash and context.
     """
-    spark = docs.sparkSession
+    spark = common.narrow(docs).sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key = ["doc_id", "text"] if "doc_id" in docs.columns else ["text"]
     keys = [F.col("row")[c] for c in key]
     rows = rows.select(F.xxhash64(*keys).alias("k1"), F.hash(*reversed(keys)).alias("k2"), "row")
     found = common.written(_anchored(rows.select("k1", "k2", F.col("row")["text"].alias("text")), symbols, window, k))
-    twice = found.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
+    # joins with written tables can be split where a hash is hot; an aggregation below a join can't
+    twice = common.written(found.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h"))
     again = common.written(found.join(twice.hint("merge"), "h", "left_semi"))
     contexts = again.groupBy("h", "s", "left", "right").agg(F.sum("n").alias("c"), F.min(F.struct("k1", "k2", "first")).alias("at"))
-    several = contexts.groupBy("h").agg(F.count("*").alias("d"))
-    contexts = common.written(contexts.join(several.hint("merge"), "h"))
+    contexts = common.written(contexts)
+    several = common.written(contexts.groupBy("h").agg(F.count("*").alias("d")))
+    contexts = contexts.join(several.hint("merge"), "h")
+    contexts = common.written(contexts)
     some = contexts.where(f"d > 1 and d <= {largest}")
     huge = contexts.where(f"d > {largest}")
 
+    # both uses of this exchange take the whole row, so that they stay one exchange
     texts = rows.repartition(common.partitions(spark), "k1", "k2")
 
     def picks(of: DataFrame) -> DataFrame:
         wanted = of.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
             F.collect_list(F.struct("h", "s", "c", F.col("at.first").alias("first"), "left", "right")).alias("picks")
         )
-        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select(F.col("row")["text"].alias("text"), "picks")
+        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("row", "picks")
 
     reach = contexts.where(f"d = 1 and left + right >= {window}").select(
         "h", "s", F.col("left").cast("long").alias("back"), F.col("right").cast("long").alias("ahead")
@@ -150,13 +166,13 @@ def marked(
         reach = reach.union(cells(picks(some), -(-n_some // per_cell)))
     if not huge.isEmpty():
         windows = common.written(_windows(picks(huge), symbols, window))
-        repeated = windows.groupBy("f1", "f2").agg(F.sum("c").alias("copies")).where("copies > 1").select("f1", "f2")
+        same = ["h", "o", "f1", "f2"]  # a window lies around several anchors, but alike around equal ones
+        repeated = windows.groupBy(*same).agg(F.sum("c").alias("copies")).where("copies > 1").select(*same)
         reach = reach.union(
-            windows.join(repeated, ["f1", "f2"], "left_semi")
+            windows.join(repeated, same, "left_semi")
             .groupBy("h", "s")
             .agg(F.max("o").alias("back"), (window - F.min("o")).alias("ahead"))
         )
-    reach = reach.groupBy("h", "s").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead"))
     spans = (
         again.join(reach.hint("merge"), ["h", "s"])
         .groupBy("k1", "k2")
@@ -167,7 +183,7 @@ def marked(
 
 def covered(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
     """Which symbols the batch's spans cover, for documents at these offsets in symbols."""
-    spans = batch.column("spans")
+    spans = batch.column(batch.num_columns - 1)
     n = int(offsets[-1])
     over = np.zeros(n + 1, np.int32)
     at = spans.offsets.to_numpy()
