@@ -38,7 +38,7 @@ BANDS, ROWS = 40, 5
 PERCENT = 75
 #: How far below the threshold an estimate still makes two members neighbours.
 MARGIN = 0.20
-BLOCK = 2000
+BLOCK = 800
 
 _SIGNED = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
