@@ -52,15 +52,33 @@ def first_hits(scenes: DataFrame, points: DataFrame, radius=1.0, min_points=8, n
     )
 
 
-def resolved(hits: DataFrame, ground: DataFrame) -> DataFrame:
-    """anchor_source and anchor_x, y, z: the first hit, else where the ray meets the ground, else none."""
+def resolved(hits: DataFrame, ground: DataFrame, method: str = "first_hit_pointcloud", fallback: str = "ray_ground_intersection", aim: bool = False) -> DataFrame:
+    """anchor_source and anchor_x, y, z.  Method first_hit_pointcloud: the first hit, else (with
+    fallback bref_target_xy) the marked target on the ground, else where the ray meets the
+    ground, else none; any other method starts with the marked target.  Marked targets are
+    columns target_x and target_y.  With aim, fwd_x, y, z turn towards the anchor."""
     rows = hits.crossJoin(F.broadcast(ground.select("ground_z")))
     cam, fwd = vec("cam_x", "cam_y", "cam_z"), unit(vec("fwd_x", "fwd_y", "fwd_z"))
+    marked = "target_x" in hits.columns and (method != "first_hit_pointcloud" or fallback == "bref_target_xy")
+    prefix = "fallback_" if method == "first_hit_pointcloud" else ""
+    options = []
+    if method == "first_hit_pointcloud":
+        reach = F.col("anchor_range")
+        options.append(("first_hit_pointcloud", tuple(c + d * reach for c, d in zip(cam, fwd)), reach.isNotNull()))
+    if marked:
+        place = (F.col("target_x"), F.col("target_y"), F.col("ground_z"))
+        options.append((f"{prefix}bref_target_xy", place, F.col("target_x").isNotNull() & F.col("target_y").isNotNull()))
     floor = C.ray_plane(cam, fwd, F.col("ground_z"))
-    hit = F.col("anchor_range").isNotNull()
-    source = F.when(hit, "first_hit_pointcloud").when(floor[2].isNotNull(), "fallback_ray_ground_intersection").otherwise("none")
-    made = {f"anchor_{n}": F.when(hit, c + d * F.col("anchor_range")).otherwise(g) for n, c, d, g in zip("xyz", cam, fwd, floor)}
-    return rows.withColumn("anchor_source", source).withColumns(made)
+    options.append((f"{prefix}ray_ground_intersection", floor, floor[2].isNotNull()))
+    source, spot = F.lit("none"), [F.lit(None).cast("double")] * 3
+    for name, place, known in reversed(options):
+        source = F.when(known, name).otherwise(source)
+        spot = [F.when(known, p).otherwise(s) for p, s in zip(place, spot)]
+    out = rows.withColumn("anchor_source", source).withColumns({f"anchor_{n}": s for n, s in zip("xyz", spot)})
+    if aim:
+        line = unit(minus(vec("anchor_x", "anchor_y", "anchor_z"), cam))
+        out = out.withColumns({f"fwd_{n}": F.coalesce(x, F.col(f"fwd_{n}")) for n, x in zip("xyz", line)})
+    return out
 
 
 def center(anchors: DataFrame) -> DataFrame:
@@ -75,8 +93,13 @@ def source_counts(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("anchor_source").agg(F.count("*").alias("n"))
 
 
-def target_points(points: DataFrame, box: dict[str, tuple[float, float]], least: int = 20) -> DataFrame:
+def target_points(points: DataFrame, box: dict[str, tuple[float, float]], least: int = 20, circle: tuple[float, float, float] | None = None) -> DataFrame:
+    """Points in ranges of coordinates and, with circle (x, y, radius), around a centre; an error
+    if there are too few."""
     out = points
+    if circle:
+        x, y, r = circle
+        out = out.where((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) <= r * r)
     for c, (lo, hi) in box.items():
         out = out.where(F.col(c).between(lo, hi))
     if out.limit(least).count() < least:

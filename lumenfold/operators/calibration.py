@@ -116,3 +116,21 @@ def error_statistics(table: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, median and greatest absolute value of each column, long."""
     long = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.abs(F.col(c)).alias("x")) for c in columns])).alias("e")).select("e.*")
     return long.where("x is not null").groupBy("name").agg(F.avg("x").alias("mean"), F.median("x").alias("median"), F.max("x").alias("max"))
+
+
+def applied(frames: DataFrame, solved: DataFrame) -> DataFrame:
+    """frames(scene_id, r11..r33) with c11..c33: the correction times the original matrix where a
+    solve of status other than none succeeded, else the original.  The original stays as it is,
+    so applying again gives the same, and restoring is choosing the r columns."""
+    from ..functions.vectors import product, rotation, vec
+
+    v = ("rx", "ry", "rz")
+    angle = F.degrees(F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")))
+    met = frames.join(solved.select("scene_id", "status", "success", *v), "scene_id", "left").withColumn("_angle", angle)
+    turn = {f"_t{i}{j}": c for i, row in enumerate(rotation(vec(*v), F.col("_angle")), 1) for j, c in enumerate(row, 1)}
+    met = met.withColumns(turn)
+    rows = lambda p: tuple(vec(*[f"{p}{i}{j}" for j in (1, 2, 3)]) for i in (1, 2, 3))
+    use = F.coalesce(F.col("success") & (F.col("status") != "none"), F.lit(False))
+    made = product(rows("_t"), rows("r"))
+    out = {f"c{i}{j}": F.when(use, c).otherwise(F.col(f"r{i}{j}")) for i, row in enumerate(made, 1) for j, c in enumerate(row, 1)}
+    return met.withColumns(out).select(*frames.columns, *out)

@@ -54,3 +54,32 @@ def manifest(path: str, products: dict[str, DataFrame], same_rows: list[str]) ->
         json.dump(out, f, indent=1)
     os.replace(path + ".new", path)
     return out
+
+
+def write_matrix(df: DataFrame, column: str, order: str, path: str) -> tuple[int, int]:
+    """The array column as a .npy matrix of 4-byte floats, rows by `order`; rows pass the driver
+    one partition at a time.  An error if the rows' lengths differ."""
+    import numpy as np
+
+    rows = df.count()
+    first = df.select(F.size(column).alias("n")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if first.lo != first.hi:
+        raise ValueError(f"rows of {first.lo} to {first.hi} values make no matrix")
+    out = np.lib.format.open_memmap(path, mode="w+", dtype="f4", shape=(rows, first.hi or 0))
+    for i, row in enumerate(df.orderBy(order).select(column).toLocalIterator()):
+        out[i] = row[0]
+    out.flush()
+    return out.shape
+
+
+def write_png(path: str, pixels) -> None:
+    """An array (lines, samples, 3) of bytes as a PNG."""
+    import struct
+    import zlib
+
+    lines, samples, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + pixels[i].tobytes() for i in range(lines))
+    with open(path, "wb") as f:
+        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", samples, lines, 8, 2, 0, 0, 0)))
+        f.write(chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))

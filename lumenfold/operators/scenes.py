@@ -50,3 +50,37 @@ def suffixed_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> D
     """A left join in which the right side's clashing columns take a suffix."""
     clash = {c: f"{c}{suffix}" for c in right.columns if c != key and c in left.columns}
     return left.join(right.withColumnsRenamed(clash), key, "left")
+
+
+def repaired(scenes: DataFrame, manifest: DataFrame, columns: list[str], key: str = "scene_id") -> DataFrame:
+    """scenes with these columns from the manifest, all of them or none: where any is missing in
+    scenes, every one is taken from the manifest."""
+    lacking = [c for c in columns if c not in scenes.columns]
+    base = scenes.withColumns({c: F.lit(None).cast(manifest.schema[c].dataType) for c in lacking})
+    other = manifest.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    out = base.join(other, key, "left").withColumn("_whole", whole)
+    return out.withColumns({c: F.when(F.col("_whole"), F.col(c)).otherwise(F.col(f"_{c}")) for c in columns}).select(*base.columns)
+
+
+def document(scenes: DataFrame) -> DataFrame:
+    """scene_id and `meta`, a nested document of a scene's camera, angles and matrix (r11..r33)."""
+    matrix = lambda name: F.array(*[F.array(*[F.col(f"r{i}{j}") for j in (1, 2, 3)]) for i in (1, 2, 3)]).alias(name)
+    have = lambda *names: [F.col(n) for n in names if n in scenes.columns]
+    camera = F.struct(
+        F.array("cam_x", "cam_y", "cam_z").alias("center_xyz"), matrix("world_to_camera"), matrix("world_to_camera_original"),
+        *have("width", "height", "fov_h_deg", "fov_v_deg"),
+    )
+    sun = have("solar_zenith_deg", "solar_azimuth_deg", "sun_x", "sun_y", "sun_z")
+    return scenes.select("scene_id", F.struct(camera.alias("camera_model"), *([F.struct(*sun).alias("sun")] if sun else [])).alias("meta"))
+
+
+def as_json(documents: DataFrame) -> DataFrame:
+    return documents.select("scene_id", F.to_json("meta").alias("json"))
+
+
+def from_json(texts: DataFrame, schema) -> DataFrame:
+    """scene_id and meta of (scene_id, json)."""
+    return texts.select("scene_id", F.from_json("json", schema).alias("meta"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as C
 from ..functions import mapgrid, scoring, solar, spectral
-from ..functions.vectors import length, unit, vec
+from ..functions.vectors import unit, vec
 from ..operators import anchors, brf, candidates, export, fusion, gains, neighbours, scenes, selection
 from . import sqltext as T
 from .adapters import ctes, view
@@ -771,8 +771,3 @@ def _(spark, d):
     fx, fy = F.col("a") - F.col("x0"), F.col("b") - F.col("y0")
     across = lambda e: F.element_at(e, F.col("x0") + 1) * (1.0 - fx) + F.element_at(e, F.col("x1") + 1) * fx
     return o.select("point_id", "scene_code", (across("e0") * (1.0 - fy) + across("e1") * fy).alias("value"))
-
-
-@query("q_length_check", "scene_code", "distance", f"{ctes('scenes')} ;; SELECT scene_code, sqrt(cam_x * cam_x + cam_y * cam_y + cam_z * cam_z) AS distance FROM scenes")
-def _(spark, d):
-    return view(spark, d, "scenes").select("scene_code", length(vec("cam_x", "cam_y", "cam_z")).alias("distance"))

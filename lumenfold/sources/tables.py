@@ -133,3 +133,33 @@ def gain_table(df: DataFrame, bands: list[int] | None = None) -> DataFrame:
     out = df.select("scene_id", F.col("band_number").try_cast("int").alias("band"), F.col("gain").try_cast("double").alias("gain"))
     out = out.where(F.col("gain").isNotNull() & ~F.isnan("gain") & (F.col("gain") > 1e-12) & (F.col("gain") < float("inf")))
     return out.where(F.col("band").isin(bands)) if bands else out
+
+
+def write_table(df: DataFrame, path: str, append: bool = False) -> None:
+    """csv with a header or parquet, by the path's suffix; append adds part files."""
+    writer = df.write.mode("append" if append else "errorifexists")
+    if path.endswith(".csv"):
+        writer.option("header", True).csv(path)
+    elif path.endswith(".parquet"):
+        writer.parquet(path)
+    else:
+        raise ValueError(f"no writer for {path}")
+
+
+#: The directional table's columns whose types are not double.
+BRF_TYPES = {"observation_id": "long", "point_id": "long", "scene_id": "string", "scene_code": "int", "blocker_count": "int", "is_clear": "boolean", "is_backlit": "boolean", "selection_method": "string", "brf_quality_level": "string"}
+
+
+def observation_bundle(df: DataFrame, required: list[str]) -> DataFrame:
+    """A directional table with the required columns, typed: texts of levels in lower case, raw
+    weights at least 0 (unknown ones 1), rows without a point left out."""
+    lacking = sorted(set(required) - set(df.columns))
+    if lacking:
+        raise ValueError(f"columns {lacking} are missing")
+    out = df.select(*[F.col(c).try_cast(BRF_TYPES.get(c, "double" if c in required else df.schema[c].dataType.simpleString())).alias(c) for c in df.columns])
+    fixed = {c: F.lower(F.col(c)) for c in ("brf_quality_level", "selection_method") if c in out.columns}
+    if "view_weight_raw" in out.columns:
+        w = F.col("view_weight_raw")
+        fixed["view_weight_raw"] = F.when(w.isNull() | F.isnan(w), 1.0).otherwise(F.greatest(w, F.lit(0.0)))
+    out = out.withColumns(fixed)
+    return out.where("point_id is not null") if "point_id" in out.columns else out

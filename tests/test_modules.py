@@ -277,3 +277,57 @@ def test_products(spark, tmp_path, sf):
     assert same.same and same.max_diff == 0
     kept = spark.createDataFrame([(1, 0), (1, 1), (2, 3)], "point_id long, slot int")
     assert [r.point_id for r in candidates.detected(kept, 2).collect()] == [1]
+
+
+def test_documents_and_corrections(spark, sf):
+    from lumenfold.operators import scenes
+
+    cams = queries._cams(spark, sf).withColumn("width", F.lit(1886))
+    docs = scenes.document(cams)
+    back = scenes.from_json(scenes.as_json(docs), docs.schema["meta"].dataType)
+    a, b = ({r.scene_id: r.meta for r in x.collect()} for x in (docs, back))
+    assert a == b
+    solved = calibration.corrections(queries.calibration_marks(spark, sf), C.intrinsics(1886, 1886, 35.0, 35.0)).join(queries.calibration_marks(spark, sf).select("scene_id", "status"), "scene_id")
+    angle = {r.scene_id: (r.status, r.angle_deg) for r in solved.collect()}
+    for r in calibration.applied(cams, solved).collect():
+        o, c = (np.array([[r[f"{p}{i}{j}"] for j in (1, 2, 3)] for i in (1, 2, 3)]) for p in ("r", "c"))
+        turned = math.degrees(math.acos(min(1.0, (np.trace(c @ o.T) - 1) / 2)))
+        assert abs(turned - angle[r.scene_id][1]) < 1e-3
+
+
+def test_repair(spark):
+    from lumenfold.operators import scenes
+
+    s = spark.createDataFrame([("a", 1, None), ("b", 2, 3)], "scene_id string, samples int, lines int")
+    m = spark.createDataFrame([("a", 7, 8), ("b", 9, 9)], "scene_id string, samples int, lines int")
+    assert sorted(map(tuple, scenes.repaired(s, m, ["samples", "lines"]).collect())) == [("a", 7, 8), ("b", 2, 3)]
+    assert sorted(map(tuple, scenes.repaired(s.drop("lines"), m, ["samples", "lines"]).collect())) == [("a", 7, 8), ("b", 9, 9)]
+
+
+def test_anchor_chain(spark):
+    rows = [("hit", 5.0, 1.0, 1.0, 0.0, -1.0), ("mark", None, 2.0, 3.0, 0.0, -1.0), ("ray", None, None, None, 0.0, -1.0), ("none", None, None, None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "scene_id string, anchor_range double, target_x double, target_y double, fwd_x double, fwd_z double")
+    df = df.withColumns({"fwd_y": F.lit(0.0), "cam_x": F.lit(0.0), "cam_y": F.lit(0.0), "cam_z": F.lit(10.0)})
+    ground = spark.createDataFrame([(1.0,)], "ground_z double")
+    got = {r.scene_id: (r.anchor_source, r.anchor_x, r.anchor_z) for r in anchors.resolved(df, ground, fallback="bref_target_xy").collect()}
+    assert got == {
+        "hit": ("first_hit_pointcloud", 0.0, 5.0), "mark": ("fallback_bref_target_xy", 2.0, 1.0),
+        "ray": ("fallback_ray_ground_intersection", 0.0, 1.0), "none": ("none", None, None),
+    }
+    got = {r.scene_id: (r.anchor_source, round(r.fwd_x, 6)) for r in anchors.resolved(df, ground, method="bref_target_xy", aim=True).collect()}
+    assert got["hit"] == ("bref_target_xy", round(1 / math.sqrt(83), 6)) and got["ray"] == ("ray_ground_intersection", 0.0) and got["none"][0] == "none"
+
+
+def test_written_products(spark, tmp_path):
+    df = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(2.0)).alias("spectrum")).repartition(4)
+    assert export.write_matrix(df, "spectrum", "id", str(tmp_path / "m.npy")) == (50, 2)
+    assert (np.load(tmp_path / "m.npy")[:, 0] == np.arange(50)).all()
+    export.write_png(str(tmp_path / "p.png"), np.zeros((4, 6, 3), np.uint8))
+    assert (tmp_path / "p.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
+    tables.write_table(df.select("id"), str(tmp_path / "o.csv"))
+    tables.write_table(df.select("id"), str(tmp_path / "o.csv"), append=True)
+    assert tables.read_table(spark, str(tmp_path / "o.csv")).count() == 100
+    raw = spark.createDataFrame([("1", "x", "HIGH", None), (None, "2", "low", "1")], "point_id string, view_weight_raw string, brf_quality_level string, other string")
+    assert [tuple(r) for r in tables.observation_bundle(raw, ["point_id", "view_weight_raw"]).collect()] == [(1, 1.0, "high", None)]
+    with pytest.raises(ValueError):
+        tables.observation_bundle(raw, ["u"])
