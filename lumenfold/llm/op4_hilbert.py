@@ -8,8 +8,9 @@ block and the neighbouring ones on either side in every ordering; what it finds
 reranked by exact distance, and the results of all blocks merge.
 
 How many neighbouring blocks: as many as make a window that is a fixed share of an ordering.
-The share, the grid's bounds and the blocks' splits are fitted on a bounded sample (`SAMPLE`
-vectors, `SAMPLE_BYTES` at most); the share is the least on a grid at which the sample's own
+The share, the grid's bounds and the blocks' splits are fitted on a bounded sample (about
+`SAMPLE` vectors by a hash of their ids, of `SAMPLE_BYTES` together, twice that at most); the
+share is the least on a grid at which the sample's own
 queries reach `recall` against brute force.  Every vector is indexed.  On vectors without
 structure (random directions of 64 dimensions) no index prunes much, and the share is large;
 on clustered vectors it is a few hundredths.
@@ -164,8 +165,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, curves: int = 2,
     indexes = {}
     for dim, total in candidates.groupBy("dim").count().collect():
         n = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-        sample = candidates.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id")).limit(n).select("embedding").toPandas()
-        indexes[dim] = Index(np.stack(sample["embedding"].to_numpy()), total, curves, block, k, recall)
+        some = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // n))) == 0
+        sample = candidates.where((F.col("dim") == dim) & some).select("embedding").limit(2 * n).collect()
+        sample = np.array([r[0] for r in sample] or [[1.0] * dim])
+        indexes[dim] = Index(sample, total, curves, block, k, recall)
     held = spark.sparkContext.broadcast(indexes)
     dealt = "dim int, curve int, block int, asks boolean, vec_id long, embedding array<double>"
 
