@@ -35,7 +35,7 @@ from . import text as tx
 
 CAPACITY = 4096
 END = 1
-WORDS_KEPT = 2_200_000
+WORDS_KEPT = 1_600_000
 #: Longer words are encoded each time they occur.
 WORD_BYTES = 64
 
