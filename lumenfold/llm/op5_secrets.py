@@ -120,9 +120,11 @@ _HEXES[list(b"0123456789abcdef")] = True
 
 
 def _long_runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of maximal runs of at least so many; runs across documents only add."""
-    edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """(starts, ends) of maximal runs of at least so many, each inside one document."""
+    cut = np.zeros(len(mask) + 1, bool)
+    cut[offsets] = True
+    before, after = np.concatenate([[False], mask]), np.concatenate([mask, [False]])
+    starts, ends = np.flatnonzero(after & (cut | ~before)), np.flatnonzero(before & (cut | ~after))
     long = ends - starts >= least
     return starts[long], ends[long]
 
@@ -133,14 +135,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends = _long_runs(_TOKEN[data], offsets, 18)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     marks.append(starts[digits[ends] > digits[starts]])
-    marks.append(ends[digits[ends] > digits[starts]] - 1)  # a run may begin in the document before
     heads = data[:-3] == 65  # AKIA
     for k, ch in enumerate(b"KIA", 1):
         heads = heads & (data[k : len(data) - 3 + k] == ch)
     marks.append(np.flatnonzero(heads))
-    marks += list(_long_runs(_HEXES[data], offsets, 16)[:1])
-    s, e = _long_runs(_HEXES[data], offsets, 16)
-    marks.append(e - 1)
+    marks.append(_long_runs(_HEXES[data], offsets, 16)[0])
     at = np.concatenate(marks)
     return np.unique(np.searchsorted(offsets, at, "right") - 1)
 

@@ -118,6 +118,16 @@ def test_secrets(spark):
     assert "hunter2" not in texts[0] and texts[0].endswith("and passwd:short") and texts[8] is None
 
 
+def test_one_token_documents_side_by_side(spark):
+    texts = ["x", "Zx9Qm2Lw8Rt4Yb7Kp3Nd6Vf1Zx9Qm2Lw8Rt4Yb7K", "y", "", "a", "0123456789abcdef0123456789abcdef", "b", "AKIAABCDEFGHIJKLMN", "Z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(op5_secrets.KINDS.index(k), a, b) for k, a, b in r.spans] for r in op5_secrets.secrets(docs).collect()}
+    assert got == {i: [(k, a, b) for a, k, b in brute_spans(t)] for i, t in enumerate(texts)}
+    assert [i for i, spans in got.items() if spans] == [1, 5, 7]
+    hidden = {r.doc_id: r.text for r in op5_secrets.redacted(docs).collect()}
+    assert [hidden[i] for i in (0, 1, 5, 7)] == ["x", "[secret]", "[secret]", "[secret]"]
+
+
 def test_query_columns(spark, sf):
     got = op5_secrets.op5_secrets(spark, sf)
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
