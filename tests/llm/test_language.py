@@ -96,6 +96,15 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert r.s > r.b
 
 
+def test_a_thousand_words_have_context():
+    w, c = np.arange(3000) * 7919, np.arange(3000, 0, -1)
+    w[0] = op8_gru.END
+    head = op8_gru.Head(w, c, op8_gru.WORDS, int(c.sum()), len(c))
+    ids = head.inner_ids(w, op8_gru.WORDS)
+    assert len(np.unique(ids[:1024])) == 1024 and (ids[:1024] < op8_gru.WORDS).all()
+    assert gru.fresh(c[: op8_gru.WORDS].astype(float), 1.0, op8_gru.SIZE, op8_gru.PER_CLASS)["u"].shape[0] >= 16
+
+
 def test_model_is_a_distribution():
     p = gru.fresh(np.array([5.0, 3, 2, 1, 1, 1, 1, 1]), 4.0, 6, 4)
     m = gru.Model(p)
