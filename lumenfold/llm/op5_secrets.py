@@ -1,11 +1,12 @@
 """Secret scans: three base patterns and sliding-window entropy of candidate strings.
 
 Base spans are leftmost, non-overlapping matches of the three patterns that pass their
-length tests.  The entropy scan takes candidate strings (maximal runs of token characters),
-gives each the smallest character class that holds it, and slides that class's window over
-it: counts are updated for the character that enters and the one that leaves, so each step
-costs O(1).  Windows at or above the class's entropy become spans (touching ones merge),
-unless the candidate is on the allow-list; the list never removes a base span.
+length tests.  The entropy scan takes candidate strings (maximal runs of token characters,
+and their parts between `=`, `/` and all other signs), gives each the smallest character
+class that holds it and whose window fits, and slides that class's window over it: counts
+are updated for the character that enters and the one that leaves, so each step costs O(1).
+Windows at or above the class's entropy become spans (touching ones merge), unless the span
+is on the allow-list or the candidate has a public shape; neither removes a base span.
 
 A vectorised pass over the bytes finds documents that can hold a match at all; only those
 are decoded.  Offsets are code points, end exclusive.  Null and empty texts have no spans;
@@ -31,6 +32,7 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PARTS = (re.compile(r"[^=]{20,}"), re.compile(r"[^=/]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 
 
 @dataclass(frozen=True)
@@ -48,16 +50,21 @@ CLASSES = (
     Class("base32", re.compile(r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+"), 20, 3.4),
     Class("base36", re.compile(r"(?=.*[0-9])(?=.*[a-z])[a-z0-9]+"), 20, 3.4),
     Class("base64", re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+"), 24, 3.9),
+    Class("letters", re.compile(r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+"), 24, 4.1),
 )
 
-#: Candidates that look random but are public: identifiers, digests' file names, examples, alphabets.
-ALLOWED = (
+#: Whole candidates that look random but are public: identifiers, words in a row, one character.
+SHAPES = (
     re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
-    re.compile(r"(?i).*(?:example|sample|placeholder|changeme|dummy).*"),
-    re.compile(r"(?i)(?:.*0123456789|.*abcdefghij).*"),
     re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)+(?:[-_/][0-9]{1,4})*"),
     re.compile(r"(.)\1*"),
 )
+#: Spans that are public: those, examples and alphabets.
+ALLOWED = (
+    *SHAPES,
+    re.compile(r"(?i).*(?:example|sample|placeholder|changeme|dummy).*"),
+    re.compile(r"(?i)(?:.*0123456789|.*abcdefghij).*"),
+)
 
 
 def window_entropies(s: str, window: int):
@@ -83,24 +90,45 @@ def window_entropies(s: str, window: int):
     return out
 
 
-def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED) -> list[tuple[int, int]]:
+def _class(s: str, classes) -> Class | None:
+    """The smallest class that holds s and whose window fits into it."""
+    return next((c for c in classes if len(s) >= c.window and c.pattern.fullmatch(s)), None)
+
+
+def _dense(s: str, kind: Class) -> list[tuple[int, int]]:
+    """Spans of s that windows at or above the class's entropy cover; touching ones merge."""
+    spans = []
+    begin = end = None
+    for i, h in enumerate(window_entropies(s, kind.window)):
+        if h >= kind.bits - 1e-9:
+            if begin is None:
+                begin = i
+            elif i > end:
+                spans.append((begin, end))
+                begin = i
+            end = i + kind.window
+    if begin is not None:
+        spans.append((begin, end))
+    return spans
+
+
+def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED, shapes=SHAPES) -> list[tuple[int, int]]:
     spans = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        kind = next((c for c in classes if c.pattern.fullmatch(s)), None)
-        if kind is None or len(s) < kind.window or any(a.fullmatch(s) for a in allowed):
+        if any(x.fullmatch(m.group()) for x in shapes):
             continue
-        begin = end = None
-        for i, h in enumerate(window_entropies(s, kind.window)):
-            if h >= kind.bits - 1e-9:
-                if begin is None:
-                    begin = i
-                elif i > end:
-                    spans.append((m.start() + begin, m.start() + end))
-                    begin = i
-                end = i + kind.window
-        if begin is not None:
-            spans.append((m.start() + begin, m.start() + end))
+        found = set()
+        for at, s in {(0, m.group()), *((p.start(), p.group()) for cut in PARTS for p in cut.finditer(m.group()))}:
+            kind = _class(s, classes)
+            if kind and not any(x.fullmatch(s) for x in shapes):
+                found |= {(at + a, at + b) for a, b in _dense(s, kind) if not any(x.fullmatch(s[a:b]) for x in allowed)}
+        merged: list[list[int]] = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        spans += [(m.start() + a, m.start() + b) for a, b in merged]
     return spans
 
 
@@ -113,8 +141,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+#: Every class asks for one of these.
+_NEEDED = np.zeros(256, bool)
+_NEEDED[48:58] = _NEEDED[65:91] = True
 _HEXES = np.zeros(256, bool)
 _HEXES[list(b"0123456789abcdef")] = True
 
@@ -133,8 +162,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents that can hold a span: every other one has none."""
     marks = [np.flatnonzero((data == 58) | (data == 61))]
     starts, ends = _long_runs(_TOKEN[data], offsets, 18)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    marks.append(starts[digits[ends] > digits[starts]])
+    needed = np.concatenate([[0], np.cumsum(_NEEDED[data])])
+    marks.append(starts[needed[ends] > needed[starts]])
     heads = data[:-3] == 65  # AKIA
     for k, ch in enumerate(b"KIA", 1):
         heads = heads & (data[k : len(data) - 3 + k] == ch)

@@ -128,6 +128,19 @@ def test_one_token_documents_side_by_side(spark):
     assert [hidden[i] for i in (0, 1, 5, 7)] == ["x", "[secret]", "[secret]", "[secret]"]
 
 
+def test_entropy_of_parts_and_spans():
+    low, mixed = "k3j9x7q2m5w8r1t6y4u0p", "Zx9Qm2Lw8Rt4Yb7Kp3Nd6Vf1"
+    found = lambda t: [t[a:b] for a, b in op5_secrets.entropy_spans(t)]
+    for lead in ("", "pwd=", "/v1/", "key_", "x-"):
+        assert found(f"a {lead}{low} b") == [low]
+    assert found("0A1B2C3D4E5F60718293") == ["0A1B2C3D4E5F60718293"]  # too short for hex, not for base32
+    letters = "QwErTyUiOpAsDfGhJkLzXcVb"
+    assert found(letters) == [letters]
+    assert found(f"sample={mixed}") == [mixed] == found(f"example/{mixed}")
+    assert found(f"EXAMPLE{mixed}") == found("internationalization/of/Names/2024") == []
+    assert found("A-Long-Title-About-Quick-Brown-Foxes-2024") == found("123E4567-e89b-42d3-a456-426614174000") == []
+
+
 def test_query_columns(spark, sf):
     got = op5_secrets.op5_secrets(spark, sf)
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
