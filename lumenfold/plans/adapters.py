@@ -1,7 +1,9 @@
 """Views of the benchmark tables as points, scenes, times, observations and spectra.
 
 One SQL text serves both engines: in Spark table names become Parquet paths, elsewhere they
-are the registered tables.  All rows of the tables are used.
+are the registered tables.  The mapping is that of FIXTURES.md: all parts and line items are
+used, but scenes are only the suppliers below key 49 and spectra only the vectors below 500,
+at every size, so these two sides don't grow with the tables.
 """
 
 from __future__ import annotations
