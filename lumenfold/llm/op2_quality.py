@@ -1,10 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects documents by one feature.  On a bounded sample of whole documents
-(`sample_rows` of at most `sample_chars` characters, for the order only) each rule's time
-and its rejections are measured; the rules then run by falling
-rejections per cost, and a rule computes its feature only for documents that no earlier
-rule rejected.  The verdict is the conjunction of all rules, so it doesn't depend on the
+Each rule rejects documents by one feature.  On a sample of whole documents from all
+partitions (about `sample_rows`, for the order only), less those that the base rule rejects,
+each rule's time and its rejections are measured; the rules then run by falling rejections
+per cost, and a rule computes its feature only for documents that no earlier rule rejected.  The verdict is the conjunction of all rules, so it doesn't depend on the
 order or the sample.
 
 The five base features are returned for every document, so they are computed first and the
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import text as tx
 
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 50_000
+SAMPLE_ROWS = 200
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -161,18 +160,31 @@ RULES = (
 )
 
 
-def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[Rule]:
-    """The rules by falling rejections per cost, as measured on a sample of whole documents."""
-    sample = docs.where(F.length("text") <= sample_chars).select("text").limit(sample_rows).collect()
-    if not sample:
+def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by falling rejections per cost, as measured on a sample of whole documents
+    that pass the base rule; one task measures them, and only its figures come to the driver."""
+    total = docs.count()
+    if not total:
         return list(rules)
-    t = Texts(*tx.utf8(pa.array([r[0] for r in sample], pa.string())))
-    gain = {}
-    for rule in rules:
-        began = time.perf_counter_ns()
-        rejected = int(rule.bad(t).sum())
-        gain[rule.name] = (rejected + 0.5) / (time.perf_counter_ns() - began)
-    return sorted(rules, key=lambda r: -gain[r.name])
+
+    def measure(batches):
+        for batch in common.slices(batches):
+            t = Texts(*tx.utf8(batch.column("text")))
+            live = np.flatnonzero(~verdict(t, [])[1])
+            if not len(live):
+                continue
+            some = t.only(live)
+            rejected, cost = [], []
+            for rule in rules:
+                began = time.perf_counter_ns()
+                rejected.append(int(rule.bad(some).sum()))
+                cost.append(time.perf_counter_ns() - began)
+            yield pa.RecordBatch.from_pydict({"rule": np.arange(len(rules)), "rejected": rejected, "cost": cost})
+
+    sample = common.narrow(docs).select("text").sample(min(1.0, sample_rows / total), seed=1).repartition(1)
+    seen = sample.mapInArrow(measure, "rule long, rejected long, cost long").groupBy("rule").agg(F.sum("rejected"), F.sum("cost")).collect()
+    gain = {rules[i].name: (rejected + 0.5) / cost for i, rejected, cost in seen}
+    return sorted(rules, key=lambda r: -gain[r.name]) if gain else list(rules)
 
 
 _RESULT = (
