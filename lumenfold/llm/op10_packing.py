@@ -9,9 +9,11 @@ give whole pieces, which fill one each; the rest are packed:
 *   each partition runs best-fit decreasing and computes the best of a family of
     dual-feasible-function bounds on its number of bins.  Where the two agree, its packing
     is certified and final;
-*   a partition with a gap keeps its full bins and hands the pieces of at most `exchanged`
-    of its emptiest bins over; `fan` such partitions meet in one, which packs again.  A
-    round has a `fan`-th of the partitions of the one before, so no task grows with the input.
+*   a partition with a gap keeps its full bins and hands the pieces of its emptiest bins
+    over, `exchanged` for each bin above the bound; `fan` such partitions meet in one, which
+    packs again.  Where more is handed over than `per_partition` pieces for each of these,
+    there are more of them, so no task grows with the input; a round that would have more
+    than half the partitions of the one before is the last.
 
 Null and empty texts are one piece: the closing id alone.  Every row of the input is packed,
 repeated ids included (a null id stays null); an empty table gives an empty result.
@@ -257,7 +259,7 @@ def _round(loose: DataFrame, number: int, last: bool, capacity: int, exchanged:
         bound = lower_bound(lengths, capacity)
         final = np.ones(len(space), bool)
         if len(space) > bound and not last:
-            loosest = np.argsort(-space, kind="stable")[:exchanged]
+            loosest = np.argsort(-space, kind="stable")[: exchanged * (len(space) - bound)]
             final[loosest[space[loosest] > 0]] = False
         n = len(lengths)
         one = lambda v: pa.array(np.full(n, v, np.int64))
@@ -275,13 +277,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 20_00
     whole = pieces.where(F.col("length") == capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose = pieces.where(F.col("length") < capacity).select("uid", "length")
     parts = -(-loose.count() // per_partition)
-    out, number = whole, 0
+    out, number, last = whole, 0, parts == 1
     loose = loose.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(max(1, parts))))
     while parts:
-        placed = common.written(_round(loose, number, parts == 1, capacity, exchanged))
+        placed = common.written(_round(loose, number, last, capacity, exchanged))
         out = out.union(placed.where("final").select("uid", "sequence_id", "offset"))
-        loose = placed.where("not final").select("uid", "length", F.floor(F.col("part") / fan).alias("part"))
-        parts, number = (-(-parts // fan) if parts > 1 else 0), number + 1
+        loose = placed.where("not final")
+        n = 0 if last else loose.count()
+        fewer = -(-parts // fan)
+        wanted = max(fewer, -(-n // per_partition)) if n else 0
+        meet = F.floor(F.col("part") / fan) if wanted == fewer else F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, wanted)))
+        loose = loose.select("uid", "length", meet.alias("part"))
+        last = wanted == 1 or 2 * wanted > parts
+        parts, number = wanted, number + 1
     return out
 
 

@@ -117,6 +117,20 @@ def test_exchange_closes_gaps(spark):
     assert op10_packing.lower_bound(np.array([x for _, x in rows])) <= n <= alone
 
 
+def test_exchange_grows_with_the_gap(spark):
+    """One bin for each bin above the bound: as few bins as packing all at once."""
+    r = random.Random(2)
+    rows = [(i, r.randrange(1000, 1800)) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "uid long, length long")
+    got = op10_packing.pack(pieces, per_partition=100, fan=4, exchanged=1).collect()
+    assert sorted(p.uid for p in got) == list(range(2000))
+    bins = {}
+    for p in got:
+        bins.setdefault(p.sequence_id, []).append((p.offset, rows[p.uid][1]))
+    assert all(a + x <= b for own in map(sorted, bins.values()) for (a, x), (b, _) in zip(own, [*own[1:], (op10_packing.CAPACITY, 0)]))
+    assert len(bins) <= len(op10_packing.best_fit(np.array([x for _, x in rows]))[2])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_bound_never_exceeds_the_optimum(lengths):
