@@ -80,7 +80,7 @@ def _cells(window: int, k: int):
         def gather(batches):
             for batch in repeats.unpacked(batches):
                 values, where, p = repeats.picked(batch, repeats.word_symbols)
-                codes = (values >> np.uint64(32)).astype(np.uint32) if len(values) else np.zeros(1, np.uint32)
+                codes = values if len(values) else np.zeros(1, np.uint64)
                 cell = p["h"].view(np.uint64) % np.uint64(n)
                 at = where[:, None]
                 right = codes[np.minimum(at + np.arange(window), len(codes) - 1)]
@@ -102,7 +102,9 @@ def _cells(window: int, k: int):
             h, s, c = (np.concatenate([np.asarray(x.values) for x in table.column(name).combine_chunks()]) for name in ("h", "s", "c"))
             raw = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
             llen, rlen = raw("llen", np.uint8).astype(np.int64), raw("rlen", np.uint8).astype(np.int64)
-            left, right = raw("left", np.uint32).reshape(-1, before), raw("right", np.uint32).reshape(-1, window)
+            # words are compared by all 64 bits of their hashes; ranks stand for them
+            rank = np.unique(np.concatenate([raw("left", np.uint64), raw("right", np.uint64)]), return_inverse=True)[1]
+            left, right = rank[: len(h) * before].reshape(-1, before), rank[len(h) * before :].reshape(-1, window)
             tree = SuffixTree.build(right, rlen)
             # suffixes under no node as deep as the anchor are alone in the cell
             kept = np.zeros(len(h), bool)

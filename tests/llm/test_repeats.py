@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenfold.llm import anchors, op1_suffix, op9_trees, repeats
+from lumenfold.llm import text as tx
 
 from . import cases
 
@@ -112,3 +113,23 @@ def test_suffix_tree_nodes():
 
 def test_classes():
     assert repeats.classes_at(np.array([0, 3, 1, 5]), 2).tolist() == [1, 1, 2, 2]
+
+
+def test_words_with_the_same_half_of_a_hash_differ(spark):
+    """Two passages differ in one word each, whose hashes share their upper half."""
+    words = [f"q{i}" for i in range(400_000)]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    h = tx.span_hash(raw, np.concatenate([[0], ends[:-1]]), ends) >> np.uint64(32)
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    assert len(same)
+    around = [f"w{i}" for i in range(40)]
+    texts = []
+    for n, i in enumerate(same[:5]):
+        for w in (words[order[i]], words[order[i + 1]]):
+            passage = [f"{x}n{n}" for x in around]
+            texts.append(" ".join([*passage[:20], w, *passage[20:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op9_trees.repeated_words(docs).collect()
+    assert len(got) == len(texts) and all(r.n_words == 41 and r.n_removed == 0 for r in got)
