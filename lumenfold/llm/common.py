@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; in local mode a folder of this session if unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -72,20 +75,58 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def byte_size(value: str) -> int:
+    """Bytes of a Spark setting such as 4m, 64MB or 1048576; -1 where it can't be read."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(value).lower())
+    return int(m[1]) << (10 * " kmgtp".index(m[2] or " ")) if m else -1
+
+
 def narrow(df: DataFrame) -> DataFrame:
     """df, after bounding the Arrow batches of its session by bytes: a batch of long texts takes
-    several times its size on both sides of the worker's pipe."""
+    several times its size on both sides of the worker's pipe.  A smaller bound stays."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    present = df.sparkSession.conf.get(key, "64m")
-    try:
-        size = int(present.rstrip("b"))
-    except ValueError:
-        size = most + 1
-    if size > most or size <= 0:
+    if not 0 < byte_size(df.sparkSession.conf.get(key, "64m")) <= most:
         df.sparkSession.conf.set(key, f"{most}b")
     return df
 
 
+#: What this worker keeps between tasks: tables of one operator at a time.
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """The worker's table of this key, made once; key[0] names the operator that keeps it."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back(keeps: str | None) -> None:
+    """Other operators' tables go, and freed memory returns to the system: Spark hands a worker
+    from task to task, and what one had at its peak would stay with the next."""
+    for key in [k for k in _held if k[0] != keeps]:
+        del _held[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded batches, by workers that give back their memory;
+    `keeps` names the operator whose held tables stay from task to task."""
+
+    def task(batches):
+        _give_back(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back(keeps)
+
+    return narrow(df).mapInArrow(task, schema)
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names, so that no further
     column of the input can clash: named(df, doc_id="id", text="body")."""

@@ -42,7 +42,6 @@ WORDS_KEPT = 1_600_000
 WORD_BYTES = 64
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_held: dict = {}
 #: Signs that make one match of the tokenizer's pattern at the end of a word.
 _SIGNS = b'.,!?;:#*$%&|()-"'
 
@@ -102,9 +101,7 @@ class _Words:
 
 def _encoder(path: str) -> _Words:
     """This worker's words."""
-    if path not in _held:
-        _held[path] = _Words(path)
-    return _held[path]
+    return common.held(("op10", path), lambda: _Words(path))
 
 
 def encode(text: bytes, path: str) -> bytes:
@@ -193,7 +190,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
             )
             uid += n
 
-    return docs.mapInArrow(cut, _PIECES)
+    return common.mapped(docs, cut, _PIECES, keeps="op10")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

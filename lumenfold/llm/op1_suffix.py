@@ -192,7 +192,7 @@ def _cells(window: int, k: int):
             hit = back >= 0
             return pa.table({"h": h[hit], "s": s[hit], "back": back[hit], "ahead": ahead[hit]})
 
-        return texts.mapInArrow(runs, _RUN).groupBy("cell").applyInArrow(merge, "h long, s long, back long, ahead long")
+        return common.mapped(texts, runs, _RUN).groupBy("cell").applyInArrow(merge, "h long, s long, back long, ahead long")
 
     return cells
 
@@ -235,7 +235,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>"
-    return marked.mapInArrow(digest, schema)
+    return common.mapped(marked, digest, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

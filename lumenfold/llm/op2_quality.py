@@ -219,7 +219,7 @@ def passing(docs: DataFrame, rules=RULES) -> DataFrame:
             t = Texts(*tx.utf8(batch.column("text")))
             yield batch.filter(pa.array(verdict(t, ordered)[2]))
 
-    return common.narrow(docs).mapInArrow(keep, docs.schema)
+    return common.mapped(docs, keep, docs.schema)
 
 
 def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -245,7 +245,7 @@ def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Dat
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
             )
 
-    return docs.mapInArrow(judge, _RESULT)
+    return common.mapped(docs, judge, _RESULT)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,14 +215,9 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
 
-_held: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """This worker's codec."""
-    if (path, pattern) not in _held:
-        _held[path, pattern] = Codec(path, pattern)
-    return _held[path, pattern]
+    return common.held(("op3", path, pattern), lambda: Codec(path, pattern))
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -239,7 +234,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = own.encode_all(_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return common.mapped(docs, run, "doc_id long, ids array<int>", keeps="op3")
 
 
 def decoded(encoded_: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,7 +246,7 @@ def decoded(encoded_: DataFrame, path: str, pattern: str) -> DataFrame:
             data = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded_.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return common.mapped(encoded_.select("doc_id", "ids"), run, "doc_id long, data binary", keeps="op3")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -272,7 +267,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.mapped(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps="op3")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def secrets(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base", "spans"],
             )
 
-    return docs.mapInArrow(scan, f"doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base {kinds}, spans {kinds}")
+    return common.mapped(docs, scan, f"doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base {kinds}, spans {kinds}")
 
 
 def found_spans(text: str) -> list[tuple[int, int, int]]:
@@ -240,7 +240,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, texts.type))
             yield batch
 
-    return common.narrow(docs).mapInArrow(hide, schema)
+    return common.mapped(docs, hide, schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                 ["doc_id", "text_key", "n_shingles", "fp1", "fp2", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, _SIGNED)
+    return common.mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), sign, _SIGNED)
 
 
 def _resemblance(sketch: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def _pairs(members: DataFrame, block: int) -> DataFrame:
         yield flush()
 
     dealt = _dealt(members, block).select("key", "cell", "hub", "node", "n_shingles", "sketch")
-    return dealt.mapInArrow(run, "a long, b long, confirm boolean").groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
+    return common.mapped(dealt, run, "a long, b long, confirm boolean").groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -183,7 +183,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("node"), common.lists(sets.view(np.int64), at)], ["node", "members"])
             yield out.filter(pa.array(own))  # an id may have several texts
 
-    found = docs.join(wanted.hint("merge"), "doc_id").select("node", "text", "fp1", "fp2").mapInArrow(cut, "node long, members array<long>")
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("node", "text", "fp1", "fp2")
+    found = common.mapped(texts, cut, "node long, members array<long>")
     return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
@@ -205,7 +206,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return met.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return common.mapped(met.select("a", "b", "left", "right"), compare, "a long, b long")
 
 
 def set_links(ids, label, values, at) -> list[tuple[int, int]]:
@@ -245,7 +246,7 @@ def _compared(neighbours: DataFrame, block: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
     dealt = _dealt(neighbours, block).select("key", "cell", "node", "component", "shingles")
-    return dealt.mapInArrow(run, "a long, b long")
+    return common.mapped(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK) -> DataFrame:

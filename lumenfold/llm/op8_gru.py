@@ -72,7 +72,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             w, c = np.unique(tokens(batch)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c)], ["w", "c"])
 
-    return docs.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return common.mapped(docs.select("text"), count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:

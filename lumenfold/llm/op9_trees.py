@@ -118,7 +118,7 @@ def _cells(window: int, k: int):
             hit = back >= 0
             return pa.table({"h": h[order[hit]], "s": s[order[hit]], "back": back[hit], "ahead": ahead[hit]})
 
-        return texts.mapInArrow(gather, _CELL).groupBy("cell").applyInArrow(solve, "h long, s long, back long, ahead long")
+        return common.mapped(texts, gather, _CELL).groupBy("cell").applyInArrow(solve, "h long, s long, back long, ahead long")
 
     return cells
 
@@ -153,7 +153,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return _marked(docs, window, k, settings).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return common.mapped(_marked(docs, window, k, settings), digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **settings) -> DataFrame:
@@ -193,7 +193,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **se
                 rows = rows.set_column(at, rows.schema.field(at), pa.array(values, texts.type))
             yield rows
 
-    return _marked(docs, window, k, settings).mapInArrow(cut, schema)
+    return common.mapped(_marked(docs, window, k, settings), cut, schema)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _anchored(keyed: DataFrame, symbols: Symbols, window: int, k: int) -> DataFr
                 ["h", "s", "k1", "k2", "first", "last", "n", "left", "right"],
             )
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, _ANCHOR)
+    return common.mapped(keyed.select("k1", "k2", "text"), run, _ANCHOR)
 
 
 def unpacked(batches):
@@ -114,7 +114,7 @@ def _windows(texts: DataFrame, symbols: Symbols, window: int) -> DataFrame:
                     ["f1", "f2", "h", "s", "o", "c"],
                 )
 
-    return texts.mapInArrow(run, "f1 long, f2 long, h long, s long, o long, c long")
+    return common.mapped(texts, run, "f1 long, f2 long, h long, s long, o long, c long")
 
 
 def marked(
