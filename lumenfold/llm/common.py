@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker takes from an Arrow batch at a time.
 SLICE_BYTES = 4 << 20
+#: And rows.
+SLICE_ROWS = 8192
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,12 +41,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of written() tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows of about SLICE_BYTES of text, at least one row each."""
+    """The batches cut into runs of rows of about SLICE_BYTES of text, at least one row
+    and at most SLICE_ROWS each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
-            to = min(to, len(texts))
+            to = min(to, at + SLICE_ROWS, len(texts))
             yield batch.slice(at, to - at)
             at = to
 
@@ -127,6 +139,11 @@ def mapped(df: DataFrame, run, schema, keeps: str | None = None) -> DataFrame:
     return narrow(df).mapInArrow(task, schema)
 
 
+def column(df: DataFrame, name: str) -> str:
+    """The name, as df writes it, of its column of this name in any case."""
+    return next((c for c in df.columns if c == name), None) or next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names, so that no further
     column of the input can clash: named(df, doc_id="id", text="body")."""
@@ -135,28 +152,28 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each of nodes(id) reaches over links(a, b).
+    """(id, component, low): of the nodes(id, low) that each of them reaches over links(a, b),
+    the least low, ties to the least id, and that node's id.
 
     Labels fall to the least label next door and then jump to their label's label; each
-    round is written to the shared folder, and no link or label comes to the driver.
+    round is written to the shared folder, and no link or label comes to the driver.  The
+    table of a round goes when the next one is written.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = nodes.select("id", F.col("id").alias("component"))
-    least = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low"))
-    labels = written(labels.join(least, "id", "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component")))
+    labels = nodes.select("id", F.struct("low", "id").alias("c"))
+    least = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
+    labels = written(labels.join(least, "id", "left").select("id", F.least("c", F.coalesce("near", "c")).alias("c")))
     while True:
         near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            both.join(labels.select(F.col("id").alias("b"), "c"), "b")
             .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("low"))
-        )
-        met = labels.join(near, "id", "left").select(
-            "id", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("component")
-        )
-        up = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        after = written(
-            met.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component"))
+            .agg(F.min("c").alias("near"))
         )
-        labels = after.select("id", "component")
-        if after.where("component <> old").isEmpty():
-            return labels
+        met = labels.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("near", "c")).alias("c"))
+        up = labels.select(F.col("id").alias("up"), F.col("c").alias("root"))
+        after = written(met.join(up, F.col("c.id") == F.col("up"), "left").select("id", "old", F.least("c", F.coalesce("root", "c")).alias("c")))
+        dropped(labels)
+        labels = after
+        if after.where("c <> old").isEmpty():
+            dropped(both)
+            return after.select("id", F.col("c.id").alias("component"), F.col("c.low").alias("low"))

@@ -1,14 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects documents by one feature.  On a sample of whole documents from all
-partitions (about `sample_rows`, for the order only), less those that the base rule rejects,
-each rule's time and its rejections are measured; the rules then run by falling rejections
-per cost, and a rule computes its feature only for documents that no earlier rule rejected.  The verdict is the conjunction of all rules, so it doesn't depend on the
-order or the sample.
-
-The five base features are returned for every document, so they are computed first and the
-base rule runs first.  Null and empty texts have no words and fail it; null ids are kept as
-they are; every row of the input gives one row.
+partitions (about `sample_rows`, drawn row by row, for the order only), less
+those that the base rule rejects, each rule's time and its rejections are measured, the time
+as the median of `REPEATS`; the rules then run by falling rejections per cost, and a rule
+computes its feature only for documents that no earlier rule rejected.  The verdict is the
+conjunction of all rules, so it doesn't depend on the order or the sample.
+
+A feature is computed once for a document, whoever asks first.  `passing` computes what the
+cascade needs and nothing else.  `quality` returns the five base features of every document,
+so these are there before the cascade, their rules cost next to nothing, and the sample
+measures them so.
+
+The base rule runs first.  Null and empty texts have no words and fail it; null ids are kept
+as they are; every row of the input gives one row.  Column names match in any case.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import text as tx
 
-SAMPLE_ROWS = 200
+SAMPLE_ROWS, REPEATS = 400, 3
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -44,26 +50,52 @@ def _per(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """Some documents' bytes and words."""
+    """Some documents' bytes and words, and their features: each computed when it is first read,
+    and kept for documents picked out by only()."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    FEATURES = ("n_symbols", "code_points", "line_counts", "n_repeats")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words=None):
         self.data, self.offsets = data, offsets
-        self.starts, self.ends, self.first = tx.words(data, offsets)
+        self.starts, self.ends, self.first = tx.words(data, offsets) if words is None else words
         self.n_words = np.diff(self.first)
 
-    def only(self, docs: np.ndarray) -> Texts:
-        """These documents alone (ascending numbers)."""
-        lengths = (self.offsets[1:] - self.offsets[:-1])[docs]
-        ends = np.cumsum(lengths)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offsets[docs] - (ends - lengths), lengths)
-        return Texts(self.data[take], np.concatenate([[0], ends]))
+    def only(self, docs: np.ndarray, features: bool = True) -> Texts:
+        """These documents alone (ascending numbers); with the features that are known, if asked."""
+        parts = [self.data[a:b] for a, b in zip(self.offsets[docs].tolist(), self.offsets[docs + 1].tolist())]
+        offsets = np.concatenate([[0], np.cumsum(np.diff(self.offsets)[docs])])
+        first = np.concatenate([[0], np.cumsum(self.n_words[docs])])
+        word = np.arange(first[-1]) + np.repeat(self.first[docs] - first[:-1], self.n_words[docs])
+        back = np.repeat(self.offsets[docs] - offsets[:-1], self.n_words[docs])
+        data = np.concatenate(parts) if parts else self.data[:0]
+        out = Texts(data, offsets, (self.starts[word] - back, self.ends[word] - back, first))
+        if features:
+            for name in self.FEATURES:
+                if name in self.__dict__:
+                    known = self.__dict__[name]
+                    out.__dict__[name] = tuple(x[docs] for x in known) if isinstance(known, tuple) else known[docs]
+        return out
 
     def hashes(self) -> np.ndarray:
         return tx.span_hash(self.data, self.starts, self.ends)
 
+    @cached_property
+    def n_symbols(self) -> np.ndarray:
+        return _per(_SYMBOL[self.data], self.offsets)
+
+    @cached_property
     def code_points(self) -> np.ndarray:
         return _per(_HEAD[self.data], self.offsets) - _per(tx._SPACE[self.data], self.offsets)
 
+    @cached_property
+    def line_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(lines with a word, those equal to an earlier line)"""
+        return duplicate_lines(self)
+
+    @cached_property
+    def n_repeats(self) -> np.ndarray:
+        return repeated_words(self)
+
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, document) of all newline-split lines that hold a word."""
         breaks = np.flatnonzero(self.data == 10)
@@ -120,11 +152,11 @@ class Rule:
 
 
 def _symbols(t: Texts) -> np.ndarray:
-    return 10 * _per(_SYMBOL[t.data], t.offsets) > 3 * t.n_words
+    return 10 * t.n_symbols > 3 * t.n_words
 
 
 def _line_copies(t: Texts) -> np.ndarray:
-    total, copies = duplicate_lines(t)
+    total, copies = t.line_counts
     return 10 * copies > 5 * total
 
 
@@ -133,7 +165,7 @@ def _capitals(t: Texts) -> np.ndarray:
 
 
 def _word_length(t: Texts) -> np.ndarray:
-    points = t.code_points()
+    points = t.code_points
     return (points < 2 * t.n_words) | (points > 20 * t.n_words)
 
 
@@ -160,9 +192,14 @@ RULES = (
 )
 
 
-def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+#: What `quality` returns of every document.
+BASE = ("n_symbols", "code_points", "line_counts")
+
+
+def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, given: tuple[str, ...] = ()) -> list[Rule]:
     """The rules by falling rejections per cost, as measured on a sample of whole documents
-    that pass the base rule; one task measures them, and only its figures come to the driver."""
+    that pass the base rule, with the features `given` already there; one task measures them,
+    and only its figures come to the driver."""
     total = docs.count()
     if not total:
         return list(rules)
@@ -174,16 +211,25 @@ def planned(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> lis
             if not len(live):
                 continue
             some = t.only(live)
+            for name in given:
+                getattr(some, name)
+            every = np.arange(len(live))
             rejected, cost = [], []
             for rule in rules:
-                began = time.perf_counter_ns()
-                rejected.append(int(rule.bad(some).sum()))
-                cost.append(time.perf_counter_ns() - began)
+                took = []
+                for _ in range(REPEATS):
+                    fresh = some.only(every)
+                    began = time.perf_counter_ns()
+                    bad = rule.bad(fresh)
+                    took.append(time.perf_counter_ns() - began)
+                rejected.append(int(bad.sum()))
+                cost.append(sorted(took)[REPEATS // 2])
             yield pa.RecordBatch.from_pydict({"rule": np.arange(len(rules)), "rejected": rejected, "cost": cost})
 
-    sample = common.narrow(docs).select("text").sample(min(1.0, sample_rows / total), seed=1).repartition(1)
-    seen = sample.mapInArrow(measure, "rule long, rejected long, cost long").groupBy("rule").agg(F.sum("rejected"), F.sum("cost")).collect()
-    gain = {rules[i].name: (rejected + 0.5) / cost for i, rejected, cost in seen}
+    # row by row: a hash would take or leave all copies of a text at once
+    sample = docs.select("text").sample(min(1.0, sample_rows / total), seed=1).repartition(1)
+    seen = common.mapped(sample, measure, "rule long, rejected long, cost long").groupBy("rule").agg(F.sum("rejected"), F.sum("cost")).collect()
+    gain = {rules[i].name: (rejected + 0.5) / max(1, cost) for i, rejected, cost in seen}
     return sorted(rules, key=lambda r: -gain[r.name]) if gain else list(rules)
 
 
@@ -194,7 +240,7 @@ _RESULT = (
 
 def verdict(t: Texts, ordered: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(repeated words, base rule failed, kept) of each document, the rules run in this order."""
-    repeats = repeated_words(t)
+    repeats = t.n_repeats
     failed = (t.n_words < 10) | (100 * repeats > 20 * t.n_words)
     live = np.flatnonzero(~failed)
     some = t.only(live)
@@ -212,11 +258,12 @@ def verdict(t: Texts, ordered: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def passing(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that the base rule and all rules keep, with all their columns."""
-    ordered = planned(docs, rules)
+    own = common.column(docs, "text")
+    ordered = planned(docs.select(F.col(f"`{own}`").alias("text")), rules)
 
     def keep(batches):
-        for batch in common.slices(batches):
-            t = Texts(*tx.utf8(batch.column("text")))
+        for batch in common.slices(batches, own):
+            t = Texts(*tx.utf8(batch.column(batch.schema.get_field_index(own))))
             yield batch.filter(pa.array(verdict(t, ordered)[2]))
 
     return common.mapped(docs, keep, docs.schema)
@@ -225,17 +272,14 @@ def passing(docs: DataFrame, rules=RULES) -> DataFrame:
 def quality(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The base features, base_failed and kept of each row of docs(doc_id, text)."""
     docs = common.named(docs, doc_id="doc_id", text="text")
-    ordered = planned(docs, rules, sample_rows)
+    ordered = planned(docs, rules, sample_rows, BASE)
 
     def judge(batches):
         for batch in common.slices(batches):
             t = Texts(*tx.utf8(batch.column("text")))
+            columns = [t.n_words, t.code_points, t.n_symbols, t.line_counts[1]]
             repeats, failed, kept = verdict(t, ordered)
-            columns = [
-                t.n_words,
-                t.code_points(),
-                _per(_SYMBOL[t.data], t.offsets),
-                duplicate_lines(t)[1],
+            columns += [
                 repeats,
                 failed,
                 kept,
