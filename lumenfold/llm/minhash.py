@@ -57,7 +57,7 @@ def circulant(sets: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
     Two permutations of the 32-bit words make all coordinates: sigma scatters a
     set once, and coordinate j is the least value that pi, shifted circularly by
-    j places, gives to a member of sigma's image.
+    j times an odd constant (so that neighbouring shifts share no short pattern), gives to a member of sigma's image.
     """
     out = np.full((len(at) - 1, k), 0xFFFFFFFF, np.uint32)
     sigma = (tx.mix64(sets ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)

@@ -4,16 +4,17 @@
     circulant MinHash signature (minhash.py): two permutations give all coordinates.
 2.  Equal sets are one representative from there on, so a group of copies of any size
     costs a partial aggregation.
-3.  Bands of the signature are bucket keys.  A bucket is read in blocks of at most about
-    `block` rows, any two of its rows in one of them, with its least member in each.  One
-    byte of each coordinate estimates similarity.  The member nearest the block's consensus
+3.  Bands of the signature are bucket keys.  One byte of each coordinate estimates
+    similarity.  In a bucket of up to about `block` rows the member nearest the consensus
     leads first; members join the first leader they resemble, which gives a row for each
     member instead of all pairs.  Members that might be linked across leaders fall into one
-    *neighbourhood*, again by a row for each.
+    *neighbourhood*, again by a row for each.  In a larger bucket its least member leads all
+    that resemble it, by one join; only the others are then compared with all of the
+    bucket, in cells of two blocks.
 4.  Leaders and members are confirmed on their full sets, and components are found.
-5.  A neighbourhood of several components (few are) is compared in full: each set is sent
-    there once, or once for each pair of blocks of a large one, and a set's intersections
-    with all sets of a block are counted at once.  Only links come out, so no link inside
+5.  A neighbourhood of several components (few are) is compared in full: members outside its
+    largest component with all others, in cells where it is large, and a set's intersections
+    with all sets of a cell are counted at once.  Only links come out, so no link inside
     a bucket is lost and no list of pairs is made.
 
 With 40 bands of 5 rows a pair at similarity 0.75 meets no bucket with probability 2e-5,
@@ -77,16 +78,19 @@ def _resemblance(sketch: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -
     return np.where(100 * low >= PERCENT * high, (same - 1 / 256) / (1 - 1 / 256), -1)
 
 
-def block_pairs(ids, size, sketch, hub: int) -> tuple[list, list]:
-    """(leader, member) pairs to confirm, and pairs that join neighbourhoods, of one block."""
+def block_pairs(ids, size, sketch, hub: int, led=None) -> tuple[list, list]:
+    """(leader, member) pairs to confirm, and pairs that join neighbourhoods, of one block;
+    members that are `led` already have one leader elsewhere."""
     n, likely = len(ids), PERCENT / 100 - MARGIN
-    if n == 2:
+    if n == 2 and led is None:
         close = _resemblance(sketch, size, 0, np.array([1]))[0] >= likely
         return ([(ids[0], ids[1])] if close else []), []
     usual = np.array([np.bincount(c).argmax() for c in sketch.T], np.uint8)
     order = np.lexsort((ids, -(sketch == usual).sum(axis=1), ids != hub))
     lead, near = [], []
     label = np.full(n, -1)
+    if led is not None and led.any():
+        label[led] = np.flatnonzero(led)[0]
     for i in order:
         if label[i] < 0:
             label[i] = i
@@ -95,10 +99,12 @@ def block_pairs(ids, size, sketch, hub: int) -> tuple[list, list]:
                 got = rest[_resemblance(sketch, size, i, rest) >= likely + 0.1]
                 label[got] = i
                 lead += [(ids[i], ids[j]) for j in got]
-    for i in range(n):
+    for i in range(n) if led is None else np.flatnonzero(~led):
         js = np.flatnonzero(label != label[i])
         if not len(js):
-            break
+            if led is None:
+                break
+            continue
         met = js[_resemblance(sketch, size, i, js) >= likely]
         if len(met):
             for other in np.unique(label[met]):
@@ -108,19 +114,21 @@ def block_pairs(ids, size, sketch, hub: int) -> tuple[list, list]:
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """rows(key, members, hub, node, ...) dealt out so that any two of a key meet in a cell."""
-    chunks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    pair = lambda a, b: a.cast("long") * 1000003 + b
-    others = F.sequence(F.lit(0), chunks - 1)
-    meets = F.transform(others, lambda o: pair(F.least(own, o), F.greatest(own, o)))
-    everywhere = F.flatten(F.transform(others, lambda a: F.transform(F.sequence(a, chunks - 1), lambda b: pair(a, b))))
+    """rows(key, members, rest, aside, node, ...) dealt out so that a row that is not `aside`
+    meets every row of its key in a cell; rest: how many such rows the key has."""
+    chunk = lambda n: F.greatest(F.lit(1), F.ceil(n / block).cast("int"))
+    few, many = chunk(F.col("rest")), chunk(F.col("members") - F.col("rest"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, a, b: (F.lit(kind) * 1000003 + a.cast("long")) * 1000003 + b
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    with_aside = F.transform(upto(many), lambda m: cell(1, own(few), m))
+    each_other = F.transform(upto(few), lambda o: cell(2, F.least(own(few), o), F.greatest(own(few), o)))
     cells = (
         F.when(F.col("members") <= block, F.array(F.lit(0).cast("long")))
-        .when(F.col("node") == F.col("hub"), everywhere)
-        .otherwise(meets)
+        .when(F.col("aside"), F.transform(upto(few), lambda r: cell(1, r, own(many))))
+        .otherwise(F.concat(with_aside, each_other))
     )
-    return rows.withColumn("cell", F.explode(cells)).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return rows.withColumn("cell", F.explode(cells))
 
 
 def _groups(batches):
@@ -141,8 +149,23 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def _pairs(members: DataFrame, block: int) -> DataFrame:
-    """(a, b, confirm) with a < b, of members(key, hub, members, node, n_shingles, sketch)."""
+def _resembling(rows: DataFrame) -> DataFrame:
+    """rows with `aside`: whether the member resembles the hub of its bucket by their sketches."""
+
+    def run(batches):
+        for batch in batches:
+            get = lambda n: batch.column(n)
+            own, hub = (np.frombuffer(b"".join(get(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for n in ("sketch", "hub_sketch"))
+            x, y = get("n_shingles").to_numpy(), get("hub_n").to_numpy()
+            same = ((own == hub).mean(axis=1, dtype=np.float32) - 1 / 256) / (1 - 1 / 256)
+            near = (same >= PERCENT / 100 - MARGIN + 0.1) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([get("key"), get("members"), get("hub"), get("node"), pa.array(near)], ["key", "members", "hub", "node", "aside"])
+
+    return common.mapped(rows, run, "key long, members long, hub long, node long, aside boolean")
+
+
+def _pairs(members: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """(a, b, confirm) with a < b, of members(key, hub, members, node) and sketches(node, n_shingles, sketch)."""
 
     def run(batches):
         found: dict[tuple[int, int], bool] = {}
@@ -158,7 +181,10 @@ def _pairs(members: DataFrame, block: int) -> DataFrame:
                 continue
             ids = group.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-            lead, near = block_pairs(ids, group.column("n_shingles").to_numpy(), sketch, int(group.column("hub")[0].as_py()))
+            led = group.column("aside").to_numpy() if group.column("cell")[0].as_py() else None
+            if led is not None and led.all():
+                continue
+            lead, near = block_pairs(ids, group.column("n_shingles").to_numpy(), sketch, int(group.column("hub")[0].as_py()), led)
             for confirm, pairs in ((False, near), (True, lead)):
                 for a, b in pairs:
                     if a != b:
@@ -168,8 +194,22 @@ def _pairs(members: DataFrame, block: int) -> DataFrame:
                 yield flush()
         yield flush()
 
-    dealt = _dealt(members, block).select("key", "cell", "hub", "node", "n_shingles", "sketch")
-    return common.mapped(dealt, run, "a long, b long, confirm boolean").groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
+    small = members.where(F.col("members") <= block).withColumns({"rest": F.col("members"), "aside": F.lit(False)})
+    large = members.where(F.col("members") > block)
+    found = None
+    if not large.isEmpty():
+        hubs = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+        seen = common.written(_resembling(large.join(sketches.hint("merge"), "node").join(hubs.hint("merge"), "hub")))
+        found = seen.where("aside and node <> hub").select(
+            F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.lit(True).alias("confirm")
+        )
+        counted = common.written(seen.groupBy("key").agg(F.sum(F.when(F.col("aside"), 0).otherwise(1)).alias("rest")))
+        small = small.unionByName(seen.join(counted.where("rest > 0").hint("merge"), "key"))
+    dealt = _dealt(small, block).select("key", "cell", "hub", "node", "aside")
+    # sketches are looked up once a row is dealt, and sorted with it
+    dealt = dealt.join(sketches.hint("merge"), "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    pairs = common.mapped(dealt, run, "a long, b long, confirm boolean")
+    return (pairs.union(found) if found is not None else pairs).groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -230,8 +270,8 @@ def set_links(ids, label, values, at) -> list[tuple[int, int]]:
     return links
 
 
-def _compared(neighbours: DataFrame, block: int) -> DataFrame:
-    """(a, b): links across components of neighbours(key, members, hub, node, component, members_of)."""
+def _compared(neighbours: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """(a, b): links across components of neighbours(key, members, rest, aside, node, component)."""
 
     def run(batches):
         for group in _groups(batches):
@@ -245,14 +285,15 @@ def _compared(neighbours: DataFrame, block: int) -> DataFrame:
                     p = np.array(links, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    dealt = _dealt(neighbours, block).select("key", "cell", "node", "component", "shingles")
+    dealt = _dealt(neighbours, block).select("key", "cell", "node", "component")
+    dealt = dealt.join(sets.select("node", F.col("members").alias("shingles")).hint("merge"), "node")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
     return common.mapped(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable), text_key (a hash of the text),
-    for each row of docs(doc_id, text)."""
-    docs = common.named(docs, doc_id="doc_id", text="text")
+def _classed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_key (a hash of the text) and root (a number of the
+    class; null for empty sets) of each row of docs(doc_id, text)."""
     signed = common.written(signatures(docs, bands, rows, shingle))
     first = (
         signed.where("n_shingles > 0 and doc_id is not null")
@@ -263,52 +304,65 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shing
         first.select(F.monotonically_increasing_id().alias("node"), "doc_id", "fp1", "fp2", "n_shingles", "of.bands", "of.sketch")
     )
     keyed = first.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    buckets = common.written(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
     sketches = first.select("node", "n_shingles", "sketch")
-    likely = common.written(_pairs(keyed.join(buckets.hint("merge"), "key").join(sketches.hint("merge"), "node"), block))
+    likely = common.written(_pairs(keyed.join(buckets.hint("merge"), "key"), sketches, block))
     near = common.written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = first.join(near.select(F.col("id").alias("node")), "node", "left_semi").select("node", "doc_id", "fp1", "fp2")
+    near = common.written(near.join(first.select(F.col("node").alias("id"), F.col("doc_id").alias("low"), "fp1", "fp2"), "id"))
+    wanted = near.select(F.col("id").alias("node"), F.col("low").alias("doc_id"), "fp1", "fp2")
     sets = common.written(_sets(docs, wanted, shingle))
     links = common.written(_confirmed(likely.where("confirm").select("a", "b"), sets))
     found = common.components(near, links)
 
-    around = common.components(near, likely.select("a", "b"))
-    open_ = (
-        around.withColumnRenamed("component", "key")
-        .join(found, "id")
-        .groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("component").alias("hub"), F.max("component").alias("high"))
-        .where("hub <> high")
+    around = common.components(near, likely.select("a", "b")).select("id", F.col("component").alias("key"))
+    sizes = around.join(found, "id").groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = common.written(
+        sizes.groupBy("key")
+        .agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("several"))
+        .where("several > 1")
+        .select("key", "members", (F.col("members") - F.col("most.n")).alias("rest"), F.col("most.component").alias("most"))
     )
     neighbours = (
-        around.select(F.col("id").alias("node"), F.col("component").alias("key"))
-        .join(open_.select("key", "members", "hub"), "key")
+        around.select(F.col("id").alias("node"), "key")
+        .join(open_.hint("merge"), "key")
         .join(found.select(F.col("id").alias("node"), "component"), "node")
-        .join(sets.select("node", F.col("members").alias("shingles")).hint("merge"), "node")
+        .withColumn("aside", F.col("component") == F.col("most"))
     )
-    more = common.written(_compared(neighbours, block))
+    more = common.written(_compared(neighbours, sets, block))
     if not more.isEmpty():
         found = common.components(near, links.union(more))
 
-    named = first.select("node", "doc_id", "fp1", "fp2", "n_shingles").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("class"))
-    classes = named.join(least, "component").select("fp1", "fp2", "n_shingles", "class")
+    named = first.select("node", "doc_id", "fp1", "fp2", "n_shingles").join(found.withColumnRenamed("id", "node"), "node", "left")
+    classes = named.select("fp1", "fp2", "n_shingles", F.coalesce("low", "doc_id").alias("class"), F.coalesce("component", "node").alias("root"))
     out = signed.select("doc_id", "text_key", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"), "text_key")
+    whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    return out.select("doc_id", "n_shingles", whose.alias("component_id"), "text_key", "root")
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable) of each row of docs(doc_id, text)."""
+    return _classed(common.named(docs, doc_id="doc_id", text="text"), **settings).drop("text_key", "root")
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one row of each class, that of its least id; rows with a null id all stay."""
-    kept = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id", "text_key").distinct()
-    rows = docs.withColumn("text_key", F.xxhash64("text"))
-    one = rows.where("doc_id is not null").join(kept.hint("merge"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
-    return one.unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    """docs with one row of each class, of its least id (of several texts with this id, that of
+    the least hash); empty texts are classes of their own, of which rows that repeat an id go;
+    rows with a null id all stay."""
+    doc_id, text = common.column(docs, "doc_id"), common.column(docs, "text")
+    found = _classed(common.named(docs, doc_id="doc_id", text="text"), **settings).where("doc_id = component_id")
+    one = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*")
+    kept = one.union(found.where("root is null").select("doc_id", "text_key")).distinct()
+    # further columns of docs travel inside a struct, where no name can clash
+    rows = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")
+    )
+    stay = rows.where("doc_id is not null").join(kept.hint("merge"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return stay.union(rows.where("doc_id is null")).select("row.*")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id")).drop("text_key")
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 SQL = r"""

@@ -54,6 +54,35 @@ def test_one_of_each_class_stays(spark):
     assert op6_minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_dedup_leaves_other_columns_alone(spark):
+    """Columns named like the operator's own, names in any case, a class whose least id is shared."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:99], "x"]), " ".join([*base[:98], "y", "z"]), "other text altogether here now", None]
+    rows = [(i, 70 + n, t, "r", "n", -n) for n, (i, t) in enumerate([(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, texts[4]), (4, texts[4])])]
+    docs = spark.createDataFrame(rows, "Doc_ID long, text_key long, TEXT string, row string, node string, root long")
+    got = op6_minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted(r.Doc_ID for r in kept) == [1, 3, 4]
+    assert all(tuple(r) in {tuple(x) for x in rows} for r in kept)
+
+
+def test_more_rows_than_a_slice(spark):
+    docs = spark.createDataFrame([(i, "ab" if i % 2 else "") for i in range(20_000)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    try:
+        got = {r.component_id for r in op6_minhash.near_duplicates(docs).where("n_shingles > 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {1}
+
+
+def test_settings_of_sizes():
+    from lumenfold.llm import common
+
+    assert [common.byte_size(x) for x in ("4m", "64MB", "1048576", "8388608b", "2g", "none")] == [4 << 20, 64 << 20, 1 << 20, 8 << 20, 2 << 30, -1]
+
+
 def test_links_around_the_threshold(spark):
     """Chains of copies that are linked to the next only, some exactly at the threshold."""
     base = [f"w{i}" for i in range(104)]
@@ -125,12 +154,44 @@ def test_recall_over_blocks(spark):
     df = spark.createDataFrame(rows, VECTORS)
     expected = brute_nearest(rows, 50)
     found = {}
-    for r in op4_hilbert.nearest(df, every=50, block=128, curves=4).collect():
+    for r in op4_hilbert.nearest(df, every=50, block=128).collect():
         found.setdefault(r.query_id, set()).add(r.score)
     hit = sum(len({d for d, _ in best} & found.get(q, set())) for q, best in expected.items())
     assert hit >= 0.9 * sum(len({d for d, _ in best}) for best in expected.values())
 
 
+def test_index_prunes_clustered_vectors(spark):
+    """The default block size; windows are a small share of the table, and most neighbours lie in them."""
+    r = np.random.default_rng(2)
+    centers = r.standard_normal((100, 32))
+    x = centers[r.integers(0, 100, 12_000)] + 0.1 * r.standard_normal((12_000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 32) for i, v in enumerate(x)], "vec_id long, embedding array<double>, dim int")
+    index = op4_hilbert.fitted(df, 10, 4096, 0.94)[32]
+    assert 0 < len(index.curves) <= 8 and index.share <= 0.15 and index.recall >= 0.94
+    found = {}
+    for row in op4_hilbert.nearest(df).collect():
+        found.setdefault(row.query_id, []).append(row.vec_id)
+    hit = 0
+    for q, ids in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(set(ids) & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 120 and hit >= 0.9 * 1200
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_any_finite_size_takes_part(spark, size):
+    rows = [(i, [size * (1 + i), size * (i % 3), -size]) for i in range(12)] + [(100, [-size, 2 * size, size])]
+    got = op4_hilbert.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    expected = []
+    for q, x in rows:
+        if q % 100 == 0:
+            d = sorted((float(np.sqrt(sum(((a - b) / size) ** 2 for a, b in zip(x, y)))), i) for i, y in rows if i != q)
+            expected += [(q, n, i) for n, (_, i) in enumerate(d[:10], 1)]
+            assert all(abs(r.score / size - d[r.rank - 1][0]) < 1e-9 for r in got if r.query_id == q)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(expected)
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     order = cells[np.argsort(op4_hilbert.hilbert(cells, 3))]
