@@ -32,12 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends
-    there, and the loss of executors costs no recomputation."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df, written as Parquet to the shared folder (in folders by these columns) and read again:
+    its lineage ends there, and the loss of executors costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +45,7 @@ def dropped(*tables: DataFrame) -> None:
     """Removes the files of written() tables that nothing reads any more."""
     for table in tables:
         jvm = table.sparkSession._jvm
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        for path in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]*$", "", f) for f in table.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 

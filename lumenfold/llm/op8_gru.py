@@ -5,10 +5,13 @@
 *   The words at or above a frequency that leaves at most `HEAD` of them, a bounded table, go
     to every task; the `WORDS` most frequent of them are the network's vocabulary, in classes
     of `PER_CLASS`.  The frequency comes from a histogram of some hundred cells.
-*   In each of `ROUNDS` rounds every task trains a copy of the network on all training
-    documents of its partition that belong to the round (a share of the documents by id), by
-    truncated backpropagation; the copies are averaged by their tokens, coordinate by
-    coordinate, in an aggregation.  Each training document is learnt from once.
+*   Training documents become ids, two bytes a token, written to the shared folder, and are
+    dealt by a hash of id and text into rounds and into shards of about `SHARD_TOKENS`.  In each
+    of `ROUNDS` rounds every shard of the round trains a copy of the network, by truncated
+    backpropagation over its documents in the order of their hashes; the copies are averaged by
+    their tokens, coordinate by coordinate, in an aggregation.  Each training document is learnt
+    from once.  Shards depend on the table alone, not on the cluster or on how its rows are
+    dealt, so scores can be had again (but for the order of sums, a relative 1e-6 or so).
 *   Scoring carries the state through each whole document.  A word outside the vocabulary costs
     its class's probability and its share of that class: (c + 0.5) / (n + 0.5 (v + 1)), with c
     its count, n and v the tokens and words of the class.  Words outside the head get their
@@ -31,7 +34,11 @@ from . import text as tx
 
 HEAD = 1 << 18
 WORDS, PER_CLASS, SIZE = 1024, 32, 16
-ROUNDS = 2
+ROUNDS = 4
+#: Tokens of a shard: as many as one copy learns from in a round.
+SHARD_TOKENS = 1 << 20
+#: Tokens that a worker lays out in lanes at a time.
+CHUNK_TOKENS = 1 << 18
 #: Text that a worker scores or learns from at a time.
 CHUNK_BYTES = 8 << 20
 END = np.int64(0x5EED0FE2D)
@@ -136,27 +143,73 @@ def _averaged(copies: DataFrame, like: dict) -> dict:
     return gru.shaped(rows["x"].to_numpy(), like) if len(rows) else like
 
 
+def _coded(docs: DataFrame, head, words: int, rounds: int, shards: int) -> DataFrame:
+    """(round, shard, key, ids) of each of docs(doc_id, text): ids as little-endian 16-bit."""
+
+    def code(batches):
+        own = head.value
+        for batch in chunks(batches):
+            t, offsets = tokens(batch)
+            raw = own.inner_ids(t, words).astype("<u2").tobytes()
+            ids = [raw[a:b] for a, b in zip((2 * offsets[:-1]).tolist(), (2 * offsets[1:]).tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("round", "shard", "key")), pa.array(ids, pa.binary())], ["round", "shard", "key", "ids"])
+
+    key = F.xxhash64("doc_id", "text")
+    round_ = F.pmod(key, F.lit(rounds)).cast("int")
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    keyed = docs.select("text", key.alias("key"), round_.alias("round"), shard.alias("shard"))
+    return common.written(common.mapped(keyed, code, "round int, shard int, key long, ids binary"), "round")
+
+
+def _shards(batches):
+    """(shard, tokens, offsets) of about CHUNK_TOKENS at a time, from rows in order of shards."""
+    held: list[bytes] = []
+    size, now = 0, None
+
+    def joined():
+        lengths = np.array([len(x) // 2 for x in held])
+        return now, np.frombuffer(b"".join(held), "<u2").astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
+
+    for batch in batches:
+        for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
+            if held and (shard != now or size >= CHUNK_TOKENS):
+                yield joined()
+                held, size = [], 0
+            now = shard
+            held.append(ids)
+            size += len(ids) // 2
+    if held:
+        yield joined()
+
+
 def trained(docs: DataFrame, head, words: int, per_class: int, size: int, rounds: int) -> dict:
     """The network's parameters, after each of docs(doc_id, text) was learnt from once."""
     top = np.zeros(words)
     inside = head.value.place < words
     top[head.value.place[inside]] = head.value.c[inside]
     p = gru.fresh(top, head.value.rest_tokens, size, per_class)
+    coded = _coded(docs, head, words, rounds, max(1, -(-head.value.n_tokens // (rounds * SHARD_TOKENS))))
     for r in range(rounds):
         start = p
 
         def learn(batches):
-            own = head.value
-            trainer = gru.Trainer(start)
-            for batch in chunks(batches):
-                t, offsets = tokens(batch)
-                trainer.learn(own.inner_ids(t, words), offsets, own.end)
-            if trainer.seen:
+            def copy(trainer):
                 weights = common.lists(gru.flat(trainer.model.p), np.array([0, gru.flat(start).size]))
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.seen]), weights], ["n", "weights"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
-        p = _averaged(part.mapInArrow(learn, "n long, weights array<float>"), p)
+                return pa.RecordBatch.from_arrays([pa.array([trainer.seen]), weights], ["n", "weights"])
+
+            trainer, now = None, None
+            for shard, t, offsets in _shards(batches):
+                if shard != now:
+                    if trainer:
+                        yield copy(trainer)
+                    trainer, now = gru.Trainer(start), shard
+                trainer.learn(t, offsets, head.value.end)
+            if trainer:
+                yield copy(trainer)
+
+        part = coded.where(F.col("round") == r).select("shard", "key", "ids").repartition("shard").sortWithinPartitions("shard", "key")
+        p = _averaged(common.mapped(part, learn, "n long, weights array<float>"), p)
+    common.dropped(coded)
     return p
 
 
@@ -218,9 +271,8 @@ def scores(
             uid += len(n)
 
     near = common.written(
-        docs.withColumn("held_out", held_out)
-        .select("doc_id", "held_out", "text")
-        .mapInArrow(
+        common.mapped(
+            docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text"),
             score,
             "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, far array<long>",
         )

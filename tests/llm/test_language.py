@@ -160,3 +160,10 @@ def test_pipeline(spark, sf):
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {p.doc_id for p in packed} == set(before)
     assert all(f == packed[0].asDict().keys() for f in [p.asDict().keys() for p in packed])
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, other = ({r.doc_id: r.score for r in op8_gru.scores(docs.repartition(n), words=64, per_class=8, size=4).collect()} for n in (2, 7))
+    assert one.keys() == other.keys()
+    assert all(abs(one[i] - other[i]) <= 1e-4 * abs(one[i]) for i in one)
