@@ -114,8 +114,9 @@ class LoserTree:
                 node >>= 1
 
 
+_OWN = ("h", "s", "c", "g")
 _RUN = (
-    "cell int, h array<long>, s array<long>, c array<long>, shared binary, lengths binary, rests binary, llen binary, left binary"
+    "cell int, h array<long>, s array<long>, c array<long>, g array<long>, low binary, high binary, shared binary, lengths binary, rests binary, llen binary, left binary"
 )
 
 
@@ -128,15 +129,10 @@ def _cells(window: int, k: int):
             size = 0
 
             def flush():
-                h, s, c, right, llen, left = (
-                    np.concatenate([x[0] for x in held]),
-                    np.concatenate([x[1] for x in held]),
-                    np.concatenate([x[2] for x in held]),
-                    [r for x in held for r in x[3]],
-                    np.concatenate([x[4] for x in held]),
-                    np.concatenate([x[5] for x in held]),
-                )
-                cell = (h.view(np.uint64) % np.uint64(n)).astype(np.int64)
+                own_ = {x: np.concatenate([p[x] for p, _, _ in held]) for x in (*_OWN, "low", "high", "left")}
+                right = [r for _, rs, _ in held for r in rs]
+                left, llen = np.concatenate([x for _, _, x in held]), own_["left"].astype(np.int64)
+                cell = (tx.mix64(own_["g"].view(np.uint64)) % np.uint64(n)).astype(np.int64)
                 by_cell = np.argsort(cell, kind="stable")
                 edges = np.flatnonzero(np.diff(cell[by_cell])) + 1
                 for own in np.split(by_cell, edges):
@@ -146,7 +142,8 @@ def _cells(window: int, k: int):
                     yield pa.RecordBatch.from_pydict(
                         {
                             "cell": pa.array([int(cell[own[0]])], pa.int32()),
-                            **{x: pa.array([v[own]], pa.list_(pa.int64())) for x, v in (("h", h), ("s", s), ("c", c))},
+                            **{x: pa.array([own_[x][own]], pa.list_(pa.int64())) for x in _OWN},
+                            **{x: [own_[x][own].astype(np.uint8).tobytes()] for x in ("low", "high")},
                             "shared": [shared.tobytes()],
                             "lengths": [lengths.tobytes()],
                             "rests": [rests],
@@ -160,7 +157,7 @@ def _cells(window: int, k: int):
                 raw = data.tobytes()
                 right = [raw[a : a + m] for a, m in zip(where.tolist(), p["right"].tolist())]
                 left = data[np.maximum(where[:, None] - 1 - np.arange(before), 0)] if len(data) else np.zeros((0, before), np.uint8)
-                held.append((p["h"], p["s"], p["c"], right, p["left"].astype(np.int64), left))
+                held.append((p, right, left))
                 size += len(right)
                 if size >= RUN:
                     yield from flush()
@@ -170,8 +167,8 @@ def _cells(window: int, k: int):
                 yield from flush()
 
         def merge(table: pa.Table) -> pa.Table:
-            columns = {name: table.column(name).to_pylist() for name in ("shared", "lengths", "rests", "llen", "left")}
-            numbers = {name: [np.asarray(x.values) for x in table.column(name)] for name in ("h", "s", "c")}
+            columns = {name: table.column(name).to_pylist() for name in ("shared", "lengths", "rests", "llen", "left", "low", "high")}
+            numbers = {name: [np.asarray(x.values) for x in table.column(name)] for name in _OWN}
             u8 = lambda b: np.frombuffer(b, np.uint8)
             tree = LoserTree(
                 [decoded(u8(a), u8(b), r) for a, b, r in zip(columns["shared"], columns["lengths"], columns["rests"])]
@@ -183,12 +180,13 @@ def _cells(window: int, k: int):
             by_run = np.argsort(run, kind="stable")
             place[by_run] = np.arange(len(run))
             assert start[-1] == len(run)
-            h, s, c = (np.concatenate(numbers[name])[place] for name in ("h", "s", "c"))
+            h, s, c, g = (np.concatenate(numbers[name])[place] for name in _OWN)
+            low, high = (np.concatenate([u8(x) for x in columns[name]]).astype(np.int64)[place] for name in ("low", "high"))
             rlen = np.concatenate([u8(x) for x in columns["lengths"]]).astype(np.int64)[place]
             llen = np.concatenate([u8(x) for x in columns["llen"]]).astype(np.int64)
             left = np.zeros((len(run), before), np.uint8)
             left[np.arange(before) < llen[:, None]] = np.concatenate([u8(x) for x in columns["left"]])
-            back, ahead = repeats.reaches(lcp, rlen, llen[place], left[place], c, window)
+            back, ahead = repeats.reaches(lcp, rlen, llen[place], left[place], c, window, g, low, high)
             hit = back >= 0
             return pa.table({"h": h[hit], "s": s[hit], "back": back[hit], "ahead": ahead[hit]})
 

@@ -3,9 +3,10 @@
 The suffixes that can matter start at anchors (anchors.py).  They are split by prefixes of
 variable length: first by the hash of the anchor's eight words; prefixes go together into
 cells of bounded size, and one with more distinct suffixes than a cell may hold is extended
-to the length of whole windows (repeats.py).  A cell's suffixes make a suffix tree; its
+(repeats.py).  A cell's suffixes make a suffix tree; its
 internal nodes at depth d are the word sequences of length d that repeat, and a node that
-stays a node under extension to the left up to the window's length is a repeat.
+stays a node under extension to the left up to the window's length is a repeat.  A suffix that
+occurs several times with all its context is one suffix with its count.
 
 Words are maximal runs outside 0x20 and 0x09-0x0D.  A removed word is one that a window of
 `window` words covers whose sequence starts anywhere else too.  Null and empty texts have no
@@ -70,7 +71,8 @@ class SuffixTree:
         return out
 
 
-_CELL = "cell int, h array<long>, s array<long>, c array<long>, llen binary, rlen binary, left binary, right binary"
+_OWN = ("h", "s", "c", "g")
+_CELL = "cell int, h array<long>, s array<long>, c array<long>, g array<long>, low binary, high binary, llen binary, rlen binary, left binary, right binary"
 
 
 def _cells(window: int, k: int):
@@ -81,7 +83,7 @@ def _cells(window: int, k: int):
             for batch in repeats.unpacked(batches):
                 values, where, p = repeats.picked(batch, repeats.word_symbols)
                 codes = values if len(values) else np.zeros(1, np.uint64)
-                cell = p["h"].view(np.uint64) % np.uint64(n)
+                cell = tx.mix64(p["g"].view(np.uint64)) % np.uint64(n)
                 at = where[:, None]
                 right = codes[np.minimum(at + np.arange(window), len(codes) - 1)]
                 left = codes[np.maximum(at - 1 - np.arange(before), 0)]
@@ -90,7 +92,8 @@ def _cells(window: int, k: int):
                     yield pa.RecordBatch.from_pydict(
                         {
                             "cell": pa.array([int(c)], pa.int32()),
-                            **{x: pa.array([p[x][own]], pa.list_(pa.int64())) for x in ("h", "s", "c")},
+                            **{x: pa.array([p[x][own]], pa.list_(pa.int64())) for x in _OWN},
+                            **{x: [p[x][own].astype(np.uint8).tobytes()] for x in ("low", "high")},
                             "llen": [p["left"][own].astype(np.uint8).tobytes()],
                             "rlen": [p["right"][own].astype(np.uint8).tobytes()],
                             "left": [left[own].tobytes()],
@@ -99,9 +102,9 @@ def _cells(window: int, k: int):
                     )
 
         def solve(table: pa.Table) -> pa.Table:
-            h, s, c = (np.concatenate([np.asarray(x.values) for x in table.column(name).combine_chunks()]) for name in ("h", "s", "c"))
+            h, s, c, g = (np.concatenate([np.asarray(x.values) for x in table.column(name).combine_chunks()]) for name in _OWN)
             raw = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-            llen, rlen = raw("llen", np.uint8).astype(np.int64), raw("rlen", np.uint8).astype(np.int64)
+            llen, rlen, low, high = (raw(x, np.uint8).astype(np.int64) for x in ("llen", "rlen", "low", "high"))
             # words are compared by all 64 bits of their hashes; ranks stand for them
             rank = np.unique(np.concatenate([raw("left", np.uint64), raw("right", np.uint64)]), return_inverse=True)[1]
             left, right = rank[: len(h) * before].reshape(-1, before), rank[len(h) * before :].reshape(-1, window)
@@ -114,7 +117,7 @@ def _cells(window: int, k: int):
             at = np.flatnonzero(kept)
             order = tree.order[at]
             lcp = np.array([]) if not len(at) else np.where(np.append(True, np.diff(at) > 1), 0, tree.lcp[at])
-            back, ahead = repeats.reaches(lcp, rlen[order], llen[order], left[order], c[order], window)
+            back, ahead = repeats.reaches(lcp, rlen[order], llen[order], left[order], c[order], window, g[order], low[order], high[order])
             hit = back >= 0
             return pa.table({"h": h[order[hit]], "s": s[order[hit]], "back": back[hit], "ahead": ahead[hit]})
 
@@ -159,12 +162,12 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **settings) -> DataFrame:
     """docs with the repeated words cut out of `text`, each with the white space before it
     (after it where a text begins with it); what remains, and every other column, is as it was."""
-    schema = docs.schema
+    schema, own_text = docs.schema, common.column(docs, "text")
 
     def cut(batches):
-        for batch in repeats.unpacked(batches):
+        for batch in repeats.unpacked(batches, own_text):
             rows = batch.select(list(range(batch.num_columns - 1)))
-            at = rows.schema.get_field_index("text")
+            at = rows.schema.get_field_index(own_text)
             texts = rows.column(at)
             data, offsets = tx.utf8(texts)
             starts, ends, first = tx.words(data, offsets)

@@ -3,11 +3,13 @@
     anchors of every text, written
     -> anchors whose hash occurs twice, written
     -> distinct contexts of each hash, with their number of occurrences
-    -> a hash with one context: it is repeated as it is, whoever holds it
-    -> some contexts: one copy of each goes, with its hash, to a cell of about `per_cell`
-       contexts, where the operator's own method finds how far each is repeated
-    -> more than `largest` contexts of one hash: their windows themselves are the keys of
-       an aggregation, which no single task has to hold
+    -> one copy of each context goes to a cell of about `per_cell` contexts, dealt by the prefix
+       that its windows must share: the anchor itself, at first
+    -> where more than `per_cell` contexts share a prefix, the prefix is extended: the windows
+       that start at nearly the same place before the anchor share a longer one, and those of
+       each such range of starts are dealt by theirs, an eighth as many starts each time; a prefix that no other context shares goes
+    -> a prefix as long as the window is a repeated window, and needs no further comparison
+    -> in each cell the operator's own method finds how far each context is repeated
     -> spans of each document, joined to its row
 
 Counts are aggregated before they are shuffled and only distinct contexts travel, so a
@@ -28,7 +30,9 @@ from . import anchors, common
 from . import text as tx
 
 _ANCHOR = "h long, s long, k1 long, k2 int, first int, last int, n int, left short, right short"
-PICKED = [("h", pa.int64()), ("s", pa.int64()), ("c", pa.int64()), ("first", pa.int32()), ("left", pa.int16()), ("right", pa.int16())]
+#: A context on its way: hash of its anchor, its own, occurrences, what it is dealt by, the range of
+#: starts before the anchor that count, where it stands, and how far it reaches.
+_NUMBERS = ("h", "s", "c", "g", "low", "high", "k1", "k2", "first", "left", "right")
 
 #: symbols(data, offsets) -> (symbols, offsets in symbols): bytes, or a hash for each word
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -66,7 +70,7 @@ def _anchored(keyed: DataFrame, symbols: Symbols, window: int, k: int) -> DataFr
     return common.mapped(keyed.select("k1", "k2", "text"), run, _ANCHOR)
 
 
-def unpacked(batches):
+def unpacked(batches, text: str = "text"):
     """Slices of batches whose column `row` is replaced by its fields; the other columns follow
     and are known by their place, as a field may have the same name."""
     for batch in batches:
@@ -75,57 +79,59 @@ def unpacked(batches):
         fields = [f.name for f in row.type]
         others = [n for n in batch.schema.names if n != "row"]
         flat = pa.RecordBatch.from_arrays([*row.flatten(), *(batch.column(n) for n in others)], [*fields, *others])
-        yield from common.slices(iter([flat]))
+        yield from common.slices(iter([flat]), text)
 
 
 def picked(batch: pa.RecordBatch, symbols: Symbols):
-    """For a batch (text, picks) with picks an array of PICKED structs:
+    """For a batch (text, picks) with picks an array of structs of _NUMBERS:
     (symbols, position of each pick's anchor, arrays of the picks by name)."""
     values, offsets = symbols(*tx.utf8(batch.column("text")))
     picks = batch.column(batch.num_columns - 1)
     at = picks.offsets.to_numpy()
     flat = picks.values.slice(at[0], at[-1] - at[0])
-    columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name, _ in PICKED}
+    columns = {name: flat.field(name).to_numpy(zero_copy_only=False) for name in _NUMBERS}
     where = np.repeat(offsets[:-1], np.diff(at)) + columns["first"]
     return values, where, columns
 
 
-def _windows(texts: DataFrame, symbols: Symbols, window: int) -> DataFrame:
-    """(f1, f2, h, s, o, c): two hashes of each window of each pick, o symbols before its anchor."""
+_PREFIX = "f1 long, f2 long, h long, s long, c long, low short, high short, k1 long, k2 int, first int, left short, right short"
+
+
+def _prefixes(texts: DataFrame, symbols: Symbols, window: int, width: int) -> DataFrame:
+    """For each pick and each range [low, high] of at most `width` of its starts: two hashes of
+    what all windows that start so many symbols before the anchor share, where the context has it."""
 
     def run(batches):
         for batch in unpacked(batches):
             values, where, p = picked(batch, symbols)
+            other = values ^ np.uint8(0xA5) if values.dtype == np.uint8 else tx.mix64(values + np.uint64(1))
             order = np.argsort(where, kind="stable")
             for lo in range(0, len(order), 20_000):
                 some = order[lo : lo + 20_000]
-                low = np.maximum(0, window - p["right"][some].astype(np.int64))
-                many = np.maximum(0, p["left"][some].astype(np.int64) + 1 - low)
+                many = -(-(p["high"][some].astype(np.int64) - p["low"][some] + 1) // width)
                 row = np.repeat(some, many)
-                o = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-                start = where[row] - o
-                sort = np.argsort(start, kind="stable")
-                row, o, start = row[sort], o[sort], start[sort]
-                f1 = anchors._overlapping(values, start, start + window)
-                other = values ^ np.uint8(0xA5) if values.dtype == np.uint8 else tx.mix64(values + np.uint64(1))
-                f2 = anchors._overlapping(other, start, start + window)
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                low = p["low"][row].astype(np.int64) + nth * width
+                high = np.minimum(low + width - 1, p["high"][row])
+                there = (p["left"][row] >= low) & (p["right"][row] >= window - high)
+                row, low, high = row[there], low[there], high[there]
+                start, end = where[row] - low, where[row] + window - high
+                f1, f2 = (np.empty(len(row), np.uint64) for _ in range(2))
+                for size in np.unique(end - start).tolist():  # equal lengths ascend together
+                    own = np.flatnonzero(end - start == size)
+                    own = own[np.argsort(start[own], kind="stable")]
+                    f1[own] = anchors._overlapping(values, start[own], end[own])
+                    f2[own] = anchors._overlapping(other, start[own], end[own])
+                numbers = [pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16)), *(pa.array(p[x][row]) for x in ("k1", "k2", "first", "left", "right"))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x) for x in (f1.view(np.int64), f2.view(np.int64), p["h"][row], p["s"][row], o, p["c"][row]))],
-                    ["f1", "f2", "h", "s", "o", "c"],
+                    [pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *(pa.array(p[x][row]) for x in ("h", "s", "c")), *numbers],
+                    ["f1", "f2", "h", "s", "c", "low", "high", "k1", "k2", "first", "left", "right"],
                 )
 
-    return common.mapped(texts, run, "f1 long, f2 long, h long, s long, o long, c long")
+    return common.mapped(texts, run, _PREFIX)
 
 
-def marked(
-    docs: DataFrame,
-    symbols: Symbols,
-    window: int,
-    k: int,
-    cells: Callable[[DataFrame, int], DataFrame],
-    per_cell: int = 4_000,
-    largest: int = 50_000,
-) -> DataFrame:
+def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callable[[DataFrame, int], DataFrame], per_cell: int = 4_000) -> DataFrame:
     """Each row of docs (with a column text) as `row`, and `spans`: an array of
     struct(a, b), symbol positions [a, b) that repeated windows cover (null: none).
 
@@ -133,46 +139,51 @@ def marked(
     are repeated reach before and after the anchors of this hash and context.
     """
     spark = common.narrow(docs).sparkSession
+    doc_id, text = common.column(docs, "doc_id"), common.column(docs, "text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    key = ["doc_id", "text"] if "doc_id" in docs.columns else ["text"]
-    keys = [F.col("row")[c] for c in key]
+    keys = [F.col("row")[c] for c in ([doc_id, text] if doc_id in docs.columns else [text])]
     rows = rows.select(F.xxhash64(*keys).alias("k1"), F.hash(*reversed(keys)).alias("k2"), "row")
-    found = common.written(_anchored(rows.select("k1", "k2", F.col("row")["text"].alias("text")), symbols, window, k))
+    found = common.written(_anchored(rows.select("k1", "k2", F.col("row")[text].alias("text")), symbols, window, k))
     # joins with written tables can be split where a hash is hot; an aggregation below a join can't
     twice = common.written(found.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h"))
     again = common.written(found.join(twice.hint("merge"), "h", "left_semi"))
+    common.dropped(found, twice)
     contexts = again.groupBy("h", "s", "left", "right").agg(F.sum("n").alias("c"), F.min(F.struct("k1", "k2", "first")).alias("at"))
-    contexts = common.written(contexts)
-    several = common.written(contexts.groupBy("h").agg(F.count("*").alias("d")))
-    contexts = contexts.join(several.hint("merge"), "h")
-    contexts = common.written(contexts)
-    some = contexts.where(f"d > 1 and d <= {largest}")
-    huge = contexts.where(f"d > {largest}")
+    contexts = common.written(contexts.where(f"left + right >= {window}").select("h", "s", "c", "left", "right", "at.*"))
+    several = common.written(contexts.groupBy("h").agg(F.count("*").alias("d"), F.sum("c").alias("all")).where("all > 1").select("h", "d"))
+    small = lambda n: F.lit(n).cast("short")
+    open_ = contexts.join(several.hint("merge"), "h").withColumns({"g": F.col("h"), "low": small(0), "high": small(window - k)})
 
     # both uses of this exchange take the whole row, so that they stay one exchange
     texts = rows.repartition(common.partitions(spark), "k1", "k2")
 
     def picks(of: DataFrame) -> DataFrame:
-        wanted = of.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
-            F.collect_list(F.struct("h", "s", "c", F.col("at.first").alias("first"), "left", "right")).alias("picks")
-        )
-        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("row", "picks")
-
-    reach = contexts.where(f"d = 1 and left + right >= {window}").select(
-        "h", "s", F.col("left").cast("long").alias("back"), F.col("right").cast("long").alias("ahead")
-    )
-    n_some = some.count()
-    if n_some:
-        reach = reach.union(cells(picks(some), -(-n_some // per_cell)))
-    if not huge.isEmpty():
-        windows = common.written(_windows(picks(huge), symbols, window))
-        same = ["h", "o", "f1", "f2"]  # a window lies around several anchors, but alike around equal ones
-        repeated = windows.groupBy(*same).agg(F.sum("c").alias("copies")).where("copies > 1").select(*same)
-        reach = reach.union(
-            windows.join(repeated, same, "left_semi")
-            .groupBy("h", "s")
-            .agg(F.max("o").alias("back"), (window - F.min("o")).alias("ahead"))
-        )
+        wanted = of.groupBy("k1", "k2").agg(F.collect_list(F.struct(*_NUMBERS)).alias("picks"))
+        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select(F.struct(F.col("row")[text].alias("text")).alias("row"), "picks")
+
+    reach = None
+    width = window - k + 1
+    while True:
+        open_ = common.written(open_)
+        fit, width = open_.where(F.col("d") <= per_cell), max(1, width // 8)
+        n = fit.count()
+        if n:
+            own = cells(picks(fit), -(-n // per_cell))
+            reach = own if reach is None else reach.union(own)
+        hot = open_.where(F.col("d") > per_cell)
+        if hot.isEmpty():
+            break
+        longer = common.written(_prefixes(picks(hot), symbols, window, width))
+        same = ["h", "low", "f1", "f2"]
+        shared = common.written(longer.groupBy(*same).agg(F.count("*").alias("d"), F.sum("c").alias("all")).where("all > 1").drop("all"))
+        open_ = longer.join(shared.hint("merge"), same)
+        if width == 1:
+            reach_ = open_.groupBy("h", "s").agg(F.max("low").cast("long").alias("back"), (window - F.min("low")).cast("long").alias("ahead"))
+            reach = reach_ if reach is None else reach.union(reach_)
+            break
+        open_ = open_.withColumn("g", F.xxhash64("h", "low", "f1")).drop("f1", "f2")
+    if reach is None:
+        return texts.select("row", F.lit(None).cast("array<struct<a: long, b: long>>").alias("spans"))
     spans = (
         again.join(reach.hint("merge"), ["h", "s"])
         .groupBy("k1", "k2")
@@ -199,22 +210,23 @@ def classes_at(lcp: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(lcp < depth)
 
 
-def reaches(lcp, right, left, left_symbols, count, window: int) -> tuple[np.ndarray, np.ndarray]:
+def reaches(lcp, right, left, left_symbols, count, window: int, group, low, high) -> tuple[np.ndarray, np.ndarray]:
     """(back, ahead) of contexts sorted by what follows their anchor; back is -1 if no window
     is repeated.  lcp: common prefix with the context before; right, left: lengths;
-    left_symbols[i, j]: symbol j + 1 places before the anchor; count: occurrences.
+    left_symbols[i, j]: symbol j + 1 places before the anchor; count: occurrences; group: only
+    contexts of one group are compared; low, high: which starts before the anchor count.
 
     The window that starts o before the anchor is a node at depth window - o of the tree of
     the right sides, met with a class of the left sides that agree over o symbols.
     """
     n = len(lcp)
     back, ahead = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    before = np.zeros(n, np.int64)
-    for o in range(int(left.max(initial=0)) + 1):
+    before = np.unique(group, return_inverse=True)[1]
+    for o in range(int(np.minimum(left, high).max(initial=-1)) + 1):
         if o:
             cells = before * (1 << 32) + left_symbols[:, o - 1].astype(np.int64)
             before = np.unique(cells, return_inverse=True)[1]
-        fit = np.flatnonzero((left >= o) & (right >= window - o))
+        fit = np.flatnonzero((left >= o) & (right >= window - o) & (low <= o) & (o <= high))
         if not len(fit):
             continue
         after = classes_at(lcp, window - o)

@@ -33,15 +33,15 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize("largest, per_cell", [(50_000, 20_000), (1, 3), (4, 2)])
-def test_bytes(spark, largest, per_cell):
-    got = op1_suffix.repeated_bytes(cases.table(spark, ROWS), largest=largest, per_cell=per_cell).drop("spans").collect()
+@pytest.mark.parametrize("per_cell", [20_000, 3, 1])
+def test_bytes(spark, per_cell):
+    got = op1_suffix.repeated_bytes(cases.table(spark, ROWS), per_cell=per_cell).drop("spans").collect()
     cases.same_rows(got, brute_bytes(ROWS))
 
 
-@pytest.mark.parametrize("largest, per_cell", [(50_000, 20_000), (1, 3), (4, 2)])
-def test_words(spark, largest, per_cell):
-    got = op9_trees.repeated_words(cases.table(spark, ROWS), largest=largest, per_cell=per_cell).collect()
+@pytest.mark.parametrize("per_cell", [20_000, 3, 1])
+def test_words(spark, per_cell):
+    got = op9_trees.repeated_words(cases.table(spark, ROWS), per_cell=per_cell).collect()
     cases.same_rows(got, brute_words(ROWS))
 
 
@@ -133,3 +133,19 @@ def test_words_with_the_same_half_of_a_hash_differ(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = op9_trees.repeated_words(docs).collect()
     assert len(got) == len(texts) and all(r.n_words == 41 and r.n_removed == 0 for r in got)
+
+
+def test_one_passage_in_every_document(spark):
+    """Its anchors have more contexts than a cell may hold, so that their prefixes grow up to whole windows."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(r.choice("abcdefgh") * r.randrange(1, 6) + str(r.randrange(30)) for _ in range(n))
+    passage, tail = prose(36), prose(20)
+    texts = [" ".join([prose(r.randrange(40)), passage, tail if i % 3 else prose(12), prose(r.randrange(40))]) for i in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "Doc_Id long, TEXT string")
+    cases.same_rows(op1_suffix.repeated_bytes(docs, per_cell=6).drop("spans").collect(), brute_bytes(rows))
+    cases.same_rows(op9_trees.repeated_words(docs, per_cell=6).collect(), brute_words(rows))
+    cut = op9_trees.without_repeats(docs, per_cell=6)
+    assert cut.columns == docs.columns
+    left = {i: cases.sha(" ".join(cases.words(t)).encode()) for i, t in cut.collect()}
+    assert left == {i: digest for i, _, _, digest in brute_words(rows)}
