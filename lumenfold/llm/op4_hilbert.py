@@ -327,14 +327,14 @@ def _visit(k: int):
 
 
 def _distance(a: str, b: str):
-    """Euclidean distance of two array<double> columns: squares summed in order; differences
-    whose squares leave the range of doubles are scaled by a power of two first."""
+    """Euclidean distance of two array<double> columns: squares summed in order; sums that leave
+    the range of doubles are taken again, of differences scaled by a power of two."""
     apart = F.zip_with(a, b, lambda x, y: x - y)
+    total = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     most = F.array_max(F.transform(apart, F.abs))
-    odd = (most > 1e150) | ((most > 0) & (most < 1e-140))
-    by = F.when(odd & (most < float("inf")), F.pow(F.lit(2.0), F.floor(F.log2(most)).cast("double"))).otherwise(F.lit(1.0))
-    total = F.aggregate(F.transform(apart, lambda x: (x / by) * (x / by)), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(total) * by
+    by = F.when((most > 0) & (most < float("inf")), F.pow(F.lit(2.0), F.floor(F.log2(most)).cast("double"))).otherwise(F.lit(1.0))
+    scaled = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + (x / by) * (x / by))) * by
+    return F.when((total > 1e-280) & (total < 1e300), F.sqrt(total)).otherwise(scaled)
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = 4096, recall: float = 0.94) -> DataFrame:
