@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from .candidates import near_scenes
 from ..functions import camera as C
 from ..functions.vectors import dot, minus, unit, vec
 
@@ -34,8 +36,10 @@ def grid_scores(cameras: DataFrame, box: DataFrame) -> DataFrame:
 
 def first_hits(scenes: DataFrame, points: DataFrame, radius=1.0, min_points=8, nearest=1.0, farthest=300.0, quantile=0.05, depth=1.0) -> DataFrame:
     """scenes(scene_code, cam_x.., fwd_x..): hit_count and anchor_range of the first surface along
-    each ray (null where too few points are met).  Points in the tube alone are ranked."""
-    met = scenes.select("scene_code", "cam_x", "cam_y", "cam_z", "fwd_x", "fwd_y", "fwd_z").crossJoin(points.select("x", "y", "z"))
+    each ray (null where too few points are met).  Rays meet the points of the cells in their
+    reach, and points in the tube alone are ranked."""
+    rays = scenes.select("scene_code", "cam_x", "cam_y", "cam_z", "fwd_x", "fwd_y", "fwd_z")
+    met = near_scenes(points.select("x", "y", "z"), rays, farthest + radius)
     rel = minus(vec("x", "y", "z"), vec("cam_x", "cam_y", "cam_z"))
     along = dot(rel, unit(vec("fwd_x", "fwd_y", "fwd_z")))
     met = met.select("scene_code", along.alias("along"), F.greatest(dot(rel, rel) - along * along, F.lit(0.0)).alias("perp2"))
@@ -81,6 +85,12 @@ def resolved(hits: DataFrame, ground: DataFrame, method: str = "first_hit_pointc
     return out
 
 
+def ground(points: DataFrame, share: float = 0.05) -> DataFrame:
+    """One row: ground_z, the low percentile of all z."""
+    found = ranks.percentiles(points, "z", [share]).get(None)
+    return points.sparkSession.createDataFrame([(found[1][0] if found else None,)], "ground_z double")
+
+
 def center(anchors: DataFrame) -> DataFrame:
     """The medians of the anchors, and the median distance of the cameras to them."""
     middle = anchors.agg(*[F.median(f"anchor_{c}").alias(f"center_{c}") for c in "xyz"])
@@ -109,15 +119,12 @@ def target_points(points: DataFrame, box: dict[str, tuple[float, float]], least:
 
 def top_and_base(points: DataFrame) -> DataFrame:
     """Mean positions of the points at or above the 95th rank of z, and at or below the 5th.
-    The two thresholds come from percentile sketches' exact ranks, not from a global sort."""
-    n = points.count()
-    hi, lo = max(0, int(0.95 * n) - 1), min(n - 1, max(0, int(0.05 * n)))
-    counts = points.groupBy("z").agg(F.count("*").alias("k"))
-    running = counts.withColumn("upto", F.sum("k").over(Window.orderBy("z")))
-    cut = running.agg(F.min(F.when(F.col("upto") > hi, F.col("z"))).alias("z_hi"), F.min(F.when(F.col("upto") > lo, F.col("z"))).alias("z_lo"))
-    met = points.crossJoin(F.broadcast(cut))
-    sides = {"top": F.col("z") >= F.col("z_hi"), "base": F.col("z") <= F.col("z_lo")}
-    return met.agg(*[F.avg(F.when(cond, F.col(c))).alias(f"{side}_{c}") for side, cond in sides.items() for c in "xyz"])
+    The two ranks' values come from ranks.py; nothing is sorted as a whole."""
+    high, low = (lambda n: max(0, int(0.95 * n) - 1)), (lambda n: min(n - 1, max(0, int(0.05 * n))))
+    n, at = ranks.order_statistics(points, "z", lambda n: [high(n), low(n)]).get(None, (0, {}))
+    z_hi, z_lo = (F.lit(at.get(f(n))).cast("double") for f in (high, low))
+    sides = {"top": F.col("z") >= z_hi, "base": F.col("z") <= z_lo}
+    return points.agg(*[F.avg(F.when(cond, F.col(c))).alias(f"{side}_{c}") for side, cond in sides.items() for c in "xyz"])
 
 
 def annotation_status(status, u_top, v_top, u_base, v_base):

@@ -1,7 +1,8 @@
 """Candidate views: points against scenes, scored, the best K for each point.
 
-Scenes are few by the data model (a flight's images), so their side is broadcast only after
-its number was counted; a larger set goes through a partitioned nested join instead.
+A point meets the scenes of its own and the surrounding cells of a grid as wide as the range.
+The scenes' side is broadcast only after its number was counted: then the points are not
+shuffled at all; a larger set is joined by cells, and a hot cell's points can be split.
 """
 
 from __future__ import annotations
@@ -17,11 +18,21 @@ from ..functions.vectors import clip01, vec
 BROADCAST_SCENES = 20_000
 
 
+def near_scenes(points: DataFrame, scenes: DataFrame, reach: float) -> DataFrame:
+    """points(x, y, ...) with each of scenes(cam_x, cam_y, ...) that can be within reach of them."""
+    few = scenes.limit(BROADCAST_SCENES + 1).count() <= BROADCAST_SCENES
+    around = scenes
+    for c in "xy":
+        own = F.floor(F.col(f"cam_{c}") / reach)
+        around = around.withColumn(f"_cell_{c}", F.explode(F.array(*[own + d for d in (-1, 0, 1)])))
+    placed = points.withColumns({f"_cell_{c}": F.floor(F.col(c) / reach) for c in "xy"})
+    return placed.join(F.broadcast(around) if few else around, ["_cell_x", "_cell_y"]).drop("_cell_x", "_cell_y")
+
+
 def projected(points: DataFrame, scenes: DataFrame, max_range: float = 300.0, **image) -> DataFrame:
     """points(point_id, x, y, z, ...) and scenes(scene_code, cam_x.., r11..r33, ...): pairs that
     are in the image and within range, with u, v, range_m, offaxis_deg, border_px."""
-    few = scenes.limit(BROADCAST_SCENES + 1).count() <= BROADCAST_SCENES
-    pairs = points.crossJoin(F.broadcast(scenes) if few else scenes)
+    pairs = near_scenes(points, scenes, max_range)
     rows = tuple(vec(*[f"r{i}{j}" for j in (1, 2, 3)]) for i in (1, 2, 3))
     made = C.project(vec("x", "y", "z"), vec("cam_x", "cam_y", "cam_z"), rows, **image)
     return pairs.withColumns(made).where(F.col("inside") & (F.col("range_m") <= max_range)).drop("inside")

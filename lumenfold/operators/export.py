@@ -8,19 +8,17 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def stretched(df: DataFrame, columns: list[str], low: float = 0.0005, high: float = 0.9995) -> DataFrame:
     """Each column between its percentiles as 0..255, rounded half to even; unknown values are 0."""
-    q = []
-    for c in columns:
-        x = F.when(~F.isnan(c), F.col(c))
-        q += [F.percentile(x, F.lit(low)).alias(f"_{c}_lo"), F.percentile(x, F.lit(high)).alias(f"_{c}_hi"), F.min(x).alias(f"_{c}_min"), F.max(x).alias(f"_{c}_max")]
-    out = df.crossJoin(F.broadcast(df.agg(*q)))
+    found = ranks.percentiles(ranks.long(df, columns), "x", [low, high, 0.0, 1.0], "name")
+    out = df
     for c in columns:
-        flat = F.col(f"_{c}_hi") <= F.col(f"_{c}_lo")
-        lo = F.when(flat, F.col(f"_{c}_min")).otherwise(F.col(f"_{c}_lo"))
-        hi = F.when(flat, F.col(f"_{c}_max")).otherwise(F.col(f"_{c}_hi"))
-        hi = F.when(hi <= lo, lo + 1e-6).otherwise(hi)
+        lo, hi, least, most = found[c][1] if c in found else (0.0, 1.0, 0.0, 1.0)
+        lo, hi = (least, most) if hi <= lo else (lo, hi)
+        hi = lo + 1e-6 if hi <= lo else hi
         unit = F.least(F.greatest((F.col(c) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
         out = out.withColumn(f"{c}_u8", F.coalesce(F.when(~F.isnan(c), F.rint(unit * 255.0)), F.lit(0.0)).cast("int"))
     return out.select(*df.columns, *[f"{c}_u8" for c in columns])

@@ -1,16 +1,18 @@
 """Scene gains from overlaps, their stability, and fusion weighted by quality.
 
 The two-way fit runs on all bands at once.  Scene effects are few and broadcast; the rows are
-written once to the shared folder, so an iteration is two aggregations and no lineage grows.
+written once to the shared folder, in files by point, so an iteration is two aggregations and
+no lineage grows.  Percentiles are those of ranks.py.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from ..sources import shared
+
 
 def unpivoted(views: DataFrame, bands: list[str], keep: list[str]) -> DataFrame:
     """keep, band (number from 1) and value."""
@@ -22,9 +24,11 @@ def fit_rows(long: DataFrame, low=1e-6, high=2.0, trim=(0.01, 0.99), min_views=2
     inside = long.where((F.col("value") > low) & (F.col("value") < high))
     n = lambda *by: F.count("*").over(Window.partitionBy(*by))
     rows = inside.withColumn("views", n("band", "point_id")).where(F.col("views") >= min_views)
-    rows = rows.withColumn("y", F.ln(F.greatest("value", F.lit(low))))
-    limits = rows.groupBy("band").agg(F.count("*").alias("rows"), *[F.percentile("y", F.lit(p)).alias(n_) for p, n_ in zip(trim, ("lo", "hi"))])
-    limits = limits.where(F.col("rows") >= min_rows)
+    rows = rows.withColumn("y", F.ln(F.greatest("value", F.lit(low)))).select("band", "point_id", "scene_code", "y", "w")
+    rows = shared.written(rows)
+    found = ranks.percentiles(rows, "y", list(trim), "band")
+    limits = [(int(band), *at) for band, (n, at) in found.items() if n >= min_rows]
+    limits = long.sparkSession.createDataFrame(limits, "band int, lo double, hi double")
     kept = rows.join(F.broadcast(limits), "band").where(F.col("y").between(F.col("lo"), F.col("hi")))
     return kept.select("band", "point_id", "scene_code", "y", F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0)).alias("w"))
 
@@ -46,14 +50,11 @@ def iterate(rows: DataFrame, effects: DataFrame, valid: DataFrame) -> DataFrame:
     return scene.select("band", "scene_code", F.when(F.col("valid"), F.col("raw") - center).otherwise(F.lit(0.0)).alias("effect"))
 
 
-def fitted(rows: DataFrame, iterations: int = 20, tolerance: float = 1e-5, min_scene_rows: int = 1000, gain=(0.5, 2.0), folder: str | None = None) -> DataFrame:
+def fitted(rows: DataFrame, iterations: int = 20, tolerance: float = 1e-5, min_scene_rows: int = 1000, gain=(0.5, 2.0)) -> DataFrame:
     """band, scene_code, gain.  Effects (bands times scenes) pass through the driver each step;
     the number of scenes is that of a flight's images.  Bands with fewer than two valid scenes gain 1."""
     spark = rows.sparkSession
-    if folder:
-        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        rows = spark.read.parquet(path)
+    rows = shared.written(rows)
     counts = rows.groupBy("band", "scene_code").agg(F.count("*").alias("n"))
     enough = F.count_if(F.col("n") >= min_scene_rows).over(Window.partitionBy("band")) >= 2
     valid = counts.select("band", "scene_code", ((F.col("n") >= min_scene_rows) & enough).alias("valid")).toPandas()
@@ -107,18 +108,20 @@ def view_weights(views: DataFrame, scene_weights: DataFrame | None = None, high=
         views = views.join(F.broadcast(scene_weights), "scene_code", "left")
         w = w * F.coalesce("stability", F.lit(1.0))
     out = views.withColumn("w", F.when(w > 1e-12, w).otherwise(F.lit(1.0)))
-    middle = out.agg(F.percentile("w", F.lit(0.5)).alias("middle"))
-    return out.crossJoin(F.broadcast(middle)).withColumn("w", F.when(F.col("middle") > 1e-12, F.col("w") / F.col("middle")).otherwise(F.col("w"))).drop("middle")
+    out = shared.written(out)
+    middle = ranks.percentiles(out, "w", [0.5]).get(None, (0, [1.0]))[1][0]
+    return out.withColumn("w", F.col("w") / middle) if middle > 1e-12 else out
 
 
 def clipped(views: DataFrame, bands: dict[str, int], low=0.005, high=0.98, margin=0.0) -> DataFrame:
     """Bands (column: number) bounded by their global percentiles; reflectances at least 0,
     index bands in [-1, 1] (the ratio band has no bounds)."""
-    q = views.agg(*[F.percentile(b, F.lit(p)).alias(f"{b}_{n}") for b in bands for n, p in (("lo", low), ("hi", high))])
-    out = views.crossJoin(F.broadcast(q))
+    out = views = shared.written(views)
+    found = ranks.percentiles(ranks.long(views, list(bands)), "x", [low, high], "name")
     for b, number in bands.items():
-        span = F.greatest(F.col(f"{b}_hi") - F.col(f"{b}_lo"), F.lit(1e-12)) * margin
-        x = F.least(F.greatest(F.col(b), F.col(f"{b}_lo") - span), F.col(f"{b}_hi") + span)
+        lo, hi = found[b][1] if b in found else (0.0, 0.0)
+        span = max(hi - lo, 1e-12) * margin
+        x = F.least(F.greatest(F.col(b), F.lit(lo - span)), F.lit(hi + span))
         if number <= 164:
             x = F.greatest(x, F.lit(0.0))
         elif number != 166:

@@ -1,23 +1,25 @@
 """Views of the benchmark tables as points, scenes, times, observations and spectra.
 
 One SQL text serves both engines: in Spark table names become Parquet paths, elsewhere they
-are the registered tables.  The mapping is that of FIXTURES.md: all parts and line items are
-used, but scenes are only the suppliers below key 49 and spectra only the vectors below 500,
-at every size, so these two sides don't grow with the tables.
+are the registered tables.  The mapping is that of FIXTURES.md, but for its two cuts: every
+row of every table is used.  Points and scenes lie at sites a kilometre apart, 1000 points and
+49 scenes at each, so both sides grow with the tables and a scene sees its own site; an
+observation's spectrum is one of all vectors.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTS = """SELECT p_partkey AS point_id, CAST(p_partkey % 50 AS DOUBLE) / 5 AS x, floor(CAST(p_partkey AS DOUBLE) / 50) / 5 AS y,
+POINTS = """SELECT p_partkey AS point_id, 1000 * floor(CAST(p_partkey AS DOUBLE) / 1000) + CAST(p_partkey % 50 AS DOUBLE) / 5 AS x,
+  floor(CAST(p_partkey % 1000 AS DOUBLE) / 50) / 5 AS y,
   CAST(p_size AS DOUBLE) / 10 AS z, CAST(p_partkey % 7 AS DOUBLE) - 3 AS nx_raw, CAST(p_partkey % 5 AS DOUBLE) - 2 AS ny_raw,
   CAST(1 + p_partkey % 4 AS DOUBLE) AS nz_raw, CAST(p_partkey % 11 AS DOUBLE) / 10 AS normal_confidence FROM {part}"""
 
 SCENES = """SELECT s_suppkey AS scene_code, s_name AS scene_id, s_nationkey AS group_key,
-  5 + 25 * cos(2 * pi() * s_suppkey / 49) AS cam_x, 4 + 25 * sin(2 * pi() * s_suppkey / 49) AS cam_y,
+  1000 * floor(CAST(s_suppkey AS DOUBLE) / 49) AS site_x, 1000 * floor(CAST(s_suppkey AS DOUBLE) / 49) + 5 + 25 * cos(2 * pi() * s_suppkey / 49) AS cam_x, 4 + 25 * sin(2 * pi() * s_suppkey / 49) AS cam_y,
   CAST(30 + 10 * (s_suppkey % 3) AS DOUBLE) AS cam_z, CAST(114 AS DOUBLE) + CAST(s_suppkey AS DOUBLE) / 1000 AS cam_lon,
-  CAST(26 AS DOUBLE) + CAST(s_nationkey AS DOUBLE) / 1000 AS cam_lat FROM {supplier} WHERE s_suppkey < 49"""
+  CAST(26 AS DOUBLE) + CAST(s_nationkey AS DOUBLE) / 1000 AS cam_lat FROM {supplier}"""
 
 TIMES = "SELECT user_id AS scene_code, min(ts) AS acquisition_time FROM {events} GROUP BY user_id"
 
@@ -40,7 +42,8 @@ FROM (SELECT d.*, sum(CASE WHEN is_clear THEN 1 ELSE 0 END) OVER (PARTITION BY p
 BANDS = (12, 26, 40, 51, 60)
 SPECTRA = (
     "SELECT o.*, " + ", ".join(f"0.7 + CAST({{at{b}}} AS DOUBLE) AS b{i}" for i, b in enumerate(BANDS, 1))
-    + " FROM ({observations}) o JOIN {embeddings} m ON m.vec_id = (o.point_id * 31 + o.scene_code * 17) % 500"
+    + " FROM (SELECT e.*, (e.point_id * 31 + e.scene_code * 17) % k.n_vectors AS spectrum_id FROM ({observations}) e CROSS JOIN (SELECT count(*) AS n_vectors FROM {embeddings}) k) o"
+    + " JOIN {embeddings} m ON m.vec_id = o.spectrum_id"
 )
 
 TABLES = ("part", "supplier", "events", "lineitem", "embeddings")

@@ -194,7 +194,7 @@ def _(spark, d):
 
 def _cams(spark, d):
     s = view(spark, d, "scenes")
-    return C.with_frame(s, vec(5.0 - F.col("cam_x"), 4.0 - F.col("cam_y"), 2.5 - F.col("cam_z")))
+    return C.with_frame(s, vec(F.col("site_x") + 5.0 - F.col("cam_x"), 4.0 - F.col("cam_y"), 2.5 - F.col("cam_z")))
 
 
 def _points(spark, d):
@@ -258,13 +258,13 @@ def _(spark, d):
     return o.select("point_id", "scene_code", C.in_window(F.col("u"), F.col("v"), WINDOW).alias("inside"), C.window_distance(F.col("u"), F.col("v"), WINDOW).alias("distance"))
 
 
-@query("q_view_residual", "scene_code", "az_residual zen_residual plane_x plane_y radius azimuth zenith", f"""{ctes("scenes")}, r AS (SELECT *, 5 - cam_x AS dx, 4 - cam_y AS dy, 2.5::DOUBLE - cam_z AS dz FROM scenes),
+@query("q_view_residual", "scene_code", "az_residual zen_residual plane_x plane_y radius azimuth zenith", f"""{ctes("scenes")}, r AS (SELECT *, site_x + 5 - cam_x AS dx, 4 - cam_y AS dy, 2.5::DOUBLE - cam_z AS dz FROM scenes),
 s AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM r) ;;
 SELECT scene_code, abs({T.pm(T.pm("degrees(atan2(dx, dy))") + " - scene_code * 37 % 360 + 180")} - 180) AS az_residual, abs(180 - {T.degacos("dz / n")} - (20 + scene_code % 40)) AS zen_residual,
  cam_x + (1.5::DOUBLE - cam_z) / dz * dx AS plane_x, cam_y + (1.5::DOUBLE - cam_z) / dz * dy AS plane_y, n AS radius, {T.pm("degrees(atan2(-dx, -dy))")} AS azimuth, {T.degacos("-dz / n")} AS zenith FROM s""")
 def _(spark, d):
     s = view(spark, d, "scenes")
-    cam, target = vec("cam_x", "cam_y", "cam_z"), vec(5.0, 4.0, 2.5)
+    cam, target = vec("cam_x", "cam_y", "cam_z"), vec(F.col("site_x") + 5.0, 4.0, 2.5)
     az, ze = C.view_residual(cam, target, (F.col("scene_code") * 37 % 360).cast("double"), (20 + F.col("scene_code") % 40).cast("double"))
     plane = C.ray_plane(cam, tuple(t - c for t, c in zip(target, cam)), F.lit(1.5))
     r, a, z = C.spherical(cam, target)
@@ -305,7 +305,7 @@ occ AS (SELECT point_id, scene_code, CASE WHEN n >= 2 THEN blockers ELSE 0 END A
 
 def _occluded(spark, d):
     best = _best(spark, d)
-    return best, neighbours.occlusion(best, neighbours.nearest(view(spark, d, "points"), 1.2, 64))
+    return best, neighbours.occlusion(best, neighbours.nearest(view(spark, d, "points"), 1.2, 256))
 
 
 @query("q_occlusion", "point_id scene_code blocker_count:long front_count:long tube_clear cone_clear", "local_empty_cone_deg", f"""{_OCCLUDED} ;;
@@ -485,9 +485,9 @@ def _(spark, d):
     return e.select("vec_id", "band", spectral.band_name(F.col("band")).alias("name"), spectral.corrected(F.col("x"), F.col("band")).alias("value"))
 
 
-@query("q_band_metadata", "band:int name index_band nearest:int", "", "b AS (SELECT unnest(range(1, 169)) AS band) ;; SELECT band, CASE band WHEN 165 THEN 'NDVI' WHEN 166 THEN 'RVI' WHEN 167 THEN 'MSAVI' WHEN 168 THEN 'NDWI' ELSE 'band_' || CAST(band AS VARCHAR) END AS name, band >= 165 AS index_band, CASE WHEN (400 + 3 * band) BETWEEN 667 AND 673 THEN 90 ELSE 0 END AS nearest FROM b")
+@query("q_band_metadata", "band:int name index_band nearest:int", "", "b AS (SELECT DISTINCT CAST(1 + vec_id % 168 AS INT) AS band FROM embeddings) ;; SELECT band, CASE band WHEN 165 THEN 'NDVI' WHEN 166 THEN 'RVI' WHEN 167 THEN 'MSAVI' WHEN 168 THEN 'NDWI' ELSE 'band_' || CAST(band AS VARCHAR) END AS name, band >= 165 AS index_band, CASE WHEN (400 + 3 * band) BETWEEN 667 AND 673 THEN 90 ELSE 0 END AS nearest FROM b")
 def _(spark, d):
-    b = spark.range(1, 169).select(F.col("id").cast("int").alias("band"))
+    b = spark.read.parquet(f"{d}/embeddings.parquet").select((1 + F.col("vec_id") % 168).cast("int").alias("band")).distinct()
     near = spectral.nearest_band([400.0 + 3 * i for i in range(1, 169)], 670.0, 81)
     return b.select("band", spectral.band_name(F.col("band")).alias("name"), (F.col("band") >= 165).alias("index_band"),
                     F.when(F.abs(400 + 3 * F.col("band") - 670) <= 3, near).otherwise(0).alias("nearest"))
@@ -636,7 +636,7 @@ anchors AS (SELECT *, cam_x + t * r31 AS anchor_x, cam_y + t * r32 AS anchor_y,
 def _anchors(spark, d):
     p = view(spark, d, "points")
     hits = anchors.first_hits(_cams(spark, d).withColumnsRenamed({"r31": "fwd_x", "r32": "fwd_y", "r33": "fwd_z"}), p)
-    return anchors.resolved(hits, p.agg(F.percentile("z", F.lit(0.05)).alias("ground_z")))
+    return anchors.resolved(hits, anchors.ground(p))
 
 
 @query("q_first_hit_anchor", "scene_code anchor_source hit_count:long", "anchor_x anchor_y anchor_z", f"{_HITS} ;; SELECT * FROM anchors")
@@ -745,7 +745,7 @@ def calibration_marks(spark: SparkSession, d: str) -> DataFrame:
     rows = tuple(vec(*[f"r{i}{j}" for j in (1, 2, 3)]) for i in (1, 2, 3))
     turn = rotation(vec(1.0, 0.5, 0.2), (2 + F.col("scene_code") % 3).cast("double"))
     turned = product(turn, rows)
-    ends = {"top": vec(5.0, 4.0, 4.0), "base": vec(5.5, 4.2, 0.5)}
+    ends = {"top": vec(F.col("site_x") + 5.0, 4.0, 4.0), "base": vec(F.col("site_x") + 5.5, 4.2, 0.5)}
     cam = vec("cam_x", "cam_y", "cam_z")
     cols = {}
     fx, fy, cx, cy = C.intrinsics(1886, 1886, 35.0, 35.0)
@@ -757,17 +757,19 @@ def calibration_marks(spark: SparkSession, d: str) -> DataFrame:
     return s.select("scene_id", status.alias("status"), F.array(*[c for row in rows for c in row]).alias("r"), F.array(*cam).alias("cam"), *[v.alias(k) for k, v in cols.items()])
 
 
-@query("q_bilinear_sample", "point_id scene_code", "value", f"""{ctes('observations')}, p AS (SELECT *, least(u / 20, 63) AS a, least(v / 20, 63) AS b FROM observations), g AS (SELECT *, floor(a) AS x0, floor(b) AS y0, least(floor(a) + 1, 63) AS x1, least(floor(b) + 1, 63) AS y1 FROM p),
+@query("q_bilinear_sample", "point_id scene_code", "value", f"""{ctes('observations')}, m AS (SELECT count(*) - 1 AS y_last FROM embeddings), p AS (SELECT *, u * 63 / 1885 AS a, v * y_last / 1885 AS b FROM observations, m), g AS (SELECT *, floor(a) AS x0, floor(b) AS y0, least(floor(a) + 1, 63) AS x1, least(floor(b) + 1, y_last) AS y1 FROM p),
 e AS (SELECT vec_id, embedding FROM embeddings),
 j AS (SELECT g.*, CAST(e0.embedding[CAST(x0 AS INT) + 1] AS DOUBLE) AS t0, CAST(e0.embedding[CAST(x1 AS INT) + 1] AS DOUBLE) AS t1, CAST(e1.embedding[CAST(x0 AS INT) + 1] AS DOUBLE) AS l0, CAST(e1.embedding[CAST(x1 AS INT) + 1] AS DOUBLE) AS l1
  FROM g JOIN e e0 ON e0.vec_id = y0 JOIN e e1 ON e1.vec_id = y1) ;;
 SELECT point_id, scene_code, (t0 * (1 - (a - x0)) + t1 * (a - x0)) * (1 - (b - y0)) + (l0 * (1 - (a - x0)) + l1 * (a - x0)) * (b - y0) AS value FROM j""")
 def _(spark, d):
-    o = view(spark, d, "observations").select("point_id", "scene_code", F.least(F.col("u") / 20, F.lit(63.0)).alias("a"), F.least(F.col("v") / 20, F.lit(63.0)).alias("b"))
-    o = o.withColumns({"x0": F.floor("a").cast("int"), "y0": F.floor("b").cast("int")})
-    o = o.withColumns({"x1": F.least(F.col("x0") + 1, F.lit(63)), "y1": F.least(F.col("y0") + 1, F.lit(63))})
-    lines = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 64").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    o = o.join(F.broadcast(lines.select(F.col("vec_id").alias("y0"), F.col("e").alias("e0"))), "y0").join(F.broadcast(lines.select(F.col("vec_id").alias("y1"), F.col("e").alias("e1"))), "y1")
+    # the image: a line of 64 samples for each vector
+    image = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    last = image.agg((F.count("*") - 1).alias("y_last"))
+    o = view(spark, d, "observations").crossJoin(F.broadcast(last)).select("point_id", "scene_code", (F.col("u") * 63 / 1885).alias("a"), (F.col("v") * F.col("y_last") / 1885).alias("b"), "y_last")
+    o = o.withColumns({"x0": F.floor("a").cast("int"), "y0": F.floor("b")})
+    o = o.withColumns({"x1": F.least(F.col("x0") + 1, F.lit(63)), "y1": F.least(F.col("y0") + 1, "y_last")})
+    o = o.join(image.select(F.col("vec_id").alias("y0"), F.col("e").alias("e0")), "y0").join(image.select(F.col("vec_id").alias("y1"), F.col("e").alias("e1")), "y1")
     fx, fy = F.col("a") - F.col("x0"), F.col("b") - F.col("y0")
     across = lambda e: F.element_at(e, F.col("x0") + 1) * (1.0 - fx) + F.element_at(e, F.col("x1") + 1) * fx
     return o.select("point_id", "scene_code", (across("e0") * (1.0 - fy) + across("e1") * fy).alias("value"))

@@ -36,7 +36,7 @@ def solar(source: str, keep: str, micros: str, lat: str, lon: str) -> str:
  ))))))))"""
 
 
-CAMS = """cam0 AS (SELECT *, 5 - cam_x AS dx, 4 - cam_y AS dy, 2.5::DOUBLE - cam_z AS dz FROM scenes),
+CAMS = """cam0 AS (SELECT *, site_x + 5 - cam_x AS dx, 4 - cam_y AS dy, 2.5::DOUBLE - cam_z AS dz FROM scenes),
 cam1 AS (SELECT *, dx / sqrt(dx * dx + dy * dy + dz * dz) AS r31, dy / sqrt(dx * dx + dy * dy + dz * dz) AS r32, dz / sqrt(dx * dx + dy * dy + dz * dz) AS r33 FROM cam0),
 cam2 AS (SELECT *, r32 / sqrt(r31 * r31 + r32 * r32) AS r11, -r31 / sqrt(r31 * r31 + r32 * r32) AS r12, 0::DOUBLE AS r13 FROM cam1),
 cams AS (SELECT *, r32 * r13 - r33 * r12 AS r21, r33 * r11 - r31 * r13 AS r22, r31 * r12 - r32 * r11 AS r23 FROM cam2)"""
@@ -83,7 +83,7 @@ NEAR = """cells AS (SELECT point_id, x, y, z, CAST(floor(x / 1.2::DOUBLE) AS BIG
 spread AS (SELECT point_id, x, y, z, cx + a AS cx, cy + b AS cy, cz + c AS cz FROM cells, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c)),
 met AS (SELECT a.point_id, b.point_id AS other_id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM spread a JOIN cells b USING (cx, cy, cz)),
 pairs AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM met WHERE dx * dx + dy * dy + dz * dz < 1.2::DOUBLE * 1.2::DOUBLE),
-near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, other_id) AS nth FROM pairs WHERE point_id <> other_id) WHERE nth <= 64)"""
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, other_id) AS nth FROM pairs WHERE point_id <> other_id) WHERE nth <= 256)"""
 
 
 def quality_level() -> str:
