@@ -91,6 +91,11 @@ def select_bands(wavelengths: list[float], numbers: list[int] | None = None, tar
     return list(range(1, len(wavelengths) + 1))
 
 
+def directional_bands(wanted: list[int], for_table: list[int], n_bands: int) -> list[int]:
+    """Both lists' band numbers in order, those outside 1..n_bands left out."""
+    return sorted({b for b in [*wanted, *for_table] if 1 <= b <= n_bands})
+
+
 def nearest_band(wavelengths: list[float | None], target: float, fallback: int, tolerance: float = 3.0) -> int:
     """The number of the nearest valid wavelength within the tolerance, or the fallback."""
     near = [(abs(w - target), i + 1) for i, w in enumerate(wavelengths) if w is not None and w > 0]

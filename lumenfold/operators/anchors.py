@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ranks
 from .candidates import near_scenes
 from ..functions import camera as C
+from ..functions import mapgrid
 from ..functions.vectors import dot, minus, unit, vec
 
 
@@ -34,6 +35,21 @@ def grid_scores(cameras: DataFrame, box: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("hits") * 1000.0 - F.col("distance") - 2.0 * F.col("az") - 2.0 * F.col("zen"))
 
 
+def choose_grid(cameras: DataFrame, box: DataFrame, catalogue: list[dict], forced: str = "") -> tuple[str, DataFrame]:
+    """(name of the best entry, scores by falling score) of cameras(cam_lon, cam_lat, az_residual,
+    zen_residual); with a forced name only that entry is scored."""
+    some = [c for c in catalogue if not forced or c["name"] == forced]
+    if not some:
+        raise ValueError("no grid to choose from")
+    placed = None
+    for entry in some:
+        x, y = mapgrid.candidate(F.col("cam_lon"), F.col("cam_lat"), entry)
+        part = cameras.select(F.lit(entry["name"]).alias("name"), x.alias("cam_x"), y.alias("cam_y"), "az_residual", "zen_residual")
+        placed = part if placed is None else placed.union(part)
+    scores = grid_scores(placed, box).orderBy(F.desc("score"), "name")
+    return scores.first()["name"], scores
+
+
 def first_hits(scenes: DataFrame, points: DataFrame, radius=1.0, min_points=8, nearest=1.0, farthest=300.0, quantile=0.05, depth=1.0) -> DataFrame:
     """scenes(scene_code, cam_x.., fwd_x..): hit_count and anchor_range of the first surface along
     each ray (null where too few points are met).  Rays meet the points of the cells in their

@@ -30,10 +30,28 @@ def numbered(views: DataFrame, *order: str) -> DataFrame:
     return out.drop("_part", "_rank", "_start")
 
 
-def paper_columns(views: DataFrame) -> DataFrame:
+def paper_columns(views: DataFrame, whole: bool = False) -> DataFrame:
+    """The table's columns that views have, in order; with whole, an error if any is missing."""
+    lacking = [c for c in PAPER_COLUMNS if c not in views.columns]
+    if whole and lacking:
+        raise ValueError(f"columns {lacking} are missing")
     return views.select(*[c for c in PAPER_COLUMNS if c in views.columns])
 
 
+def with_geometry(views: DataFrame, points: DataFrame) -> DataFrame:
+    """views with the place and normal of their points."""
+    have = [c for c in ("x", "y", "z", "nx", "ny", "nz") if c in points.columns]
+    return views.drop(*have).join(points.select("point_id", *have), "point_id")
+
+
+def with_spectrum(views: DataFrame, spectra: DataFrame, n_points: int | None = None) -> DataFrame:
+    """views with their spectrum by observation_id; with n_points, views of other points than 0 to
+    n_points - 1, or of none, take no part."""
+    if n_points is not None:
+        views = views.where(F.col("point_id").isNotNull() & F.col("point_id").between(0, n_points - 1))
+    return views.join(spectra.select("observation_id", "spectrum"), "observation_id")
+
+
 def with_quality(views: DataFrame) -> DataFrame:
     return views.withColumn("brf_quality_level", quality_level())
 

@@ -54,20 +54,73 @@ def manifest(path: str, products: dict[str, DataFrame], same_rows: list[str]) ->
     return out
 
 
-def write_matrix(df: DataFrame, column: str, order: str, path: str) -> tuple[int, int]:
-    """The array column as a .npy matrix of 4-byte floats, rows by `order`; rows pass the driver
-    one partition at a time.  An error if the rows' lengths differ."""
+def adjusted(table: DataFrame, bands: dict[str, int], listed: tuple[int, ...] = ()) -> tuple[DataFrame, list[dict]]:
+    """(table, log): 1 taken off the bands (column: number) that are listed, and what was done to each."""
+    log = [{"band": n, "column": c, "subtracted": 1.0 if n in listed else 0.0} for c, n in bands.items()]
+    return table.withColumns({e["column"]: F.col(e["column"]) - e["subtracted"] for e in log if e["subtracted"]}), log
+
+
+def curves(bins: DataFrame) -> DataFrame:
+    """One row for each angle and variable of angular_bins(): a drawing (SVG) of the mean with its
+    confidence band over the bins that have observations, and bars of their counts.  Bins are few
+    by construction; a drawing is made from one group of them."""
+
+    def draw(b):
+        import pandas as pd
+
+        b = b.sort_values("bin")
+        known = b[b["n"] > 0]
+        x = (b["bin_left"] + b["bin_right"]) / 2
+        span = lambda v: (v.min(), v.max() if v.max() > v.min() else v.min() + 1.0)
+        px = lambda v, lo, hi: 50 + 540 * (v - lo) / (hi - lo)
+        x0, x1 = b["bin_left"].min(), b["bin_right"].max()
+        parts = ['<svg xmlns="http://www.w3.org/2000/svg" width="640" height="480">']
+        for at, n in zip(x, b["n"]):
+            high = 100.0 * n / max(1, b["n"].max())
+            parts.append(f'<rect x="{px(at, x0, x1) - 4:.1f}" y="{460 - high:.1f}" width="8" height="{high:.1f}" fill="#9ab"/>')
+        if len(known):
+            ci = known["ci95"].fillna(0.0)
+            y0, y1 = span(pd.concat([known["mean"] - ci, known["mean"] + ci]))
+            py = lambda v: 330 - 300 * (v - y0) / (y1 - y0)
+            at = [px((l + r) / 2, x0, x1) for l, r in zip(known["bin_left"], known["bin_right"])]
+            around = [(a, py(m + c)) for a, m, c in zip(at, known["mean"], ci)] + [(a, py(m - c)) for a, m, c in zip(at, known["mean"], ci)][::-1]
+            points = lambda p: " ".join(f"{u:.1f},{v:.1f}" for u, v in p)
+            parts.append(f'<polygon points="{points(around)}" fill="#48c" opacity="0.3"/>')
+            parts.append(f'<polyline points="{points(zip(at, map(py, known["mean"])))}" fill="none" stroke="#148"/>')
+        parts.append(f'<text x="50" y="20">{b["variable"].iloc[0]} by {b["angle"].iloc[0]}</text></svg>')
+        return pd.DataFrame({"angle": [b["angle"].iloc[0]], "variable": [b["variable"].iloc[0]], "points": [len(known)], "svg": ["".join(parts)]})
+
+    return bins.groupBy("angle", "variable").applyInPandas(draw, "angle string, variable string, points long, svg string")
+
+
+def notes(bins: DataFrame) -> DataFrame:
+    """line, text: a Markdown table that says, for each angle and variable, how many observations
+    there are, and in which bin the mean is least and greatest."""
+    met = bins.where("n > 0").groupBy("angle", "variable").agg(
+        F.sum("n").alias("n"), F.min_by("bin_left", F.struct("mean", "bin")).alias("low"), F.max_by("bin_left", F.struct("mean", "bin")).alias("high")
+    )
+    text = F.format_string("| %s | %s | %d | %.0f | %.0f |", "angle", "variable", "n", "low", "high")
+    head = bins.sparkSession.createDataFrame([(0, "| angle | variable | observations | least mean from | greatest mean from |"), (1, "|-|-|-|-|-|")], "line int, text string")
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.orderBy("angle", "variable")) + 1  # as many rows as angles times variables
+    return head.union(met.select(nth.alias("line"), text.alias("text")))
+
+
+def collected(report: DataFrame, products: dict[str, str]) -> DataFrame:
+    """report (a row for each scene) with the product files that exist: a column for each name, its bytes or null."""
+    sizes = {n: os.path.getsize(p) if os.path.isfile(p) else None for n, p in products.items()}
+    return report.withColumns({f"bytes_{n}": F.lit(v).cast("long") for n, v in sizes.items()})
+
+
+def write_preview(df: DataFrame, path: str, lines: int, samples: int) -> None:
+    """df(line, sample, red, green, blue) as a PNG: a scene's preview; the picture's size is bounded by the scene's."""
     import numpy as np
 
-    rows = df.count()
-    first = df.select(F.size(column).alias("n")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-    if first.lo != first.hi:
-        raise ValueError(f"rows of {first.lo} to {first.hi} values make no matrix")
-    out = np.lib.format.open_memmap(path, mode="w+", dtype="f4", shape=(rows, first.hi or 0))
-    for i, row in enumerate(df.orderBy(order).select(column).toLocalIterator()):
-        out[i] = row[0]
-    out.flush()
-    return out.shape
+    pixels = np.zeros((lines, samples, 3), np.uint8)
+    rows = df.toPandas()
+    pixels[rows["line"], rows["sample"]] = rows[["red", "green", "blue"]].to_numpy()
+    write_png(path, pixels)
 
 
 def write_png(path: str, pixels) -> None:

@@ -7,14 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import angle_of_cos
+from ..functions.vectors import angle_of_cos, unit, vec
+from ..sources import shared
 
 
-def pairs(points: DataFrame, radius: float, closed: bool = False, with_self: bool = False) -> DataFrame:
-    """(point_id, other_id, dx, dy, dz, d2) within the radius: an equi-join of cells of that size,
-    one side in its 27 surrounding cells."""
+def pairs(points: DataFrame, radius: float, closed: bool = False, with_self: bool = False, others: DataFrame | None = None) -> DataFrame:
+    """(point_id, other_id, dx, dy, dz, d2) within the radius, of points and others (the points
+    themselves, if none): an equi-join of cells of that size, one side in its 27 surrounding cells."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    right = points.select(
+    right = (points if others is None else others).select(
         F.col("point_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"]
     )
     left = points.select("point_id", "x", "y", "z", *[cell(c).alias(f"b{c}") for c in "xyz"])
@@ -60,6 +61,44 @@ def occlusion(views: DataFrame, near: DataFrame, clearance=0.08, min_along=0.08,
     return out.withColumn("tube_clear", F.col("blocker_count") == 0).withColumn("cone_clear", ~narrow)
 
 
+def k_nearest(points: DataFrame, k: int, radius: float) -> DataFrame:
+    """The k nearest of all points for each point, itself included, ties to the lower id; all
+    points where there are fewer.  What has k neighbours within `radius` is done after one join;
+    the others ask again within twice the radius, and so on up to the points' extent."""
+    asked = points.select("point_id", "x", "y", "z")
+    box = asked.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    wanted, far = min(k, box["n"]), float(np.sqrt(sum((box[c] or 0.0) ** 2 for c in "xyz")))
+    out = None
+    while True:
+        rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "other_id"))
+        near = pairs(asked, radius, True, True, others=points).withColumn("nth", rank).where(F.col("nth") <= wanted)
+        near = shared.written(near.withColumn("met", F.count("*").over(Window.partitionBy("point_id"))))
+        done = near.where(F.col("met") == wanted).drop("met")
+        out = done if out is None else out.union(done)
+        left = near.where((F.col("met") < wanted) & (F.col("point_id") == F.col("other_id"))).select("point_id")
+        if radius > far or left.isEmpty():
+            return out
+        asked = asked.join(left, "point_id", "left_semi")
+        radius *= 2
+
+
+def prepared_normals(points: DataFrame, k: int = 48, radius: float = 1.2, valid_share: float = 0.95) -> DataFrame:
+    """point_id, nx, ny, nz, confidence and source: the points' own normals where they have columns
+    nx, ny, nz and this share of them is finite and not zero (confidence 1 for those, 0 for the
+    others), else PCA normals of the k nearest points."""
+    if {"nx", "ny", "nz"} <= set(points.columns):
+        length = F.sqrt(sum((F.col(c).cast("double") * F.col(c) for c in ("nx", "ny", "nz")), F.lit(0.0)))
+        sound = F.coalesce((length > 1e-12) & (length < float("inf")) & ~F.isnan(length), F.lit(False))
+        own = points.withColumn("_sound", sound)
+        share = own.agg(F.count_if("_sound").alias("good"), F.count("*").alias("n")).first()
+        if share.good >= max(1, int(valid_share * share.n)):
+            n = unit(vec("nx", "ny", "nz"), (0.0, 0.0, 0.0))
+            named = [F.when(F.col("_sound"), x).otherwise(F.lit(0.0)).alias(c) for c, x in zip(("nx", "ny", "nz"), n)]
+            return own.select("point_id", *named, F.col("_sound").cast("double").alias("confidence"), F.lit("ply").alias("source"))
+    found = normals(moments(k_nearest(points, max(4, k), radius)))
+    return found.select("point_id", "nx", "ny", "nz", "confidence", F.lit("pca").alias("source"))
+
+
 def moments(near: DataFrame) -> DataFrame:
     """Sample covariances of each point's neighbourhood (itself included in `near`)."""
     pairs_ = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
@@ -70,21 +109,23 @@ def moments(near: DataFrame) -> DataFrame:
 
 def normals(covariances: DataFrame) -> DataFrame:
     """nx, ny, nz (up-facing), verticality and confidence from moments(); an eigenproblem of
-    three rows, solved for whole Arrow batches."""
+    three rows, solved for whole Arrow batches.  A point whose neighbours are all at one place has
+    confidence 0; one alone has no covariance and counts the same."""
 
     def solve(batches):
         for b in batches:
-            b = b[b["n"] >= 3].reset_index(drop=True)
             m = np.empty((len(b), 3, 3))
             for i, x in enumerate("xyz"):
                 for j, y in enumerate("xyz"):
-                    m[:, i, j] = b["c" + "".join(sorted((x, y)))]
+                    m[:, i, j] = b["c" + "".join(sorted((x, y)))].fillna(0.0)
             w, v = np.linalg.eigh(m) if len(b) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
             n = v[:, :, 0]
             n = n * np.where(n[:, 2:3] < 0, -1.0, 1.0)
-            total = np.maximum(w.sum(axis=1), 1e-300)
+            w = np.maximum(w, 0.0)
+            total = w.sum(axis=1)
+            sure = np.where(total > 1e-12, 1 - w[:, 0] / np.maximum(total, 1e-300), 0.0)
             yield pd.DataFrame(
-                {"point_id": b["point_id"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "verticality": 1 - np.abs(n[:, 2]), "confidence": np.clip(1 - w[:, 0] / total, 0, 1)}
+                {"point_id": b["point_id"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "verticality": 1 - np.abs(n[:, 2]), "confidence": np.clip(sure, 0, 1)}
             )
 
     return covariances.mapInPandas(solve, "point_id long, nx double, ny double, nz double, verticality double, confidence double")

@@ -47,10 +47,13 @@ def gaussian(plane: np.ndarray, sigma: float = 8.0, truncate: float = 3.0) -> np
 
 
 def patch_offsets(radius: int, sigma: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(du, dv, weight) of a square patch; a weight falls with the distance."""
+    """(du, dv, weight) of a square patch; a weight falls with the distance.  A sigma of 0 or less
+    stands for half the radius, 1 at least."""
+    radius = max(0, int(radius))
+    sigma = sigma if sigma > 0 else max(radius / 2.0, 1.0)
     d = np.arange(-radius, radius + 1)
     du, dv = (x.ravel() for x in np.meshgrid(d, d))
-    w = np.exp(-0.5 * (du**2 + dv**2) / max(sigma, 1e-6) ** 2)
+    w = np.exp(-0.5 * (du**2 + dv**2) / sigma**2)
     return du, dv, w / w.sum()
 
 
@@ -77,12 +80,15 @@ def patch(planes: np.ndarray, u, v, radius=2, sigma=1.15, reducer="weighted_mean
         return np.where(weights.sum(axis=2) > 0, (np.nan_to_num(values) * weights).sum(axis=2) / weights.sum(axis=2), np.nan)
 
 
-def sampled(views: DataFrame, paths: DataFrame, bands: list[int], method: str = "bilinear", strip: int = 256, **settings) -> DataFrame:
+def sampled(views: DataFrame, paths: DataFrame, bands: list[int], method: str = "bilinear", strip: int = 256, first: int | None = None, unknown: str = "skip", **settings) -> DataFrame:
     """views(observation_id, scene_id, u, v) and paths(scene_id, header): adds spectrum, an array of
-    the bands (numbers from 1), index bands corrected.  Views of unknown scenes get a null
-    spectrum, views without finite places take no part."""
-    good = views.where("u is not null and v is not null and not isnan(u) and not isnan(v)")
-    met = good.join(F.broadcast(paths), "scene_id", "left").withColumn("_strip", F.floor(F.col("v") / strip))
+    the bands (numbers from 1), index bands corrected.  Views without finite places take no part;
+    views of unknown scenes take none either, or with unknown="null" get a null spectrum.
+    first: only so many views with the least observation_id."""
+    good = views.where("u is not null and v is not null and not isnan(u) and not isnan(v) and abs(u) < double('inf') and abs(v) < double('inf')")
+    if first is not None:
+        good = good.orderBy("observation_id").limit(first)
+    met = good.join(F.broadcast(paths), "scene_id", "inner" if unknown == "skip" else "left").withColumn("_strip", F.floor(F.col("v") / strip))
     index = np.array([b - 1 for b in bands])
     shift = np.array([1.0 if b in STORED_PLUS_ONE else 0.0 for b in bands])
     halo = {"bilinear": 1, "gaussian": len(gaussian_kernel()) // 2 + 1}.get(method, int(settings.get("radius", 2)) + 1)
@@ -114,10 +120,18 @@ def sampled(views: DataFrame, paths: DataFrame, bands: list[int], method: str =
 
 def audited(sampled_: DataFrame) -> DataFrame:
     """One row: observations, missing spectra, and spectra with a value that isn't finite."""
-    odd = F.exists("spectrum", lambda x: x.isNull() | F.isnan(x))
+    odd = F.exists("spectrum", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return sampled_.agg(F.count("*").alias("n"), F.count_if(F.col("spectrum").isNull()).alias("missing"), F.count_if(odd).alias("not_finite"))
 
 
+def finite_or_abort(sampled_: DataFrame) -> DataFrame:
+    """The audit's row, or an error if a spectrum is missing or holds a value that isn't finite."""
+    found = audited(sampled_).first()
+    if found.missing or found.not_finite or not found.n:
+        raise ValueError(f"of {found.n} spectra {found.missing} are missing and {found.not_finite} are not finite")
+    return sampled_.sparkSession.createDataFrame([tuple(found)], "n long, missing long, not_finite long")
+
+
 def reproduced(old: DataFrame, new: DataFrame, column: str, most: float = 2e-6) -> DataFrame:
     """One row: the greatest and mean difference of two fusions of the same points, and whether it is small."""
     d = F.abs(F.col("o") - F.col("n"))

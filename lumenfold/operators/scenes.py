@@ -52,6 +52,58 @@ def suffixed_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> D
     return left.join(right.withColumnsRenamed(clash), key, "left")
 
 
+def factorized(df: DataFrame, key: str = "scene_id") -> DataFrame:
+    """key, suffix and code: the distinct scenes numbered from 0 by the number that ends their name,
+    then by name.  Scenes are few; their ranks need one task."""
+    from ..functions.spectral import numeric_suffix
+
+    names = df.select(F.col(key).cast("string").alias(key)).distinct().withColumn("suffix", numeric_suffix(F.col(key)))
+    return names.withColumn("code", F.row_number().over(Window.orderBy("suffix", key)) - 1)
+
+
+def with_code(df: DataFrame, mapping: DataFrame, key: str = "scene_id") -> DataFrame:
+    """df with its scenes' codes; -1 for scenes that the mapping lacks."""
+    return df.join(F.broadcast(mapping.select(key, "code")), key, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+
+
+def with_aggregates(mapping: DataFrame, summary: DataFrame, keys: tuple[str, ...] = ("scene_code", "scene_id")) -> DataFrame:
+    """Every scene of the mapping with its sums; counts of scenes without rows are 0."""
+    out = mapping.join(summary, list(keys), "left")
+    whole = [f.name for f in summary.schema.fields if f.name not in keys and f.dataType.simpleString() in ("int", "bigint")]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in whole})
+
+
+def pose_chain(manifest: DataFrame, aligned: DataFrame, derived: DataFrame, key: str = "scene_id") -> DataFrame:
+    """Scenes that both the manifest and the aligned poses have, with the poses derived from these
+    where there are any; clashing columns take the suffixes _pose and _derived."""
+    tasks = manifest.join(aligned.select(key), key, "left_semi")
+    return suffixed_join(suffixed_join(tasks, aligned, key, "_pose"), derived, key, "_derived")
+
+
+def save_documents(documents: DataFrame, path: str) -> None:
+    """scene_id and meta as JSON lines, a nested document each."""
+    documents.write.json(path)
+
+
+def load_documents(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def corrected_document(documents: DataFrame, frames: DataFrame) -> DataFrame:
+    """documents with world_to_camera from frames(scene_id, c11..c33); the original matrix stays
+    beside it, so that restored() gives back what there was."""
+    new = frames.select("scene_id", F.array(*[F.array(*[F.col(f"c{i}{j}") for j in (1, 2, 3)]) for i in (1, 2, 3)]).alias("_c"))
+    out = documents.join(new, "scene_id", "left")
+    camera = F.col("meta.camera_model")
+    made = camera.withField("world_to_camera", F.coalesce("_c", camera["world_to_camera"]))
+    return out.withColumn("meta", F.col("meta").withField("camera_model", made)).drop("_c")
+
+
+def restored(documents: DataFrame) -> DataFrame:
+    camera = F.col("meta.camera_model")
+    return documents.withColumn("meta", F.col("meta").withField("camera_model", camera.withField("world_to_camera", camera["world_to_camera_original"])))
+
+
 def repaired(scenes: DataFrame, manifest: DataFrame, columns: list[str], key: str = "scene_id") -> DataFrame:
     """scenes with these columns from the manifest, all of them or none: where any is missing in
     scenes, every one is taken from the manifest."""

@@ -597,12 +597,12 @@ def _(spark, d):
 # grids, anchors, targets
 
 
-@query("q_map_projection", "scene_code", "back_lon back_lat east_gap", None)
+@query("q_map_projection", "scene_code", "east_km north_km gap_km", f"{ctes('scenes')}, {T.tm('scenes', 'cam_lon', 'cam_lat', '114.0::DOUBLE', '500000.0::DOUBLE')} ;; SELECT scene_code, east / 1000 AS east_km, north / 1000 AS north_km, 0 AS gap_km FROM tm")
 def _(spark, d):
     s = view(spark, d, "scenes")
     e, n = mapgrid.grid(F.col("cam_lon"), F.col("cam_lat"), *mapgrid.SYSTEMS[4547])
     w, m = mapgrid.adjusted(*mapgrid.grid(F.col("cam_lon"), F.col("cam_lat"), *mapgrid.SYSTEMS[4526]), x_zone=38)
-    return s.select("scene_code", e.alias("back_lon"), n.alias("back_lat"), (w - e).alias("east_gap"))
+    return s.select("scene_code", (e / 1000).alias("east_km"), (n / 1000).alias("north_km"), ((w - e) / 1000).alias("gap_km"))
 
 
 _GRID = f"""{ctes('points', 'scenes')}, cc AS (SELECT 'plain' AS name, cam_x, cam_y, scene_code FROM scenes UNION ALL SELECT 'swapped', cam_y, cam_x, scene_code FROM scenes UNION ALL SELECT 'far', cam_x + 400, cam_y, scene_code FROM scenes),
@@ -661,9 +661,24 @@ def _(spark, d):
     return neighbours.moments(neighbours.nearest(view(spark, d, "points"), 1.2, 48, with_self=True))
 
 
-@query("q_normals", "point_id", "verticality confidence", None)
+_NORMALS = f"""{ctes('points')}, kn AS (SELECT a.point_id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, row_number() OVER (PARTITION BY a.point_id ORDER BY power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2), b.point_id) AS nth
+ FROM points a JOIN points b ON abs(a.x - b.x) < 900),
+cv AS (SELECT point_id, covar_samp(dx, dx) AS a, covar_samp(dy, dy) AS b, covar_samp(dz, dz) AS c, covar_samp(dx, dy) AS d, covar_samp(dy, dz) AS e, covar_samp(dx, dz) AS f FROM kn WHERE nth <= 48 GROUP BY point_id),
+e1 AS (SELECT *, (a + b + c) / 3 AS q FROM cv), e2 AS (SELECT *, sqrt((power(a - q, 2) + power(b - q, 2) + power(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM e1),
+e3 AS (SELECT *, ((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p) AS r FROM e2),
+e4 AS (SELECT *, q + 2 * p * cos(acos(least(greatest(r, -1), 1)) / 3 + 2 * pi() / 3) AS w FROM e3),
+e5 AS (SELECT *, (b - w) * (c - w) - e * e AS xx, (a - w) * (c - w) - f * f AS yy, (a - w) * (b - w) - d * d AS zz FROM e4)"""
+
+
+@query("q_normals", "point_id source", "verticality confidence", f"{_NORMALS} ;; SELECT point_id, 'pca' AS source, 1 - sqrt(greatest(zz / (xx + yy + zz), 0)) AS verticality, 1 - greatest(w, 0) / (3 * q) AS confidence FROM e5")
+def _(spark, d):
+    found = neighbours.prepared_normals(view(spark, d, "points"), 48, 1.2)
+    return found.withColumn("verticality", 1.0 - F.abs("nz"))
+
+
+@query("q_given_normals", "point_id source", "nx ny nz confidence", f"{ctes('points')}, {T.PNTS} ;; SELECT point_id, 'ply' AS source, nx, ny, nz, 1 AS confidence FROM pnts")
 def _(spark, d):
-    return neighbours.normals(neighbours.moments(neighbours.nearest(view(spark, d, "points"), 1.2, 48, with_self=True)))
+    return neighbours.prepared_normals(view(spark, d, "points").withColumnsRenamed({f"n{c}_raw": f"n{c}" for c in "xyz"}))
 
 
 @query("q_target_anchors", "", "top_x top_y top_z base_x base_y base_z", f"""{ctes('points')}, n AS (SELECT count(*) AS n FROM points), o AS (SELECT *, row_number() OVER (ORDER BY z) - 1 AS i FROM points),
@@ -729,12 +744,17 @@ def _(spark, d):
     return calibration.quality_gate(s)
 
 
-@query("q_rotation_solve", "scene_id status success", "angle_deg", None)
+@query("q_rotation_solve", "scene_id status success", "angle_deg post_error", f"""{ctes('scenes')}, s AS (SELECT scene_id, scene_code, CASE WHEN scene_code % 4 = 0 THEN 'top_only' WHEN scene_code % 4 = 1 THEN 'base_only' WHEN scene_code % 7 = 6 THEN 'none' ELSE 'full' END AS status FROM scenes) ;;
+SELECT scene_id, status, true AS success, CASE status WHEN 'full' THEN 2 + scene_code % 3 WHEN 'none' THEN 0 END AS angle_deg, CASE WHEN status <> 'none' THEN 0.0 END AS post_error FROM s""")
 def _(spark, d):
+    """Whole marks give back the planted angle; with one end marked the turn about it is open, so
+    its angle isn't shown; in all cases the marks are met again."""
     from ..operators import calibration
 
     marks = calibration_marks(spark, d)
-    return calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0)).join(marks.select("scene_id", "status"), "scene_id")
+    out = calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0)).join(marks.select("scene_id", "status"), "scene_id")
+    known = F.col("status").isin("full", "none")
+    return out.withColumns({"angle_deg": F.when(known, F.col("angle_deg")), "post_error": F.nanvl("post_error", F.lit(None))})
 
 
 def calibration_marks(spark: SparkSession, d: str) -> DataFrame:

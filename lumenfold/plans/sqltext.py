@@ -36,6 +36,18 @@ def solar(source: str, keep: str, micros: str, lat: str, lon: str) -> str:
  ))))))))"""
 
 
+def tm(source: str, lon: str, lat: str, central: str, false_easting: str) -> str:
+    """CTEs that end in tm: source with east and north, by Krueger's series on the CGCS2000 ellipsoid."""
+    n, e = "(1 / (2 * 298.257222101::DOUBLE - 1))", "sqrt((2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE)"
+    terms = (f"{n} / 2 - 2 * {n} * {n} / 3 + 5 * {n} * {n} * {n} / 16", f"13 * {n} * {n} / 48 - 3 * {n} * {n} * {n} / 5", f"61 * {n} * {n} * {n} / 240")
+    radius = f"6378137.0::DOUBLE / (1 + {n}) * (1 + {n} * {n} / 4 + power({n}, 4) / 64)"
+    east = " + ".join(f"({a}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(terms, 1))
+    north = " + ".join(f"({a}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(terms, 1))
+    return f"""tm0 AS (SELECT *, radians({lon} - {central}) AS lam, sin(radians({lat})) AS sp FROM {source}),
+tm1 AS (SELECT *, sinh(atanh(sp) - {e} * atanh({e} * sp)) AS ct FROM tm0), tm2 AS (SELECT *, atan2(ct, cos(lam)) AS xi, asinh(sin(lam) / sqrt(ct * ct + cos(lam) * cos(lam))) AS eta FROM tm1),
+tm AS (SELECT *, {false_easting} + {radius} * (eta + {east}) AS east, {radius} * (xi + {north}) AS north FROM tm2)"""
+
+
 CAMS = """cam0 AS (SELECT *, site_x + 5 - cam_x AS dx, 4 - cam_y AS dy, 2.5::DOUBLE - cam_z AS dz FROM scenes),
 cam1 AS (SELECT *, dx / sqrt(dx * dx + dy * dy + dz * dz) AS r31, dy / sqrt(dx * dx + dy * dy + dz * dz) AS r32, dz / sqrt(dx * dx + dy * dy + dz * dz) AS r33 FROM cam0),
 cam2 AS (SELECT *, r32 / sqrt(r31 * r31 + r32 * r32) AS r11, -r31 / sqrt(r31 * r31 + r32 * r32) AS r12, 0::DOUBLE AS r13 FROM cam1),

@@ -1,7 +1,7 @@
 """Cubes of spectral images: a text header and raw values, band after band.
 
 The Spark data source `envi` gives a row for each band and line.  Files are read through
-Hadoop-independent paths that every executor sees; a partition is a run of lines of one band.
+Hadoop-independent paths that every executor sees; a partition is a run of lines of some bands.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The format's type codes.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
+#: Bytes of a cube that a partition reads, at least one run of lines of a band.
+PART_BYTES = 8 << 20
 DATA_SUFFIXES = (".cue", ".CUE", ".bin", ".BIN", ".dat", ".DAT")
 
 
@@ -76,6 +78,18 @@ def cube(header_path: str) -> tuple[np.ndarray, dict]:
     return np.memmap(path, dtype=dtype, mode="r", offset=offset, shape=shape), h
 
 
+def inventory(spark, folder: str):
+    """A row for each cube of a folder: scene_id, what its header says, and its data file's suffix."""
+    rows = []
+    for path in headers(folder):
+        with open(path, encoding="utf-8", errors="replace") as f:
+            h = parse_header(f.read())
+        name = re.sub(r"(?i)_ref$", "", os.path.splitext(os.path.basename(path))[0])
+        numbers = [int(h[k]) for k in ("samples", "lines", "bands", "data type")]
+        rows.append((name, *numbers, len(wavelengths(h)), os.path.splitext(data_file(path))[1], float(h.get("header offset", 0)), float(h.get("reflectance scale factor", 1.0))))
+    return spark.createDataFrame(rows, "scene_id string, samples int, lines int, bands int, data_type int, wavelengths long, suffix string, header_offset double, scale double")
+
+
 def write_cube(header_path: str, values: np.ndarray, bands_nm=(), offset: int = 0, scale: float = 1.0) -> None:
     code = {v: k for k, v in DTYPES.items()}[values.dtype.newbyteorder("=").str[1:]]
     big = values.dtype.byteorder == ">"
@@ -90,8 +104,8 @@ def write_cube(header_path: str, values: np.ndarray, bands_nm=(), offset: int =
 
 
 class _Lines(InputPartition):
-    def __init__(self, header: str, band: int, first: int, last: int):
-        self.header, self.band, self.first, self.last = header, band, first, last
+    def __init__(self, header: str, bands: tuple[int, int], first: int, last: int):
+        self.header, self.bands, self.first, self.last = header, bands, first, last
 
 
 class _Reader(DataSourceReader):
@@ -102,16 +116,20 @@ class _Reader(DataSourceReader):
         out = []
         for h in headers(self.path) if os.path.isdir(self.path) else [self.path]:
             values, _ = cube(h)
-            for band in range(values.shape[0]):
-                out += [_Lines(h, band, a, min(a + self.strip, values.shape[1])) for a in range(0, values.shape[1], self.strip)]
+            n_bands, n_lines = values.shape[:2]
+            strip = min(self.strip, n_lines)
+            some = max(1, PART_BYTES // max(1, strip * values.shape[2] * values.itemsize))
+            for b in range(0, n_bands, some):
+                out += [_Lines(h, (b, min(b + some, n_bands)), a, min(a + strip, n_lines)) for a in range(0, n_lines, strip)]
         return out
 
     def read(self, p):
         values, h = cube(p.header)
         scale = float(h.get("reflectance scale factor", 1.0) or 1.0)
         name = re.sub(r"(?i)_ref$", "", os.path.splitext(os.path.basename(p.header))[0])
-        for line in range(p.first, p.last):
-            yield name, p.band + 1, line, (values[p.band, line].astype("f8") / scale).tolist()
+        for band in range(*p.bands):
+            for line in range(p.first, p.last):
+                yield name, band + 1, line, (values[band, line].astype("f8") / scale).tolist()
 
 
 class EnviSource(DataSource):

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The format's types.
@@ -17,6 +18,7 @@ TYPES = {
 }
 SPARK = {"i1": "tinyint", "u1": "smallint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "f4": "float", "f8": "double"}
 PLY_OF = {"tinyint": ("char", "<i1"), "smallint": ("short", "<i2"), "int": ("int", "<i4"), "float": ("float", "<f4"), "double": ("double", "<f8"), "boolean": ("uchar", "<u1")}
+UNSIGNED = {"uchar": ("uchar", "<u1"), "ushort": ("ushort", "<u2")}
 
 
 def header(path: str):
@@ -87,18 +89,29 @@ class PlySource(DataSource):
         return _Reader(self.options)
 
 
-def write(df: DataFrame, path: str, order: str, folder: str) -> int:
+def assembled(points: DataFrame, bands: dict[str, str] | None = None, rgb: tuple[str, str, str] | None = None, extras: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """(table, types) of a point file: point_id, x, y, z as doubles, bands (name: column) as floats,
+    three columns of 0..255 as red, green, blue, and further columns as they are."""
+    columns = [F.col("point_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]]
+    columns += [F.col(c).cast("float").alias(n) for n, c in (bands or {}).items()]
+    colours = dict(zip(("red", "green", "blue"), rgb or ()))
+    columns += [F.col(c).cast("int").alias(n) for n, c in colours.items()]
+    return points.select(*columns, *extras), dict.fromkeys(colours, "uchar")
+
+
+def write(df: DataFrame, path: str, order: str, folder: str, types: dict[str, str] | None = None) -> int:
     """Writes df's columns but `order` as a binary little-endian vertex table in that order.
 
     Each partition of a range of `order` becomes a part file in `folder`, which executors and
     driver share; the driver writes the header and appends the parts.  Returns the rows.
-    8-byte integers have no PLY type and are refused.
+    8-byte integers have no PLY type and are refused.  types: unsigned types of some columns.
     """
-    columns = [(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name != order]
-    bad = [n for n, t in columns if t not in PLY_OF]
+    kinds = {f.name: UNSIGNED[types[f.name]] if types and f.name in types else PLY_OF.get(f.dataType.simpleString()) for f in df.schema.fields}
+    columns = [(f.name, kinds[f.name]) for f in df.schema.fields if f.name != order]
+    bad = [n for n, t in columns if t is None]
     if bad:
         raise ValueError(f"columns without a PLY type: {bad}")
-    dtype = np.dtype([(n, PLY_OF[t][1]) for n, t in columns])
+    dtype = np.dtype([(n, t[1]) for n, t in columns])
     parts = os.path.join(folder, uuid.uuid4().hex)
     os.makedirs(parts)
 
@@ -122,7 +135,7 @@ def write(df: DataFrame, path: str, order: str, folder: str) -> int:
     done = df.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(save, "part int, n long").toPandas().sort_values("part")
     total = int(done["n"].sum()) if len(done) else 0
     with open(path, "wb") as out:
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {total}", *[f"property {PLY_OF[t][0]} {n}" for n, t in columns], "end_header"]
+        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {total}", *[f"property {t[0]} {n}" for n, t in columns], "end_header"]
         out.write(("\n".join(lines) + "\n").encode())
         for part in done["part"]:
             with open(os.path.join(parts, f"{part:08d}"), "rb") as f:

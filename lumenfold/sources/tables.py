@@ -102,6 +102,14 @@ def load_config(path: str) -> dict:
     return merged(merged(out, over), tree)
 
 
+def flattened(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
+    """(dotted key, value as JSON) of a tree's leaves."""
+    out = []
+    for k, v in tree.items():
+        out += flattened(v, f"{prefix}{k}.") if isinstance(v, dict) else [(prefix + k, json.dumps(v))]
+    return out
+
+
 def output_folder(root: str, input_name: str, band_mode: str = "subset") -> str:
     if band_mode not in ("subset", "all"):
         raise ValueError(f"unknown band mode {band_mode}")

@@ -14,7 +14,7 @@ from lumenfold.functions.vectors import clip01, length, product, rotation, unit,
 from lumenfold.operators import anchors, brf, calibration, candidates, export, fusion, gains, neighbours, raster
 from lumenfold.plans import queries
 from lumenfold.plans.adapters import view
-from lumenfold.sources import envi, ply, tables
+from lumenfold.sources import envi, ply, stores, tables
 from lumenfold.streaming import fusion as stream
 
 
@@ -320,7 +320,7 @@ def test_anchor_chain(spark):
 
 def test_written_products(spark, tmp_path):
     df = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(2.0)).alias("spectrum")).repartition(4)
-    assert export.write_matrix(df, "spectrum", "id", str(tmp_path / "m.npy")) == (50, 2)
+    assert stores.write_matrix(df, "spectrum", "id", str(tmp_path / "m.npy")) == (50, 2)
     assert (np.load(tmp_path / "m.npy")[:, 0] == np.arange(50)).all()
     export.write_png(str(tmp_path / "p.png"), np.zeros((4, 6, 3), np.uint8))
     assert (tmp_path / "p.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"

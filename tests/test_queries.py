@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumenfold.plans.queries import QUERIES
+from lumenfold.plans.products import QUERIES
 
 TABLES = ("part", "supplier", "events", "lineitem", "embeddings")
 
