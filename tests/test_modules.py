@@ -57,7 +57,8 @@ def test_sampling(spark, cubes):
     paths = spark.createDataFrame([("one", str(cubes / "one_REF.hdr")), ("two", str(cubes / "two_ref.hdr"))], "scene_id string, header string")
     bands = [1, 10, 165, 166]
     for method, settings in (("bilinear", {}), ("gaussian", {}), ("patch", {"radius": 1, "sampling": "bilinear"})):
-        got = raster.sampled(views, paths, bands, method, strip=16, **settings).collect()
+        assert raster.sampled(views, paths, bands, method, strip=16, **settings).where("scene_id = 'three'").count() == 0
+        got = raster.sampled(views, paths, bands, method, strip=16, unknown="null", **settings).collect()
         assert len(got) == 36
         for r in got:
             if r.scene_id == "three":
@@ -65,7 +66,7 @@ def test_sampling(spark, cubes):
             else:
                 flat = 2 * r.v + 3 * r.u
                 assert np.allclose(r.spectrum, [flat, 9 + flat, 163 + flat, 165 + flat], atol=1e-6)
-    audit = raster.audited(raster.sampled(views, paths, bands)).first()
+    audit = raster.audited(raster.sampled(views, paths, bands, unknown="null")).first()
     assert (audit.n, audit.missing, audit.not_finite) == (36, 12, 0)
 
 
