@@ -17,6 +17,7 @@ from ..functions import camera as C
 from ..functions import mapgrid, scoring, solar, spectral
 from ..functions.vectors import unit, vec
 from ..operators import anchors, brf, candidates, export, fusion, gains, neighbours, scenes, selection
+from ..sources import shared
 from . import sqltext as T
 from .adapters import ctes, view
 
@@ -304,7 +305,7 @@ occ AS (SELECT point_id, scene_code, CASE WHEN n >= 2 THEN blockers ELSE 0 END A
 
 
 def _occluded(spark, d):
-    best = _best(spark, d)
+    best = shared.written(_best(spark, d))  # read twice: by the occlusion and by the depth buffer
     return best, neighbours.occlusion(best, neighbours.nearest(view(spark, d, "points"), 1.2, 256))
 
 
