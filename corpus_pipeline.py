@@ -60,6 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir))
+        common.dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
