@@ -123,7 +123,7 @@ _RUN = (
 def _cells(window: int, k: int):
     before = window - k
 
-    def cells(texts: DataFrame, n: int) -> DataFrame:
+    def cells(texts: DataFrame, n: int, text: str) -> DataFrame:
         def runs(batches):
             held: list[tuple] = []
             size = 0
@@ -152,8 +152,8 @@ def _cells(window: int, k: int):
                         }
                     )
 
-            for batch in repeats.unpacked(batches):
-                data, where, p = repeats.picked(batch, repeats.byte_symbols)
+            for batch in repeats.unpacked(batches, text):
+                data, where, p = repeats.picked(batch, repeats.byte_symbols, text)
                 raw = data.tobytes()
                 right = [raw[a : a + m] for a, m in zip(where.tolist(), p["right"].tolist())]
                 left = data[np.maximum(where[:, None] - 1 - np.arange(before), 0)] if len(data) else np.zeros((0, before), np.uint8)
@@ -238,3 +238,19 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, **set
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+n AS (SELECT *, octet_length(x) AS n FROM t),
+w AS (SELECT rid, i, md5(x[i+1:i+200]) AS g FROM (SELECT rid, x, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+m AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM m),
+s AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY rid, run),
+p AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS low FROM s),
+h AS (SELECT p.rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(CASE WHEN a > low THEN hex(x[low+1:a]) ELSE '' END, '' ORDER BY a) AS head FROM p JOIN n ON n.rid = p.rid GROUP BY p.rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 0) < n THEN hex(x[coalesce(last, 0)+1:n]) ELSE '' END)) AS kept_sha256
+FROM n LEFT JOIN h USING (rid)
+"""

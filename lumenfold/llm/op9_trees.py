@@ -78,10 +78,10 @@ _CELL = "cell int, h array<long>, s array<long>, c array<long>, g array<long>, l
 def _cells(window: int, k: int):
     before = window - k
 
-    def cells(texts: DataFrame, n: int) -> DataFrame:
+    def cells(texts: DataFrame, n: int, text: str) -> DataFrame:
         def gather(batches):
-            for batch in repeats.unpacked(batches):
-                values, where, p = repeats.picked(batch, repeats.word_symbols)
+            for batch in repeats.unpacked(batches, text):
+                values, where, p = repeats.picked(batch, repeats.word_symbols, text)
                 codes = values if len(values) else np.zeros(1, np.uint64)
                 cell = tx.mix64(p["g"].view(np.uint64)) % np.uint64(n)
                 at = where[:, None]

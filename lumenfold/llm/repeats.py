@@ -5,7 +5,7 @@
     -> distinct contexts of each hash, with their number of occurrences
     -> one copy of each context goes to a cell of about `per_cell` contexts, dealt by the prefix
        that its windows must share: the anchor itself, at first
-    -> where more than `per_cell` contexts share a prefix, the prefix is extended: the windows
+    -> where more than `most` contexts share a prefix, as many as a task may hold, the prefix is extended: the windows
        that start at nearly the same place before the anchor share a longer one, and those of
        each such range of starts are dealt by theirs, an eighth as many starts each time; a prefix that no other context shares goes
     -> a prefix as long as the window is a repeated window, and needs no further comparison
@@ -82,10 +82,10 @@ def unpacked(batches, text: str = "text"):
         yield from common.slices(iter([flat]), text)
 
 
-def picked(batch: pa.RecordBatch, symbols: Symbols):
-    """For a batch (text, picks) with picks an array of structs of _NUMBERS:
+def picked(batch: pa.RecordBatch, symbols: Symbols, text: str):
+    """For a batch of rows and their picks, with picks an array of structs of _NUMBERS:
     (symbols, position of each pick's anchor, arrays of the picks by name)."""
-    values, offsets = symbols(*tx.utf8(batch.column("text")))
+    values, offsets = symbols(*tx.utf8(batch.column(batch.schema.names.index(text))))
     picks = batch.column(batch.num_columns - 1)
     at = picks.offsets.to_numpy()
     flat = picks.values.slice(at[0], at[-1] - at[0])
@@ -97,13 +97,13 @@ def picked(batch: pa.RecordBatch, symbols: Symbols):
 _PREFIX = "f1 long, f2 long, h long, s long, c long, low short, high short, k1 long, k2 int, first int, left short, right short"
 
 
-def _prefixes(texts: DataFrame, symbols: Symbols, window: int, width: int) -> DataFrame:
+def _prefixes(texts: DataFrame, symbols: Symbols, window: int, width: int, text: str) -> DataFrame:
     """For each pick and each range [low, high] of at most `width` of its starts: two hashes of
     what all windows that start so many symbols before the anchor share, where the context has it."""
 
     def run(batches):
-        for batch in unpacked(batches):
-            values, where, p = picked(batch, symbols)
+        for batch in unpacked(batches, text):
+            values, where, p = picked(batch, symbols, text)
             other = values ^ np.uint8(0xA5) if values.dtype == np.uint8 else tx.mix64(values + np.uint64(1))
             order = np.argsort(where, kind="stable")
             for lo in range(0, len(order), 20_000):
@@ -131,11 +131,11 @@ def _prefixes(texts: DataFrame, symbols: Symbols, window: int, width: int) -> Da
     return common.mapped(texts, run, _PREFIX)
 
 
-def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callable[[DataFrame, int], DataFrame], per_cell: int = 4_000) -> DataFrame:
+def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callable[[DataFrame, int, str], DataFrame], per_cell: int = 4_000, most: int = 50_000) -> DataFrame:
     """Each row of docs (with a column text) as `row`, and `spans`: an array of
     struct(a, b), symbol positions [a, b) that repeated windows cover (null: none).
 
-    cells(texts, n) gets (row, picks) and gives (h, s, back, ahead): how far windows that
+    cells(texts, n, text) gets (row, picks) and the name of row's text, and gives (h, s, back, ahead): how far windows that
     are repeated reach before and after the anchors of this hash and context.
     """
     spark = common.narrow(docs).sparkSession
@@ -159,24 +159,26 @@ def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callab
 
     def picks(of: DataFrame) -> DataFrame:
         wanted = of.groupBy("k1", "k2").agg(F.collect_list(F.struct(*_NUMBERS)).alias("picks"))
-        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select(F.struct(F.col("row")[text].alias("text")).alias("row"), "picks")
+        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("row", "picks")
 
     reach = None
     width = window - k + 1
+    used = [contexts, several]
     while True:
         open_ = common.written(open_)
-        fit, width = open_.where(F.col("d") <= per_cell), max(1, width // 8)
+        common.dropped(*used)
+        fit, width = open_.where(F.col("d") <= most), max(1, width // 8)
         n = fit.count()
         if n:
-            own = cells(picks(fit), -(-n // per_cell))
+            own = cells(picks(fit), -(-n // per_cell), text)
             reach = own if reach is None else reach.union(own)
-        hot = open_.where(F.col("d") > per_cell)
+        hot = open_.where(F.col("d") > most)
         if hot.isEmpty():
             break
-        longer = common.written(_prefixes(picks(hot), symbols, window, width))
+        longer = common.written(_prefixes(picks(hot), symbols, window, width, text))
         same = ["h", "low", "f1", "f2"]
         shared = common.written(longer.groupBy(*same).agg(F.count("*").alias("d"), F.sum("c").alias("all")).where("all > 1").drop("all"))
-        open_ = longer.join(shared.hint("merge"), same)
+        open_, used = longer.join(shared.hint("merge"), same), [longer, shared]
         if width == 1:
             reach_ = open_.groupBy("h", "s").agg(F.max("low").cast("long").alias("back"), (window - F.min("low")).cast("long").alias("ahead"))
             reach = reach_ if reach is None else reach.union(reach_)

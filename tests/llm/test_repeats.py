@@ -33,15 +33,15 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize("per_cell", [20_000, 3, 1])
-def test_bytes(spark, per_cell):
-    got = op1_suffix.repeated_bytes(cases.table(spark, ROWS), per_cell=per_cell).drop("spans").collect()
+@pytest.mark.parametrize("per_cell, most", [(4_000, 50_000), (3, 2), (1, 1)])
+def test_bytes(spark, per_cell, most):
+    got = op1_suffix.repeated_bytes(cases.table(spark, ROWS), per_cell=per_cell, most=most).drop("spans").collect()
     cases.same_rows(got, brute_bytes(ROWS))
 
 
-@pytest.mark.parametrize("per_cell", [20_000, 3, 1])
-def test_words(spark, per_cell):
-    got = op9_trees.repeated_words(cases.table(spark, ROWS), per_cell=per_cell).collect()
+@pytest.mark.parametrize("per_cell, most", [(4_000, 50_000), (3, 2), (1, 1)])
+def test_words(spark, per_cell, most):
+    got = op9_trees.repeated_words(cases.table(spark, ROWS), per_cell=per_cell, most=most).collect()
     cases.same_rows(got, brute_words(ROWS))
 
 
@@ -143,9 +143,9 @@ def test_one_passage_in_every_document(spark):
     texts = [" ".join([prose(r.randrange(40)), passage, tail if i % 3 else prose(12), prose(r.randrange(40))]) for i in range(40)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "Doc_Id long, TEXT string")
-    cases.same_rows(op1_suffix.repeated_bytes(docs, per_cell=6).drop("spans").collect(), brute_bytes(rows))
-    cases.same_rows(op9_trees.repeated_words(docs, per_cell=6).collect(), brute_words(rows))
-    cut = op9_trees.without_repeats(docs, per_cell=6)
+    cases.same_rows(op1_suffix.repeated_bytes(docs, per_cell=6, most=6).drop("spans").collect(), brute_bytes(rows))
+    cases.same_rows(op9_trees.repeated_words(docs, per_cell=6, most=6).collect(), brute_words(rows))
+    cut = op9_trees.without_repeats(docs, per_cell=6, most=6)
     assert cut.columns == docs.columns
     left = {i: cases.sha(" ".join(cases.words(t)).encode()) for i, t in cut.collect()}
     assert left == {i: digest for i, _, _, digest in brute_words(rows)}
