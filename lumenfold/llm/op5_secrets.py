@@ -211,11 +211,11 @@ def found_spans(text: str) -> list[tuple[int, int, int]]:
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with each maximal run of span characters in `text` replaced by mask; other columns stay."""
-    schema = docs.schema
+    schema, own = docs.schema, common.column(docs, "text")
 
     def hide(batches):
-        for batch in common.slices(batches):
-            at = batch.schema.get_field_index("text")
+        for batch in common.slices(batches, own):
+            at = batch.schema.get_field_index(own)
             texts = batch.column(at)
             data, offsets = tx.utf8(texts)
             changed = {}

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_dedup": op1_suffix.SQL,
     "op2_quality": op2_quality.SQL,
     "op4_hilbert": op4_hilbert.SQL,
     "op6_near_duplicates": op6_minhash.SQL,

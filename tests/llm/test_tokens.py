@@ -156,3 +156,17 @@ def test_words_like_the_whole(spark):
     texts = ["abc<|endoftext|>def <|ENDOFTEXT|>. x", "it's THE'S don't. 'tis, e", "É école. ÜBER, straße; ſK Å", "1,234.5 a1b2. -- ... ,", "́e ́", "x\x1cy z w", "日本 hello!! wörld?? ñ."]
     for x in texts:
         assert np.frombuffer(op10_packing.encode(x.encode(), op10_packing.vocabulary()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from lumenfold.llm import common
+
+    made = []
+    first = common.held(("one", "x"), lambda: made.append(1) or {"x": 1})
+    assert common.held(("one", "x"), lambda: made.append(2)) is first and made == [1]
+    common._give_back("one")
+    assert common.held(("one", "x"), lambda: made.append(3)) is first
+    common._give_back("other")
+    common.held(("one", "x"), lambda: made.append(4))
+    assert made == [1, 4]
+    common._give_back(None)
