@@ -94,6 +94,17 @@ def corrections(marks: DataFrame, intrinsics: tuple[float, float, float, float],
     return marks.mapInPandas(run, _SOLVED)
 
 
+def marked(annotations: DataFrame, documents: DataFrame) -> DataFrame:
+    """What corrections() solves: annotations(scene_id, annotation_status, u_top, ..., base_anchor_z)
+    with their scenes' documents; annotations of scenes without a document take no part."""
+    camera = F.col("meta.camera_model")
+    end = lambda e: F.array(*[F.col(f"{e}_anchor_{c}").cast("double") for c in "xyz"]).alias(e)
+    return annotations.join(documents, "scene_id").select(
+        "scene_id", F.col("annotation_status").alias("status"), F.flatten(camera["world_to_camera_original"]).alias("r"), camera["center_xyz"].alias("cam"),
+        end("top"), end("base"), *[F.col(c).cast("double").alias(c) for c in ("u_top", "v_top", "u_base", "v_base")],
+    )
+
+
 def quality_gate(solved: DataFrame, least=5.0, middle=5.0, mean=10.0) -> DataFrame:
     """One row: numbers over the solved scenes, and why the gate is shut ('' if it is open)."""
     rows = solved.where("status <> 'none'").agg(

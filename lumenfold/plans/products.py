@@ -228,6 +228,51 @@ def _(spark, d):
     return spark.createDataFrame(tables.flattened(tables.load_config(os.path.join(folder, "run.json"))), "key string, value string")
 
 
+@query("q_output_paths", "name path", "", """t AS (SELECT unnest([['a.csv', '/o/run_1__allbands/a.csv'], ['../up/b.npy', '/o/run_1__allbands/up/b.npy'], ['/abs/c', '/abs/c']]) AS r) ;; SELECT r[1] AS name, r[2] AS path FROM t""")
+def _(spark, d):
+    return spark.createDataFrame([(n, tables.output_path("/o", "/in/run_1?.ply", n, "all")) for n in ("a.csv", "../up/b.npy", "/abs/c")], "name string, path string")
+
+
+@query("q_scene_offsets", "scene_id", "du dv", """o AS (SELECT CAST(user_id AS VARCHAR) AS scene_id, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS u, CASE WHEN event_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE value * 2 END AS v FROM events) ;;
+SELECT scene_id, arg_max(u, event_id) AS du, arg_max(v, event_id) AS dv FROM o WHERE u IS NOT NULL AND NOT isnan(v) GROUP BY scene_id""")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    u, v = F.when(F.col("event_id") % 7 != 0, F.col("value")), F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value") * 2)
+    return tables.offsets(e.select(F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("_row"), u.alias("offset_u_px"), v.alias("offset_v_px")))
+
+
+@query("q_gain_table", "scene_id band:int", "gain", f"{ctes('scenes')} ;; SELECT scene_id, band, 1 + scene_code / 1000.0::DOUBLE AS gain FROM scenes, (VALUES (26), (51)) t(band) WHERE scene_code % 4 > 1")
+def _(spark, d):
+    k = F.col("scene_code")
+    text = F.when(k % 4 == 0, "x").when(k % 4 == 1, "0").otherwise((1 + k / 1000.0).cast("string"))
+    s = view(spark, d, "scenes").select("scene_id", F.explode(F.array(F.lit("26"), F.lit("51"), F.lit("76"), F.lit("b"))).alias("band_number"), text.alias("gain"))
+    path = shared.new_path(spark, ".csv")
+    tables.write_table(s, path)
+    return tables.gain_table(tables.read_table(spark, path, "scene_id string, band_number string, gain string"), [26, 51])
+
+
+@query("q_band_table", "band_number:int band_index:int", "wavelength_nm", "n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) ;; SELECT i AS band_number, i - 1 AS band_index, 400 + 3 * n_nationkey AS wavelength_nm FROM n")
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("_row"), (400 + 3 * F.col("n_nationkey")).cast("double").alias("wavelength_nm"))
+    return tables.band_metadata(n, BANDS)
+
+
+@query("q_observation_bundle", "point_id scene_code:int selection_method is_clear", "view_weight_raw u", f"""{ctes('observations')} ;; SELECT point_id, scene_code, selection_method, is_clear, CASE WHEN scene_code % 3 = 0 THEN 1 ELSE view_weight_raw END AS view_weight_raw, u FROM observations WHERE point_id % 10 <> 3""")
+def _(spark, d):
+    o = view(spark, d, "observations")
+    weight = F.when(F.col("scene_code") % 3 == 0, "unknown").otherwise(F.col("view_weight_raw").cast("string"))
+    raw = o.select(
+        F.when(F.col("point_id") % 10 != 3, F.col("point_id").cast("string")).alias("point_id"), F.col("scene_code").cast("string").alias("scene_code"), F.upper("selection_method").alias("selection_method"),
+        F.col("is_clear").cast("string").alias("is_clear"), weight.alias("view_weight_raw"), F.col("u").cast("string").alias("u"),
+    )
+    return tables.observation_bundle(raw, ["point_id", "view_weight_raw", "u"])
+
+
+@query("q_median_patch", "point_id scene_code", "b26", f"""{_placed('5', '58')} ;; SELECT point_id, scene_code, list_median([{', '.join(VALUE.format(b=26, x=f'(round_even(u, 0) + {i})', y=f'(round_even(v, 0) + {j})', s='s') for i in (-1, 0, 1) for j in (-1, 0, 1))}]) AS b26 FROM vw WHERE s < 3""")
+def _(spark, d):
+    return _spectrum(raster.sampled(_views(spark, d, 5.0, 58.0), _paths(spark, _cubes(spark)), [26], "patch", strip=16, radius=1, reducer="median"), [26])
+
+
 # point files
 
 
@@ -295,6 +340,13 @@ def _(spark, d):
     return back.select("scene_id", *[F.col("m")[int(r[1]) - 1][int(r[2]) - 1].alias(r) for r in _R]).join(first, "scene_id")
 
 
+@query("q_repaired_scenes", "scene_id", "cam_x cam_y", f"{ctes('scenes')} ;; SELECT scene_id, CASE WHEN scene_code % 3 = 0 THEN cam_x + 1 ELSE cam_x END AS cam_x, CASE WHEN scene_code % 3 = 0 THEN cam_y + 1 ELSE cam_y END AS cam_y FROM scenes")
+def _(spark, d):
+    s = view(spark, d, "scenes")
+    broken = s.select("scene_id", F.when(F.col("scene_code") % 3 != 0, F.col("cam_x")).alias("cam_x"), "cam_y")
+    return scenes.repaired(broken, s.select("scene_id", *[(F.col(c) + F.when(F.col("scene_code") % 3 == 0, 1).otherwise(0)).alias(c) for c in ("cam_x", "cam_y")]), ["cam_x", "cam_y"])
+
+
 _STATUS = "CASE WHEN scene_code % 4 = 0 THEN 'top_only' WHEN scene_code % 4 = 1 THEN 'base_only' WHEN scene_code % 7 = 6 THEN 'none' ELSE 'full' END"
 
 
@@ -384,6 +436,15 @@ def _(spark, d):
     return calibration.quality_gate(solved)
 
 
+@query("q_marked_solve", "scene_id status", "angle_deg", f"{ctes('scenes')} ;; SELECT scene_id, 'full' AS status, 2 + scene_code % 3 AS angle_deg FROM scenes WHERE {_STATUS} = 'full' AND scene_code % 5 <> 0")
+def _(spark, d):
+    """Annotations and documents of other scenes meet; the solve gives back the planted angle."""
+    marks = calibration_marks(spark, d).where("status = 'full'")
+    rows = marks.select("scene_id", F.col("status").alias("annotation_status"), "u_top", "v_top", "u_base", "v_base", *[F.col(e)[i].alias(f"{e}_anchor_{c}") for e in ("top", "base") for i, c in enumerate("xyz")])
+    made = calibration.marked(rows, scenes.document(_cams(spark, d).where("scene_code % 5 <> 0")))
+    return calibration.corrections(made, C.intrinsics(1886, 1886, 35.0, 35.0)).join(made.select("scene_id", "status"), "scene_id")
+
+
 @query("q_collected_report", "scene_id", "post_max bytes_none", f"{ctes('scenes')} ;; SELECT scene_id, CASE WHEN {_STATUS} <> 'none' THEN 0.0 END AS post_max, CAST(NULL AS DOUBLE) AS bytes_none FROM scenes")
 def _(spark, d):
     marks = calibration_marks(spark, d)

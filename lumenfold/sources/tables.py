@@ -117,6 +117,14 @@ def output_folder(root: str, input_name: str, band_mode: str = "subset") -> str:
     return os.path.join(root, stem + ("_allbands" if band_mode == "all" else ""))
 
 
+def output_path(root: str, input_name: str, name: str, band_mode: str = "subset") -> str:
+    """An absolute name stays as it is; any other lies in the run's folder, never above it."""
+    if os.path.isabs(name):
+        return os.path.normpath(name)
+    parts = [p for p in re.split(r"[/\\]", name) if p not in ("", ".", "..")]
+    return os.path.join(output_folder(root, input_name, band_mode), *parts)
+
+
 def band_metadata(df: DataFrame, width: int) -> DataFrame:
     """band_number, band_index and wavelength_nm with defaults by file order `_row`; indices fit width."""
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ import pytest
 
 from lumenfold.plans.products import QUERIES
 
-TABLES = ("part", "supplier", "events", "lineitem", "embeddings")
+TABLES = ("part", "supplier", "events", "lineitem", "embeddings", "nation")
 
 
 @pytest.fixture(scope="module")
