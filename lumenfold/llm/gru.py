@@ -72,21 +72,18 @@ def windows(tokens: np.ndarray, offsets: np.ndarray, end: int, n_lanes: int, ste
     A window holds the lanes that have a token in its first step; place is -1 past a lane's end."""
     lengths = np.diff(offsets)
     dealt, totals = lanes(lengths, n_lanes)
-    rows = max(1, int(totals[0]))
-    place = np.full((rows, len(dealt)), -1, np.int64)
-    for lane, docs in enumerate(dealt):
-        if docs:
-            at = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in docs])
-            place[: len(at), lane] = at
+    # places in the order of lanes, so that one very long lane takes no more than its tokens
+    by_lane = [np.arange(offsets[d], offsets[d + 1]) for docs in dealt for d in docs]
+    at = np.concatenate([*by_lane, np.zeros(1, np.int64)])
+    base = np.cumsum(totals) - totals
     start = np.zeros(len(tokens) + 1, bool)
     start[offsets[:-1][lengths > 0]] = True
     before = np.concatenate([[end], tokens[:-1]]) if len(tokens) else tokens
     before = np.where(start[:-1], end, before)
-    for t in range(0, rows, steps):
-        live = int((place[t] >= 0).sum())
-        if not live:
-            break
-        p = place[t : t + steps, :live]
+    for t in range(0, int(totals[0]), steps):
+        live = int((totals > t).sum())
+        row = np.arange(t, min(t + steps, int(totals[0])))[:, None]
+        p = np.where(row < totals[:live], at[np.minimum(base[:live] + row, len(at) - 1)], -1)
         q = np.maximum(p, 0)
         yield before[q], tokens[q], start[q] & (p >= 0), p
 

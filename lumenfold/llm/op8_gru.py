@@ -37,8 +37,9 @@ WORDS, PER_CLASS, SIZE = 1024, 32, 16
 ROUNDS = 4
 #: Tokens of a shard: as many as one copy learns from in a round.
 SHARD_TOKENS = 1 << 20
-#: Tokens that a worker lays out in lanes at a time.
-CHUNK_TOKENS = 1 << 18
+#: Tokens that a worker lays out in lanes at a time: a shard, or part of an uneven one.  In smaller
+#: parts a long document's lane outlasts the others, and most windows hold few lanes.
+CHUNK_TOKENS = SHARD_TOKENS
 #: Text that a worker scores or learns from at a time.
 CHUNK_BYTES = 8 << 20
 END = np.int64(0x5EED0FE2D)
