@@ -1,6 +1,7 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from . import op1_suffix, op2_quality, op3_bpe, op4_hilbert, op5_secrets, op6_minhash, op7_chat, op8_gru, op9_trees, op10_packing
+from . import op11_fim, op12_runs, op13_parsing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix.op1_suffix_dedup,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_gru": op8_gru.op8_gru,
     "op9_substrings": op9_trees.op9_substrings,
     "op10_packing": op10_packing.op10_packing,
+    "op11_fim": op11_fim.op11_fim,
+    "op12_runs": op12_runs.op12_runs,
+    "op13_fingerprints": op13_parsing.op13_fingerprints,
 }
 
 SQL = {
@@ -22,4 +26,5 @@ SQL = {
     "op6_near_duplicates": op6_minhash.SQL,
     "op7_preferences": op7_chat.SQL,
     "op9_substrings": op9_trees.SQL,
+    "op11_fim": op11_fim.SQL,
 }
