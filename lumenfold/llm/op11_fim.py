@@ -1,8 +1,9 @@
 """Fill-in-middle transformation by the offsets of a Split pre-tokenizer.
 
 The tokenizers library's Split, with isolated matches of one code point, gives each code point's
-offset; nothing is trained.  The offsets of a text stand in one array: its length is n, and the
-offsets at two ranks cut the text into prefix, middle and suffix.
+offset in the text's UTF-8 bytes; nothing is trained.  The number of offsets is n, and the offsets at two
+ranks cut the text into prefix, middle and suffix.  A text is matched in blocks; of a block only
+the number of its offsets is kept, and one that holds a rank is matched again.
 
 Where the cuts fall and which form a document takes follows from a hash of its id alone, so
 a lost task gives the same rows again.  The form is `plain` (the text as it is) for empty
@@ -17,12 +18,13 @@ a row: repeated rows and ids each their own.  Further columns of the input don't
 from __future__ import annotations
 
 import hashlib
-from array import array
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import PreTokenizedString, Regex, pre_tokenizers
 
 from . import common
 
@@ -31,23 +33,34 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of a hundred documents: those that stay plain, and of the others those with the suffix first.
 PLAIN, SPM = 10, 20
 #: Code points that the pre-tokenizer takes at a time; each is a match of its own, so cuts between calls change nothing.
-BLOCK = 256
+BLOCK = 128
 
 _SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
+_SPLIT = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
+
+
+def offsets(block: str) -> list[tuple]:
+    """A match for each unit of the block: (text, (start, end) in UTF-8 bytes, None)."""
+    matches = PreTokenizedString(block)
+    _SPLIT.pre_tokenize(matches)
+    return matches.get_splits("original", "byte")
+
+
 class Units:
-    """Offsets of a text's code points, in code points."""
+    """The units of a whole text: their number n, and where they start in its UTF-8 bytes."""
 
-    def __init__(self) -> None:
-        self.split = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated").pre_tokenize_str
+    def __init__(self, text: str):
+        self.text = text
+        self.before = list(accumulate((len(offsets(text[at : at + BLOCK])) for at in range(0, len(text), BLOCK)), initial=0))
+        self.n = self.before[-1]
 
-    def offsets(self, text: str) -> array:
-        """Where each unit of the whole text starts."""
-        found, split = array("q"), self.split
-        for at in range(0, len(text), BLOCK):
-            found.extend([at + start for _, (start, _) in split(text[at : at + BLOCK])])
-        return found
+    def start(self, rank: int) -> int:
+        """Where the unit of this rank starts; for n the end of the text."""
+        k = bisect_right(self.before, rank) - 1
+        passed, block = self.text[: k * BLOCK], self.text[k * BLOCK : (k + 1) * BLOCK]
+        return len(passed.encode()) + (offsets(block)[rank - self.before[k]][1][0] if block and rank < self.n else len(block.encode()))
 
 
 def draws(doc_id: int | None) -> tuple[int, ...]:
@@ -56,16 +69,16 @@ def draws(doc_id: int | None) -> tuple[int, ...]:
     return tuple(int(digest[i : i + 8], 16) for i in (0, 8, 16, 24))
 
 
-def transformed_text(units: Units, doc_id: int | None, text: str) -> tuple[int, str, int | None, int | None, str]:
+def transformed_text(doc_id: int | None, text: str) -> tuple[int, str, int | None, int | None, str]:
     """(n, form, code points of the prefix, of the middle, output) of one text."""
-    offsets = units.offsets(text)
-    n = len(offsets)
+    units = Units(text)
+    n = units.n
     h1, h2, h3, h4 = draws(doc_id)
     if not n or h3 % 100 >= 100 - PLAIN or any(s in text for s in (PREFIX, SUFFIX, MIDDLE)):
         return n, "plain", None, None, text
-    offsets.append(len(text))
     first, second = sorted((h1 % (n + 1), h2 % (n + 1)))
-    prefix, middle, suffix = text[: offsets[first]], text[offsets[first] : offsets[second]], text[offsets[second] :]
+    a, b, data = units.start(first), units.start(second), text.encode()
+    prefix, middle, suffix = data[:a].decode(), data[a:b].decode(), data[b:].decode()
     if h4 % 100 < SPM:
         return n, "spm", first, second - first, f"{SUFFIX}{suffix}{PREFIX}{prefix}{MIDDLE}{middle}"
     return n, "psm", first, second - first, f"{PREFIX}{prefix}{SUFFIX}{suffix}{MIDDLE}{middle}"
@@ -75,13 +88,12 @@ def transformed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, n, form, prefix_chars, middle_chars, output) of every document."""
 
     def run(batches):
-        units = Units()
         for batch in batches:
             for part in common.slices(iter([batch])):
                 ids = part.column(0).to_pylist()
-                rows = [transformed_text(units, i, t or "") for i, t in zip(ids, part.column(1).to_pylist())]
+                rows = [transformed_text(i, t or "") for i, t in zip(ids, part.column(1).to_pylist())]
                 n, form, prefix, middle, output = zip(*rows)
-                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in (n,)), pa.array(form, pa.string())]
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(form, pa.string())]
                 columns += [pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
