@@ -39,6 +39,10 @@ def corrected(value: Column, band: Column) -> Column:
     return F.when(band.isin(*STORED_PLUS_ONE), value - 1.0).otherwise(value)
 
 
+#: What indices() takes, in its order: the wavelength in nm, and the band's usual number.
+INDEX_SOURCES = {"green": (550.0, 51), "red": (670.0, 81), "edge": (718.0, 93), "nir802": (802.0, 114), "nir850": (850.0, 126)}
+
+
 def band_name(band: Column) -> Column:
     out = F.concat(F.lit("band_"), band.cast("string"))
     for number, name in INDEX_BANDS.items():
@@ -102,5 +106,6 @@ def nearest_band(wavelengths: list[float | None], target: float, fallback: int,
     return min(near)[1] if near and min(near)[0] <= tolerance else fallback
 
 
-def gaussian_support(sigma_px: float = 8.0, gsd_m: float = 0.06125232) -> dict[str, float]:
+def gaussian_support(sigma_px: float = 8.0, gsd_m=0.06125232) -> dict:
+    """The support's width in pixels and metres; gsd_m, the ground sampling distance, is a number or a column."""
     return {"sigma_px": sigma_px, "sigma_m": sigma_px * gsd_m, "fwhm_m": 2.35482 * sigma_px * gsd_m}

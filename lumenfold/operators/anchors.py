@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ranks
-from .candidates import near_scenes
+from . import ranks, rays
 from ..functions import camera as C
 from ..functions import mapgrid
 from ..functions.vectors import dot, minus, unit, vec
+from ..sources import shared
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -26,12 +26,13 @@ def grid_scores(cameras: DataFrame, box: DataFrame) -> DataFrame:
         margin = F.greatest(F.lit(30.0), (hi - lo) * 0.2)
         inside = inside & F.col(f"cam_{c}").between(lo - margin, hi + margin)
         center.append(F.col(f"cam_{c}") - (lo + hi) * 0.5)
-    out = met.groupBy("name").agg(
-        F.count_if(inside).alias("hits"),
-        F.median(F.sqrt(center[0] * center[0] + center[1] * center[1])).alias("distance"),
-        F.coalesce(F.median("az_residual"), F.lit(999.0)).alias("az"),
-        F.coalesce(F.median("zen_residual"), F.lit(999.0)).alias("zen"),
-    )
+    hits = met.groupBy("name").agg(F.count_if(inside).alias("hits"))
+    gap = F.sqrt(center[0] * center[0] + center[1] * center[1])
+    values = {"distance": gap, "az": F.col("az_residual"), "zen": F.col("zen_residual")}
+    long = met.select("name", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("x")) for k, v in values.items()])).alias("v")).select("name", "v.*")
+    middle = ranks.medians(long, "x", "name", "kind")
+    at = middle.groupBy("name").agg(*[F.max(F.when(F.col("kind") == k, F.col("median"))).alias(k) for k in values])
+    out = hits.join(at, "name", "left").withColumns({k: F.coalesce(k, F.lit(999.0)) for k in ("az", "zen")})
     return out.withColumn("score", F.col("hits") * 1000.0 - F.col("distance") - 2.0 * F.col("az") - 2.0 * F.col("zen"))
 
 
@@ -52,24 +53,17 @@ def choose_grid(cameras: DataFrame, box: DataFrame, catalogue: list[dict], force
 
 def first_hits(scenes: DataFrame, points: DataFrame, radius=1.0, min_points=8, nearest=1.0, farthest=300.0, quantile=0.05, depth=1.0) -> DataFrame:
     """scenes(scene_code, cam_x.., fwd_x..): hit_count and anchor_range of the first surface along
-    each ray (null where too few points are met).  Rays meet the points of the cells in their
-    reach, and points in the tube alone are ranked."""
-    rays = scenes.select("scene_code", "cam_x", "cam_y", "cam_z", "fwd_x", "fwd_y", "fwd_z")
-    met = near_scenes(points.select("x", "y", "z"), rays, farthest + radius)
-    rel = minus(vec("x", "y", "z"), vec("cam_x", "cam_y", "cam_z"))
-    along = dot(rel, unit(vec("fwd_x", "fwd_y", "fwd_z")))
-    met = met.select("scene_code", along.alias("along"), F.greatest(dot(rel, rel) - along * along, F.lit(0.0)).alias("perp2"))
-    tube = met.where(F.col("along").between(nearest, farthest) & (F.col("perp2") <= radius * radius))
-    per = tube.groupBy("scene_code").agg(F.count("*").alias("hit_count"), (F.percentile("along", F.lit(quantile)) + depth).alias("limit"))
-    order = Window.partitionBy("scene_code").orderBy("along")
-    rows = tube.join(per, "scene_code").withColumn("nth", F.row_number().over(order))
-    close = F.count_if(F.col("along") <= F.col("limit")).over(Window.partitionBy("scene_code"))
-    chosen = F.when(close >= min_points, F.col("along") <= F.col("limit")).otherwise(F.col("nth") <= min_points)
-    found = rows.withColumn("chosen", chosen).where("chosen").groupBy("scene_code").agg(F.median("along").alias("anchor_range"))
-    out = scenes.join(per.select("scene_code", "hit_count"), "scene_code", "left").join(found, "scene_code", "left")
-    return out.withColumn("hit_count", F.coalesce("hit_count", F.lit(0).cast("long"))).withColumn(
-        "anchor_range", F.when(F.col("hit_count") >= min_points, F.col("anchor_range"))
-    )
+    each ray (null where too few points are met).  The surface is the median of the points in the tube that
+    are up to `depth` behind its low quantile, but of min_points at least: the tube's first ones.
+    Rays meet the points of the voxels that their tubes cross."""
+    tube = shared.written(rays.tube(scenes, points, radius, nearest, farthest).select("scene_code", "along"))
+    order = ranks.Sorted(tube, "along", "scene_code")
+    limits = order.percentiles({"low": quantile}).select("scene_code", (F.col("low") + depth).alias("limit"))
+    close = tube.join(limits, "scene_code").groupBy("scene_code").agg(F.count_if(F.col("along") <= F.col("limit")).alias("close"))
+    first = F.least(F.greatest("close", F.lit(min_points)), F.col("n"))
+    found = order.at({"below": F.floor((first - 1) / 2), "above": F.floor(first / 2)}, close)
+    found = found.select("scene_code", F.col("n").alias("hit_count"), F.when(F.col("n") >= min_points, (F.col("below") + F.col("above")) / 2).alias("anchor_range"))
+    return scenes.join(found, "scene_code", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0).cast("long")))
 
 
 def resolved(hits: DataFrame, ground: DataFrame, method: str = "first_hit_pointcloud", fallback: str = "ray_ground_intersection", aim: bool = False) -> DataFrame:
@@ -109,10 +103,13 @@ def ground(points: DataFrame, share: float = 0.05) -> DataFrame:
 
 def center(anchors: DataFrame) -> DataFrame:
     """The medians of the anchors, and the median distance of the cameras to them."""
-    middle = anchors.agg(*[F.median(f"anchor_{c}").alias(f"center_{c}") for c in "xyz"])
-    met = anchors.crossJoin(F.broadcast(middle))
-    gap = minus(vec("cam_x", "cam_y", "cam_z"), vec("center_x", "center_y", "center_z"))
-    return met.groupBy("center_x", "center_y", "center_z").agg(F.median(F.sqrt(dot(gap, gap))).alias("radius"))
+    rows = shared.written(anchors.select(*[f"{of}_{c}" for of in ("anchor", "cam") for c in "xyz"]))
+    middle = {k: at[0] for k, (_, at) in ranks.percentiles(ranks.long(rows, [f"anchor_{c}" for c in "xyz"]), "x", [0.5], "name").items()}
+    at = [F.lit(middle.get(f"anchor_{c}")).cast("double") for c in "xyz"]
+    gap = minus(vec("cam_x", "cam_y", "cam_z"), tuple(at))
+    far = ranks.percentiles(rows.select(F.sqrt(dot(gap, gap)).alias("gap")), "gap", [0.5]).get(None)
+    row = [middle.get(f"anchor_{c}") for c in "xyz"] + [far[1][0] if far else None]
+    return rows.sparkSession.createDataFrame([tuple(row)], "center_x double, center_y double, center_z double, radius double")
 
 
 def source_counts(anchors: DataFrame) -> DataFrame:

@@ -4,38 +4,31 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import point_quality, quality_level
 
+#: The directional table's columns in their order.
 PAPER_COLUMNS = (
-    "observation_id", "point_id", "scene_id", "scene_code", "x", "y", "z", "nx", "ny", "nz", "u", "v", "range_m", "offaxis_deg",
-    "border_dist_px", "view_zenith_deg", "view_azimuth_deg", "local_view_angle_deg", "local_view_cos_signed", "solar_zenith_deg",
-    "solar_azimuth_deg", "relative_azimuth_deg", "local_solar_incidence_deg", "local_solar_cos", "is_backlit", "surface_view_cos",
-    "surface_verticality", "normal_confidence", "visibility_score", "view_weight_raw", "local_empty_cone_deg", "blocker_count",
-    "is_clear", "selection_method",
+    "observation_id", "point_id", "scene_id", "scene_code", "x", "y", "z", "normal_x", "normal_y", "normal_z", "u", "v", "range_m", "offaxis_deg",
+    "border_dist_px", "view_zenith_deg", "view_azimuth_deg", "solar_zenith_deg", "solar_azimuth_deg", "relative_azimuth_deg", "local_view_angle_deg",
+    "local_solar_incidence_deg", "is_backlit", "surface_view_cos", "surface_verticality", "normal_confidence", "local_empty_cone_deg", "blocker_count",
+    "image_zbuffer_clear", "is_clear", "selection_method", "fusion_rank_within_point", "view_weight_raw", "brf_quality_level",
 )
-
-
-def numbered(views: DataFrame, *order: str) -> DataFrame:
-    """observation_id from 0 in this order, without one task for all: ranks within ranges of the
-    first key, shifted by the sizes of the ranges before (one number for each range)."""
-    spread = views.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranked = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = spread.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).drop("count")
-    out = ranked.join(F.broadcast(starts), "_part").withColumn("observation_id", F.col("_start") + F.col("_rank") - 1)
-    return out.drop("_part", "_rank", "_start")
+#: What some of them are called in views.
+VIEW_NAMES = {"normal_x": "nx", "normal_y": "ny", "normal_z": "nz", "image_zbuffer_clear": "zbuffer_clear", "fusion_rank_within_point": "fusion_rank",
+              "solar_azimuth_deg": "sun_azimuth_deg"}
 
 
 def paper_columns(views: DataFrame, whole: bool = False) -> DataFrame:
-    """The table's columns that views have, in order; with whole, an error if any is missing."""
-    lacking = [c for c in PAPER_COLUMNS if c not in views.columns]
+    """The table's columns that views have, under its names or those of views, in order; with whole, an
+    error if any is missing."""
+    at = {c: c if c in views.columns else VIEW_NAMES.get(c, c) for c in PAPER_COLUMNS}
+    lacking = [c for c, old in at.items() if old not in views.columns]
     if whole and lacking:
         raise ValueError(f"columns {lacking} are missing")
-    return views.select(*[c for c in PAPER_COLUMNS if c in views.columns])
+    return views.select(*[F.col(old).alias(c) for c, old in at.items() if c not in lacking])
 
 
 def with_geometry(views: DataFrame, points: DataFrame) -> DataFrame:

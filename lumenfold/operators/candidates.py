@@ -1,8 +1,7 @@
 """Candidate views: points against scenes, scored, the best K for each point.
 
-A point meets the scenes of its own and the surrounding cells of a grid as wide as the range.
-The scenes' side is broadcast only after its number was counted: then the points are not
-shuffled at all; a larger set is joined by cells, and a hot cell's points can be split.
+A point meets the scenes that can see into its cell (sight.py).  The score needs no sun, so the sun's
+angles are computed for the best views alone.
 """
 
 from __future__ import annotations
@@ -13,26 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import camera as C
 from ..functions import scoring as S
 from ..functions.vectors import clip01, vec
-
-#: Scenes (one row of some thirty numbers each) up to which their side is broadcast.
-BROADCAST_SCENES = 20_000
-
-
-def near_scenes(points: DataFrame, scenes: DataFrame, reach: float) -> DataFrame:
-    """points(x, y, ...) with each of scenes(cam_x, cam_y, ...) that can be within reach of them."""
-    few = scenes.limit(BROADCAST_SCENES + 1).count() <= BROADCAST_SCENES
-    around = scenes
-    for c in "xy":
-        own = F.floor(F.col(f"cam_{c}") / reach)
-        around = around.withColumn(f"_cell_{c}", F.explode(F.array(*[own + d for d in (-1, 0, 1)])))
-    placed = points.withColumns({f"_cell_{c}": F.floor(F.col(c) / reach) for c in "xy"})
-    return placed.join(F.broadcast(around) if few else around, ["_cell_x", "_cell_y"]).drop("_cell_x", "_cell_y")
+from . import sight
+from .sizes import small
 
 
 def projected(points: DataFrame, scenes: DataFrame, max_range: float = 300.0, **image) -> DataFrame:
     """points(point_id, x, y, z, ...) and scenes(scene_code, cam_x.., r11..r33, ...): pairs that
     are in the image and within range, with u, v, range_m, offaxis_deg, border_px."""
-    pairs = near_scenes(points, scenes, max_range)
+    pairs = sight.pairs(points, scenes, max_range, **image)
     rows = tuple(vec(*[f"r{i}{j}" for j in (1, 2, 3)]) for i in (1, 2, 3))
     made = C.project(vec("x", "y", "z"), vec("cam_x", "cam_y", "cam_z"), rows, **image)
     return pairs.withColumns(made).where(F.col("inside") & (F.col("range_m") <= max_range)).drop("inside")
@@ -43,10 +30,7 @@ def scored(pairs: DataFrame, window: dict[str, int], policy: str = "prefer") ->
     out = pairs.withColumn("center_distance", C.window_distance(F.col("u"), F.col("v"), window))
     if policy == "strict":
         out = out.where("center_distance >= 0")
-    normal = vec("nx", "ny", "nz")
-    out = out.withColumns(C.view_geometry(vec("x", "y", "z"), normal, vec("cam_x", "cam_y", "cam_z")))
-    if "sun_x" in out.columns:
-        out = out.withColumns(C.solar_local(normal, vec("sun_x", "sun_y", "sun_z"), F.col("sun_azimuth_deg"), F.col("view_azimuth_deg")))
+    out = out.withColumns(C.view_geometry(vec("x", "y", "z"), vec("nx", "ny", "nz"), vec("cam_x", "cam_y", "cam_z")))
     score = S.coarse(
         F.col("center_distance"), F.col("offaxis_deg"), F.col("range_m"), F.col("surface_view_cos"),
         F.col("view_zenith_deg"), clip01(F.col("surface_verticality")), clip01(F.col("normal_confidence")),
@@ -54,6 +38,12 @@ def scored(pairs: DataFrame, window: dict[str, int], policy: str = "prefer") ->
     return out.withColumn("coarse_score", score).withColumn("border_dist_px", F.greatest("center_distance", F.lit(0.0)))
 
 
+def sunlit(views: DataFrame, suns: DataFrame) -> DataFrame:
+    """Scored views with suns(scene_code, sun_x .., sun_azimuth_deg, ...) and their local angles; nulls where the sun is unknown."""
+    out = views.join(small(suns), "scene_code", "left")
+    return out.withColumns(C.solar_local(vec("nx", "ny", "nz"), vec("sun_x", "sun_y", "sun_z"), F.col("sun_azimuth_deg"), F.col("view_azimuth_deg")))
+
+
 def best(candidates: DataFrame, k: int) -> DataFrame:
     """The k best views of each point, slot 0 first; scores compare as 4-byte floats, ties go to
     the lower scene_code."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,6 @@ def curves(bins: DataFrame) -> DataFrame:
     by construction; a drawing is made from one group of them."""
 
     def draw(b):
-        import pandas as pd
-
         b = b.sort_values("bin")
         known = b[b["n"] > 0]
         x = (b["bin_left"] + b["bin_right"]) / 2
@@ -113,17 +112,52 @@ def collected(report: DataFrame, products: dict[str, str]) -> DataFrame:
     return report.withColumns({f"bytes_{n}": F.lit(v).cast("long") for n, v in sizes.items()})
 
 
+def previews(pixels: DataFrame, lines: int, samples: int) -> DataFrame:
+    """pixels(scene_id, line, sample, red, green, blue): (scene_id, png), a picture for each scene, made where its pixels
+    are grouped; a picture's size is bounded by its scene's, and pixels without a row stay black."""
+    import numpy as np
+
+    def draw(rows):
+        plane = np.zeros((lines, samples, 3), np.uint8)
+        plane[rows["line"], rows["sample"]] = rows[["red", "green", "blue"]].to_numpy()
+        return pd.DataFrame({"scene_id": [rows["scene_id"].iloc[0]], "png": [png(plane)]})
+
+    return pixels.groupBy("scene_id").applyInPandas(draw, "scene_id string, png binary")
+
+
+def pixels_of(column: str):
+    """A column of arrays of (red, green, blue) of pictures that png() made."""
+    import struct
+    import zlib
+
+    @F.pandas_udf("array<struct<red: int, green: int, blue: int>>")
+    def read(pictures: pd.Series) -> pd.Series:
+        def one(data):
+            samples, lines = struct.unpack(">II", data[16:24])
+            at, raw = 8, b""
+            while at < len(data):
+                size, kind = struct.unpack(">I4s", data[at : at + 8])
+                raw += data[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+                at += 12 + size
+            raw = zlib.decompress(raw)
+            rows = [raw[i * (1 + 3 * samples) + 1 : (i + 1) * (1 + 3 * samples)] for i in range(lines)]
+            return [dict(zip(("red", "green", "blue"), r[i : i + 3])) for r in rows for i in range(0, 3 * samples, 3)]
+
+        return pictures.map(one)
+
+    return read(column)
+
+
 def write_preview(df: DataFrame, path: str, lines: int, samples: int) -> None:
-    """df(line, sample, red, green, blue) as a PNG: a scene's preview; the picture's size is bounded by the scene's."""
+    """df(line, sample, red, green, blue) as one PNG file: a scene's preview."""
+    made = previews(df.withColumn("scene_id", F.lit("")), lines, samples).first()
     import numpy as np
 
-    pixels = np.zeros((lines, samples, 3), np.uint8)
-    rows = df.toPandas()
-    pixels[rows["line"], rows["sample"]] = rows[["red", "green", "blue"]].to_numpy()
-    write_png(path, pixels)
+    with open(path, "wb") as f:
+        f.write(made.png if made else png(np.zeros((lines, samples, 3), np.uint8)))
 
 
-def write_png(path: str, pixels) -> None:
+def png(pixels) -> bytes:
     """An array (lines, samples, 3) of bytes as a PNG."""
     import struct
     import zlib
@@ -131,6 +165,5 @@ def write_png(path: str, pixels) -> None:
     lines, samples, _ = pixels.shape
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     raw = b"".join(b"\0" + pixels[i].tobytes() for i in range(lines))
-    with open(path, "wb") as f:
-        f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", samples, lines, 8, 2, 0, 0, 0)))
-        f.write(chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", samples, lines, 8, 2, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")

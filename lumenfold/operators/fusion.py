@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spectral
 from ..functions.scoring import base_weight
 
 DEFAULTS = {
@@ -25,10 +26,15 @@ def weighted(views: DataFrame, mode: str = "surface_adaptive", **settings) -> Da
     return out.withColumn("w", F.col("base") / F.sum("base").over(per_point)).where("w > 0").drop("best", "base")
 
 
-def fused(views: DataFrame, bands: list[str]) -> DataFrame:
-    """One row for each point of weighted() views: bands and metrics, entropy, primary view."""
+#: What is kept of a point's primary view, the one with the greatest weight.
+PRIMARY = ("range_m", "offaxis_deg", "border_dist_px", "local_empty_cone_deg", "view_zenith_deg", "surface_view_cos")
+
+
+def fused(views: DataFrame, bands: list[str], numbers: dict[int, str] | None = None) -> DataFrame:
+    """One row for each point of weighted() views: bands and metrics, entropy, and its primary view's scene, weight,
+    share of the weights and own metrics.  numbers (number: column) with bands 81 and 128: also their NDVI."""
     total = F.sum("w")
-    primary = F.max_by(F.struct("scene_code", "w", "range_m", "view_zenith_deg"), F.struct("w", -F.col("scene_code")))
+    primary = F.max_by(F.struct("scene_code", "w", *PRIMARY), F.struct("w", -F.col("scene_code")))
     out = views.groupBy("point_id").agg(
         F.count("*").alias("views"),
         total.alias("weight_sum"),
@@ -38,9 +44,11 @@ def fused(views: DataFrame, bands: list[str]) -> DataFrame:
         (-F.sum(F.col("w") * F.ln(F.greatest("w", F.lit(1e-12))))).alias("entropy"),
         primary.alias("primary"),
     )
-    return out.withColumn("effective_views", F.exp("entropy")).select(
-        "*", F.col("primary.scene_code").alias("primary_scene"), F.col("primary.w").alias("primary_weight")
-    ).drop("primary")
+    own = {"primary_scene": F.col("primary.scene_code"), "primary_weight": F.col("primary.w"), "primary_ratio": F.col("primary.w") / F.col("weight_sum")}
+    out = out.withColumns({"effective_views": F.exp("entropy"), **own, **{f"primary_{c}": F.col(f"primary.{c}") for c in PRIMARY}}).drop("primary")
+    if numbers and {81, 128} <= set(numbers):
+        out = out.withColumn("ndvi_81_128", spectral.ndvi(F.col(numbers[81]), F.col(numbers[128])))
+    return out
 
 
 def scene_summary(views: DataFrame, outside) -> DataFrame:

@@ -1,18 +1,27 @@
 """Scene gains from overlaps, their stability, and fusion weighted by quality.
 
-The two-way fit runs on all bands at once.  Scene effects are few and broadcast; the rows are
-written once to the shared folder, in files by point, so an iteration is two aggregations and
-no lineage grows.  Percentiles are those of ranks.py.
+The two-way fit keeps its rows where they are: dealt by band and point once, in the order of these,
+and kept on the executors' disks.  A step joins the scene effects, sums by point and by scene,
+and only the sums by scene are shuffled.  Effects are a table, written in each step; the driver gets
+one number for each band, the greatest change.  Effects of bands that fit together under EFFECTS rows are
+broadcast, so bands are fitted in groups of that size; a band with more scenes joins by a shuffle.
+Percentiles are those of ranks.py.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
+from .sizes import small
+from ..functions import spectral
 from ..sources import shared
 
+#: Effects (band, scene, two numbers) up to which they are broadcast.
+EFFECTS = 1_000_000
+
 
 def unpivoted(views: DataFrame, bands: list[str], keep: list[str]) -> DataFrame:
     """keep, band (number from 1) and value."""
@@ -20,7 +29,8 @@ def unpivoted(views: DataFrame, bands: list[str], keep: list[str]) -> DataFrame:
 
 
 def fit_rows(long: DataFrame, low=1e-6, high=2.0, trim=(0.01, 0.99), min_views=2, min_rows=10_000) -> DataFrame:
-    """Rows (band, point_id, scene_code, y, w) fit for estimation, of bands with enough of them."""
+    """Rows (band, point_id, scene_code, y, w) fit for estimation, of bands that have min_rows of them before
+    and after the trimming."""
     inside = long.where((F.col("value") > low) & (F.col("value") < high))
     n = lambda *by: F.count("*").over(Window.partitionBy(*by))
     rows = inside.withColumn("views", n("band", "point_id")).where(F.col("views") >= min_views)
@@ -28,57 +38,99 @@ def fit_rows(long: DataFrame, low=1e-6, high=2.0, trim=(0.01, 0.99), min_views=2
     rows = shared.written(rows)
     found = ranks.percentiles(rows, "y", list(trim), "band")
     limits = [(int(band), *at) for band, (n, at) in found.items() if n >= min_rows]
-    limits = long.sparkSession.createDataFrame(limits, "band int, lo double, hi double")
-    kept = rows.join(F.broadcast(limits), "band").where(F.col("y").between(F.col("lo"), F.col("hi")))
-    return kept.select("band", "point_id", "scene_code", "y", F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0)).alias("w"))
+    limits = long.sparkSession.createDataFrame(limits, "band int, lo double, hi double")  # a row for each band
+    trimmed = rows.join(F.broadcast(limits), "band").where(F.col("y").between(F.col("lo"), F.col("hi")))
+    enough = trimmed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("band")
+    w = F.when((F.col("w") > 0) & (F.col("w") < float("inf")) & ~F.isnan("w"), F.col("w")).otherwise(F.lit(1.0)).alias("w")
+    return trimmed.join(small(enough), "band", "left_semi").select("band", "point_id", "scene_code", "y", w)
 
 
-def iterate(rows: DataFrame, effects: DataFrame, valid: DataFrame) -> DataFrame:
-    """One step: point effects given scene effects, then scene effects, centred and for valid scenes."""
-    have = rows.join(F.broadcast(effects), ["band", "scene_code"])
+def iterate(rows: DataFrame, effects: DataFrame) -> DataFrame:
+    """One step, from effects(band, scene_code, valid, effect): point effects given scene effects, then scene effects, centred
+    and for valid scenes, with `moved`, how far each went."""
+    have = rows.join(small(effects, EFFECTS), ["band", "scene_code"])
     per_point = Window.partitionBy("band", "point_id")
     point = F.sum((F.col("y") - F.col("effect")) * F.col("w")).over(per_point) / F.sum("w").over(per_point)
     scene = (
         have.withColumn("point", point)
-        .groupBy("band", "scene_code")
+        .groupBy("band", "scene_code", "valid", "effect")
         .agg((F.sum((F.col("y") - F.col("point")) * F.col("w")) / F.sum("w")).alias("raw"), F.sum("w").alias("weight"))
-        .join(F.broadcast(valid), ["band", "scene_code"])
     )
     weight = F.when(F.col("valid"), F.col("weight")).otherwise(F.lit(0.0))
-    over = Window.partitionBy("band")
-    center = F.coalesce(F.try_divide(F.sum(F.col("raw") * weight).over(over), F.sum(weight).over(over)), F.lit(0.0))
-    return scene.select("band", "scene_code", F.when(F.col("valid"), F.col("raw") - center).otherwise(F.lit(0.0)).alias("effect"))
+    centers = scene.groupBy("band").agg(F.coalesce(F.try_divide(F.sum(F.col("raw") * weight), F.sum(weight)), F.lit(0.0)).alias("center"))
+    after = F.when(F.col("valid"), F.col("raw") - F.col("center")).otherwise(F.lit(0.0))
+    return scene.join(F.broadcast(centers), "band").select("band", "scene_code", "valid", after.alias("effect"), F.abs(after - F.col("effect")).alias("moved"))
+
+
+def _groups(sizes: dict[int, int]) -> list[list[int]]:
+    """Bands dealt to groups of up to EFFECTS scenes together, one band at least."""
+    out, held = [], 0
+    for band, n in sorted(sizes.items()):
+        if not out or held + n > EFFECTS:
+            out.append([])
+            held = 0
+        out[-1].append(band)
+        held += n
+    return out
 
 
 def fitted(rows: DataFrame, iterations: int = 20, tolerance: float = 1e-5, min_scene_rows: int = 1000, gain=(0.5, 2.0)) -> DataFrame:
-    """band, scene_code, gain.  Effects (bands times scenes) pass through the driver each step;
-    the number of scenes is that of a flight's images.  Bands with fewer than two valid scenes gain 1."""
+    """band, scene_code, gain.  Each band stops once its effects move by no more than the tolerance.  Bands with fewer
+    than two valid scenes gain 1."""
     spark = rows.sparkSession
     rows = shared.written(rows)
-    counts = rows.groupBy("band", "scene_code").agg(F.count("*").alias("n"))
-    enough = F.count_if(F.col("n") >= min_scene_rows).over(Window.partitionBy("band")) >= 2
-    valid = counts.select("band", "scene_code", ((F.col("n") >= min_scene_rows) & enough).alias("valid")).toPandas()
-    kind = "band int, scene_code long, "
-    valid = spark.createDataFrame(valid, kind + "valid boolean")
-    effects = valid.select("band", "scene_code", F.lit(0.0).alias("effect")).toPandas()
-    for _ in range(iterations):
-        after = iterate(rows, spark.createDataFrame(effects, kind + "effect double"), valid).toPandas()
-        both = effects.merge(after, on=["band", "scene_code"], suffixes=("", "_new"))
-        moved = float((both["effect_new"] - both["effect"]).abs().max()) if len(both) else 0.0
-        effects = after
-        if moved <= tolerance:
-            break
-    out = spark.createDataFrame(effects, kind + "effect double").join(valid, ["band", "scene_code"])
+    counts = shared.written(rows.groupBy("band", "scene_code").agg((F.count("*") >= min_scene_rows).alias("valid")))
+    enough = counts.groupBy("band").agg((F.count_if("valid") >= 2).alias("enough"), F.count("*").alias("n"))
+    sizes = {r.band: r.n for r in enough.collect()}  # a number for each band
+    start = counts.join(small(enough), "band").select("band", "scene_code", (F.col("valid") & F.col("enough")).alias("valid"), F.lit(0.0).alias("effect"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "band", "point_id").sortWithinPartitions("band", "point_id").persist(StorageLevel.DISK_ONLY)
+    done = None
+    for active in _groups(sizes):
+        effects = start.where(F.col("band").isin(active))
+        for step in range(iterations):
+            after = shared.written(iterate(dealt.where(F.col("band").isin(active)), effects))
+            moved = {r.band: r.moved for r in after.groupBy("band").agg(F.max("moved").alias("moved")).collect()}
+            still = [b for b in active if moved.get(b, 0.0) > tolerance and step < iterations - 1]
+            ended = after.where(~F.col("band").isin(still)) if still else after
+            if len(still) < len(active):
+                done = ended if done is None else done.union(ended)
+            active, effects = still, after.where(F.col("band").isin(still)).drop("moved")
+            if not active:
+                break
+    dealt.unpersist()
+    out = start if done is None else done
     g = F.when(F.col("valid"), F.exp(-F.col("effect"))).otherwise(F.lit(1.0))
     return out.select("band", "scene_code", F.greatest(F.least(g, F.lit(gain[1])), F.lit(gain[0])).alias("gain"))
 
 
 def applied(long: DataFrame, gains: DataFrame) -> DataFrame:
     """value times its scene's gain; a scene without one keeps its values."""
-    out = long.join(F.broadcast(gains.select("band", "scene_code", "gain")), ["band", "scene_code"], "left")
+    out = long.join(small(gains.select("band", "scene_code", "gain"), EFFECTS), ["band", "scene_code"], "left")
     return out.withColumn("value", F.col("value") * F.coalesce("gain", F.lit(1.0))).drop("gain")
 
 
+def corrected(views: DataFrame, gains: DataFrame, bands: dict[str, int], wavelengths: list[float] | None = None, numbers: dict[str, int] | None = None) -> DataFrame:
+    """views(scene_code, a column for each band) times their scene's gains; bands: column: the band of the gains.
+
+    With numbers (column: number in the image, for all bands) that have the four index bands, these are computed anew
+    from the corrected reflectances: green, red, red edge and two of near infrared are the bands nearest to their
+    wavelengths within 3 nm, else the usual ones.  A scene without gains keeps its values; one row a scene is joined.
+    """
+    per = gains.groupBy("scene_code").agg(F.map_from_entries(F.collect_list(F.struct("band", "gain"))).alias("_gains"))
+    out = views.join(small(per), "scene_code", "left")
+    out = out.withColumns({c: F.col(c) * F.coalesce(F.col("_gains")[F.lit(b)], F.lit(1.0)) for c, b in bands.items()}).drop("_gains")
+    at = {n: c for c, n in (numbers or {}).items()}
+    if not set(spectral.INDEX_BANDS) <= set(at):
+        return out
+    nm = wavelengths or []
+    source = {k: at.get(spectral.nearest_band(nm, target, usual)) for k, (target, usual) in spectral.INDEX_SOURCES.items()}
+    lacking = [k for k, c in source.items() if c is None]
+    if lacking:
+        raise ValueError(f"no band for {lacking}")
+    made = spectral.indices(*[F.col(source[k]) for k in spectral.INDEX_SOURCES])
+    return out.withColumns({at[n]: made[name.lower()] for n, name in spectral.INDEX_BANDS.items()})
+
+
 def stability(gains: DataFrame, scale: float = 0.5, least: float = 0.35, boundary_penalty: float = 0.5) -> DataFrame:
     """scene_code, stability: falls with the mean and spread of log gains and with clipped gains."""
     good = gains.where(F.col("gain") > 1e-12)
@@ -105,7 +157,7 @@ def view_weights(views: DataFrame, scene_weights: DataFrame | None = None, high=
     w = F.when(level == "high", high).when(level == "medium", medium).otherwise(low)
     w = w * F.when(F.col("view_weight_raw") > 0, F.col("view_weight_raw")).otherwise(F.lit(1.0))
     if scene_weights is not None:
-        views = views.join(F.broadcast(scene_weights), "scene_code", "left")
+        views = views.join(small(scene_weights), "scene_code", "left")
         w = w * F.coalesce("stability", F.lit(1.0))
     out = views.withColumn("w", F.when(w > 1e-12, w).otherwise(F.lit(1.0)))
     out = shared.written(out)

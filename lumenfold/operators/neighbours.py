@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import angle_of_cos, unit, vec
 from ..sources import shared
+from . import tiles
 
 
 def pairs(points: DataFrame, radius: float, closed: bool = False, with_self: bool = False, others: DataFrame | None = None) -> DataFrame:
@@ -35,22 +36,13 @@ def nearest(points: DataFrame, radius: float, k: int, closed: bool = False, with
     return pairs(points, radius, closed, with_self).withColumn("nth", rank).where(F.col("nth") <= k)
 
 
-def occlusion(views: DataFrame, near: DataFrame, clearance=0.08, min_along=0.08, min_neighbours=2, min_cone=4.0) -> DataFrame:
-    """views(point_id, scene_code, dir_x, dir_y, dir_z): blocker_count, front_count,
-    local_empty_cone_deg, tube_clear and cone_clear of each.  Fewer neighbours than
-    min_neighbours: clear, 180 degrees."""
-    t = F.col("dx") * F.col("dir_x") + F.col("dy") * F.col("dir_y") + F.col("dz") * F.col("dir_z")
-    met = views.select("point_id", "scene_code", "dir_x", "dir_y", "dir_z").join(
-        near.select("point_id", "dx", "dy", "dz", "d2"), "point_id", "left"
-    )
-    met = met.withColumn("t", t).withColumn("front", F.coalesce((F.col("t") > max(1e-9, min_along)) & (F.col("d2") > 0), F.lit(False)))
-    blocks = F.col("front") & (F.greatest(F.col("d2") - F.col("t") * F.col("t"), F.lit(0.0)) <= clearance * clearance)
-    cosine = F.when(F.col("front"), F.col("t") / F.sqrt("d2"))
-    out = met.groupBy("point_id", "scene_code").agg(
-        F.count("d2").alias("n"), F.count_if(blocks).alias("blockers"), F.count_if("front").alias("fronts"), F.max(cosine).alias("c")
-    )
+def occlusion(views: DataFrame, points: DataFrame, radius=1.2, most=256, clearance=0.08, min_along=0.08, min_neighbours=2, min_cone=4.0) -> DataFrame:
+    """views(point_id, scene_code, dir_x, dir_y, dir_z) of points(point_id, x, y, z): blocker_count, front_count,
+    local_empty_cone_deg, tube_clear and cone_clear of each, by the `most` nearest points within the radius.
+    Fewer neighbours than min_neighbours: clear, 180 degrees."""
+    met = tiles.blockers(views, points, radius, most, clearance, min_along)
     enough = F.col("n") >= min_neighbours
-    out = out.select(
+    out = met.select(
         "point_id",
         "scene_code",
         F.when(enough, F.col("blockers")).otherwise(F.lit(0)).alias("blocker_count"),

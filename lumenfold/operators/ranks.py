@@ -1,18 +1,24 @@
 """Exact order statistics and percentiles of columns of any size, without a task that holds them.
 
-One pass takes each group's number, least and greatest value.  While the values between the
+Of one column, or a few groups: one pass takes each group's number, least and greatest value.  While the values between the
 bounds of a rank are more than `most`, a pass counts them in `CELLS` equal cells and the bounds
 close in on the cells that hold the rank; then the values that are left, at most `most` of a
 group, are sorted.  Groups are few (bands, columns): their counts pass through the driver.
+
+Of any number of groups, of any size each (`Sorted`): all values are numbered once in the order of
+(group, value), so a rank of a group is a number, and a join by numbers fetches it.  Groups stay
+a table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordinals
+
 CELLS = 1024
 MOST = 1 << 18
 
@@ -84,3 +90,38 @@ def percentiles(df: DataFrame, column: str, shares: list[float], by: str | None
 def long(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, x) of several columns, for percentiles by name in the same passes."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select("c.*")
+
+
+class Sorted:
+    """The known values of df's column in the order of (by, value): `groups` has by and n."""
+
+    def __init__(self, df: DataFrame, column: str, *by: str):
+        x = F.col(column).cast("double")
+        known = df.select(*by, x.alias("_x")).where("_x is not null and not isnan(_x)")
+        self.by = list(by)
+        self.rows = ordinals.numbered(known, *by, "_x", name="_nth")
+        self._starts = self.rows.groupBy(*by).agg(F.min("_nth").alias("_start"), F.count("*").alias("n"))
+        self.groups = self._starts.drop("_start")
+
+    def at(self, ranks: dict[str, Column], settings: DataFrame | None = None) -> DataFrame:
+        """by, n and the values at these ranks (from 0; columns over n and the columns of settings(by, ...)); null
+        where a group has no such rank."""
+        groups = self._starts if settings is None else self._starts.join(settings, self.by)
+        asked = groups.select(*self.by, "_start", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), r.cast("long").alias("r")) for k, r in ranks.items()])).alias("_a"))
+        asked = asked.select(*self.by, "n", "_a.k", F.when(F.col("_a.r").between(0, F.col("n") - 1), F.col("_start") + F.col("_a.r")).alias("_nth"))
+        met = asked.join(self.rows.select("_nth", "_x"), "_nth", "left")
+        return met.groupBy(*self.by, "n").agg(*[F.max(F.when(F.col("k") == k, F.col("_x"))).alias(k) for k in ranks])
+
+    def percentiles(self, shares: dict[str, float]) -> DataFrame:
+        """by, n and the values at these shares of n - 1, those between two ranks interpolated."""
+        place = {k: F.lit(s) * (F.col("n") - 1) for k, s in shares.items()}
+        ends = {f"_{end}_{k}": f(p) for k, p in place.items() for end, f in (("lo", F.floor), ("hi", F.ceil))}
+        got = self.at(ends)
+        share = {k: p - F.floor(p) for k, p in place.items()}
+        low, high = (lambda k: F.col(f"_lo_{k}")), (lambda k: F.col(f"_hi_{k}"))
+        return got.select(*self.by, "n", *[(low(k) + (high(k) - low(k)) * share[k]).alias(k) for k in shares])
+
+
+def medians(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """by, n and median of each group."""
+    return Sorted(df, column, *by).percentiles({"median": 0.5})

@@ -1,18 +1,24 @@
 """Values of images at observations: bilinear, Gaussian-filtered and patch sampling.
 
-Pixels are never exploded: observations are grouped by scene and by strip of lines, and a group
-reads its window of the memory-mapped cube.  Cubes must lie where all executors see them.
+Pixels are never exploded: observations are ranged by scene and line, and a task passes through its
+range in this order, a strip of lines of the memory-mapped cube after the other.  Ranges hold about as many
+rows each, whatever scene or line has most, as a spread of the rows' own ends the order's key.
+Cubes must lie where all executors see them.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import STORED_PLUS_ONE
 from ..sources import envi
+from .sizes import small
+
+#: Bytes of spectra that a task holds at a time, and of the planes that it filters together.
+HELD, PLANES = 32 << 20, 32 << 20
 
 
 def bilinear(plane: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -80,42 +86,96 @@ def patch(planes: np.ndarray, u, v, radius=2, sigma=1.15, reducer="weighted_mean
         return np.where(weights.sum(axis=2) > 0, (np.nan_to_num(values) * weights).sum(axis=2) / weights.sum(axis=2), np.nan)
 
 
-def sampled(views: DataFrame, paths: DataFrame, bands: list[int], method: str = "bilinear", strip: int = 256, first: int | None = None, unknown: str = "skip", **settings) -> DataFrame:
+class _Sampler:
+    """Spectra at places of one cube at a time; places come in the order of their lines."""
+
+    def __init__(self, bands: list[int], method: str, strip: int, settings: dict):
+        self.index = [b - 1 for b in bands]
+        self.shift = np.array([1.0 if b in STORED_PLUS_ONE else 0.0 for b in bands])
+        self.method, self.strip, self.settings = method, strip, settings
+        self.halo = {"bilinear": 1, "gaussian": len(gaussian_kernel()) // 2 + 1}.get(method, int(settings.get("radius", 2)) + 1)
+        self.rows = max(256, HELD // (8 * len(bands)))
+        self.path, self.cube, self.scale = None, None, 1.0
+
+    def open(self, path: str) -> None:
+        if path != self.path:
+            self.cube, h = envi.cube(path)
+            self.path, self.scale = path, float(h.get("reflectance scale factor", 1.0) or 1.0)
+
+    def spectra(self, path: str, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """(n, bands) at places of one strip."""
+        self.open(path)
+        lines, samples = self.cube.shape[1:]
+        low = min(max(0, int(np.floor(v.min())) - self.halo), lines - 1)
+        high = max(min(lines, int(np.ceil(v.max())) + self.halo + 1), low + 1)
+        out = np.empty((len(u), len(self.index)))
+        some = max(1, PLANES // (8 * (high - low) * samples))
+        for at in range(0, len(self.index), some):
+            part = np.stack([self.cube[i, low:high].astype(np.float64) for i in self.index[at : at + some]])
+            if self.method == "gaussian":
+                part = np.stack([gaussian(p) for p in part])
+            if self.method in ("bilinear", "gaussian"):
+                out[:, at : at + some] = bilinear(part, u, v - low).T
+            else:
+                cells = len(part) * (2 * self.halo + 1) ** 2
+                for i in range(0, len(u), max(1, (HELD >> 3) // cells)):
+                    to = i + max(1, (HELD >> 3) // cells)
+                    out[i:to, at : at + some] = patch(part, u[i:to], v[i:to] - low, **self.settings).T
+        return out / self.scale - self.shift
+
+    def finished(self, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Rows of one strip (or of no known scene) without their last three columns, with their spectra."""
+        rows = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+        path, u, v = rows.columns[-3:]
+        if path.null_count:
+            values = pa.nulls(len(rows), pa.list_(pa.float64()))
+        else:
+            found = self.spectra(path[0].as_py(), u.to_numpy(), v.to_numpy())
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+        return pa.RecordBatch.from_arrays([*rows.columns[:-3], values], names=[*rows.schema.names[:-3], "spectrum"])
+
+    def walk(self, batches):
+        held, kept, key = [], 0, None
+        for batch in batches:
+            path, _, v = batch.columns[-3:]
+            strips = np.floor(v.to_numpy() / self.strip)
+            codes = path.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if len(batch) else np.zeros(0, int)
+            cuts = np.flatnonzero((strips[1:] != strips[:-1]) | (codes[1:] != codes[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                for i in range(a, b, self.rows):
+                    piece = batch.slice(i, min(b, i + self.rows) - i)
+                    own = (path[a].as_py(), strips[a])
+                    if held and (own != key or kept + len(piece) > self.rows):
+                        yield self.finished(held)
+                        held, kept = [], 0
+                    held, kept, key = [*held, piece], kept + len(piece), own
+        if held:
+            yield self.finished(held)
+
+
+def sampled(
+    views: DataFrame, paths: DataFrame, bands: list[int], method: str = "bilinear", strip: int = 64, first: int | None = None, unknown: str = "skip",
+    offsets: DataFrame | None = None, **settings,
+) -> DataFrame:
     """views(observation_id, scene_id, u, v) and paths(scene_id, header): adds spectrum, an array of
     the bands (numbers from 1), index bands corrected.  Views without finite places take no part;
     views of unknown scenes take none either, or with unknown="null" get a null spectrum.
-    first: only so many views with the least observation_id."""
+    first: only so many views with the least observation_id.  offsets(scene_id, du, dv): pixels by which a scene's
+    places are moved before they are sampled; u and v stay as they are."""
     good = views.where("u is not null and v is not null and not isnan(u) and not isnan(v) and abs(u) < double('inf') and abs(v) < double('inf')")
     if first is not None:
         good = good.orderBy("observation_id").limit(first)
-    met = good.join(F.broadcast(paths), "scene_id", "inner" if unknown == "skip" else "left").withColumn("_strip", F.floor(F.col("v") / strip))
-    index = np.array([b - 1 for b in bands])
-    shift = np.array([1.0 if b in STORED_PLUS_ONE else 0.0 for b in bands])
-    halo = {"bilinear": 1, "gaussian": len(gaussian_kernel()) // 2 + 1}.get(method, int(settings.get("radius", 2)) + 1)
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.reset_index(drop=True)
-        out = b.drop(columns=["header", "_strip"])
-        if b["header"].isna().any():
-            out["spectrum"] = None
-            return out
-        values, h = envi.cube(b["header"].iloc[0])
-        u, v = b["u"].to_numpy(), b["v"].to_numpy()
-        low, high = max(0, int(np.floor(v.min())) - halo), min(values.shape[1], int(np.ceil(v.max())) + halo + 1)
-        low, high = min(low, values.shape[1] - 1), max(high, 1)
-        part = values[:, low:high].astype(np.float64)[index] if len(index) > 8 else np.stack([values[i, low:high].astype(np.float64) for i in index])
-        if method == "bilinear":
-            got = bilinear(part, u, v - low)
-        elif method == "gaussian":
-            got = np.stack([bilinear(gaussian(p), u, v - low) for p in part])
-        else:
-            got = patch(part, u, v - low, **settings)
-        got = got.T / float(h.get("reflectance scale factor", 1.0) or 1.0) - shift
-        out["spectrum"] = list(got)
-        return out
-
+    met = good.join(small(paths.select("scene_id", F.col("header").alias("_header"))), "scene_id", "inner" if unknown == "skip" else "left")
+    moved = [F.lit(0.0), F.lit(0.0)]
+    if offsets is not None:
+        met = met.join(small(offsets.select("scene_id", F.col("du").alias("_du"), F.col("dv").alias("_dv"))), "scene_id", "left")
+        moved = [F.coalesce(c, F.lit(0.0)) for c in ("_du", "_dv")]
+    met = met.select(*views.columns, "_header", *[(F.col(c).cast("double") + m).alias(f"_{c}") for c, m in zip("uv", moved)])
+    spread = met.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+    n = int(views.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = spread.repartitionByRange(n, "_header", F.floor("_v"), "_spread").sortWithinPartitions("_header", "_v").drop("_spread")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in views.schema.fields) + ", spectrum array<double>"
-    return met.select(*views.columns, "header", "_strip").groupBy("scene_id", "_strip").applyInPandas(run, schema)
+    return ranged.mapInArrow(lambda batches: _Sampler(bands, method, strip, settings).walk(batches), schema)
 
 
 def audited(sampled_: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordinals
+from .sizes import small
+
 
 def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key by an explicit order (file order has none in Spark)."""
@@ -54,16 +57,16 @@ def suffixed_join(left: DataFrame, right: DataFrame, key: str, suffix: str) -> D
 
 def factorized(df: DataFrame, key: str = "scene_id") -> DataFrame:
     """key, suffix and code: the distinct scenes numbered from 0 by the number that ends their name,
-    then by name.  Scenes are few; their ranks need one task."""
+    then by name."""
     from ..functions.spectral import numeric_suffix
 
     names = df.select(F.col(key).cast("string").alias(key)).distinct().withColumn("suffix", numeric_suffix(F.col(key)))
-    return names.withColumn("code", F.row_number().over(Window.orderBy("suffix", key)) - 1)
+    return ordinals.numbered(names, "suffix", key, name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def with_code(df: DataFrame, mapping: DataFrame, key: str = "scene_id") -> DataFrame:
     """df with its scenes' codes; -1 for scenes that the mapping lacks."""
-    return df.join(F.broadcast(mapping.select(key, "code")), key, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
+    return df.join(small(mapping.select(key, "code")), key, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
 
 
 def with_aggregates(mapping: DataFrame, summary: DataFrame, keys: tuple[str, ...] = ("scene_code", "scene_id")) -> DataFrame:

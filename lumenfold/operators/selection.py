@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
+
 
 def depth_clear(views: DataFrame, radius: int = 2, tolerance: float = 0.8) -> DataFrame:
-    """views(scene_code, u, v, range_m) with zbuffer_clear: no view in the (2 radius + 1)^2 pixels
-    around is nearer by more than the tolerance.  Pixels are reduced before they spread."""
+    """views(scene_code, u, v, range_m) with near_m and zbuffer_clear: no view in the (2 radius + 1)^2 pixels
+    around is nearer by more than the tolerance.  Views are reduced to pixels, and tiles of pixels to the least around each."""
     pixel = views.withColumns({"iu": F.rint("u").cast("long"), "iv": F.rint("v").cast("long")})
-    shifts = F.array(*[F.lit(d) for d in range(-radius, radius + 1)])
-    near = pixel.groupBy("scene_code", "iu", "iv").agg(F.min("range_m").alias("near_m"))
-    near = near.withColumn("du", F.explode(shifts)).withColumn("dv", F.explode(shifts))
-    near = near.withColumns({"iu": F.col("iu") + F.col("du"), "iv": F.col("iv") + F.col("dv")})
-    near = near.groupBy("scene_code", "iu", "iv").agg(F.min("near_m").alias("near_m"))
+    near = tiles.nearest_around(pixel.groupBy("scene_code", "iu", "iv").agg(F.min("range_m").alias("near_m")), radius)
     return pixel.join(near, ["scene_code", "iu", "iv"]).withColumn("zbuffer_clear", F.col("range_m") <= F.col("near_m") + tolerance).drop("iu", "iv")
 
 

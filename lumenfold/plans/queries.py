@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import camera as C
 from ..functions import mapgrid, scoring, solar, spectral
 from ..functions.vectors import unit, vec
-from ..operators import anchors, brf, candidates, export, fusion, gains, neighbours, scenes, selection
+from ..operators import anchors, brf, candidates, export, fusion, gains, neighbours, ordinals, scenes, selection
 from ..sources import shared
 from . import sqltext as T
 from .adapters import ctes, view
@@ -219,10 +219,12 @@ def _(spark, d):
     return _pairs(spark, d)
 
 
+def _suns(spark, d):
+    return _solar(spark, d).select("scene_code", "solar_zenith_deg", F.col("solar_azimuth_deg").alias("sun_azimuth_deg"), "sun_x", "sun_y", "sun_z")
+
+
 def _views(spark, d):
-    suns = _solar(spark, d).select("scene_code", "solar_zenith_deg", F.col("solar_azimuth_deg").alias("sun_azimuth_deg"), "sun_x", "sun_y", "sun_z")
-    cams = _cams(spark, d).join(suns, "scene_code", "left")
-    return candidates.scored(candidates.projected(_points(spark, d), cams), WINDOW)
+    return candidates.scored(_pairs(spark, d), WINDOW)
 
 
 def _best(spark, d):
@@ -239,7 +241,7 @@ def _(spark, d):
 @query("q_view_geometry", "point_id scene_code is_backlit", "view_zenith_deg view_azimuth_deg local_view_angle_deg surface_view_cos local_solar_incidence_deg relative_azimuth_deg coarse_score",
        f"{T.CANDIDATES} ;; SELECT * FROM views")
 def _(spark, d):
-    return _views(spark, d)
+    return candidates.sunlit(_views(spark, d), _suns(spark, d))
 
 
 @query("q_topk_candidates", "point_id scene_code slot:int", "coarse_score u v border_dist_px", f"{T.CANDIDATES} ;; SELECT * FROM topk")
@@ -304,15 +306,19 @@ occ AS (SELECT point_id, scene_code, CASE WHEN n >= 2 THEN blockers ELSE 0 END A
  CASE WHEN n >= 2 AND c IS NOT NULL THEN {T.degacos("c")} ELSE 180 END AS local_empty_cone_deg FROM o2)"""
 
 
-def _occluded(spark, d):
-    best = shared.written(_best(spark, d))  # read twice: by the occlusion and by the depth buffer
-    return best, neighbours.occlusion(best, neighbours.nearest(view(spark, d, "points"), 1.2, 256))
+_DIRECTIONS = ("point_id", "scene_code", "dir_x", "dir_y", "dir_z")
+#: What the selection reads of a candidate.
+_JUDGED = ("u", "v", "coarse_score", "offaxis_deg", "range_m", "border_dist_px", "view_zenith_deg", "surface_view_cos", "surface_verticality", "normal_confidence")
+
+
+def _occlusion(spark, d, best):
+    return neighbours.occlusion(best.select(*_DIRECTIONS), view(spark, d, "points"))
 
 
 @query("q_occlusion", "point_id scene_code blocker_count:long front_count:long tube_clear cone_clear", "local_empty_cone_deg", f"""{_OCCLUDED} ;;
 SELECT *, blocker_count = 0 AS tube_clear, NOT (front_count > 0 AND local_empty_cone_deg < 4) AS cone_clear FROM occ""")
 def _(spark, d):
-    return _occluded(spark, d)[1]
+    return _occlusion(spark, d, _best(spark, d))
 
 
 _DEPTH = """px AS (SELECT *, CAST(round_even(u, 0) AS BIGINT) AS iu, CAST(round_even(v, 0) AS BIGINT) AS iv FROM {source}),
@@ -334,8 +340,12 @@ c AS (SELECT *, tube AND cone AND zbuffer_clear AS is_clear FROM j) ;;
 SELECT point_id, scene_code, is_clear, CASE WHEN is_clear THEN 'none' ELSE concat_ws('+', CASE WHEN NOT tube THEN 'tube_blocker' END, CASE WHEN NOT cone THEN 'narrow_empty_cone' END, CASE WHEN NOT zbuffer_clear THEN 'image_zbuffer' END) END AS reason,
  blocker_count, local_empty_cone_deg, {T.SELECTION_SCORE} AS visibility_score, {T.RAW_WEIGHT} AS view_weight_raw FROM c""")
 def _(spark, d):
-    best, occ = _occluded(spark, d)
-    v = selection.with_depth(selection.depth_clear(best.join(occ, ["point_id", "scene_code"])))
+    return _judged(spark, d, shared.written(_best(spark, d).select(*_DIRECTIONS, *_JUDGED)))
+
+
+def _judged(spark, d, best):
+    """best, read by the occlusion and by the depth buffer, with what the selection finds of each view."""
+    v = selection.with_depth(selection.depth_clear(best.join(_occlusion(spark, d, best), ["point_id", "scene_code"])))
     v = v.withColumn("is_clear", F.col("tube_clear") & F.col("cone_clear") & F.col("zbuffer_clear"))
     c = F.col
     score = scoring.selection(c("coarse_score"), c("local_empty_cone_deg"), c("blocker_count"), c("offaxis_deg"), c("range_m"), c("view_zenith_deg"), c("surface_view_cos"), c("surface_verticality"), c("normal_confidence"))
@@ -415,6 +425,13 @@ def _(spark, d):
     return fusion.fused(_weighted(spark, d, "raw"), list(_B))
 
 
+@query("q_primary_metrics", "point_id", " ".join(["primary_ratio", "ndvi_81_128", *[f"primary_{c}" for c in fusion.PRIMARY]]), f"""{T.weighted('hybrid')}, r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY w DESC, scene_code) AS n, sum(w) OVER (PARTITION BY point_id) AS sw, {T.mean('b2').replace('sum(w * b2)', 'sum(w * b2) OVER (PARTITION BY point_id)').replace('/ sum(w)', '/ sum(w) OVER (PARTITION BY point_id)')} AS red,
+ {T.mean('b5').replace('sum(w * b5)', 'sum(w * b5) OVER (PARTITION BY point_id)').replace('/ sum(w)', '/ sum(w) OVER (PARTITION BY point_id)')} AS nir FROM wt) ;;
+SELECT point_id, w / sw AS primary_ratio, (nir - red) / (nir + red) AS ndvi_81_128, {', '.join(f'{c} AS primary_{c}' for c in fusion.PRIMARY)} FROM r WHERE n = 1""")
+def _(spark, d):
+    return fusion.fused(_weighted(spark, d, "hybrid"), list(_B), {81: "b2", 128: "b5"})
+
+
 @query("q_scene_fusion_summary", "scene_code views:long points:long outside:long", "weight_sum", f"""{T.weighted('hybrid')} ;;
 SELECT scene_code, count(*) AS views, count(DISTINCT point_id) AS points, count_if(NOT (u BETWEEN 431 AND 1454 AND v BETWEEN 431 AND 1454)) AS outside, sum(w) AS weight_sum FROM wt GROUP BY scene_code""")
 def _(spark, d):
@@ -438,7 +455,29 @@ def _(spark, d):
 
 @query("q_brf_observations", "observation_id:long point_id scene_code", "view_weight_raw", f"{_RANKED} ;; SELECT row_number() OVER (ORDER BY point_id, fusion_rank, scene_code) - 1 AS observation_id, point_id, scene_code, view_weight_raw FROM rk")
 def _(spark, d):
-    return brf.paper_columns(brf.numbered(selection.ranked(view(spark, d, "observations")), "point_id", "fusion_rank", "scene_code"))
+    return brf.paper_columns(ordinals.numbered(selection.ranked(view(spark, d, "observations")), "point_id", "fusion_rank", "scene_code"))
+
+
+_TABLE = f"""{_OCCLUDED}, {_DEPTH.format(source='topk')},
+j AS (SELECT t.*, front_count, blocker_count = 0 AS tube, NOT (front_count > 0 AND o.local_empty_cone_deg < 4) AS cone, blocker_count + CASE WHEN zbuffer_clear THEN 0 ELSE 1 END AS blocker_count,
+ CASE WHEN zbuffer_clear THEN o.local_empty_cone_deg ELSE least(o.local_empty_cone_deg, 0) END AS local_empty_cone_deg FROM depth t JOIN occ o ON o.point_id = t.point_id AND o.scene_code = t.scene_code),
+c AS (SELECT *, tube AND cone AND zbuffer_clear AS is_clear FROM j), sc AS (SELECT *, {T.SELECTION_SCORE} AS visibility_score, {T.RAW_WEIGHT} AS view_weight_raw FROM c),
+rk AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY -visibility_score, -view_weight_raw, -surface_view_cos, -(view_zenith_deg * surface_verticality), -local_empty_cone_deg, offaxis_deg, -border_dist_px, range_m, scene_code) AS fusion_rank,
+ bool_or(is_clear) OVER (PARTITION BY point_id) AS any_clear FROM sc),
+kp AS (SELECT * REPLACE (CASE WHEN any_clear THEN view_weight_raw ELSE view_weight_raw * 0.05::DOUBLE END AS view_weight_raw), CASE WHEN is_clear THEN 'clear_keep' WHEN any_clear THEN 'unclear_keep' ELSE 'fallback_keep' END AS selection_method FROM rk),
+tb AS (SELECT *, {T.quality_level()} AS brf_quality_level, row_number() OVER (ORDER BY point_id, fusion_rank) - 1 AS observation_id FROM kp)"""
+
+
+@query("q_brf_table", "observation_id:long point_id scene_id scene_code is_backlit blocker_count:long image_zbuffer_clear is_clear selection_method fusion_rank_within_point:int brf_quality_level",
+       "x y z normal_x normal_y normal_z u v range_m offaxis_deg border_dist_px view_zenith_deg view_azimuth_deg solar_zenith_deg solar_azimuth_deg relative_azimuth_deg local_view_angle_deg local_solar_incidence_deg"
+       " surface_view_cos surface_verticality normal_confidence local_empty_cone_deg view_weight_raw",
+       f"{_TABLE} ;; SELECT *, nx AS normal_x, ny AS normal_y, nz AS normal_z, zbuffer_clear AS image_zbuffer_clear, fusion_rank AS fusion_rank_within_point FROM tb")
+def _(spark, d):
+    """The whole chain: candidates, occlusion, depth buffer, selection, ranks, quality; all 34 columns of the table."""
+    best = shared.written(candidates.sunlit(_best(spark, d), _suns(spark, d)))
+    views = selection.kept(selection.ranked(_judged(spark, d, best)))
+    table = ordinals.numbered(brf.with_quality(views), "point_id", "fusion_rank")
+    return brf.paper_columns(table, whole=True)
 
 
 @query("q_quality_levels", "point_id scene_code brf_quality_level", "", f"{ctes('observations')} ;; SELECT *, {T.quality_level()} AS brf_quality_level FROM observations")
@@ -544,7 +583,20 @@ for _n in (1, 3):
         return _gains(spark, d, n)
 
 
-@query("q_scene_gain_converged", "band:int scene_code", "gain", None)
+def _until(i: int) -> str:
+    """A step for the bands that moved by more than 1e-5 in the step before; the others stay."""
+    still = f"(SELECT band FROM e{i - 1} GROUP BY band HAVING max(moved) > 1e-5)"
+    return f"""p{i} AS MATERIALIZED (SELECT f.*, e, sum((y - e) * w) OVER (PARTITION BY f.band, point_id) / sum(w) OVER (PARTITION BY f.band, point_id) AS pe FROM fit f JOIN e{i - 1} USING (band, scene_code) WHERE f.band IN {still}),
+s{i} AS MATERIALIZED (SELECT p.band, p.scene_code, any_value(v) AS v, any_value(e) AS old, sum((y - pe) * w) / sum(w) AS r, sum(w) AS sw FROM p{i} p JOIN ok USING (band, scene_code) GROUP BY p.band, p.scene_code),
+n{i} AS MATERIALIZED (SELECT band, scene_code, old, CASE WHEN v THEN r - coalesce(sum(CASE WHEN v THEN r * sw END) OVER (PARTITION BY band) / nullif(sum(CASE WHEN v THEN sw END) OVER (PARTITION BY band), 0), 0) ELSE 0 END AS e FROM s{i}),
+e{i} AS MATERIALIZED (SELECT band, scene_code, e, abs(e - old) AS moved FROM n{i} UNION ALL SELECT band, scene_code, e, 0 AS moved FROM e{i - 1} WHERE band NOT IN {still})"""
+
+
+_CONVERGED = f"""{_FIT.replace('0::DOUBLE AS e FROM ok)', '0::DOUBLE AS e, 1::DOUBLE AS moved FROM ok)').replace('fit AS (', 'fit AS MATERIALIZED (')}, {', '.join(map(_until, range(1, 21)))},
+gains AS (SELECT band, scene_code, least(greatest(CASE WHEN v THEN exp(-e) ELSE 1 END, 0.5::DOUBLE), 2) AS gain FROM e20 JOIN ok USING (band, scene_code))"""
+
+
+@query("q_scene_gain_converged", "band:int scene_code", "gain", f"{_CONVERGED} ;; SELECT * FROM gains")
 def _(spark, d):
     return _gains(spark, d, 20)
 
@@ -555,6 +607,15 @@ def _(spark, d):
     return gains.applied(gains.unpivoted(view(spark, d, "spectra"), ["b2", "b4"], ["point_id", "scene_code"]), _gains(spark, d, 1))
 
 
+@query("q_gain_indices", "point_id scene_code", "b2 b4 ndvi rvi msavi ndwi", f"""{_gain_sql(1)}, wd AS (SELECT s.*, b2 * coalesce(g.gain, 1) AS c2, b4 * coalesce(h.gain, 1) AS c4 FROM spectra s LEFT JOIN gains g ON g.scene_code = s.scene_code AND g.band = 1 LEFT JOIN gains h ON h.scene_code = s.scene_code AND h.band = 2) ;;
+SELECT point_id, scene_code, c2 AS b2, c4 AS b4, (b5 - c2) / (b5 + c2) AS ndvi, c4 / b3 AS rvi, (2 * c4 + 1 - sqrt(greatest((2 * c4 + 1) * (2 * c4 + 1) - 8 * (c4 - b3), 0))) / 2 AS msavi, (b1 - b5) / (b1 + b5) AS ndwi FROM wd""")
+def _(spark, d):
+    """Gains on two bands, and the index bands, stale until then, computed anew from what they gave."""
+    stale = {n: F.lit(-9.0) for n in ("ndvi", "rvi", "msavi", "ndwi")}
+    numbers = {"b1": 51, "b2": 81, "b3": 93, "b4": 114, "b5": 126, "ndvi": 165, "rvi": 166, "msavi": 167, "ndwi": 168}
+    return gains.corrected(view(spark, d, "spectra").withColumns(stale), _gains(spark, d, 1), {"b2": 1, "b4": 2}, numbers=numbers)
+
+
 _STABLE = f"""{_gain_sql(1)}, gx AS (SELECT min(gain) AS lo, max(gain) AS hi FROM gains),
 st AS (SELECT scene_code, avg(abs(ln(gain))) + coalesce(stddev_samp(ln(gain)), 0) AS i, avg(CASE WHEN gain <= lo + 1e-9 OR gain >= hi - 1e-9 THEN 1.0 ELSE 0.0 END::DOUBLE) AS e FROM gains, gx GROUP BY scene_code),
 stab AS (SELECT scene_code, least(greatest(exp(-i / 0.5::DOUBLE) * (1 - 0.5::DOUBLE * e), 0.35::DOUBLE), 1) AS stability FROM st)"""
@@ -753,7 +814,7 @@ def _(spark, d):
     from ..operators import calibration
 
     marks = calibration_marks(spark, d)
-    out = calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0)).join(marks.select("scene_id", "status"), "scene_id")
+    out = calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0))
     known = F.col("status").isin("full", "none")
     return out.withColumns({"angle_deg": F.when(known, F.col("angle_deg")), "post_error": F.nanvl("post_error", F.lit(None))})
 

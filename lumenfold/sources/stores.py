@@ -10,14 +10,16 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import uuid
 import zipfile
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.brf import numbered
+from ..operators.ordinals import numbered
 from .shared import plain_path
 
 BOM = "﻿"
@@ -161,26 +163,36 @@ def write_arrays(df: DataFrame, order: str, path: str, types: dict[str, str]) ->
     return n
 
 
-#: A candidate's fields and what stands in an empty slot.
-CANDIDATE_FIELDS = {"scene_code": ("int", -1), "u": ("float", None), "v": ("float", None), "range_m": ("float", None), "offaxis_deg": ("float", None),
-                    "border_dist_px": ("float", None), "view_zenith_deg": ("float", None), "surface_view_cos": ("float", None), "coarse_score": ("float", None)}
+#: A candidate's fields, their types, and what stands in an empty slot (None: NaN).
+CANDIDATE_FIELDS = {
+    "score": ("float", float("-inf")), "scene_code": ("int", -1), "u": ("float", None), "v": ("float", None), "range_m": ("float", None),
+    "offaxis_deg": ("float", None), "border_dist_px": ("float", None), "dir_x": ("float", None), "dir_y": ("float", None), "dir_z": ("float", None),
+    "view_zenith_deg": ("float", None), "view_azimuth_deg": ("float", None), "local_view_cos_signed": ("float", None), "local_view_angle_deg": ("float", None),
+    "solar_zenith_deg": ("float", None), "solar_azimuth_deg": ("float", None), "relative_azimuth_deg": ("float", None), "sun_dir_x": ("float", None),
+    "sun_dir_y": ("float", None), "sun_dir_z": ("float", None), "local_solar_cos": ("float", None), "local_solar_incidence_deg": ("float", None),
+    "is_backlit": ("tinyint", -1), "surface_view_cos": ("float", None), "surface_verticality": ("float", None), "normal_confidence": ("float", None),
+}
+#: What some of them are called in candidates.
+_CANDIDATE_NAMES = {"score": "coarse_score", "solar_azimuth_deg": "sun_azimuth_deg", "sun_dir_x": "sun_x", "sun_dir_y": "sun_y", "sun_dir_z": "sun_z"}
 
 
 def store_candidates(kept: DataFrame, points: DataFrame, k: int, path: str) -> dict:
-    """Every point's k slots, an array for each field; empty slots hold the field's fill value (none:
-    NaN).  The manifest beside the table names fields, points and slots and is written last, so a
-    store without one is not whole."""
+    """Every point's k slots, an array for each field; empty slots hold the field's fill value, and so do fields that
+    are unknown or that kept lacks.  The manifest beside the table names fields, points and slots and is
+    written last, so a store without one is not whole."""
     slots = F.sequence(F.lit(0), F.lit(k - 1))
-    per = kept.groupBy("point_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*CANDIDATE_FIELDS)))).alias("m"))
+    source = {n: n if n in kept.columns else _CANDIDATE_NAMES.get(n, n) for n in CANDIDATE_FIELDS}
+    values = [(F.col(c) if c in kept.columns else F.lit(None)).cast(CANDIDATE_FIELDS[n][0]).alias(n) for n, c in source.items()]
+    per = kept.groupBy("point_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*values)))).alias("m"))
     met = points.select("point_id").join(per, "point_id", "left")
 
     def field(name, kind, fill):
         empty = F.lit(float("nan") if fill is None else fill).cast(kind)
-        return F.transform(slots, lambda s: F.coalesce(F.col("m")[s][name].cast(kind), empty)).alias(name)
+        return F.transform(slots, lambda s: F.coalesce(F.col("m")[s][name], empty)).alias(name)
 
     table = met.select("point_id", *[field(n, *of) for n, of in CANDIDATE_FIELDS.items()])
     table.write.parquet(os.path.join(path, "slots"))
-    manifest = {"points": points.count(), "slots": k, "fields": {n: {"type": t, "fill": f} for n, (t, f) in CANDIDATE_FIELDS.items()}}
+    manifest = {"points": points.count(), "slots": k, "fields": {n: {"type": t, "fill": None if f is None else str(f)} for n, (t, f) in CANDIDATE_FIELDS.items()}}
     save_text(points.sparkSession, os.path.join(path, "manifest.json"), json.dumps(manifest))
     return manifest
 
@@ -199,6 +211,24 @@ def open_candidates(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def stored_candidates(make, points: DataFrame, k: int, path: str, source: dict) -> DataFrame:
+    """The store under path, if it is whole and was made of this source (names and numbers that tell whether an input
+    changed, such as sizes and times of files); else make() gives the candidates, which are stored anew.
+    A pointer names the store's folder and source; it is written once the new store is whole."""
+    spark, pointer = points.sparkSession, os.path.join(path, "current.json")
+    source = json.loads(json.dumps(source))
+    try:
+        found = json.loads("\n".join(r[0] for r in spark.read.text(pointer).collect()))
+        if found["source"] == source:
+            return open_candidates(spark, os.path.join(path, found["folder"]))
+    except (AnalysisException, ValueError):  # no pointer, or no whole store
+        pass
+    folder = uuid.uuid4().hex
+    store_candidates(make(), points, k, os.path.join(path, folder))
+    save_text(spark, pointer, json.dumps({"folder": folder, "source": source}))
+    return open_candidates(spark, os.path.join(path, folder))
+
+
 def candidates_of(store: DataFrame) -> DataFrame:
     """The store's filled slots as rows (point_id, slot, fields)."""
     rows = store.select("point_id", F.posexplode(F.arrays_zip(*CANDIDATE_FIELDS)).alias("slot", "c")).select("point_id", "slot", "c.*")

@@ -71,7 +71,7 @@ def resolve(df: DataFrame, aliases: dict[str, list[str]], required: tuple[str, .
 
 def offsets(df: DataFrame) -> DataFrame:
     """scene_id, du, dv: the last finite offset of each scene, by file order `_row`."""
-    good = df.where("offset_u_px is not null and offset_v_px is not null and not isnan(offset_u_px) and not isnan(offset_v_px)")
+    good = df.where("abs(offset_u_px) < double('inf') and abs(offset_v_px) < double('inf')")  # neither null nor NaN nor infinite
     last = F.max_by(F.struct("offset_u_px", "offset_v_px"), "_row")
     return good.groupBy("scene_id").agg(last.alias("o")).select("scene_id", F.col("o.offset_u_px").alias("du"), F.col("o.offset_v_px").alias("dv"))
 

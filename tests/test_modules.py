@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import camera as C
 from lumenfold.functions import mapgrid, scoring, spectral
 from lumenfold.functions.vectors import clip01, length, product, rotation, unit, vec
-from lumenfold.operators import anchors, brf, calibration, candidates, export, fusion, gains, neighbours, raster
+from lumenfold.operators import anchors, brf, calibration, candidates, export, fusion, gains, neighbours, ordinals, raster, rays, selection, sight, tiles
 from lumenfold.plans import queries
 from lumenfold.plans.adapters import view
 from lumenfold.sources import envi, ply, stores, tables
@@ -189,7 +189,7 @@ def test_grid(spark):
 
 def test_known_rotations(spark, sf):
     marks = queries.calibration_marks(spark, sf)
-    got = calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0)).join(marks.select("scene_id", "status"), "scene_id").collect()
+    got = calibration.corrections(marks, C.intrinsics(1886, 1886, 35.0, 35.0)).collect()
     assert {r.status for r in got} >= {"full", "top_only", "base_only"}
     for r in got:
         assert r.success
@@ -242,7 +242,7 @@ def test_weights(spark, sf):
 
 def test_ids_are_ranks(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
-    got = brf.numbered(df, "k").collect()
+    got = ordinals.numbered(df, "k").collect()
     assert all(r.observation_id == r.k for r in got) and len(got) == 1000
 
 
@@ -288,7 +288,7 @@ def test_documents_and_corrections(spark, sf):
     back = scenes.from_json(scenes.as_json(docs), docs.schema["meta"].dataType)
     a, b = ({r.scene_id: r.meta for r in x.collect()} for x in (docs, back))
     assert a == b
-    solved = calibration.corrections(queries.calibration_marks(spark, sf), C.intrinsics(1886, 1886, 35.0, 35.0)).join(queries.calibration_marks(spark, sf).select("scene_id", "status"), "scene_id")
+    solved = calibration.corrections(queries.calibration_marks(spark, sf), C.intrinsics(1886, 1886, 35.0, 35.0))
     angle = {r.scene_id: (r.status, r.angle_deg) for r in solved.collect()}
     for r in calibration.applied(cams, solved).collect():
         o, c = (np.array([[r[f"{p}{i}{j}"] for j in (1, 2, 3)] for i in (1, 2, 3)]) for p in ("r", "c"))
@@ -323,7 +323,7 @@ def test_written_products(spark, tmp_path):
     df = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(2.0)).alias("spectrum")).repartition(4)
     assert stores.write_matrix(df, "spectrum", "id", str(tmp_path / "m.npy")) == (50, 2)
     assert (np.load(tmp_path / "m.npy")[:, 0] == np.arange(50)).all()
-    export.write_png(str(tmp_path / "p.png"), np.zeros((4, 6, 3), np.uint8))
+    (tmp_path / "p.png").write_bytes(export.png(np.zeros((4, 6, 3), np.uint8)))
     assert (tmp_path / "p.png").read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
     tables.write_table(df.select("id"), str(tmp_path / "o.csv"))
     tables.write_table(df.select("id"), str(tmp_path / "o.csv"), append=True)

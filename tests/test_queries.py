@@ -5,7 +5,7 @@ import pytest
 
 from lumenfold.plans.products import QUERIES
 
-TABLES = ("part", "supplier", "events", "lineitem", "embeddings", "nation")
+TABLES = ("part", "supplier", "events", "lineitem", "embeddings", "nation", "region")
 
 
 @pytest.fixture(scope="module")

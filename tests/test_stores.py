@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import mapgrid, spectral
-from lumenfold.operators import anchors, candidates, export, neighbours, ranks, raster, scenes
+from lumenfold.operators import anchors, export, neighbours, ranks, raster, scenes, sight
 from lumenfold.sources import ply, shared, stores
 
 
@@ -56,7 +56,7 @@ def test_every_point_has_its_nearest(spark):
 def test_scenes_in_reach(spark):
     points = spark.createDataFrame([(i, float(x), 0.0, 0.0) for i, x in enumerate((-301, -1, 0, 299, 650, 900))], "point_id long, x double, y double, z double")
     cams = spark.createDataFrame([(0, 0.0, 0.0), (1, 600.0, 0.0)], "scene_code long, cam_x double, cam_y double")
-    met = {(r.point_id, r.scene_code) for r in candidates.near_scenes(points, cams, 300.0).collect()}
+    met = {(r.point_id, r.scene_code) for r in sight.near_scenes(points, cams, 300.0).collect()}
     assert {(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)} <= met
 
 
