@@ -36,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from . import text as tx
 
 SAMPLE, SAMPLE_BYTES, PROBES = 4096, 16 << 20, 128
 AXES, KEY_BITS = 16, 48
 CURVES = (1, 2, 4, 8, 16, 32)
 #: Vectors that a task holds before it sends its runs.
 RUN = 16_384
+#: Queries of a block that a group takes.
+QUERIES = 20_000
 #: Windows that are together at most this share of a table need no further curves.
 ENOUGH = 0.05
 
@@ -104,6 +107,7 @@ class Index:
     """Curves and windows for vectors of one length."""
 
     def __init__(self, total: int, block: int):
+        self.total = total
         self.scale, self.curves, self.reach, self.recall = None, [], 1.0, 1.0
         self.blocks = max(1, -(-total // block))
 
@@ -233,25 +237,31 @@ def fitted(candidates: DataFrame, k: int, block: int, recall: float) -> dict[int
     return indexes
 
 
-_CELL = "dim int, curve int, block int, asks boolean, ids binary, low binary, high binary, base binary, step binary, vectors binary"
+_CELL = "dim int, curve int, block int, part int, asks boolean, ids binary, low binary, high binary, base binary, step binary, vectors binary"
 
 
-def _row(dim, curve, block, asks, ids, low, high, base, step, vectors):
+def _row(dim, curve, block, part, asks, ids, low, high, base, step, vectors):
     raw = [np.ascontiguousarray(v).tobytes() for v in (ids, low, high, base, step, vectors)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([dim], pa.int32()), pa.array([curve], pa.int32()), pa.array([block], pa.int32()), pa.array([asks]), *(pa.array([r], pa.binary()) for r in raw)],
-        ["dim", "curve", "block", "asks", "ids", "low", "high", "base", "step", "vectors"],
+        [*(pa.array([n], pa.int32()) for n in (dim, curve, block, part)), pa.array([asks]), *(pa.array([r], pa.binary()) for r in raw)],
+        ["dim", "curve", "block", "part", "asks", "ids", "low", "high", "base", "step", "vectors"],
     )
 
 
-def _deal(indexes, asks: bool):
+def _parts(index, every: int) -> int:
+    """To how many groups a block's queries are dealt by a hash of their ids, so that one has some QUERIES; the block's
+    vectors go to each."""
+    return max(1, round(index.total / every * min(1.0, 2 * index.reach + 1 / index.blocks) / QUERIES))
+
+
+def _deal(indexes, asks: bool, every: int):
     """Rows of _CELL: runs of one block's vectors, or of the queries whose windows meet it."""
 
     def run(batches):
         nothing = np.zeros(0)
         for dim, ids, x in _by_length(batches, RUN):
             index = indexes.value.get(dim) or Index(1, 1)
-            x = index.tame(x)
+            x, parts = index.tame(x), _parts(index, every)
             for curve in range(max(1, len(index.curves))):
                 place = index.places(curve, x, ids)
                 if asks:
@@ -265,16 +275,18 @@ def _deal(indexes, asks: bool):
                     block = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[row]
                 else:
                     row, block = np.arange(len(ids)), index.block(place)
-                order = np.lexsort((place[row], block))
-                for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                part = tx.mix64(ids.astype(np.uint64)) % np.uint64(parts) if asks else np.zeros(len(ids), np.uint64)
+                order = np.lexsort((place[row], part[row], block))
+                for own in np.split(order, np.flatnonzero((np.diff(block[order]) != 0) | (np.diff(part[row][order]) != 0)) + 1):
                     at, b = row[own], int(block[own[0]])
                     if asks:
-                        yield _row(dim, curve, b, True, ids[at], low[at], high[at], nothing, nothing, x[at])
+                        yield _row(dim, curve, b, int(part[at[0]]), True, ids[at], low[at], high[at], nothing, nothing, x[at])
                     else:
                         base = x[at].min(axis=0)
                         step = x[at].max(axis=0) / 255 - base / 255
                         codes = np.rint((x[at] / 2 - base / 2) / np.where(step > 0, step / 2, 1)).astype(np.uint8)
-                        yield _row(dim, curve, b, False, ids[at], place[at], nothing, base, step, codes)
+                        for p in range(parts):
+                            yield _row(dim, curve, b, p, False, ids[at], place[at], nothing, base, step, codes)
 
     return run
 
@@ -347,12 +359,11 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, block: int = 4096
     rows = rows.dropDuplicates(["vec_id", "embedding"])
     spark = rows.sparkSession
     copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    asks = F.col("vec_id") % every == 0
-    kept = common.written(rows.withColumn("copy", copy).where((F.col("copy") <= k + 1) | asks))
-    candidates, queries = kept.where(F.col("copy") <= k + 1).drop("copy"), kept.where(asks).drop("copy")
+    candidates = common.written(rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"))
+    queries = common.written(rows.where(F.col("vec_id") % every == 0))
     indexes = spark.sparkContext.broadcast(fitted(candidates, k, block, recall))
-    both = common.mapped(candidates, _deal(indexes, False), _CELL).union(common.mapped(queries, _deal(indexes, True), _CELL))
-    found = both.groupBy("dim", "curve", "block").applyInArrow(_visit(k), "query_id long, vec_id long, low double, high double")
+    both = common.mapped(candidates, _deal(indexes, False, every), _CELL).union(common.mapped(queries, _deal(indexes, True, every), _CELL))
+    found = both.groupBy("dim", "curve", "block", "part").applyInArrow(_visit(k), "query_id long, vec_id long, low double, high double")
     # all curves' bounds together leave few vectors to look up
     once = found.groupBy("query_id", "vec_id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
     by_high = Window.partitionBy("query_id").orderBy("high", "vec_id")

@@ -149,7 +149,9 @@ def test_exact_in_one_block(spark):
     assert op4_hilbert.nearest(df.where("false")).count() == 0
 
 
-def test_recall_over_blocks(spark):
+@pytest.mark.parametrize("queries", [20_000, 3])
+def test_recall_over_blocks(spark, monkeypatch, queries):
+    monkeypatch.setattr(op4_hilbert, "QUERIES", queries)  # 3: a block's queries go to several groups
     rows = vectors(3000)
     df = spark.createDataFrame(rows, VECTORS)
     expected = brute_nearest(rows, 50)
