@@ -5,8 +5,9 @@ length tests.  The entropy scan takes candidate strings (maximal runs of token c
 and their parts between `=`, `/` and all other signs), gives each the smallest character
 class that holds it and whose window fits, and slides that class's window over it: counts
 are updated for the character that enters and the one that leaves, so each step costs O(1).
-Windows at or above the class's entropy become spans (touching ones merge), unless the span
-is on the allow-list or the candidate has a public shape; neither removes a base span.
+Windows at or above the class's entropy become spans (touching ones merge), unless the span or
+the candidate has a public shape.  Of a span that holds an allowed word the word is taken out,
+and what is left on its sides is judged again by itself.  Neither removes a base span.
 
 A vectorised pass over the bytes finds documents that can hold a match at all; only those
 are decoded.  Offsets are code points, end exclusive.  Null and empty texts have no spans;
@@ -59,12 +60,10 @@ SHAPES = (
     re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)+(?:[-_/][0-9]{1,4})*"),
     re.compile(r"(.)\1*"),
 )
-#: Spans that are public: those, examples and alphabets.
-ALLOWED = (
-    *SHAPES,
-    re.compile(r"(?i).*(?:example|sample|placeholder|changeme|dummy).*"),
-    re.compile(r"(?i)(?:.*0123456789|.*abcdefghij).*"),
-)
+#: Token characters that join what is left to an allowed word.
+SIGNS = "=/_+-"
+#: Words of examples and alphabets.
+ALLOWED = re.compile(r"(?i)example|sample|placeholder|changeme|dummy|0123456789|abcdefghij")
 
 
 def window_entropies(s: str, window: int):
@@ -112,6 +111,24 @@ def _dense(s: str, kind: Class) -> list[tuple[int, int]]:
     return spans
 
 
+def _judged(s: str, classes, allowed: re.Pattern, shapes) -> list[tuple[int, int]]:
+    """Spans of one candidate or part: those of its class, with allowed words taken out."""
+    kind = _class(s, classes)
+    if not kind or any(x.fullmatch(s) for x in shapes):
+        return []
+    out = []
+    for a, b in _dense(s, kind):
+        if any(x.fullmatch(s[a:b]) for x in shapes):
+            continue
+        words = [(a + m.start(), a + m.end()) for m in allowed.finditer(s[a:b])]
+        if not words:
+            out.append((a, b))
+        for low, high in zip([a, *(end for _, end in words)], [*(start for start, _ in words), b]) if words else ():
+            low += high - low - len(s[low:high].lstrip(SIGNS))
+            out += [(low + x, low + y) for x, y in _judged(s[low:high].rstrip(SIGNS), classes, allowed, shapes)]
+    return out
+
+
 def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED, shapes=SHAPES) -> list[tuple[int, int]]:
     spans = []
     for m in CANDIDATE.finditer(text):
@@ -119,9 +136,7 @@ def entropy_spans(text: str, classes=CLASSES, allowed=ALLOWED, shapes=SHAPES) ->
             continue
         found = set()
         for at, s in {(0, m.group()), *((p.start(), p.group()) for cut in PARTS for p in cut.finditer(m.group()))}:
-            kind = _class(s, classes)
-            if kind and not any(x.fullmatch(s) for x in shapes):
-                found |= {(at + a, at + b) for a, b in _dense(s, kind) if not any(x.fullmatch(s[a:b]) for x in allowed)}
+            found |= {(at + a, at + b) for a, b in _judged(s, classes, allowed, shapes)}
         merged: list[list[int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
