@@ -6,24 +6,20 @@ import numpy as np
 
 from . import text as tx
 
-#: Shingle hashes keep this many bits, so that a batch row's number fits above them.
-BITS = 50
 _CELLS = 1 << 15
 
 
 def shingle_sets(data, offsets, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first hash of each document and the total): each document's distinct
+    """(64-bit hashes, first hash of each document and the total): each document's distinct
     word shingles, sorted, A-Z lower-cased; a text with fewer words is one shingle."""
     starts, ends, first = tx.words(data, offsets)
     h = tx.span_hash(data, starts, ends, lower=True)
     count = np.diff(first)
     n_docs = len(count)
-    if n_docs > 1 << (64 - BITS):
-        raise ValueError("too many rows in one batch")
     g = tx.grams(h, size)
     doc = tx.owner(first)
     keep = doc[: len(g)] == doc[size - 1 :] if len(g) else np.zeros(0, bool)
-    keys = (doc[: len(g)][keep].astype(np.uint64) << np.uint64(BITS)) | (g[keep] >> np.uint64(64 - BITS))
+    owner, keys = doc[: len(g)][keep], g[keep]
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         own = np.empty(len(short), np.uint64)
@@ -34,12 +30,14 @@ def shingle_sets(data, offsets, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
             for j in range(n):
                 code = tx.mix64(code * np.uint64(0xD1342543DE82EF95) + runs[:, j])
             own[some] = code
-        keys = np.concatenate([keys, (short.astype(np.uint64) << np.uint64(BITS)) | (own >> np.uint64(64 - BITS))])
-    keys.sort()
+        owner, keys = np.concatenate([owner, short]), np.concatenate([keys, own])
+    order = np.argsort(keys)
+    order = order[np.argsort(owner[order], kind="stable")]
+    owner, keys = owner[order], keys[order]
     if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    at = np.searchsorted(keys, np.arange(n_docs + 1).astype(np.uint64) << np.uint64(BITS))
-    return keys & np.uint64((1 << BITS) - 1), at
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+        owner, keys = owner[new], keys[new]
+    return keys, np.searchsorted(owner, np.arange(n_docs + 1))
 
 
 def fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
