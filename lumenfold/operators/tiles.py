@@ -157,20 +157,27 @@ def blockers(views: DataFrame, points: DataFrame, radius: float = 1.2, most: int
     return both.groupBy(*keys).applyInArrow(run, _OCCLUDED)
 
 
-def sliding_minimum(x: np.ndarray, radius: int) -> np.ndarray:
-    """The least of the (2 radius + 1)^2 values around each place of an array, by two passes."""
-    for axis in (0, 1):
-        pad = [(radius, radius) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(x, pad, constant_values=np.inf)
-        n = x.shape[axis]
-        out = x
-        for shift in range(2 * radius + 1):
-            out = np.fmin(out, np.take(wide, range(shift, shift + n), axis=axis))
-        x = out
-    return x
-
-
-def nearest_around(pixels: DataFrame, radius: int = 2, side: int = 256) -> DataFrame:
+def least_around(u: np.ndarray, v: np.ndarray, near: np.ndarray, radius: int) -> np.ndarray:
+    """For each of the pixels (u, v), all different, the least value of the pixels up to radius away in both directions.  Two
+    passes: along v each value reaches the places beside it, which keep the least; along u each pixel looks at the
+    places beside it.  Work goes by the pixels that there are."""
+    shifts = np.arange(-radius, radius + 1)
+    width = int(v.max() - v.min()) + 4 * radius + 1
+    key = (u - u.min()) * width + (v - v.min()) + 2 * radius
+    spread = (key[:, None] + shifts).ravel()
+    order = np.argsort(spread, kind="stable")
+    spread = spread[order]
+    first = np.flatnonzero(np.append(True, spread[1:] != spread[:-1]))
+    places, least = spread[first], np.fmin.reduceat(np.repeat(near, len(shifts))[order], first)
+    out = np.full(len(key), np.inf)
+    for shift in shifts:
+        wanted = key + shift * width
+        at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        out = np.fmin(out, np.where(places[at] == wanted, least[at], np.inf))
+    return out
+
+
+def nearest_around(pixels: DataFrame, radius: int = 2, side: int = 512) -> DataFrame:
     """pixels(scene_code, iu, iv, near_m), one row a pixel: the least near_m of the pixels up to radius away in both
     directions.  A pixel goes to its tile, and to the tiles that have it in their halo."""
     tile = lambda x: F.floor(x / side)
@@ -180,14 +187,11 @@ def nearest_around(pixels: DataFrame, radius: int = 2, side: int = 256) -> DataF
         spread = spread.withColumn(f"t{c}", F.explode(F.sequence(tile(at - radius), tile(at + radius))))
 
     def run(key, table):
-        u0, v0 = (int(k.as_py()) * side - radius for k in key[1:])
+        scene, *tiles = (k.as_py() for k in key)
         u, v, near = (table.column(c).to_numpy() for c in ("iu", "iv", "near_m"))
-        u, v = u - u0, v - v0
-        plane = np.full((side + 2 * radius,) * 2, np.inf)
-        plane[u, v] = near
-        least = sliding_minimum(plane, radius)
-        own = (u >= radius) & (u < side + radius) & (v >= radius) & (v < side + radius)
-        values = [pa.array(np.full(own.sum(), key[0].as_py(), np.int64)), pa.array(u[own] + u0), pa.array(v[own] + v0), pa.array(least[u[own], v[own]])]
+        least = least_around(u, v, near, radius)
+        own = (u // side == tiles[0]) & (v // side == tiles[1])
+        values = [pa.array(np.full(own.sum(), scene, np.int64)), *(pa.array(x[own]) for x in (u, v, least))]
         return pa.Table.from_arrays(values, names=["scene_code", "iu", "iv", "near_m"])
 
     kinds = "scene_code long, iu long, iv long, near_m double"
