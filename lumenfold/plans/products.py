@@ -228,8 +228,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared.plain_path(spark, ".npz")
     stores.write_arrays(view(spark, d, "points"), "point_id", path, {"point_id": "<i8", "z": "<f8"})
-    with np.load(path) as a:
-        return spark.createDataFrame([(n, len(a[n]), float(a[n].sum())) for n in a.files], "name string, n long, total double")
+    return stores.read_arrays(spark, path, 1000).groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 #: The store's fields and what they are called in the oracle's views.
@@ -338,7 +337,7 @@ def _(spark, d):
     table, types = ply.assembled(p, {"band_26": "third"}, ("r", "g", "b"), ("confidence",))
     first = table.agg(F.min("point_id")).first()[0] or 0
     path = shared.plain_path(spark, ".ply")
-    ply.write(table, path, "point_id", os.path.dirname(path), types)
+    ply.write(table, path, "point_id", types)
     spark.dataSource.register(ply.PlySource)
     back = spark.read.format("ply").option("path", path).option("rows", "500").load()
     return back.withColumn("point_id", F.col("point_id") + first)

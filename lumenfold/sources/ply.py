@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import placed
+
 #: The format's types.
 TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -71,8 +70,9 @@ class _Reader(DataSourceReader):
         order = "<" if encoding == "binary_little_endian" else ">"
         dtype = np.dtype([(n, order + t) for n, t in fields])
         rows = np.fromfile(self.path, dtype, count=p.last - p.first, offset=at + p.first * dtype.itemsize)
-        for i, row in enumerate(rows.tolist(), p.first):
-            yield (i, *row)
+        wide = {"i1": "i1", "u1": "i2", "i2": "i2", "u2": "i4", "i4": "i4", "u4": "i8", "f4": "f4", "f8": "f8"}  # as SPARK has them
+        values = [pa.array(np.arange(p.first, p.first + len(rows))), *(pa.array(rows[n].astype(wide[t])) for n, t in fields)]
+        yield pa.RecordBatch.from_arrays(values, names=["point_id", *(n for n, _ in fields)])
 
 
 class PlySource(DataSource):
@@ -99,46 +99,17 @@ def assembled(points: DataFrame, bands: dict[str, str] | None = None, rgb: tuple
     return points.select(*columns, *extras), dict.fromkeys(colours, "uchar")
 
 
-def write(df: DataFrame, path: str, order: str, folder: str, types: dict[str, str] | None = None) -> int:
-    """Writes df's columns but `order` as a binary little-endian vertex table in that order.
-
-    Each partition of a range of `order` becomes a part file in `folder`, which executors and
-    driver share; the driver writes the header and appends the parts.  Returns the rows.
-    8-byte integers have no PLY type and are refused.  types: unsigned types of some columns.
+def write(df: DataFrame, path: str, order: str, types: dict[str, str] | None = None) -> int:
+    """Writes df's columns but `order` as a binary little-endian vertex table in that order, by executors at their
+    rows' places (placed.py).  Returns the rows.  8-byte integers have no PLY type and are refused.  types: unsigned
+    types of some columns.
     """
     kinds = {f.name: UNSIGNED[types[f.name]] if types and f.name in types else PLY_OF.get(f.dataType.simpleString()) for f in df.schema.fields}
     columns = [(f.name, kinds[f.name]) for f in df.schema.fields if f.name != order]
     bad = [n for n, t in columns if t is None]
     if bad:
         raise ValueError(f"columns without a PLY type: {bad}")
-    dtype = np.dtype([(n, t[1]) for n, t in columns])
-    parts = os.path.join(folder, uuid.uuid4().hex)
-    os.makedirs(parts)
-
-    def save(batches):
-        from pyspark import TaskContext
-
-        number, n = TaskContext.get().partitionId(), 0
-        name = os.path.join(parts, f"{number:08d}")
-        with open(f"{name}.{uuid.uuid4().hex}", "wb") as f:
-            for b in batches:
-                rows = np.empty(len(b), dtype)
-                for c, _ in columns:
-                    rows[c] = b[c].to_numpy()
-                f.write(rows.tobytes())
-                n += len(b)
-        os.replace(f.name, name)
-        import pandas as pd
-
-        yield pd.DataFrame({"part": [number], "n": [n]})
-
-    done = df.repartitionByRange(order).sortWithinPartitions(order).mapInPandas(save, "part int, n long").toPandas().sort_values("part")
-    total = int(done["n"].sum()) if len(done) else 0
-    with open(path, "wb") as out:
-        lines = ["ply", "format binary_little_endian 1.0", f"element vertex {total}", *[f"property {t[0]} {n}" for n, t in columns], "end_header"]
-        out.write(("\n".join(lines) + "\n").encode())
-        for part in done["part"]:
-            with open(os.path.join(parts, f"{part:08d}"), "rb") as f:
-                shutil.copyfileobj(f, out)
-    shutil.rmtree(parts)
+    total = df.count()
+    lines = ["ply", "format binary_little_endian 1.0", f"element vertex {total}", *[f"property {t[0]} {n}" for n, t in columns], "end_header"]
+    placed.save_records(df, order, path, ("\n".join(lines) + "\n").encode(), np.dtype([(n, t[1]) for n, t in columns]), total)
     return total

@@ -1,8 +1,8 @@
 """Stores of arrays and tables: typed scans, one-file CSV, matrices, archives, candidates, documents.
 
 Files that other programs open by path (.npy, .npz, CSV in one file, JSON) lie on a mount that
-driver and executors share.  Executors write a matrix's rows at their places; the driver adds
-headers and joins part files, never rows.
+driver and executors share.  Executors write the rows of matrices and archives at their places; the
+driver joins the part files of a CSV.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinals import numbered
+from . import placed
 from .shared import plain_path
 
 BOM = "﻿"
@@ -81,36 +82,15 @@ def inferred_rows(spark: SparkSession, counts: list[int | None] = (), tables: li
 
 
 def write_matrix(df: DataFrame, column: str, order: str, path: str, rows: int | None = None) -> tuple[int, int]:
-    """The array column as a .npy matrix of 4-byte floats, rows by `order`.  The driver writes the
-    header and the size; executors write their rows at their places, so a task run again writes
-    the same.  Rows of several lengths, or more than the `rows` foreseen: an error."""
+    """The array column as a .npy matrix of 4-byte floats, rows by `order`, written by executors at their places
+    (placed.py).  Rows of several lengths, or more than the `rows` foreseen: an error."""
     lo, hi, n = df.select(F.size(column).alias("n")).agg(F.min("n"), F.max("n"), F.count("*")).first()
     if lo != hi:
         raise ValueError(f"rows of {lo} to {hi} values make no matrix")
     if rows is not None and n > rows:
         raise ValueError(f"{n} rows, but a matrix of {rows}")
     shape = (n if rows is None else rows, hi or 0)
-    out = np.lib.format.open_memmap(path, mode="w+", dtype="<f4", shape=shape)
-    at, width = out.offset, 4 * shape[1]
-    out.flush()
-    del out
-
-    def save(batches):
-        done = 0
-        with open(path, "r+b") as f:
-            for b in batches:
-                place = b["observation_id"].to_numpy()
-                values = np.stack(b["v"].to_numpy()).astype("<f4") if len(b) else np.zeros((0, shape[1]), "<f4")
-                edges = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(b)]
-                for i, j in zip(edges, edges[1:]):
-                    if j > i:
-                        f.seek(at + int(place[i]) * width)
-                        f.write(values[i:j].tobytes())
-                done += len(b)
-        yield pd.DataFrame({"n": [done]})
-
-    if n:
-        numbered(df.select(order, F.col(column).alias("v")), order).select("observation_id", "v").mapInPandas(save, "n long").agg(F.sum("n")).first()
+    placed.save_matrix(df, column, order, path, n, shape)
     return shape
 
 
@@ -128,41 +108,35 @@ def read_matrix(spark: SparkSession, path: str, rows: int = 100_000) -> DataFram
 
 
 def write_arrays(df: DataFrame, order: str, path: str, types: dict[str, str]) -> int:
-    """Columns as the .npy members of a .npz archive, rows by `order`: each column is written as a
-    file by executors, and the driver packs the files."""
+    """Columns as the .npy members of a .npz archive, rows by `order`, written by executors at their places in the one file."""
     n = df.count()
-    parts = plain_path(df.sparkSession)
-    os.makedirs(parts)
-    at = {}
-    for c, kind in types.items():
-        out = np.lib.format.open_memmap(os.path.join(parts, c + ".npy"), mode="w+", dtype=kind, shape=(n,))
-        at[c] = out.offset
-        del out
-
-    def save(batches):
-        done = 0
-        for b in batches:
-            place = b["observation_id"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(b)]
-            for c, kind in types.items():
-                values = b[c].to_numpy().astype(kind)
-                with open(os.path.join(parts, c + ".npy"), "r+b") as f:
-                    for i, j in zip(edges, edges[1:]):
-                        if j > i:
-                            f.seek(at[c] + int(place[i]) * values.itemsize)
-                            f.write(values[i:j].tobytes())
-            done += len(b)
-        yield pd.DataFrame({"n": [done]})
-
-    if n:
-        numbered(df.select(*dict.fromkeys([order, *types])), order).mapInPandas(save, "n long").agg(F.sum("n")).first()
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
-        for c in types:
-            z.write(os.path.join(parts, c + ".npy"), c + ".npy")
-    shutil.rmtree(parts)
+    placed.save_archive(df, order, path, types, n)
     return n
 
 
+def read_arrays(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
+    """(name, row, value) of the arrays of numbers in a .npz archive without compression, read by executors in runs of rows."""
+    runs = []
+    with zipfile.ZipFile(path) as z, open(path, "rb") as raw:
+        for info in z.infolist():
+            with z.open(info) as f:
+                np.lib.format.read_magic(f)
+                shape, _, dtype = np.lib.format.read_array_header_1_0(f)
+                header = f.tell()
+            raw.seek(info.header_offset + 26)
+            at = info.header_offset + 30 + sum(int.from_bytes(raw.read(2), "little") for _ in range(2)) + header
+            runs += [(info.filename.removesuffix(".npy"), dtype.str, at, first, min(rows, shape[0] - first)) for first in range(0, shape[0], rows)]
+
+    def load(batches):
+        for b in batches:
+            for name, kind, at, first, n in b.itertuples(index=False):
+                part = np.fromfile(path, kind, n, offset=at + first * np.dtype(kind).itemsize)
+                yield pd.DataFrame({"name": name, "row": np.arange(first, first + n), "value": part.astype(float)})
+
+    listed = spark.createDataFrame(runs, "name string, kind string, at long, first long, n long")
+    return listed.mapInPandas(load, "name string, row long, value double")
+
+
 #: A candidate's fields, their types, and what stands in an empty slot (None: NaN).
 CANDIDATE_FIELDS = {
     "score": ("float", float("-inf")), "scene_code": ("int", -1), "u": ("float", None), "v": ("float", None), "range_m": ("float", None),

@@ -97,12 +97,12 @@ def test_ply_source(spark, tmp_path, kind):
 
 def test_ply_round_trip(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") * 1.5).alias("x"), F.col("id").cast("float").alias("b1"), (F.col("id") % 7).cast("int").alias("k")).repartition(7)
-    assert ply.write(df, str(tmp_path / "o.ply"), "id", str(tmp_path)) == 1000
+    assert ply.write(df, str(tmp_path / "o.ply"), "id") == 1000
     spark.dataSource.register(ply.PlySource)
     got = spark.read.format("ply").option("path", str(tmp_path / "o.ply")).load().orderBy("point_id").collect()
     assert [tuple(r) for r in got] == [(i, i * 1.5, float(i), i % 7) for i in range(1000)]
     with pytest.raises(ValueError):
-        ply.write(df.withColumn("big", F.col("id")), str(tmp_path / "x.ply"), "id", str(tmp_path))
+        ply.write(df.withColumn("big", F.col("id")), str(tmp_path / "x.ply"), "id")
 
 
 def test_tables(spark, tmp_path):

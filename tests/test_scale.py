@@ -1,16 +1,22 @@
 """What must hold whatever the number of partitions, of groups, or of rows of one key."""
 
 import math
+import os
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import settings as settings_of
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions import camera as C
 from lumenfold.operators import anchors, brf, calibration, fusion, gains, neighbours, ordinals, ranks, raster, rays, selection, sight, tiles
 from lumenfold.plans import queries
 from lumenfold.plans.adapters import view
-from lumenfold.sources import envi, stores, tables
+from lumenfold.sources import envi, placed, ply, stores, tables
 from lumenfold.streaming import fusion as stream
 
 
@@ -337,3 +343,44 @@ def test_table_columns(spark, sf):
     assert set(rows.columns) == set(brf.PAPER_COLUMNS)
     with pytest.raises(ValueError):
         brf.paper_columns(spark.range(1), whole=True)
+
+
+def test_placed_files_are_whole_or_not_there(spark, tmp_path, settings):
+    settings(spark__sql__shuffle__partitions="5")
+    rows = of_files(spark, tmp_path, 20_000, 4, F.col("id") * 7919 % 20_000).select("k", (F.col("k") * 3).alias("a"), (F.col("k") / 4).alias("b"))
+    path = str(tmp_path / "x.npz")
+    assert stores.write_arrays(rows, "k", path, {"a": "<i8", "b": "<f4"}) == 20_000
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None  # checksums too
+    with np.load(path) as z:
+        assert (z["a"] == np.arange(20_000) * 3).all() and (z["b"] == np.arange(20_000, dtype="f4") / 4).all() and z["b"].dtype == "f4"
+    back = stores.read_arrays(spark, path, 3000)
+    assert back.where("name = 'a' and value <> row * 3").count() == 0 and back.count() == 40_000
+    fail = F.udf(lambda k: 1.0 / (k - 11_111), "double")
+    for write in (lambda df: stores.write_arrays(df, "k", str(tmp_path / "y.npz"), {"b": "<f8"}), lambda df: stores.write_matrix(df.select("k", F.array("b").alias("v")), "v", "k", str(tmp_path / "y.npy")),
+                  lambda df: ply.write(df, str(tmp_path / "y.ply"), "k")):
+        with pytest.raises(Exception):
+            write(rows.select("k", fail("k").alias("b")))
+        assert not [f for f in os.listdir(tmp_path) if f.startswith("y.")]
+    stores.write_arrays(rows.where("false"), "k", str(tmp_path / "none.npz"), {"a": "<i8"})
+    with np.load(tmp_path / "none.npz") as z:
+        assert z["a"].shape == (0,)
+    ply.write(rows.select("k", F.col("a").cast("int").alias("a"), "b"), str(tmp_path / "p.ply"), "k")
+    spark.dataSource.register(ply.PlySource)
+    got = spark.read.format("ply").option("path", str(tmp_path / "p.ply")).option("rows", "7000").load()
+    assert got.count() == 20_000 and got.where("a <> point_id * 3 or b <> point_id / 4").count() == 0
+
+
+def test_a_writer_that_lacks_rows_leaves_nothing(tmp_path):
+    part = tmp_path / "m.part"
+    part.write_bytes(b"xx")
+    w = placed._Writer({"path": str(tmp_path / "m"), "part": str(part), "rows": "2", "streams": "[]"})
+    with pytest.raises(ValueError):
+        w.commit([placed._Done(1, []), None])
+    assert os.listdir(tmp_path) == []
+
+
+@settings_of(max_examples=200, deadline=None)
+@given(st.binary(max_size=300), st.binary(max_size=300))
+def test_joined_checksums(a, b):
+    assert placed.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)

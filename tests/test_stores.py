@@ -103,7 +103,7 @@ def test_refusals(spark, tmp_path):
 def test_unsigned_colours(spark, tmp_path):
     p = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 200, 0, 255)], "point_id long, x double, y double, z double, r int, g int, b int")
     table, types = ply.assembled(p, rgb=("r", "g", "b"))
-    ply.write(table, str(tmp_path / "c.ply"), "point_id", str(tmp_path), types)
+    ply.write(table, str(tmp_path / "c.ply"), "point_id", types)
     assert ply.header(str(tmp_path / "c.ply"))[2] == [("x", "f8"), ("y", "f8"), ("z", "f8"), ("red", "u1"), ("green", "u1"), ("blue", "u1")]
     spark.dataSource.register(ply.PlySource)
     assert [tuple(r) for r in spark.read.format("ply").option("path", str(tmp_path / "c.ply")).load().collect()] == [(0, 1.0, 2.0, 3.0, 200, 0, 255)]
