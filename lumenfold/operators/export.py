@@ -55,6 +55,21 @@ def manifest(path: str, products: dict[str, DataFrame], same_rows: list[str]) ->
     return out
 
 
+def cleaned(folder: str, manifest_path: str, redundant: list[str]) -> list[tuple[str, bool]]:
+    """Removes intermediate files that the products make redundant: (name, whether it was removed) of each.  A manifest
+    of whole products must stand there; files outside the folder, folders, and the manifest's own products stay."""
+    with open(manifest_path) as f:
+        products = set(json.load(f)["rows"])
+    out, root = [], os.path.realpath(folder)
+    for name in redundant:
+        path = os.path.realpath(os.path.join(root, name))
+        gone = os.path.commonpath([root, path]) == root and os.path.isfile(path) and os.path.splitext(os.path.basename(path))[0] not in products
+        if gone:
+            os.remove(path)
+        out.append((name, gone))
+    return out
+
+
 def adjusted(table: DataFrame, bands: dict[str, int], listed: tuple[int, ...] = ()) -> tuple[DataFrame, list[dict]]:
     """(table, log): 1 taken off the bands (column: number) that are listed, and what was done to each."""
     log = [{"band": n, "column": c, "subtracted": 1.0 if n in listed else 0.0} for c, n in bands.items()]

@@ -30,11 +30,14 @@ def order_statistics(df: DataFrame, column: str, wanted, by: str | None = None,
     group = F.col(by).cast("string") if by else F.lit("")
     rows = df.select(group.alias("g"), F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
     out, open_ = {}, []
-    for g, n, low, high in rows.groupBy("g").agg(F.count("*"), F.min("x"), F.max("x")).collect():
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    ends = [F.count("*"), F.count_if(F.col("x") == float("-inf")), F.count_if(F.col("x") == float("inf")), F.min(finite), F.max(finite)]
+    for g, n, under, over, low, high in rows.groupBy("g").agg(*ends).collect():
         ranks = sorted({r for r in wanted(n) if 0 <= r < n})
-        out[g] = (n, {})
+        out[g] = (n, {r: -math.inf if r < under else math.inf for r in ranks if r < under or r >= n - over})
+        ranks = tuple(r for r in ranks if under <= r < n - over)
         if ranks:
-            open_.append((g, tuple(ranks), n, 0, low, high))  # ranks that lie in [low, high], which holds n values, `below` others are less
+            open_.append((g, ranks, n - under - over, under, low, high))  # ranks that lie in [low, high], which holds so many values; `under` others are less
     last = []
     while open_:
         wide = []
@@ -43,12 +46,14 @@ def order_statistics(df: DataFrame, column: str, wanted, by: str | None = None,
             if low == high:
                 out[g][1].update(dict.fromkeys(ranks, low))
             else:
-                (wide if n > most and math.isfinite(high - low) else last).append(task)
+                (wide if n > most else last).append(task)
         if not wide:
             break
         state = spark.createDataFrame([(i, g, low, high) for i, (g, _, _, _, low, high) in enumerate(wide)], "i int, g string, low double, high double")
         met = rows.join(F.broadcast(state), "g").where("x >= low and x <= high")
-        cell = F.least(F.floor((F.col("x") - F.col("low")) / ((F.col("high") - F.col("low")) / CELLS)), F.lit(CELLS - 1))
+        # halves, as a difference of great values can leave the range
+        share = (F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        cell = F.least(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * CELLS), F.lit(CELLS - 1))
         cells: dict[int, list] = {}
         for i, c, k, low, high in met.groupBy("i", cell.alias("c")).agg(F.count("*"), F.min("x"), F.max("x")).collect():
             cells.setdefault(i, []).append((c, k, low, high))

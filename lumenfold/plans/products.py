@@ -260,6 +260,23 @@ def _(spark, d):
     return rows.select(F.explode(F.from_json("j", "map<string, long>")).alias("product", "rows"))
 
 
+@query("q_cleanup", "name removed", "", """t AS (SELECT n_name, n_nationkey FROM nation), f AS (SELECT CASE n_nationkey % 4 WHEN 3 THEN '../' || n_name || '.tmp' ELSE n_name || '.tmp' END AS name, n_nationkey % 4 = 0 OR n_nationkey % 4 = 2 AS removed FROM t) ;; SELECT name, removed FROM f""")
+def _(spark, d):
+    """Files named by nations: of four one is a product and stays, one lies outside the folder, and two go."""
+    folder = shared.plain_path(spark)
+    inside = os.path.join(folder, "run")
+    os.makedirs(inside)
+    nations = [(n.n_name, n.n_nationkey % 4) for n in spark.read.parquet(f"{d}/nation.parquet").collect()]
+    for name, k in nations:
+        with open(os.path.join(folder if k == 3 else inside, f"{name}.tmp"), "w") as f:
+            f.write(name)
+    p = view(spark, d, "points")
+    products = {name: p for name, k in nations if k == 1}
+    export.manifest(os.path.join(inside, "manifest.json"), products, list(products))
+    names = [f"../{name}.tmp" if k == 3 else f"{name}.tmp" for name, k in nations]
+    return spark.createDataFrame(export.cleaned(inside, os.path.join(inside, "manifest.json"), names), "name string, removed boolean")
+
+
 @query("q_config", "run key value", "", """t AS (SELECT n_name, n_nationkey, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey) ;;
 SELECT n_name AS run, k.key AS key, CASE k.key WHEN 'a.x' THEN CAST(r_regionkey AS VARCHAR) WHEN 'a.y' THEN CAST(n_nationkey AS VARCHAR) WHEN 'a.z' THEN '4' WHEN 'region' THEN '"' || r_name || '"' ELSE '[' || CAST(n_nationkey AS VARCHAR) || ', 2]' END AS value
 FROM t, (VALUES ('a.x'), ('a.y'), ('a.z'), ('k'), ('region')) k(key)""")

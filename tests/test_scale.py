@@ -92,6 +92,15 @@ def test_ranks_of_many_groups_and_of_a_huge_one(spark, settings):
     assert ranks.medians(df.where("g = -1"), "x", "g").first().median == np.median([v for k, v in rows if k == -1])
 
 
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_ranks_among_infinite_and_great_values(spark, most):
+    inf = float("inf")
+    x = [-inf] * 3 + [-1.7e308, -1e308, -5.0, -1e-300, 0.0, 1e-300, 2.0, 2.0, 2.0, 1e308, 1.7e308] + [inf] * 2
+    df = spark.createDataFrame([(v,) for v in [*x, None, float("nan")]], "x double").repartition(3)
+    n, got = ranks.order_statistics(df, "x", range, most=most)[None]
+    assert n == len(x) and [got[r] for r in range(n)] == sorted(x)
+
+
 def cloud(spark, n, seed, low=-20.0, high=20.0):
     r = np.random.default_rng(seed)
     xyz = r.uniform(low, high, (n, 3))
