@@ -186,7 +186,7 @@ def _cells(window: int, k: int):
             llen = np.concatenate([u8(x) for x in columns["llen"]]).astype(np.int64)
             left = np.zeros((len(run), before), np.uint8)
             left[np.arange(before) < llen[:, None]] = np.concatenate([u8(x) for x in columns["left"]])
-            back, ahead = repeats.reaches(lcp, rlen, llen[place], left[place], c, window, g, low, high)
+            back, ahead = repeats.reaches(lambda depth: repeats.classes_at(lcp, depth), rlen, llen[place], left[place], c, window, g, low, high)
             hit = back >= 0
             return pa.table({"h": h[hit], "s": s[hit], "back": back[hit], "ahead": ahead[hit]})
 

@@ -4,9 +4,10 @@ The suffixes that can matter start at anchors (anchors.py).  They are split by p
 variable length: first by the hash of the anchor's eight words; prefixes go together into
 cells of bounded size, and one with more distinct suffixes than a cell may hold is extended
 (repeats.py).  A cell's suffixes make a suffix tree; its
-internal nodes at depth d are the word sequences of length d that repeat, and a node that
-stays a node under extension to the left up to the window's length is a repeat.  A suffix that
-occurs several times with all its context is one suffix with its count.
+internal nodes at depth d are the word sequences of length d that repeat.  The highest nodes as deep as
+a window less o words tell which suffixes agree that far, and those of one node that also agree over the
+o words before the anchor repeat the window that starts there.  A suffix that
+occurs several times with all its context is one leaf with its count.
 
 Words are maximal runs outside 0x20 and 0x09-0x0D.  A removed word is one that a window of
 `window` words covers whose sequence starts anywhere else too.  Null and empty texts have no
@@ -35,8 +36,7 @@ class SuffixTree:
     """A suffix tree as the intervals of its internal nodes over the sorted suffixes."""
 
     order: np.ndarray  # suffixes, sorted
-    lcp: np.ndarray  # common prefix of each with the one before (0 for the first)
-    nodes: list[tuple[int, int, int]]  # (depth, from, to): order[from:to] share depth symbols
+    nodes: np.ndarray  # (depth, from, to, the parent's depth) of each: order[from:to] share depth symbols
 
     @staticmethod
     def build(suffixes: np.ndarray, lengths: np.ndarray) -> SuffixTree:
@@ -50,25 +50,28 @@ class SuffixTree:
             differ = rows[1:] != rows[:-1]
             common_ = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
             lcp[1:] = np.minimum(common_, np.minimum(lengths[order[1:]], lengths[order[:-1]]))
-        nodes, stack = [], []  # (depth, from)
-        for i in range(1, n + 1):
-            d, begin = (int(lcp[i]) if i < n else 0), i - 1
+        nodes, stack, prefixes = [], [], [*lcp[1:].tolist(), 0]  # stack: (depth, from)
+        for i, d in enumerate(prefixes, 1):
+            begin = i - 1
             while stack and stack[-1][0] > d:
                 depth, begin = stack.pop()
-                nodes.append((depth, begin, i))
+                nodes.append((depth, begin, i, max(d, stack[-1][0] if stack else 0)))
             if d and (not stack or stack[-1][0] < d):
                 stack.append((d, begin))
-        return SuffixTree(order, lcp, nodes)
+        return SuffixTree(order, np.array(nodes, np.int64).reshape(-1, 4))
 
-    def deep(self, depth: int) -> list[tuple[int, int, int]]:
-        """The highest nodes at this depth or deeper: maximal sets of suffixes that share it."""
-        inside = sorted((a, -b, d) for d, a, b in self.nodes if d >= depth)
-        out, end = [], -1
-        for a, b, d in inside:
-            if a >= end:
-                out.append((d, a, -b))
-                end = -b
-        return out
+    def deep(self, depth: int) -> np.ndarray:
+        """(from, to) of the highest nodes at this depth or deeper, in order: maximal sets of suffixes that share it."""
+        high = self.nodes[(self.nodes[:, 0] >= depth) & (self.nodes[:, 3] < depth)]
+        return high[np.argsort(high[:, 1]), 1:3]
+
+    def under(self, depth: int) -> np.ndarray:
+        """For each sorted suffix: the number of its node in deep(depth), or one of its own."""
+        own = np.arange(len(self.order)) + len(self.order)
+        spans = self.deep(depth)
+        size = spans[:, 1] - spans[:, 0]
+        own[np.repeat(spans[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.repeat(np.arange(len(spans)), size)
+        return own
 
 
 _OWN = ("h", "s", "c", "g")
@@ -109,15 +112,8 @@ def _cells(window: int, k: int):
             rank = np.unique(np.concatenate([raw("left", np.uint64), raw("right", np.uint64)]), return_inverse=True)[1]
             left, right = rank[: len(h) * before].reshape(-1, before), rank[len(h) * before :].reshape(-1, window)
             tree = SuffixTree.build(right, rlen)
-            # suffixes under no node as deep as the anchor are alone in the cell
-            kept = np.zeros(len(h), bool)
-            for _, a, b in tree.deep(k):
-                kept[a:b] = True
-            kept |= c[tree.order] > 1
-            at = np.flatnonzero(kept)
-            order = tree.order[at]
-            lcp = np.array([]) if not len(at) else np.where(np.append(True, np.diff(at) > 1), 0, tree.lcp[at])
-            back, ahead = repeats.reaches(lcp, rlen[order], llen[order], left[order], c[order], window, g[order], low[order], high[order])
+            order = tree.order
+            back, ahead = repeats.reaches(tree.under, rlen[order], llen[order], left[order], c[order], window, g[order], low[order], high[order])
             hit = back >= 0
             return pa.table({"h": h[order[hit]], "s": s[order[hit]], "back": back[hit], "ahead": ahead[hit]})
 

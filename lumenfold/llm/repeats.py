@@ -8,7 +8,8 @@
     -> where more than `most` contexts share a prefix, as many as a task may hold, the prefix is extended: the windows
        that start at nearly the same place before the anchor share a longer one, and those of
        each such range of starts are dealt by theirs, an eighth as many starts each time; a prefix that no other context shares goes
-    -> a prefix as long as the window is a repeated window, and needs no further comparison
+    -> contexts that share a prefix as long as the window, more than `most` of them, are dealt to several cells, and one
+       of them goes to each of these: so each context meets one that shares its window
     -> in each cell the operator's own method finds how far each context is repeated
     -> spans of each document, joined to its row
 
@@ -180,8 +181,11 @@ def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callab
         shared = common.written(longer.groupBy(*same).agg(F.count("*").alias("d"), F.sum("c").alias("all")).where("all > 1").drop("all"))
         open_, used = longer.join(shared.hint("merge"), same), [longer, shared]
         if width == 1:
-            reach_ = open_.groupBy("h", "s").agg(F.max("low").cast("long").alias("back"), (window - F.min("low")).cast("long").alias("ahead"))
-            reach = reach_ if reach is None else reach.union(reach_)
+            n, own = _of_whole_windows(open_, same, most)
+            used.append(own)
+            if n:
+                found_ = cells(picks(own), -(-n // per_cell), text)
+                reach = found_ if reach is None else reach.union(found_)
             break
         open_ = open_.withColumn("g", F.xxhash64("h", "low", "f1")).drop("f1", "f2")
     if reach is None:
@@ -194,6 +198,18 @@ def marked(docs: DataFrame, symbols: Symbols, window: int, k: int, cells: Callab
     return texts.join(spans.hint("merge"), ["k1", "k2"], "left").select("row", "spans")
 
 
+def _of_whole_windows(shared: DataFrame, same: list[str], most: int) -> tuple[int, DataFrame]:
+    """Contexts that share a whole window with others of the same `same`: (their number, those dealt by groups of up to about
+    `most`, with the least one in each group)."""
+    parts = F.ceil(F.col("d") / most).cast("int")
+    others = [c for c in shared.columns if c not in (*same, "d")]
+    one = shared.groupBy(*same, "d").agg(F.min(F.struct("s", *[c for c in others if c != "s"])).alias("one"))
+    everywhere = one.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*same, "d", "one.*", "part")
+    dealt = shared.withColumn("part", F.pmod(F.xxhash64("s"), parts).cast("int")).unionByName(everywhere)
+    dealt = common.written(dealt.withColumn("g", F.xxhash64("h", "low", "f1", "part")).drop("f1", "f2", "part"))
+    return dealt.count(), dealt
+
+
 def covered(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
     """Which symbols the batch's spans cover, for documents at these offsets in symbols."""
     spans = batch.column(batch.num_columns - 1)
@@ -212,16 +228,17 @@ def classes_at(lcp: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(lcp < depth)
 
 
-def reaches(lcp, right, left, left_symbols, count, window: int, group, low, high) -> tuple[np.ndarray, np.ndarray]:
+def reaches(classes: Callable[[int], np.ndarray], right, left, left_symbols, count, window: int, group, low, high) -> tuple[np.ndarray, np.ndarray]:
     """(back, ahead) of contexts sorted by what follows their anchor; back is -1 if no window
-    is repeated.  lcp: common prefix with the context before; right, left: lengths;
+    is repeated.  classes(depth): a number below 2 n for each context, the same for those that agree so far
+    after the anchor (contexts with less after it may have any); right, left: lengths;
     left_symbols[i, j]: symbol j + 1 places before the anchor; count: occurrences; group: only
     contexts of one group are compared; low, high: which starts before the anchor count.
 
     The window that starts o before the anchor is a node at depth window - o of the tree of
     the right sides, met with a class of the left sides that agree over o symbols.
     """
-    n = len(lcp)
+    n = len(right)
     back, ahead = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     before = np.unique(group, return_inverse=True)[1]
     for o in range(int(np.minimum(left, high).max(initial=-1)) + 1):
@@ -231,8 +248,8 @@ def reaches(lcp, right, left, left_symbols, count, window: int, group, low, high
         fit = np.flatnonzero((left >= o) & (right >= window - o) & (low <= o) & (o <= high))
         if not len(fit):
             continue
-        after = classes_at(lcp, window - o)
-        keys = before[fit] * (n + 1) + after[fit]
+        after = classes(window - o)
+        keys = before[fit] * (2 * n + 1) + after[fit]
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         same = np.zeros(len(k), bool)

@@ -106,9 +106,10 @@ def test_suffix_tree_nodes():
     for i, s in enumerate(rows):
         wide[i, : len(s)] = np.frombuffer(s, np.uint8)
     tree = op9_trees.SuffixTree.build(wide, np.array([len(s) for s in rows]))
-    found = {(d, tuple(sorted(rows[i] for i in tree.order[a:b]))) for d, a, b in tree.nodes}
+    found = {(d, tuple(sorted(rows[i] for i in tree.order[a:b]))) for d, a, b, _ in tree.nodes}
     assert found == {(1, (b"a", b"ana", b"anana")), (3, (b"ana", b"anana")), (2, (b"na", b"nana"))}
-    assert sorted(tree.deep(2)) == [(2, 4, 6), (3, 1, 3)]
+    assert tree.deep(2).tolist() == [[1, 3], [4, 6]] and tree.deep(3).tolist() == [[1, 3]] and tree.deep(1).tolist() == [[0, 3], [4, 6]]
+    assert tree.under(2).tolist() == [6, 0, 0, 9, 1, 1]
 
 
 def test_classes():
