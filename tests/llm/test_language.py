@@ -140,6 +140,7 @@ def test_pipeline(spark, sf):
 
     from .test_neighbours import brute_classes
     from .test_quality_secrets import brute_quality, brute_spans
+    from .test_tokens import check_packing
 
     raw = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in raw.collect()]
@@ -159,7 +160,27 @@ def test_pipeline(spark, sf):
         assert (after[i] == t) == (not brute_spans(t))
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {p.doc_id for p in packed} == set(before)
-    assert all(f == packed[0].asDict().keys() for f in [p.asDict().keys() for p in packed])
+    check_packing(list(after.items()), packed)
+
+
+def test_pipeline_of_awkward_documents(spark, tmp_path):
+    """Nulls, empty texts, null and repeated ids, repeated rows; and a table without rows."""
+    import corpus_pipeline
+
+    from .test_tokens import check_packing
+
+    docs = cases.table(spark, cases.documents()).selectExpr("doc_id", "text", "lang", "h AS source", "length(text) AS n_chars")
+    docs.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert packed
+    last = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        last = common.written(stage(spark, last, ""))
+    texts = [(r.doc_id, r.text) for r in last.collect()]
+    assert len(texts) == sum(p.piece == 0 for p in packed)
+    check_packing(texts, packed)
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_scores_do_not_depend_on_how_rows_are_dealt(spark, sf):
