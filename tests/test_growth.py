@@ -38,3 +38,12 @@ def test_rays_are_cut_only_near_points(spark, monkeypatch):
     monkeypatch.setattr(rays, "voxels", counted)
     assert rays.tube(scenes, points).count() > 100
     assert cut[-1] < 20 * 150 and sum(cut) < 20 * 300  # the tubes have about 1000 voxels each
+
+
+def test_pixels_of_many_pictures(spark, monkeypatch):
+    monkeypatch.setattr(export, "PICTURES", 3)
+    pixels = spark.range(40).select(F.col("id").cast("string").alias("scene_id"), F.lit(1).alias("line"), F.lit(2).alias("sample"), F.col("id").cast("int").alias("red"), F.lit(7).alias("green"), F.lit(1).alias("blue"))
+    got = {r.scene_id: r.pixels for r in export.pixels_of(export.previews(pixels, 4, 5).coalesce(1)).collect()}
+    assert len(got) == 40
+    for s, p in got.items():
+        assert len(p) == 20 and tuple(p[7]) == (int(s), 7, 1) and not any(map(any, p[:7] + p[8:]))
