@@ -40,6 +40,27 @@ def test_rays_are_cut_only_near_points(spark, monkeypatch):
     assert cut[-1] < 20 * 150 and sum(cut) < 20 * 300  # the tubes have about 1000 voxels each
 
 
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(sight, "TASK_PAIRS", 500)
+    monkeypatch.setattr(sight, "BROADCAST_CELLS", broadcast)
+    _, points = cloud(spark, 400)
+    unit = {f"r{i}{j}": F.lit(float((i, j) in ((1, 1), (2, 2)))) for i in (1, 2, 3) for j in (1, 2, 3)} | {"r33": F.lit(-1.0)}
+    scenes = spark.createDataFrame([(i, 4.0, 4.0, 90.0 + i) for i in range(10)], CAMERA).withColumns(unit)
+    met = sight.pairs(points, scenes, 300.0)
+    assert met.count() == 4000 and makers(met) > 4
+
+
+def test_views_beyond_the_best_go_before_the_exchange(spark):
+    rows = spark.range(900).select((F.col("id") % 9).alias("point_id"), F.col("id").alias("scene_code"), (F.col("id") * 37 % 101).cast("double").alias("coarse_score"))
+    best = candidates.best(rows, 3)
+    assert plan(best).count("WindowGroupLimit") == 2
+    got = {(r.point_id, r.slot): r.scene_code for r in best.collect()}
+    for p in range(9):
+        order = sorted(range(p, 900, 9), key=lambda i: (-(i * 37 % 101), i))
+        assert [got[p, k] for k in range(3)] == order[:3]
+
+
 def test_pixels_of_many_pictures(spark, monkeypatch):
     monkeypatch.setattr(export, "PICTURES", 3)
     pixels = spark.range(40).select(F.col("id").cast("string").alias("scene_id"), F.lit(1).alias("line"), F.lit(2).alias("sample"), F.col("id").cast("int").alias("red"), F.lit(7).alias("green"), F.lit(1).alias("blue"))
