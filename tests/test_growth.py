@@ -61,6 +61,23 @@ def test_views_beyond_the_best_go_before_the_exchange(spark):
         assert [got[p, k] for k in range(3)] == order[:3]
 
 
+def test_nearest_by_tasks_of_bounded_work(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASK_PAIRS", 2_000)
+    xyz, points = cloud(spark, 600)
+    near = neighbours.nearest(points, 1.5, 5)
+    assert makers(near) > 8
+    got = {(r.point_id, r.nth): r.other_id for r in near.collect()}
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    for i in range(600):
+        order = [j for j in np.argsort(d2[i], kind="stable") if j != i and d2[i, j] < 2.25][:5]
+        assert [got[i, k] for k in range(1, len(order) + 1)] == order and (i, len(order) + 1) not in got
+
+
+def test_rows_of_one_id_are_one_point(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 9.0, 0.0, 0.0), (2, 0.5, 0.0, 0.0), (3, 9.2, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    assert [(r.other_id, r.nth) for r in neighbours.nearest(points, 1.0, 1).where("point_id = 1").collect()] == [(3, 1)]
+
+
 def test_pixels_of_many_pictures(spark, monkeypatch):
     monkeypatch.setattr(export, "PICTURES", 3)
     pixels = spark.range(40).select(F.col("id").cast("string").alias("scene_id"), F.lit(1).alias("line"), F.lit(2).alias("sample"), F.col("id").cast("int").alias("red"), F.lit(7).alias("green"), F.lit(1).alias("blue"))
