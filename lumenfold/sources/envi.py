@@ -21,6 +21,9 @@ from pyspark.sql.datasource import (
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 #: Bytes of a cube that a partition reads, at least one run of lines of a band.
 PART_BYTES = 8 << 20
+#: Cubes up to which a partition is of one cube.  Of more, those whose data file is no greater than WHOLE are opened by
+#: executors alone, PACK of them in a partition.
+FEW, PACK, WHOLE = 256, 64, 64 << 20
 DATA_SUFFIXES = (".cue", ".CUE", ".bin", ".BIN", ".dat", ".DAT")
 
 
@@ -141,6 +144,11 @@ class _Lines(InputPartition):
         self.header, self.bands, self.first, self.last = header, bands, first, last
 
 
+class _Pack(InputPartition):
+    def __init__(self, headers: tuple[str, ...]):
+        self.headers = headers
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.strip = options["path"], int(options.get("lines", 256))
@@ -150,21 +158,34 @@ class _Reader(DataSourceReader):
         return all(test(value, than) for test, than in self.tests[column])
 
     def partitions(self):
+        found = [h for h in (headers(self.path) if os.path.isdir(self.path) else [self.path]) if self._passes("scene_id", scene_name(h))]
+        if len(found) <= FEW:
+            return [run for h in found for run in self._runs(h)]
+        small, out = [], []
+        for h in found:
+            if os.path.getsize(data_file(h)) <= WHOLE:
+                small.append(h)
+            else:
+                out += self._runs(h)
+        return out + [_Pack(tuple(small[at : at + PACK])) for at in range(0, len(small), PACK)]
+
+    def _runs(self, header: str) -> list[_Lines]:
         out = []
-        for h in headers(self.path) if os.path.isdir(self.path) else [self.path]:
-            if not self._passes("scene_id", scene_name(h)):
-                continue
-            values, _ = cube(h)
-            n_bands, n_lines = values.shape[:2]
-            strip = min(self.strip, n_lines)
-            bands = [b for b in range(n_bands) if self._passes("band", b + 1)]
-            starts = [a for a in range(0, n_lines, strip) if any(self._passes("line", y) for y in range(a, min(a + strip, n_lines)))]
-            some = max(1, PART_BYTES // max(1, strip * values.shape[2] * values.itemsize))
-            for at in range(0, len(bands), some):
-                out += [_Lines(h, tuple(bands[at : at + some]), a, min(a + strip, n_lines)) for a in starts]
+        values, _ = cube(header)
+        n_bands, n_lines = values.shape[:2]
+        strip = min(self.strip, n_lines)
+        bands = [b for b in range(n_bands) if self._passes("band", b + 1)]
+        starts = [a for a in range(0, n_lines, strip) if any(self._passes("line", y) for y in range(a, min(a + strip, n_lines)))]
+        some = max(1, PART_BYTES // max(1, strip * values.shape[2] * values.itemsize))
+        for at in range(0, len(bands), some):
+            out += [_Lines(header, tuple(bands[at : at + some]), a, min(a + strip, n_lines)) for a in starts]
         return out
 
     def read(self, p):
+        for run in [p] if isinstance(p, _Lines) else (run for h in p.headers for run in self._runs(h)):
+            yield from self._read(run)
+
+    def _read(self, p):
         values, h = cube(p.header)
         scale = float(h.get("reflectance scale factor", 1.0) or 1.0)
         lines = [y for y in range(p.first, p.last) if self._passes("line", y)]

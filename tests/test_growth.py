@@ -78,6 +78,16 @@ def test_rows_of_one_id_are_one_point(spark):
     assert [(r.other_id, r.nth) for r in neighbours.nearest(points, 1.0, 1).where("point_id = 1").collect()] == [(3, 1)]
 
 
+def test_many_cubes_share_partitions(spark, tmp_path):
+    n = envi.FEW + 44
+    for i in range(n):
+        envi.write_cube(str(tmp_path / f"s{i}_REF.hdr"), np.full((2, 3, 4), i, "<f4"))
+    reader = envi._Reader({"path": str(tmp_path)})
+    assert len(reader.partitions()) <= -(-n // envi.PACK)
+    rows = envi.scan(spark, str(tmp_path)).where("band = 2 and line >= 1")
+    assert rows.count() == 2 * n and rows.select(F.sum(F.col("reflectance")[3])).first()[0] == 2 * sum(range(n))
+
+
 def test_pixels_of_many_pictures(spark, monkeypatch):
     monkeypatch.setattr(export, "PICTURES", 3)
     pixels = spark.range(40).select(F.col("id").cast("string").alias("scene_id"), F.lit(1).alias("line"), F.lit(2).alias("sample"), F.col("id").cast("int").alias("red"), F.lit(7).alias("green"), F.lit(1).alias("blue"))
