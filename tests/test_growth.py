@@ -61,6 +61,10 @@ def test_views_beyond_the_best_go_before_the_exchange(spark):
         assert [got[p, k] for k in range(3)] == order[:3]
 
 
+def test_observations_are_dealt_once(spark, sf):
+    assert plan(adapters.view(spark, sf, "observations")).count("Exchange hashpartitioning") == 1
+
+
 def test_nearest_by_tasks_of_bounded_work(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TASK_PAIRS", 2_000)
     xyz, points = cloud(spark, 600)
