@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import candidates, export, neighbours, rays, sight
+from lumenfold.operators import candidates, export, neighbours, rays, sight, tiles
 from lumenfold.plans import adapters
 from lumenfold.sources import envi
 
@@ -99,3 +99,11 @@ def test_pixels_of_many_pictures(spark, monkeypatch):
     assert len(got) == 40
     for s, p in got.items():
         assert len(p) == 20 and tuple(p[7]) == (int(s), 7, 1) and not any(map(any, p[:7] + p[8:]))
+
+
+def test_occlusion_is_dealt_by_points(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TASK_POINTS", 50)
+    _, points = cloud(spark, 600)
+    views = points.select("point_id", F.lit(1).alias("scene_code"), *[F.lit(v).alias(f"dir_{c}") for c, v in zip("xyz", (0.0, 0.0, 1.0))])
+    met = tiles.blockers(views, points, side=1.0)
+    assert met.count() == 600 and makers(met) > 8
