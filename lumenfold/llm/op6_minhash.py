@@ -5,12 +5,13 @@
 2.  Equal sets are one representative from there on, so a group of copies of any size
     costs a partial aggregation.
 3.  Bands of the signature are bucket keys.  One byte of each coordinate estimates
-    similarity.  In a bucket of up to about `block` rows the member nearest the consensus
-    leads first; members join the first leader they resemble, which gives a row for each
-    member instead of all pairs.  Members that might be linked across leaders fall into one
-    *neighbourhood*, again by a row for each.  In a larger bucket its least member leads all
-    that resemble it, by one join; only the others are then compared with all of the
-    bucket, in cells of two blocks.
+    similarity.  The member that shares most over all of its buckets is a bucket's hub, so a
+    group's buckets mostly have the same one, and each text first joins the first of its
+    hubs, which gives a row for a text, however many buckets it is in.  In a bucket of up to
+    about `block` rows, members without a leader join the first one there that they
+    resemble.  Members that might be linked across leaders fall into one *neighbourhood*, by
+    a row for their leaders.  In a larger bucket the hub leads all that resemble it, by one
+    join; only the others are then compared with all of the bucket, in cells of two blocks.
 4.  Leaders and members are confirmed on their full sets, and components are found.
 5.  A neighbourhood of several components (few are) is compared in full: members outside its
     largest component with all others, in cells where it is large, and a set's intersections
@@ -78,21 +79,29 @@ def _resemblance(sketch: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -
     return np.where(100 * low >= PERCENT * high, (same - 1 / 256) / (1 - 1 / 256), -1)
 
 
-def block_pairs(ids, size, sketch, hub: int, led=None) -> tuple[list, list]:
-    """(leader, member) pairs to confirm, and pairs that join neighbourhoods, of one block;
-    members that are `led` already have one leader elsewhere."""
+def block_pairs(ids, size, sketch, shared, leaders, led=None) -> tuple[list, list]:
+    """(leader, member) pairs to confirm, and pairs of leaders that join neighbourhoods, of one block.
+    leaders: each member's leader from elsewhere, itself if it has none; members that are `led` have been
+    compared with the whole bucket by theirs.  Members that share most buckets lead first, so that blocks
+    of one group mostly have the same leaders and give the same pairs."""
     n, likely = len(ids), PERCENT / 100 - MARGIN
-    if n == 2 and led is None:
+    if (leaders == leaders[0]).all():
+        return [], []
+    elsewhere = leaders != ids
+    grouped = elsewhere | np.isin(ids, leaders[elsewhere])
+    if n == 2:
         close = _resemblance(sketch, size, 0, np.array([1]))[0] >= likely
-        return ([(ids[0], ids[1])] if close else []), []
-    usual = np.array([np.bincount(c).argmax() for c in sketch.T], np.uint8)
-    order = np.lexsort((ids, -(sketch == usual).sum(axis=1), ids != hub))
+        pair = [(leaders[0], leaders[1]) if elsewhere.all() else (ids[0], ids[1])] if close else []
+        return ([], pair) if elsewhere.all() else (pair, [])
+    order = np.lexsort((ids, -shared))
     lead, near = [], []
-    label = np.full(n, -1)
-    if led is not None and led.any():
-        label[led] = np.flatnonzero(led)[0]
+    label, leader = np.full(n, -1), np.array(ids)
+    _, at, group = np.unique(leaders[order], return_index=True, return_inverse=True)
+    first = order[at]  # of each leader's members
+    label[order] = np.where(grouped[order], first[group], -1)
+    leader[first] = leaders[first]
     for i in order:
-        if label[i] < 0:
+        if label[i] < 0 or label[i] == i:
             label[i] = i
             rest = np.flatnonzero(label < 0)
             if len(rest):
@@ -108,7 +117,7 @@ def block_pairs(ids, size, sketch, hub: int, led=None) -> tuple[list, list]:
         met = js[_resemblance(sketch, size, i, js) >= likely]
         if len(met):
             for other in np.unique(label[met]):
-                near.append((ids[i], ids[met[label[met] == other][0]]))
+                near.append((leader[label[i]], leader[other]))
                 label[label == other] = label[i]
     return lead, near
 
@@ -149,8 +158,19 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
-def _resembling(rows: DataFrame) -> DataFrame:
-    """rows with `aside`: whether the member resembles the hub of its bucket by their sketches."""
+def _bucketed(keyed: DataFrame) -> DataFrame:
+    """(key, node, members, shared, hub, hub_shared) of keyed(node, key) in buckets of several; shared: the sum of the
+    members of a node's buckets.  The member that shares most is the hub, so that a group's buckets mostly have the same."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = common.written(keyed.join(sizes.hint("merge"), "key"))
+    rows = rows.join(rows.groupBy("node").agg(F.sum("members").alias("shared")).hint("merge"), "node")
+    hubs = rows.groupBy("key").agg(F.min_by("node", F.struct(-F.col("shared"), F.col("node"))).alias("hub"), F.max("shared").alias("hub_shared"))
+    return rows.join(hubs.hint("merge"), "key")
+
+
+def _resembling(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """rows(key, members, hub, node, shared, leader) with `aside`: whether node and hub resemble each other by their sketches."""
+    names = ["key", "members", "hub", "node", "shared", "leader"]
 
     def run(batches):
         for batch in batches:
@@ -159,13 +179,22 @@ def _resembling(rows: DataFrame) -> DataFrame:
             x, y = get("n_shingles").to_numpy(), get("hub_n").to_numpy()
             same = ((own == hub).mean(axis=1, dtype=np.float32) - 1 / 256) / (1 - 1 / 256)
             near = (same >= PERCENT / 100 - MARGIN + 0.1) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([get("key"), get("members"), get("hub"), get("node"), pa.array(near)], ["key", "members", "hub", "node", "aside"])
+            yield pa.RecordBatch.from_arrays([*map(get, names), pa.array(near)], [*names, "aside"])
+
+    hubs = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+    met = rows.select(*names).join(sketches.hint("merge"), "node").join(hubs.hint("merge"), "hub")
+    return common.mapped(met, run, ", ".join(f"{n} long" for n in names) + ", aside boolean")
 
-    return common.mapped(rows, run, "key long, members long, hub long, node long, aside boolean")
+
+def _led(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, leader): nodes that resemble the hub that shares most of those of their buckets."""
+    best = members.groupBy("node").agg(F.min_by("hub", F.struct(-F.col("hub_shared"), F.col("hub"))).alias("hub")).where("node <> hub")
+    nothing = {n: F.lit(0).cast("long") for n in ("key", "members", "shared", "leader")}
+    return _resembling(best.withColumns(nothing), sketches).where("aside").select("node", F.col("hub").alias("leader"))
 
 
 def _pairs(members: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """(a, b, confirm) with a < b, of members(key, hub, members, node) and sketches(node, n_shingles, sketch)."""
+    """(a, b, confirm) with a < b, of members(key, hub, hub_shared, members, node, shared) and sketches(node, n_shingles, sketch)."""
 
     def run(batches):
         found: dict[tuple[int, int], bool] = {}
@@ -182,9 +211,8 @@ def _pairs(members: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
             ids = group.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             led = group.column("aside").to_numpy() if group.column("cell")[0].as_py() else None
-            if led is not None and led.all():
-                continue
-            lead, near = block_pairs(ids, group.column("n_shingles").to_numpy(), sketch, int(group.column("hub")[0].as_py()), led)
+            size, shared, leaders = (group.column(n).to_numpy() for n in ("n_shingles", "shared", "leader"))
+            lead, near = block_pairs(ids, size, sketch, shared, leaders, led)
             for confirm, pairs in ((False, near), (True, lead)):
                 for a, b in pairs:
                     if a != b:
@@ -194,22 +222,22 @@ def _pairs(members: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
                 yield flush()
         yield flush()
 
+    paired = lambda rows, with_: rows.select(F.least(with_, "node").alias("a"), F.greatest(with_, "node").alias("b"), F.lit(True).alias("confirm"))
+    led = common.written(_led(members, sketches))
+    found = paired(led, "leader")
+    members = members.join(led.hint("merge"), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
     small = members.where(F.col("members") <= block).withColumns({"rest": F.col("members"), "aside": F.lit(False)})
     large = members.where(F.col("members") > block)
-    found = None
     if not large.isEmpty():
-        hubs = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
-        seen = common.written(_resembling(large.join(sketches.hint("merge"), "node").join(hubs.hint("merge"), "hub")))
-        found = seen.where("aside and node <> hub").select(
-            F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.lit(True).alias("confirm")
-        )
+        seen = common.written(_resembling(large, sketches))
+        found = found.union(paired(seen.where("aside and node <> hub"), "hub"))
         counted = common.written(seen.groupBy("key").agg(F.sum(F.when(F.col("aside"), 0).otherwise(1)).alias("rest")))
-        small = small.unionByName(seen.join(counted.where("rest > 0").hint("merge"), "key"))
-    dealt = _dealt(small, block).select("key", "cell", "hub", "node", "aside")
+        seen = seen.withColumn("leader", F.when(F.col("aside"), F.col("hub")).otherwise(F.col("leader")))
+        small = small.unionByName(seen.join(counted.where("rest > 0").hint("merge"), "key"), allowMissingColumns=True)
+    dealt = _dealt(small, block).select("key", "cell", "node", "shared", "leader", "aside")
     # sketches are looked up once a row is dealt, and sorted with it
     dealt = dealt.join(sketches.hint("merge"), "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    pairs = common.mapped(dealt, run, "a long, b long, confirm boolean")
-    return (pairs.union(found) if found is not None else pairs).groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
+    return common.mapped(dealt, run, "a long, b long, confirm boolean").union(found).groupBy("a", "b").agg(F.max("confirm").alias("confirm"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -303,10 +331,9 @@ def _classed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int
     first = common.written(
         first.select(F.monotonically_increasing_id().alias("node"), "doc_id", "fp1", "fp2", "n_shingles", "of.bands", "of.sketch")
     )
-    keyed = first.select("node", F.explode("bands").alias("key"))
-    buckets = common.written(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
     sketches = first.select("node", "n_shingles", "sketch")
-    likely = common.written(_pairs(keyed.join(buckets.hint("merge"), "key"), sketches, block))
+    shared = common.written(_bucketed(first.select("node", F.explode("bands").alias("key"))))
+    likely = common.written(_pairs(shared, sketches, block))
     near = common.written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     near = common.written(near.join(first.select(F.col("node").alias("id"), F.col("doc_id").alias("low"), "fp1", "fp2"), "id"))
     wanted = near.select(F.col("id").alias("node"), F.col("low").alias("doc_id"), "fp1", "fp2")

@@ -97,6 +97,30 @@ def test_links_around_the_threshold(spark):
     cases.same_rows(got, brute_classes(rows))
 
 
+@pytest.mark.parametrize("block, most", [(2000, 400), (60, 900)])
+def test_pairs_of_a_group_are_about_its_members(spark, monkeypatch, block, most):
+    """Near copies of one text that also share edits: not a pair for each of the buckets that a member is in."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(200):
+        w = [f"w{i}" for i in range(146)]
+        for j in r.choice(6, 3, replace=False):
+            w[20 * j + 5] = f"x{j}"
+        rows.append((k, " ".join(w)))
+    rows = [(k, f"{t} y{k}") for k, t in rows]
+    counts, components = [], op6_minhash.common.components
+
+    def counted(nodes, links):
+        counts.append((nodes.count(), links.count()))
+        return components(nodes, links)
+
+    monkeypatch.setattr(op6_minhash.common, "components", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op6_minhash.near_duplicates(docs, block=block).select("doc_id", "n_shingles", "component_id").collect()
+    cases.same_rows(got, brute_classes(rows))
+    assert all(nodes == 200 and links <= most for nodes, links in counts), counts
+
+
 def test_signature_estimates_similarity():
     from lumenfold.llm import text as tx
     import pyarrow as pa
