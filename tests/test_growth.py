@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import candidates, export, neighbours, rays, sight, tiles
+from lumenfold.operators import candidates, export, gains, neighbours, rays, sight, tiles
 from lumenfold.plans import adapters
 from lumenfold.sources import envi
 
@@ -107,3 +107,27 @@ def test_occlusion_is_dealt_by_points(spark, monkeypatch):
     views = points.select("point_id", F.lit(1).alias("scene_code"), *[F.lit(v).alias(f"dir_{c}") for c, v in zip("xyz", (0.0, 0.0, 1.0))])
     met = tiles.blockers(views, points, side=1.0)
     assert met.count() == 600 and makers(met) > 8
+
+
+def sites(spark):
+    """Forty sites of ten points and three scenes; a scene sees its own site."""
+    rows = spark.range(1200).select(F.lit(1).alias("band"), F.expr("id div 3").alias("point_id"), F.expr("id div 30 * 3 + id % 3").alias("scene_code"))
+    return rows.withColumn("y", F.sin(F.col("point_id") * 7 + F.col("scene_code"))).withColumn("w", 1.0 + F.col("point_id") % 5)
+
+
+def test_a_step_of_the_gain_fit_passes_once_through_its_rows(spark, monkeypatch):
+    plans, written = [], gains.shared.written
+    monkeypatch.setattr(gains.shared, "written", lambda df: plans.append(plan(df)) or written(df))
+    assert gains.fitted(sites(spark), 3, 0.0, min_scene_rows=2).count() == 120
+    assert [p.count("InMemoryTableScan") for p in plans].count(1) >= 3 and not any(p.count("InMemoryTableScan") > 1 for p in plans)
+
+
+def test_sums_of_the_gain_fit_grow_with_scenes_not_with_tasks(spark):
+    rows = sites(spark)
+    scenes = rows.select("band", "scene_code").distinct().withColumn("at", F.col("scene_code"))
+    kept = gains.dealt(rows, scenes, 10)
+    assert kept.count() == 1200 and makers(kept) > 5
+    assert kept.select(F.spark_partition_id(), "at").distinct().count() <= 120 + 9 * 3  # dealt by a hash of points: about 770
+    step = plan(gains.iterate(kept, F.broadcast(scenes.select("at", F.lit(0.5).alias("effect")))))
+    assert "hashpartitioning(at" in step and "hashpartitioning(band" not in step
+    kept.unpersist()
