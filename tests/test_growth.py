@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import candidates, export, gains, neighbours, rays, sight, tiles
-from lumenfold.plans import adapters
+from lumenfold.operators import candidates, export, gains, neighbours, ordinals, rays, selection, sight, tiles
+from lumenfold.plans import adapters, queries
 from lumenfold.sources import envi
 
 CAMERA = "scene_code long, cam_x double, cam_y double, cam_z double"
@@ -131,3 +131,59 @@ def test_sums_of_the_gain_fit_grow_with_scenes_not_with_tasks(spark):
     step = plan(gains.iterate(kept, F.broadcast(scenes.select("at", F.lit(0.5).alias("effect")))))
     assert "hashpartitioning(at" in step and "hashpartitioning(band" not in step
     kept.unpersist()
+
+
+def exchanged(df) -> list[set]:
+    """The columns of each exchange of a plan, reused and adaptive ones included."""
+    nodes, out = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.inputPlan()
+        if "Exchange" in node.nodeName() and "Broadcast" not in node.nodeName():
+            out.append({node.output().apply(i).name() for i in range(node.output().size())})
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("name", ["q_brf_table", "q_visible_views"])
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_geometry_of_views_is_neither_shuffled_nor_written(spark, sf, monkeypatch, name, broadcast):
+    monkeypatch.setattr(sight, "BROADCAST_CELLS", broadcast)
+    plans, written = [], queries.shared.written
+    monkeypatch.setattr(queries.shared, "written", lambda df: plans.append(df) or written(df))
+    plans.append(queries.QUERIES[name].spark(spark, sf))
+    made = {"view_zenith_deg", "view_azimuth_deg", "offaxis_deg", "surface_view_cos", "coarse_score"}
+    assert not [c for df in plans for c in [*exchanged(df), set(df.columns) if df is not plans[-1] else set()] if c & made]
+
+
+@pytest.mark.parametrize("views", [200_000, 400])
+def test_hidden_views_over_tiles(spark, monkeypatch, views):
+    monkeypatch.setattr(tiles, "VIEWS", views)
+    monkeypatch.setattr(tiles, "TASK_VIEWS", 500)
+    r = np.random.default_rng(11)
+    n = 4000
+    rows = [(i, int(s), float(u), float(v), float(z)) for i, (s, u, v, z) in enumerate(zip(r.integers(0, 3, n), r.uniform(-3, 130, n), r.uniform(-3, 70, n), r.uniform(10, 12, n)))]
+    df = spark.createDataFrame([*rows, (9999, 0, None, 1.0, 5.0)], "point_id long, scene_code long, u double, v double, range_m double")
+    theirs = sorted(tuple(x) for x in selection.depth_clear(df).where("not zbuffer_clear").select("point_id", "scene_code").collect())
+    assert 500 < len(theirs) < 3500
+    assert sorted(map(tuple, tiles.hidden(df, side=32).collect())) == theirs
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_groups_start_where_those_before_end(spark, ranges):
+    groups = spark.range(1000).select((F.col("id") * 7919 % 1000 * 3).alias("k"), (F.col("id") * 7919 % 1000 % 4).cast("int").alias("n")).repartition(3)
+    at = 0
+    for k, start in sorted(map(tuple, ordinals.starts(groups, "k", "n", ranges=ranges).collect())):
+        assert start == at
+        at += k // 3 % 4
+    assert at == 1500
+
+
+def test_table_without_broadcasts(spark, sf, monkeypatch):
+    rows = lambda: sorted(map(tuple, queries.QUERIES["q_brf_table"].spark(spark, sf).collect()))
+    expected = rows()
+    monkeypatch.setattr(sight, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(sight, "TASK_PAIRS", 500)
+    monkeypatch.setattr(tiles, "VIEWS", 20)
+    assert len(expected) > 1000 and rows() == expected
