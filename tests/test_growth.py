@@ -139,7 +139,7 @@ def exchanged(df) -> list[set]:
     while nodes:
         node = nodes.pop()
         if node.nodeName() == "AdaptiveSparkPlan":
-            node = node.inputPlan()
+            node = node.initialPlan()
         if "Exchange" in node.nodeName() and "Broadcast" not in node.nodeName():
             out.append({node.output().apply(i).name() for i in range(node.output().size())})
         nodes += [node.children().apply(i) for i in range(node.children().size())]
@@ -187,3 +187,15 @@ def test_table_without_broadcasts(spark, sf, monkeypatch):
     monkeypatch.setattr(sight, "TASK_PAIRS", 500)
     monkeypatch.setattr(tiles, "VIEWS", 20)
     assert len(expected) > 1000 and rows() == expected
+
+
+def test_lists_of_views_are_shuffled_once_by_the_occlusion(spark):
+    _, points = cloud(spark, 60)
+    views = F.array(F.struct(F.lit(1).cast("long").alias("scene_code"), *[F.col(c).alias(f"dir_{c}") for c in "xyz"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables whose sizes are estimated above it
+    try:
+        met = tiles.listed_blockers(points.withColumn("views", views), points)
+        assert sum("dir_x" in c for c in exchanged(met)) == 1 and met.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
